@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tableloom.session import local_frame
+
 # Value lists up to this length stay an IN list; longer ones become a semi join.
 INLINE_VALUES = 1_000
 # Longest value list that is broadcast; beyond it Spark picks the join.
@@ -118,7 +120,7 @@ def in_list(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
     """Rows whose value is in the list (PRE4, PRE8)."""
     if len(values) <= INLINE_VALUES:
         return df.filter(F.col(column).isin([literal(v) for v in values]))
-    wanted = df.sparkSession.createDataFrame([(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
+    wanted = local_frame(df.sparkSession, [(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
     if len(values) <= BROADCAST_VALUES:
         wanted = F.broadcast(wanted)
     return df.join(wanted, column, "left_semi")
@@ -130,7 +132,7 @@ def not_in_list(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
         return df.filter(F.lit(False))
     if len(values) <= INLINE_VALUES:
         return df.filter(~F.col(column).isin([literal(v) for v in values]))
-    wanted = df.sparkSession.createDataFrame([(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
+    wanted = local_frame(df.sparkSession, [(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
     if len(values) <= BROADCAST_VALUES:
         wanted = F.broadcast(wanted)
     return df.filter(F.col(column).isNotNull()).join(wanted, column, "left_anti")

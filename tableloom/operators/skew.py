@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableloom.session import local_frame
+
 # Most hot keys that are sent to every executor; beyond it the plan joins instead.
 BROADCAST_KEYS = 10_000
 
@@ -37,4 +39,4 @@ def hot_keys(df: DataFrame, keys: Sequence[str], bound: int, limit: int = BROADC
     found = heavy.limit(limit + 1).collect()
     if len(found) > limit:
         return HotKeys(heavy, small=False, empty=False)
-    return HotKeys(df.sparkSession.createDataFrame(found, heavy.schema), small=True, empty=not found)
+    return HotKeys(local_frame(df.sparkSession, found, heavy.schema), small=True, empty=not found)

@@ -6,7 +6,7 @@ import importlib
 
 from tableloom.plans.registry import REGISTRY, Query
 
-_MODULES = ["relational"]
+_MODULES = ["relational", "quality", "measured"]
 
 
 def load() -> dict[str, Query]:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DataType, DecimalType, StructType
 
 # Runtime settings every operator relies on. Partition counts stay with the
 # caller: they depend on the cluster, not on the library.
@@ -62,3 +65,28 @@ def _local_base(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return _local_folder()
+
+
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
+    """A small DataFrame of driver values.
+
+    Built from Arrow it is a local relation with a known size, which needs no
+    job and no Python worker.
+    """
+    struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(struct)
+    table = pa.Table.from_arrays([pa.array(list(c), _arrow_type(f.dataType)) for c, f in zip(columns, struct)], names=struct.names)
+    return spark.createDataFrame(table, struct)
+
+
+def _arrow_type(dtype: DataType) -> pa.DataType | None:
+    simple = {
+        "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(),
+        "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "date": pa.date32(),
+        "timestamp_ntz": pa.timestamp("us"), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary(),
+    }
+    if isinstance(dtype, DecimalType):
+        return pa.decimal128(dtype.precision, dtype.scale)
+    if isinstance(dtype, ArrayType):
+        return pa.list_(_arrow_type(dtype.elementType))
+    return simple.get(dtype.simpleString())

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.session import local_frame
+
 
 def scan(spark: SparkSession, path: str, schema: str | T.StructType | None = None, alias: str | None = None) -> DataFrame:
     """Read a parquet table under its declared schema, which saves the inference job."""
@@ -28,7 +30,8 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame], schema:
         owner, _, table = name.rpartition(".")
         for ordinal, field in enumerate(df.schema.fields, start=1):
             rows.append((owner or schema, table, field.name, ordinal, field.dataType.simpleString(), field.nullable))
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         rows,
         "table_schema string, table_name string, column_name string, ordinal int, data_type string, is_nullable boolean",
     )
