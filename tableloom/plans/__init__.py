@@ -6,7 +6,7 @@ import importlib
 
 from tableloom.plans.registry import REGISTRY, Query
 
-_MODULES = ["relational", "quality", "measured"]
+_MODULES = ["relational", "quality", "measured", "structures"]
 
 
 def load() -> dict[str, Query]:

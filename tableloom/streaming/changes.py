@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tableloom.operators.documents import Collection, TableMapping, build_collection, document_id
 from tableloom.operators.relational import literal
 
 
@@ -28,3 +30,163 @@ def incremental_extract(
     x = line.filter(F.col(changed[1]) <= high)
     joined = h.join(x, F.col(on[0]) == F.col(on[1]))
     return joined.filter((F.col(changed[0]) > low) | (F.col(changed[1]) > low))
+
+
+# --- change feeds ---------------------------------------------------------
+
+
+def last_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last change per key. An aggregate that combines on the map side, so a busy key is no hot task."""
+    picked = changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.struct(*order)).alias("r"))
+    return picked.select("r.*")
+
+
+def apply_changes(
+    target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str], op: str = "op", delete: str = "delete"
+) -> DataFrame:
+    """The target after a change feed: the last change per key wins, deletes remove.
+
+    ``changes`` has the columns of ``target`` plus ``op`` and the order columns.
+    """
+    last = last_changes(changes, keys, order)
+    kept = target.join(last.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(last.filter(F.col(op) != delete).select(*target.columns))
+
+
+def stream_changes(
+    changes: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]
+) -> StreamingQuery:
+    """Fold a change stream into one small file set per batch: the last change per key of that batch.
+
+    A batch writes its own folder and overwrites it when it is run again, so a
+    restart repeats nothing. Read the table back with :func:`current_rows`.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last_changes(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        changes.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_rows(
+    target: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], op: str = "op", delete: str = "delete"
+) -> DataFrame:
+    """The target with every batch written by :func:`stream_changes` applied."""
+    return apply_changes(target, target.sparkSession.read.parquet(path).drop("batch"), keys, order, op, delete)
+
+
+def stream_into_table(
+    changes: DataFrame,
+    table: str,
+    checkpoint: str,
+    empty: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    op: str = "op",
+    delete: str = "delete",
+) -> StreamingQuery:
+    """Keep a whole table current: batch ``n`` reads version ``n - 1`` and writes version ``n``.
+
+    Versions are folders below ``table``; a batch that runs again writes the
+    same folder from the same input. ``empty`` gives the first version. Each
+    batch rewrites the table, so this is for tables that are small against
+    their feed; for large ones use :func:`stream_changes`, whose batches write
+    only changes, and :func:`current_rows`.
+    """
+    spark = changes.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        before = empty if batch_id == 0 else spark.read.schema(empty.schema).parquet(f"{table}/version={batch_id - 1}")
+        after = apply_changes(before, batch, keys, order, op, delete)
+        after.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+
+    return (
+        changes.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+# --- documents under change -----------------------------------------------
+
+
+def touched_roots(
+    mapping: TableMapping, tables: Mapping[str, DataFrame], changed: Mapping[str, DataFrame], before: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Keys of the root rows whose document holds a changed row (S3).
+
+    ``changed`` gives, per table, the keys of changed rows under the key
+    columns of its mapping. Children lead to their parents over the link, level
+    by level. ``before`` holds the tables as they were, so that a row that
+    moved to another parent or went away also touches the parent it left.
+    """
+    versions = [tables] + ([before] if before else [])
+    return _touched(mapping, versions, changed).distinct()
+
+
+def _touched(mapping: TableMapping, versions: Sequence[Mapping[str, DataFrame]], changed: Mapping[str, DataFrame]) -> DataFrame:
+    own = changed.get(mapping.table)
+    parts = [own.select(*mapping.key)] if own is not None else []
+    for child in mapping.children:
+        below = _touched(child, versions, changed)
+        parent_column, child_column = child.link
+        for tables in versions:
+            # Changed child rows, then the link values they carry, then the parents with those values.
+            links = tables[child.table].join(below, child.key, "left_semi").select(F.col(child_column).alias("_k")).distinct()
+            rows = tables[mapping.table]
+            parts.append(rows.join(links, F.col(parent_column) == F.col("_k"), "left_semi").select(*mapping.key))
+    if not parts:
+        any_version = versions[0][mapping.table]
+        return any_version.select(*mapping.key).filter(F.lit(False))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def refresh_collection(
+    name: str, mapping: TableMapping, collection: Collection, tables: Mapping[str, DataFrame], touched: DataFrame
+) -> Collection:
+    """A collection with only the touched documents rebuilt; touched roots that are gone lose theirs (S3)."""
+    key = mapping.key
+    affected = {**tables, mapping.table: tables[mapping.table].join(touched, key, "left_semi")}
+    rebuilt = build_collection(name, mapping, affected)
+    stale = touched.select(document_id(name, key).alias("_id"))
+    documents = collection.documents.join(stale, "_id", "left_anti").unionByName(rebuilt.documents)
+
+    continuations = {}
+    for path in {**collection.continuations, **rebuilt.continuations}:
+        old, new = collection.continuations.get(path), rebuilt.continuations.get(path)
+        if old is not None:
+            # The rebuilt owners bring all of their elements along.
+            old = old.join(_owners(mapping, path.split("."), affected), _owner_column(mapping, path.split(".")), "left_anti")
+        continuations[path] = old.unionByName(new) if old is not None and new is not None else (old if new is None else new)
+    return Collection(documents, continuations)
+
+
+def _child(mapping: TableMapping, step: str) -> TableMapping:
+    return next(c for c in mapping.children if c.path == step)
+
+
+def _owner_column(mapping: TableMapping, path: Sequence[str]) -> str:
+    for step in path:
+        mapping = _child(mapping, step)
+    return mapping.link[1]
+
+
+def _owners(mapping: TableMapping, path: Sequence[str], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Keys of the rows that own the arrays at ``path``, walking down from the root rows."""
+    rows = tables[mapping.table]
+    for step in path[:-1]:
+        child = _child(mapping, step)
+        links = rows.select(F.col(child.link[0]).alias("_k")).distinct()
+        rows = tables[child.table].join(links, F.col(child.link[1]) == F.col("_k"), "left_semi")
+        mapping = child
+    last = _child(mapping, path[-1])
+    return rows.select(F.col(last.link[0]).alias(last.link[1])).distinct()
