@@ -53,7 +53,7 @@ def canonical_value(
         return F.when(column.isNotNull(), F.struct(*parts))
     if isinstance(dtype, T.ArrayType):
         items = F.transform(column, lambda x: canonical_value(x, dtype.elementType, sort_arrays, rename, drop, texts))
-        return F.array_sort(items) if sort_arrays else items
+        return F.sort_array(items) if sort_arrays else items
     if isinstance(dtype, T.MapType):
         entries = F.transform(
             F.map_entries(column),
@@ -62,7 +62,7 @@ def canonical_value(
                 canonical_value(e["value"], dtype.valueType, sort_arrays, rename, drop, texts).alias("value"),
             ),
         )
-        return F.array_sort(entries)
+        return F.sort_array(entries)
     if isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
         number = canonical_number(column)
         return F.coalesce(number.cast("string"), column.cast("string")) if texts else number
@@ -96,3 +96,67 @@ def canonical_json(
 
 def json_text(column: Column) -> Column:
     return F.to_json(column, _JSON)
+
+
+# --- hashing --------------------------------------------------------------
+
+# Numbers below this size are hashed as thousandths in 64 bits.
+_EXACT = 9e9
+
+
+def _hash_parts(column: Column, dtype: T.DataType, path: str, rename, drop, kinds: list[str]) -> list[Column]:
+    """Scalar columns that together identify the canonical value; ``kinds`` collects name and kind of each."""
+    if isinstance(dtype, T.StructType):
+        parts = [column.isNull()]
+        kinds.append(f"{path}:struct")
+        for f in sorted(dtype.fields, key=lambda f: rename(f.name)):
+            if f.name not in drop:
+                parts += _hash_parts(column[f.name], f.dataType, f"{path}.{rename(f.name)}", rename, drop, kinds)
+        return parts
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        kinds.append(f"{path}:list")
+        return [json_text(canonical_value(column, dtype, True, rename, drop, texts=True))]
+    if isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
+        kinds.append(f"{path}:number")
+        small = F.abs(column) < F.lit(_EXACT)
+        if isinstance(dtype, T.DecimalType):
+            thousandths = (F.round(F.when(small, column).cast("decimal(38,6)"), 3) * 1000).cast("bigint")
+        else:
+            # Millionths first, as in the decimal form, then half up to thousandths: integers only.
+            size = F.floor(F.abs(F.when(small, column).cast("double")) * 1e6 + 0.5).cast("bigint")
+            thousandths = F.when(column < 0, -_thousandths(size)).otherwise(_thousandths(size))
+        text = F.coalesce(canonical_number(column).cast("string"), column.cast("string"))
+        return [thousandths, F.when(~small, text)]
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        kinds.append(f"{path}:time")
+        return [F.unix_millis(column.cast("timestamp"))]
+    if isinstance(dtype, T.IntegralType):
+        kinds.append(f"{path}:integer")
+        return [column.cast("bigint")]
+    kinds.append(f"{path}:{dtype.simpleString()}")
+    return [column]
+
+
+def _thousandths(millionths: Column) -> Column:
+    return F.floor((millionths + 500) / 1000).cast("bigint")
+
+
+def row_hash(df: DataFrame, drop: tuple[str, ...] = (), rename=camel_case) -> Column:
+    """128 bits that identify the canonical row, as a struct of two hashes.
+
+    Names and kinds of the columns and the positions of nulls are part of it,
+    since the hash function itself passes over nulls. Plain values are hashed
+    as 64-bit numbers and text in generated code; only nested lists are written
+    out as canonical JSON, sorted.
+    """
+    dropped = frozenset(drop)
+    kinds: list[str] = []
+    parts: list[Column] = []
+    for f in sorted(df.schema.fields, key=lambda f: rename(f.name)):
+        if f.name not in dropped:
+            parts += _hash_parts(F.col(f"`{f.name}`"), f.dataType, rename(f.name), rename, dropped, kinds)
+    nulls = F.concat(*[F.when(p.isNull(), "1").otherwise("0") for p in parts])
+    head = F.lit("|".join(kinds))
+    return F.struct(
+        F.xxhash64(F.lit(0), head, nulls, *parts).alias("h0"), F.xxhash64(F.lit(1), head, nulls, *parts).alias("h1")
+    )

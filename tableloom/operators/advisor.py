@@ -88,7 +88,7 @@ def _ranked(options: Column | str, price: Column) -> Column:
 
 def _kept(gap: Column) -> Column:
     """Options of ``ranked`` within ``gap`` of the best one."""
-    return F.array_sort(F.filter("ranked", lambda x: x.p - F.array_min("ranked")["p"] <= gap))
+    return F.sort_array(F.filter("ranked", lambda x: x.p - F.array_min("ranked")["p"] <= gap))
 
 
 def _class_key(kept: str) -> Column:

@@ -86,7 +86,7 @@ def _checks(rule: ColumnRule) -> list[tuple[str, Column]]:
         read = c.try_cast(rule.type)
         bad = read.isNull()
         if rule.type.startswith("decimal"):
-            bad = bad | (read.cast("decimal(38,10)") != c.try_cast("decimal(38,10)"))
+            bad = bad | (read.cast("double") != c.try_cast("double"))
         out.append(("type", c.isNotNull() & bad))
     if rule.max_length is not None:
         out.append(("length", F.length(c.cast("string")) > rule.max_length))

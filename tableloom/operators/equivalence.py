@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableloom.functions.canonical import canonical_json, canonical_value
+from tableloom.functions.canonical import canonical_json, canonical_value, row_hash
 
 # Fixed status words.
 EQUIVALENT = "Equivalent"
@@ -128,23 +128,19 @@ def compare_summaries(
 # --- whole datasets -------------------------------------------------------
 
 
-def row_hashes(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:
-    """A 256-bit hash of the canonical row; nested lists are order-free."""
-    return F.unhex(F.sha2(canonical_json(df, sort_arrays=True, drop=drop, texts=True), 256))
-
-
 def multiset_difference(left: DataFrame, right: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """Row hashes that occur a different number of times on the two sides (E7e).
 
-    Hashes travel, rows do not, and copies collapse on the map side: one
-    shuffle of at most one record per distinct row and task.
+    Nested lists are order-free. Hashes travel, rows do not, and copies
+    collapse on the map side: one shuffle of at most one record per distinct
+    row and task.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    marked = left.select(row_hashes(left, drop).alias("row_hash"), one.alias("l"), none.alias("r")).unionByName(
-        right.select(row_hashes(right, drop).alias("row_hash"), none.alias("l"), one.alias("r"))
+    marked = left.select(row_hash(left, drop).alias("h"), one.alias("l"), none.alias("r")).unionByName(
+        right.select(row_hash(right, drop).alias("h"), none.alias("l"), one.alias("r"))
     )
     return (
-        marked.groupBy("row_hash")
+        marked.groupBy("h.h0", "h.h1")
         .agg(F.sum("l").alias("left_count"), F.sum("r").alias("right_count"))
         .filter(F.col("left_count") != F.col("right_count"))
     )
@@ -167,11 +163,13 @@ def differing_rows(left: DataFrame, right: DataFrame, drop: tuple[str, ...] = ()
     diff = multiset_difference(left, right, drop)
 
     def texts(df):
-        text = canonical_json(df, sort_arrays=True, drop=drop, texts=True)
-        return df.select(F.unhex(F.sha2(text, 256)).alias("row_hash"), text.alias("row"))
+        return df.select(
+            row_hash(df, drop).alias("h"), canonical_json(df, sort_arrays=True, drop=drop, texts=True).alias("row")
+        ).select("h.h0", "h.h1", "row")
 
-    found = texts(left).unionByName(texts(right)).join(diff, "row_hash", "left_semi").distinct()
-    return found.join(diff, "row_hash").select("row", "left_count", "right_count")
+    hashes = ["h0", "h1"]
+    found = texts(left).unionByName(texts(right)).join(diff.select(*hashes), hashes, "left_semi").distinct()
+    return found.join(diff, hashes).select("row", "left_count", "right_count")
 
 
 def keyed_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

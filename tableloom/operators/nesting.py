@@ -44,12 +44,22 @@ class Nested:
         return self.all_parts().select(*self.keys, F.explode(self.name).alias("item")).select(*self.keys, "item.*")
 
 
-def _ordered_items(child: DataFrame, fields: Sequence[str], order: Sequence[str]) -> Column:
-    return F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("v"))
+def _item(fields: Sequence[str], order: Sequence[str], source: Column | None = None) -> Column:
+    """Element struct whose leading fields are the sort order, so that arrays sort as they are."""
+    names = list(dict.fromkeys([*order, *fields]))
+    return F.struct(*[F.col(c) if source is None else source[c].alias(c) for c in names])
 
 
-def _sorted(items: Column) -> Column:
-    return F.transform(F.array_sort(items), lambda x: x.v)
+def _sorted(items: Column, fields: Sequence[str], order: Sequence[str]) -> Column:
+    """Sorted elements with exactly ``fields``, in that sequence.
+
+    ``sort_array`` compares structs in generated code; a comparator lambda
+    would be interpreted for every comparison.
+    """
+    ordered = F.sort_array(items)
+    if list(dict.fromkeys([*order, *fields])) == list(fields):
+        return ordered
+    return F.transform(ordered, lambda x: F.struct(*[x[c].alias(c) for c in fields]))
 
 
 def collect_children(
@@ -77,10 +87,10 @@ def collect_children(
     for key in keys:
         child = child.filter(F.col(key).isNotNull())
     hot = hot or hot_keys(child, keys, max_items)
-    item = _ordered_items(child, fields, order)
+    item = _item(fields, order)
 
     def group(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(_sorted(F.collect_list(item)).alias(name))
+        return df.groupBy(*keys).agg(_sorted(F.collect_list(item), fields, order).alias(name))
 
     if hot.empty:
         return Nested(group(child), None, keys, name)
@@ -99,19 +109,8 @@ def collect_children(
         F.collect_list(F.struct(*order, *[c for c in fields if c not in order], "_times")).alias("_items")
     )
     # Expand the copies inside the part and sort there.
-    expanded = F.flatten(
-        F.transform(
-            "_items",
-            lambda x: F.array_repeat(
-                F.struct(
-                    F.struct(*[x[c].alias(c) for c in order]).alias("o"),
-                    F.struct(*[x[c].alias(c) for c in fields]).alias("v"),
-                ),
-                x["_times"],
-            ),
-        )
-    )
-    heavy = grouped.select(*keys, "part", _sorted(expanded).alias(name))
+    expanded = F.flatten(F.transform("_items", lambda x: F.array_repeat(_item(fields, order, x), x["_times"])))
+    heavy = grouped.select(*keys, "part", _sorted(expanded, fields, order).alias(name))
     # Hash dealing may leave part 0 empty: the lowest part present leads.
     lead = heavy.groupBy(*keys).agg(F.min("part").alias("_lead"))
     lead = F.broadcast(lead) if hot.small else lead

@@ -344,29 +344,26 @@ def joi1_outer(t):
 
 def _line_digest(items):
     """Count, first, last and an order-sensitive checksum of a sorted line array: row-local."""
-    total = F.aggregate(
-        F.transform(items, lambda x, i: (x.l_extendedprice.cast(MONEY) * (i + 1).cast("decimal(9,0)")).cast("decimal(38,2)")),
-        F.lit(0).cast("decimal(38,2)"),
-        lambda acc, v: (acc + v).cast("decimal(38,2)"),
-    )
+    cents = F.transform(items, lambda x, i: F.round(x.l_extendedprice * 100).cast("bigint") * (i + 1))
+    total = F.aggregate(cents, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
     return [
         F.size(items).cast("bigint").alias("n_lines"),
         F.coalesce(F.get(items, F.lit(0)).l_linenumber, F.lit(-1)).alias("first_line"),
         F.coalesce(F.get(items, F.size(items) - 1).l_linenumber, F.lit(-1)).alias("last_line"),
-        total.cast("double").alias("checksum"),
+        total.alias("checksum"),
     ]
 
 
 _LINES = f"""l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SORT}) AS rn FROM lineitem),
      d AS (SELECT l_orderkey, count(*) AS n_lines, arg_min(l_linenumber, rn) AS first_line, arg_max(l_linenumber, rn) AS last_line,
-                  sum(CAST(l_extendedprice AS DECIMAL(18,2)) * rn) AS checksum FROM l GROUP BY l_orderkey)"""
+                  sum(CAST(round(l_extendedprice * 100) AS BIGINT) * rn)::BIGINT AS checksum FROM l GROUP BY l_orderkey)"""
 
 
 @query(
     "joi2_order_with_lines",
     f"""WITH {_LINES}
         SELECT o_orderkey, o_orderdate, coalesce(n_lines, 0) AS n_lines, coalesce(first_line, -1) AS first_line,
-               coalesce(last_line, -1) AS last_line, CAST(coalesce(checksum, 0) AS DOUBLE) AS checksum
+               coalesce(last_line, -1) AS last_line, coalesce(checksum, 0) AS checksum
         FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""",
 )
 def joi2(t):
@@ -449,7 +446,7 @@ def joi4(t):
               FROM {CLOSED} GROUP BY o_custkey)
         SELECT o_orderkey, c_name, coalesce(n_closed, 0) AS n_closed, CAST(coalesce(closed_total, 0) AS DOUBLE) AS closed_total,
                coalesce(n_lines, 0) AS n_lines, coalesce(first_line, -1) AS first_line,
-               coalesce(last_line, -1) AS last_line, CAST(coalesce(checksum, 0) AS DOUBLE) AS checksum
+               coalesce(last_line, -1) AS last_line, coalesce(checksum, 0) AS checksum
         FROM orders o JOIN customer ON c_custkey = o.o_custkey LEFT JOIN c ON c.o_custkey = o.o_custkey
         LEFT JOIN d ON l_orderkey = o_orderkey""",
 )
