@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed table: database type names to Spark types. Parameters in brackets are read separately.
 DATABASE_TYPES = {
@@ -76,18 +77,30 @@ class TableRule:
     foreign_keys: Mapping[str, tuple[str, str]] = field(default_factory=dict)  # column -> (table, column)
 
 
-def _checks(rule: ColumnRule) -> list[tuple[str, Column]]:
+def _unreadable(c: Column, dtype: T.DataType, declared: str) -> Column:
+    """Values that have no form in the declared type; losing digits counts as having none."""
+    wanted = T.StructType.fromDDL(f"x {declared}")["x"].dataType
+    if isinstance(wanted, T.DecimalType) and isinstance(dtype, T.DoubleType) and wanted.precision <= 15:
+        # Plain arithmetic instead of a decimal per value: a double has s decimals
+        # exactly if it is the double nearest to some multiple of 10**-s.
+        unit = float(10**wanted.scale)
+        size = F.abs(c)
+        fits = (size < float(10 ** (wanted.precision - wanted.scale))) & (F.floor(size * unit + 0.5) / unit == size)
+        return c.isNotNull() & ~fits
+    read = c.try_cast(declared)
+    bad = read.isNull()
+    if isinstance(wanted, T.DecimalType):
+        bad = bad | (read.cast("double") != c.try_cast("double"))
+    return c.isNotNull() & bad
+
+
+def _checks(df: DataFrame, rule: ColumnRule) -> list[tuple[str, Column]]:
     c = F.col(rule.name)
     out = []
     if rule.required:
         out.append(("required", c.isNull()))
     if rule.type:
-        # A value that loses digits in the declared type fails as one that cannot be read.
-        read = c.try_cast(rule.type)
-        bad = read.isNull()
-        if rule.type.startswith("decimal"):
-            bad = bad | (read.cast("double") != c.try_cast("double"))
-        out.append(("type", c.isNotNull() & bad))
+        out.append(("type", _unreadable(c, df.schema[rule.name].dataType, rule.type)))
     if rule.max_length is not None:
         out.append(("length", F.length(c.cast("string")) > rule.max_length))
     return out
@@ -95,7 +108,7 @@ def _checks(rule: ColumnRule) -> list[tuple[str, Column]]:
 
 def column_violations(df: DataFrame, rule: TableRule) -> DataFrame:
     """Violations per column rule: one pass over the table, whatever the number of rules."""
-    checks = [(c.name, kind, bad) for c in rule.columns for kind, bad in _checks(c)]
+    checks = [(c.name, kind, bad) for c in rule.columns for kind, bad in _checks(df, c)]
     counted = df.agg(*[F.count_if(bad).alias(f"v{i}") for i, (_, _, bad) in enumerate(checks)])
     rows = F.array(
         *[

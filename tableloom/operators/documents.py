@@ -134,7 +134,11 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
             children = below.select(F.col(child_column).alias("_k"), *columns)
             order = [f.target for f in child.fields if f.included and f.primary_key]
             order += [f.target for f in child.fields if f.included and not f.primary_key]
-            got = _array(children, child.path, order, repeated, max_items, repeat_items)
+            # Embedding keeps the rows of the child table, so the table itself is counted.
+            bound = repeat_items if repeated else max_items
+            counted = tables[child.table].select(F.col(child_column).alias("_k")).filter("_k IS NOT NULL")
+            hot = hot_keys(counted, ["_k"], bound)
+            got = _array(children, child.path, order, repeated, max_items, hot)
             rows = rows.join(got.rows, F.col(parent_column) == F.col("_k"), "left").drop("_k")
             empty = F.array().cast(got.rows.schema[child.path].dataType)
             rows = rows.withColumn(child.path, F.coalesce(child.path, empty))
@@ -144,7 +148,7 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
     return rows, nested
 
 
-def _array(children: DataFrame, name: str, order: list[str], repeated: bool, max_items: int, repeat_items: int) -> Nested:
+def _array(children: DataFrame, name: str, order: list[str], repeated: bool, max_items: int, hot: HotKeys) -> Nested:
     """Collect one array branch.
 
     An array inside an embedded object is repeated in every parent of that
@@ -152,14 +156,11 @@ def _array(children: DataFrame, name: str, order: list[str], repeated: bool, max
     in the continuations, instead of once per parent.
     """
     fields = [c for c in children.columns if c != "_k"]
-    if not repeated:
-        return collect_children(children, ["_k"], name, fields, order, max_items)
-    long = hot_keys(children, ["_k"], repeat_items)
-    if long.empty:
-        return collect_children(children, ["_k"], name, fields, order, max_items, hot=long)
-    none = HotKeys(long.rows.filter(F.lit(False)), small=True, empty=True)
-    short = collect_children(children.join(long.marked(), "_k", "left_anti"), ["_k"], name, fields, order, max_items, hot=none)
-    once = collect_children(children.join(long.marked(), "_k", "left_semi"), ["_k"], name, fields, order, max_items)
+    if not repeated or hot.empty:
+        return collect_children(children, ["_k"], name, fields, order, max_items, hot)
+    none = HotKeys(hot.rows.filter(F.lit(False)), small=True, empty=True)
+    short = collect_children(children.join(hot.marked(), "_k", "left_anti"), ["_k"], name, fields, order, max_items, none)
+    once = collect_children(children.join(hot.marked(), "_k", "left_semi"), ["_k"], name, fields, order, max_items)
     first = once.rows.select("_k", F.lit(0).cast("bigint").alias("part"), name)
     tail = first if once.continuations is None else first.unionByName(once.continuations.select("_k", "part", name))
     return Nested(short.rows, tail, ("_k",), name)

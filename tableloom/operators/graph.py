@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from tableloom.functions.names import singular
 from tableloom.functions.units import is_date_text, is_timestamp_text, text_to_date, text_to_timestamp
-from tableloom.operators.nesting import Nested, attach, collect_children
+from tableloom.operators.nesting import MAX_ITEMS, Nested, attach, collect_children
+from tableloom.operators.skew import hot_keys
 
 
 @dataclass(frozen=True)
@@ -164,7 +165,9 @@ def collect_incoming(
     of a pattern never multiply.
     """
     reached = edge.select("src", "dst").join(source.select(F.col("id").alias("src"), *fields), "src").drop("src")
-    nested = collect_children(reached, ["dst"], name, fields, order)
+    # The edges alone tell how many nodes point to one.
+    hot = hot_keys(edge, ["dst"], MAX_ITEMS)
+    nested = collect_children(reached, ["dst"], name, fields, order, hot=hot)
     return attach(target, nested, {"id": "dst"}, keep_all)
 
 

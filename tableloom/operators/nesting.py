@@ -79,6 +79,9 @@ def collect_children(
     nor a hot group of copies reaches one task. Part sizes are hash-dealt:
     ``max_items`` is the aim per part, not a cut-off. Elements are sorted
     inside a part.
+
+    ``hot`` gives the heavy keys where they can be counted on a smaller table
+    than ``child``, such as the one that holds the foreign key.
     """
     keys = tuple(keys)
     fields = [c for c in child.columns if c not in keys] if fields is None else list(fields)
@@ -90,7 +93,8 @@ def collect_children(
     item = _item(fields, order)
 
     def group(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(_sorted(F.collect_list(item), fields, order).alias(name))
+        # Collecting on the map side first would sort every row there and shrink nothing.
+        return df.repartition(*keys).groupBy(*keys).agg(_sorted(F.collect_list(item), fields, order).alias(name))
 
     if hot.empty:
         return Nested(group(child), None, keys, name)
@@ -147,9 +151,10 @@ def include_many(
     order: Sequence[str] | None = None,
     keep_all: bool = True,
     max_items: int = MAX_ITEMS,
+    hot: HotKeys | None = None,
 ) -> Nested:
     """Parent rows with their children as an array (JOI2, JOI4, JOI6)."""
-    nested = collect_children(child, list(on.values()), name, fields, order, max_items)
+    nested = collect_children(child, list(on.values()), name, fields, order, max_items, hot)
     return attach(parent, nested, on, keep_all)
 
 
@@ -175,7 +180,9 @@ def include_through_link(
         .join(right.alias("r"), pairs)
         .select(*[F.col(f"k.{k}") for k in left_on.values()], *[F.col(f"r.{c}") for c in fields])
     )
-    return include_many(left, reached, left_on, name, fields, order, max_items=max_items)
+    # The link table alone tells how many rows a key has.
+    hot = hot_keys(link, list(left_on.values()), max_items)
+    return include_many(left, reached, left_on, name, fields, order, max_items=max_items, hot=hot)
 
 
 def include_branches(parent: DataFrame, branches: Sequence[tuple[DataFrame, dict[str, str], str, Sequence[str] | None, Sequence[str] | None]]) -> list[Nested]:
