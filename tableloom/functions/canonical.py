@@ -18,7 +18,7 @@ _JSON = {"ignoreNullFields": "false"}
 
 def canonical_number(column: Column, digits: int = 3) -> Column:
     """A number with exactly ``digits`` decimals, half up; null if it has no such form."""
-    return F.round(column.try_cast("decimal(38,6)"), digits).cast(f"decimal(38,{digits})")
+    return column.try_cast(f"decimal(38,{digits})")
 
 
 def canonical_time(column: Column, zone: str | None = None) -> Column:
@@ -119,12 +119,16 @@ def _hash_parts(column: Column, dtype: T.DataType, path: str, rename, drop, kind
     if isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
         kinds.append(f"{path}:number")
         small = F.abs(column) < F.lit(_EXACT)
+        small_value = F.when(small, column)
+        exact = (canonical_number(small_value) * 1000).cast("bigint")
         if isinstance(dtype, T.DecimalType):
-            thousandths = (F.round(F.when(small, column).cast("decimal(38,6)"), 3) * 1000).cast("bigint")
+            thousandths = exact
         else:
-            # Millionths first, as in the decimal form, then half up to thousandths: integers only.
-            size = F.floor(F.abs(F.when(small, column).cast("double")) * 1e6 + 0.5).cast("bigint")
-            thousandths = F.when(column < 0, -_thousandths(size)).otherwise(_thousandths(size))
+            # Plain arithmetic, except next to a tie, where the decimal form decides.
+            size = F.abs(small_value.cast("double")) * 1000
+            tie = F.abs(size - F.floor(size) - 0.5) < 0.01
+            whole = F.floor(size + 0.5).cast("bigint")
+            thousandths = F.when(tie, exact).when(column < 0, -whole).otherwise(whole)
         text = F.coalesce(canonical_number(column).cast("string"), column.cast("string"))
         return [thousandths, F.when(~small, text)]
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -137,10 +141,6 @@ def _hash_parts(column: Column, dtype: T.DataType, path: str, rename, drop, kind
     return [column]
 
 
-def _thousandths(millionths: Column) -> Column:
-    return F.floor((millionths + 500) / 1000).cast("bigint")
-
-
 def row_hash(df: DataFrame, drop: tuple[str, ...] = (), rename=camel_case) -> Column:
     """128 bits that identify the canonical row, as a struct of two hashes.
 

@@ -19,7 +19,7 @@ def estimated_rows(df: DataFrame) -> int:
     """Row estimate of the optimizer, rounded up and at least 1; without statistics on rows, size over row size."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     if stats.rowCount().isDefined():
-        rows = float(stats.rowCount().get().toString())
+        rows = float(str(stats.rowCount().get()))
     else:
         width = sum(_width(f.dataType) for f in df.schema.fields) + 8
         rows = float(stats.sizeInBytes().toString()) / width

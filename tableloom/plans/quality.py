@@ -163,7 +163,7 @@ def sca9(t):
 @query(
     "c1c_three_decimals",
     """SELECT l_orderkey, l_linenumber,
-         printf('%.3f', round(CAST(l_quantity * 1.0005 AS DECIMAL(38,6)), 3)) AS quantity,
+         CAST(CAST(CAST(CAST(l_quantity * 1.0005::DOUBLE AS VARCHAR) AS DECIMAL(38,20)) AS DECIMAL(38,3)) AS VARCHAR) AS quantity,
          printf('%.3f', CAST(l_extendedprice AS DECIMAL(18,3))) AS price FROM lineitem""",
 )
 def c1c(t):

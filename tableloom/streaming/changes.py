@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,8 +156,9 @@ def refresh_collection(
 ) -> Collection:
     """A collection with only the touched documents rebuilt; touched roots that are gone lose theirs (S3)."""
     key = mapping.key
-    affected = {**tables, mapping.table: tables[mapping.table].join(touched, key, "left_semi")}
-    rebuilt = build_collection(name, mapping, affected)
+    affected: dict[str, DataFrame] = {}
+    narrowed = _narrow(mapping, tables, tables[mapping.table].join(touched, key, "left_semi"), "/", affected)
+    rebuilt = build_collection(name, narrowed, affected)
     stale = touched.select(document_id(name, key).alias("_id"))
     documents = collection.documents.join(stale, "_id", "left_anti").unionByName(rebuilt.documents)
 
@@ -165,11 +167,26 @@ def refresh_collection(
         old, new = collection.continuations.get(path), rebuilt.continuations.get(path)
         if old is not None:
             # The rebuilt owners bring all of their elements along.
-            old = old.join(_owners(mapping, path.split("."), affected), _owner_column(mapping, path.split(".")), "left_anti")
+            old = old.join(_owners(narrowed, path.split("."), affected), _owner_column(mapping, path.split(".")), "left_anti")
         continuations[path] = old.unionByName(new) if old is not None and new is not None else (old if new is None else new)
     return Collection(documents, continuations)
 
 
+def _narrow(mapping: TableMapping, tables: Mapping[str, DataFrame], rows: DataFrame, at: str, out: dict[str, DataFrame]) -> TableMapping:
+    """The mapping over only those child rows that the given parent rows reach.
+
+    Each place of the tree gets its own table name, as one table may be
+    embedded in several places.
+    """
+    out[at] = rows
+    children = []
+    for child in mapping.children:
+        links = rows.select(F.col(child.link[0]).alias("_k")).distinct()
+        below = tables[child.table].join(links, F.col(child.link[1]) == F.col("_k"), "left_semi")
+        children.append(_narrow(child, tables, below, f"{at}{child.path}/", out))
+    return replace(mapping, table=at, children=tuple(children))
+
+
 def _child(mapping: TableMapping, step: str) -> TableMapping:
     return next(c for c in mapping.children if c.path == step)
 
@@ -181,12 +198,8 @@ def _owner_column(mapping: TableMapping, path: Sequence[str]) -> str:
 
 
 def _owners(mapping: TableMapping, path: Sequence[str], tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Keys of the rows that own the arrays at ``path``, walking down from the root rows."""
-    rows = tables[mapping.table]
+    """Keys of the rows that own the arrays at ``path``; ``tables`` as narrowed."""
     for step in path[:-1]:
-        child = _child(mapping, step)
-        links = rows.select(F.col(child.link[0]).alias("_k")).distinct()
-        rows = tables[child.table].join(links, F.col(child.link[1]) == F.col("_k"), "left_semi")
-        mapping = child
+        mapping = _child(mapping, step)
     last = _child(mapping, path[-1])
-    return rows.select(F.col(last.link[0]).alias(last.link[1])).distinct()
+    return tables[mapping.table].select(F.col(last.link[0]).alias(last.link[1])).distinct()
