@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tableloom.session import materialise
+
 # Sums of cost are decimals: the same in any order, so ties are ties on every run.
 COST = "decimal(38,6)"
 
@@ -101,7 +103,11 @@ def subset_totals(matrix: DataFrame, frameworks: Sequence[str], most: int) -> Da
     Each query takes its cheapest framework of the subset, the lighter one on
     a tie. Sums combine on the map side, so a workload of any size is fine.
     """
-    rows = _with_subsets(_options(matrix), frameworks, most)
+    return _subset_totals(_options(matrix), frameworks, most)
+
+
+def _subset_totals(options: DataFrame, frameworks: Sequence[str], most: int) -> DataFrame:
+    rows = _with_subsets(options, frameworks, most)
     rows = rows.withColumn("best", F.array_min("options"))
     totals = rows.groupBy("workload", "subset").agg(
         F.sum((F.col("weight") * F.col("best.cost")).cast(COST)).cast(COST).alias("objective"),
@@ -118,7 +124,11 @@ def best_subsets(matrix: DataFrame, frameworks: Sequence[str], most: int) -> Dat
 
     Among equals the smallest subset wins, then the first by name.
     """
-    totals = subset_totals(matrix, frameworks, most)
+    return _best_subsets(_options(matrix), frameworks, most)
+
+
+def _best_subsets(options: DataFrame, frameworks: Sequence[str], most: int) -> DataFrame:
+    totals = _subset_totals(options, frameworks, most)
     row = F.struct("subset", "members", "objective", "memory")
     picked = totals.groupBy("workload").agg(F.min_by(row, F.struct("objective", "subset")).alias("r"))
     return picked.select("workload", "r.*")
@@ -154,8 +164,11 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     Columns: ``workload, status, members, objective, objective_floor, memory``
     and, for :func:`assignments`, ``price, gap, picks``. Workloads within the
     bound are done after one aggregation; the others go to :func:`bounded`.
+    Options and advice are written to the scratch folder, since each is read
+    several times.
     """
-    best = best_subsets(matrix, frameworks, most)
+    options = materialise(_options(matrix), "options")
+    best = materialise(_best_subsets(options, frameworks, most), "subsets")
     plain = best.select(
         "workload",
         "members",
@@ -168,10 +181,10 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     solved = plain
     if max_memory > 0:
         over = best.filter(F.col("memory") > max_memory).select("workload")
-        heavy = matrix.join(over, "workload", "left_semi")
-        solved = plain.filter(F.col("memory") <= max_memory).unionByName(bounded(heavy, frameworks, most, max_memory))
-    return (
-        matrix.select("workload")
+        heavy = materialise(options.join(over, "workload", "left_semi"), "heavy")
+        solved = plain.filter(F.col("memory") <= max_memory).unionByName(_bounded(heavy, frameworks, most, max_memory))
+    advice = (
+        options.select("workload")
         .distinct()
         .join(solved, "workload", "left")
         .select(
@@ -186,6 +199,7 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
             "picks",
         )
     )
+    return materialise(advice, "advice")
 
 
 def assignments(matrix: DataFrame, advice: DataFrame, buckets: int = 1024) -> DataFrame:
@@ -231,7 +245,10 @@ def bounded(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     solved exactly in one task; queries with the same options enter it as one
     row with a count.
     """
-    options = _options(matrix)
+    return _bounded(materialise(_options(matrix), "options"), frameworks, most, max_memory)
+
+
+def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memory: int) -> DataFrame:
     rows = _with_subsets(options, frameworks, most).filter(F.size("options") > 0)
 
     # The prices of a workload: zero, and powers of two down from its steepest exchange of cost for memory.
@@ -273,7 +290,7 @@ def bounded(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
         .withColumn("ranked", _ranked("options", F.col("price")))
         .withColumn("kept", _kept(F.col("gap")))
     )
-    classes = kept.groupBy(*keys, "kept").agg(F.count(F.lit(1)).alias("copies"))
+    classes = materialise(kept.groupBy(*keys, "kept").agg(F.count(F.lit(1)).alias("copies")), "classes")
     decided = F.size("kept") == 1
     only = F.get("kept", F.lit(0))
     base = classes.groupBy(*keys).agg(
@@ -289,7 +306,7 @@ def bounded(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
         F.transform("kept", lambda x: x.m).alias("memories"),
         F.transform("kept", lambda x: x.f).alias("names"),
     )
-    workload_type = matrix.schema["workload"].dataType.simpleString()
+    workload_type = options.schema["workload"].dataType.simpleString()
     schema = (
         f"workload {workload_type}, subset int, objective decimal(38,6), memory bigint, "
         f"price double, gap double, picks {_PICKS}"

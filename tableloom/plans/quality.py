@@ -329,7 +329,8 @@ def e2e(t):
 @query(
     "e3e_count_difference",
     """SELECT 'all' AS query_id, count(*) AS count_old, count(*) FILTER (WHERE o_orderstatus <> 'P' OR o_orderkey = (SELECT max(o_orderkey) FROM orders)) AS count_new,
-              'Differences Found' AS status FROM orders""",
+              'Differences Found' AS status FROM orders
+       UNION ALL SELECT 'none', 0, 0, 'Equivalent'""",
 )
 def e3e(t):
     rows = results(t)["all"][0]
@@ -338,8 +339,11 @@ def e3e(t):
     thinned = finished.select(
         F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("name")
     )
+    none = results(t)["none"]
     found = E.compare_summaries(
-        S.payloads(S.summarise(rows, "all", "key")), S.payloads(S.summarise(thinned, "all", "key")), SAMPLE
+        S.payloads(S.summarise_all({"all": (rows, "key"), "none": none})),
+        S.payloads(S.summarise_all({"all": (thinned, "key"), "none": none})),
+        SAMPLE,
     )
     return found.select("query_id", "count_old", "count_new", "status")
 
@@ -413,8 +417,9 @@ def e5e_strict(t):
        UNION ALL SELECT query_id, 'last', 'amount', printf('%.3f', l), printf('%.3f', l + 0.25) FROM n WHERE query_id = 'all'""",
 )
 def e6e(t):
-    one = S.payloads(S.summarise(results(t)["all"][0], "all", "key"))
-    other = S.payloads(S.summarise(results(t, 0.25)["all"][0], "all", "key"))
+    old, new = results(t), results(t, 0.25)
+    one = S.payloads(S.summarise_all({k: old[k] for k in ("all", "none")}))
+    other = S.payloads(S.summarise_all({k: new[k] for k in ("all", "none")}))
     found = E.compare_summaries(one, other, SAMPLE)
     first = found.select("query_id", F.lit("first").alias("sample"), F.explode("first_diffs").alias("d"))
     last = found.select("query_id", F.lit("last").alias("sample"), F.explode("last_diffs").alias("d"))

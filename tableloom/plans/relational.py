@@ -74,9 +74,9 @@ def src7(t):
 )
 def src7_type(t):
     catalog = tables.column_catalog(t.spark, {"sales.lineitem": t("lineitem")})
-    found = tables.column_type(catalog, "sales", "lineitem", "l_quantity").withColumn("column_name", F.lit("l_quantity"))
-    values = t("lineitem").select("l_quantity").distinct().agg(F.count("l_quantity").alias("distinct_values"))
-    return found.join(values.withColumn("column_name", F.lit("l_quantity")), "column_name").select("data_type", "distinct_values")
+    found = tables.column_type(catalog, "sales", "lineitem", "l_quantity")
+    values = t("lineitem").select("l_quantity").distinct().agg(F.count("l_quantity")).scalar()
+    return found.withColumn("distinct_values", values)
 
 
 @query(

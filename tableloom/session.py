@@ -90,3 +90,14 @@ def _arrow_type(dtype: DataType) -> pa.DataType | None:
     if isinstance(dtype, ArrayType):
         return pa.list_(_arrow_type(dtype.elementType))
     return simple.get(dtype.simpleString())
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back.
+
+    For a result that a plan uses several times: it is computed once, its
+    lineage ends there, and a lost executor costs a re-read.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

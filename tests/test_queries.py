@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from check_queries import compare
+from check_queries import compare_frame
 from conftest import DATA
 
 from tableloom.plans import load
@@ -22,23 +22,20 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    ok, note = compare(spark, DATA, QUERIES[name], con)
+    df = QUERIES[name].run(Tables(spark, DATA))
+    ok, note = compare_frame(df, QUERIES[name], con)
     assert ok, note
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert word not in plan
 
 
 def test_every_query_has_sql():
     assert [n for n, q in QUERIES.items() if q.sql is None] == []
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_has_no_product_and_no_row_udf(spark, name):
-    df = QUERIES[name].run(Tables(spark, DATA))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert word not in plan
-
-
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     t = Tables(spark, DATA)
     plan = QUERIES["pre3_closed_range"].run(t)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThanOrEqual(l_shipdate" in plan

@@ -40,7 +40,10 @@ def rows_of(columns, rows):
 
 
 def compare(spark, folder, query, con):
-    df = query.run(Tables(spark, folder))
+    return compare_frame(query.run(Tables(spark, folder)), query, con)
+
+
+def compare_frame(df, query, con):
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if query.sql is None:
         return True, f"rows only: {len(got[1])}"
