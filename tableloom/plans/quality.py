@@ -274,12 +274,13 @@ def results(t, price_step: float = 0.0):
        s AS (SELECT query_id, count(*) AS count, arg_min(doc, k) AS first_sample, arg_max(doc, k) AS last_sample FROM j GROUP BY query_id),
        g AS (SELECT name, count(*) AS key, max(amount) AS amount FROM o GROUP BY name),
        gj AS (SELECT name AS k, '{"amount":' || printf('%.3f', amount) || ',"key":' || key || ',"name":"' || name || '"}' AS doc FROM g)
-       SELECT query_id, count, first_sample, last_sample, NULL AS error FROM s
-       UNION ALL SELECT 'groups', count(*), arg_min(doc, k), arg_max(doc, k), NULL FROM gj
-       UNION ALL SELECT 'none', 0, NULL, NULL, NULL""",
+       SELECT query_id, count, first_sample, last_sample, '' AS error FROM s
+       UNION ALL SELECT 'groups', count(*), arg_min(doc, k), arg_max(doc, k), '' FROM gj
+       UNION ALL SELECT 'none', 0, '', '', ''""",
 )
 def c6(t):
-    return S.summarise_all(results(t))
+    texts = ("first_sample", "last_sample", "error")
+    return S.summarise_all(results(t)).select("query_id", "count", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
 # --- equivalence ----------------------------------------------------------

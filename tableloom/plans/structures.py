@@ -321,7 +321,7 @@ def t9(t):
     if path in built.continuations:
         more = built.continuations[path].groupBy(F.col("l_partkey").alias("k")).agg(F.sum(F.size("stockItemStockGroups")).alias("n2"))
         rows = rows.join(more, "k", "left").withColumn("n_groups", F.col("n_groups") + F.coalesce("n2", F.lit(0)))
-    return rows.drop("k")
+    return rows.drop("k", "n2")
 
 
 @query(
