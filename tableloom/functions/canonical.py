@@ -141,22 +141,40 @@ def _hash_parts(column: Column, dtype: T.DataType, path: str, rename, drop, kind
     return [column]
 
 
-def row_hash(df: DataFrame, drop: tuple[str, ...] = (), rename=camel_case) -> Column:
-    """128 bits that identify the canonical row, as a struct of two hashes.
-
-    Names and kinds of the columns and the positions of nulls are part of it,
-    since the hash function itself passes over nulls. Plain values are hashed
-    as 64-bit numbers and text in generated code; only nested lists are written
-    out as canonical JSON, sorted.
-    """
+def _parts(df: DataFrame, drop: tuple[str, ...], rename) -> tuple[list[Column], str]:
     dropped = frozenset(drop)
     kinds: list[str] = []
     parts: list[Column] = []
     for f in sorted(df.schema.fields, key=lambda f: rename(f.name)):
         if f.name not in dropped:
             parts += _hash_parts(F.col(f"`{f.name}`"), f.dataType, rename(f.name), rename, dropped, kinds)
-    nulls = F.concat(*[F.when(p.isNull(), "1").otherwise("0") for p in parts])
-    head = F.lit("|".join(kinds))
-    return F.struct(
-        F.xxhash64(F.lit(0), head, nulls, *parts).alias("h0"), F.xxhash64(F.lit(1), head, nulls, *parts).alias("h1")
-    )
+    return parts, "|".join(kinds)
+
+
+def _hash(parts: list[Column], kinds: str) -> list[Column]:
+    # The hash function passes over nulls, so their positions go in as bits.
+    nulls = []
+    for start in range(0, len(parts), 62):
+        bits = [F.when(p.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, p in enumerate(parts[start : start + 62])]
+        total = bits[0]
+        for bit in bits[1:]:
+            total = total + bit
+        nulls.append(total)
+    return [F.xxhash64(F.lit(seed), F.lit(kinds), *nulls, *parts).alias(f"h{seed}") for seed in (0, 1)]
+
+
+def row_hash(df: DataFrame, drop: tuple[str, ...] = (), rename=camel_case) -> Column:
+    """128 bits that identify the canonical row, as a struct of two hashes.
+
+    Names and kinds of the columns are part of it. Plain values are hashed as
+    64-bit numbers and text in generated code; only nested lists are written
+    out as canonical JSON, sorted.
+    """
+    return F.struct(*_hash(*_parts(df, drop, rename)))
+
+
+def row_hashes(df: DataFrame, drop: tuple[str, ...] = (), rename=camel_case) -> DataFrame:
+    """The two hashes ``h0, h1`` of every row; each value is brought into hash form once."""
+    parts, kinds = _parts(df, drop, rename)
+    staged = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    return staged.select(*_hash([F.col(f"p{i}") for i in range(len(parts))], kinds))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableloom.functions.canonical import canonical_json, canonical_value, row_hash
+from tableloom.functions.canonical import canonical_json, canonical_value, row_hash, row_hashes
 
 # Fixed status words.
 EQUIVALENT = "Equivalent"
@@ -136,11 +136,11 @@ def multiset_difference(left: DataFrame, right: DataFrame, drop: tuple[str, ...]
     row and task.
     """
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    marked = left.select(row_hash(left, drop).alias("h"), one.alias("l"), none.alias("r")).unionByName(
-        right.select(row_hash(right, drop).alias("h"), none.alias("l"), one.alias("r"))
+    marked = row_hashes(left, drop).select("h0", "h1", one.alias("l"), none.alias("r")).unionByName(
+        row_hashes(right, drop).select("h0", "h1", none.alias("l"), one.alias("r"))
     )
     return (
-        marked.groupBy("h.h0", "h.h1")
+        marked.groupBy("h0", "h1")
         .agg(F.sum("l").alias("left_count"), F.sum("r").alias("right_count"))
         .filter(F.col("left_count") != F.col("right_count"))
     )
