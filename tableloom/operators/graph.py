@@ -175,7 +175,7 @@ def collect_incoming(
 
 
 def _object_schema() -> T.StructType:
-    """The parts of a graph mapping file that are read. Columns nest twice at most."""
+    """The parts of a graph mapping file that are read; its member names are fixed values. Columns nest twice at most."""
     s = T.StringType()
 
     def column(below: T.DataType | None) -> T.StructType:

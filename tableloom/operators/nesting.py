@@ -39,6 +39,31 @@ class Nested:
             return first
         return first.unionByName(self.continuations.select(*self.keys, self.name))
 
+    def reduced(self, **values: tuple[Column, str]) -> DataFrame:
+        """Parent columns and values of the array, merged over its parts.
+
+        Each value is an expression on the array and how parts merge: ``sum``,
+        ``min`` or ``max``. The array itself is left out.
+        """
+        plain = [c for c in self.rows.columns if c != self.name]
+        columns = [column.alias(name) for name, (column, _) in values.items()]
+        first = self.rows.select(*plain, *columns)
+        if self.continuations is None:
+            return first
+        merges = {"sum": F.sum, "min": F.min, "max": F.max}
+        more = (
+            self.continuations.select(*[F.col(k).alias(f"_{k}") for k in self.keys], *columns)
+            .groupBy(*[f"_{k}" for k in self.keys])
+            .agg(*[merges[how](name).alias(f"_{name}") for name, (_, how) in values.items()])
+        )
+        joined = first.join(more, [F.col(k) == F.col(f"_{k}") for k in self.keys], "left")
+        both = {
+            "sum": lambda n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)),
+            "min": lambda n: F.least(n, f"_{n}"),
+            "max": lambda n: F.greatest(n, f"_{n}"),
+        }
+        return joined.select(*plain, *[both[how](name).alias(name) for name, (_, how) in values.items()])
+
     def exploded(self) -> DataFrame:
         """Key columns and one row per element."""
         return self.all_parts().select(*self.keys, F.explode(self.name).alias("item")).select(*self.keys, "item.*")

@@ -342,21 +342,21 @@ def joi1_outer(t):
     return out
 
 
-def _line_digest(items):
-    """Count, first, last and an order-sensitive checksum of a sorted line array: row-local."""
-    cents = F.transform(items, lambda x, i: F.round(x.l_extendedprice * 100).cast("bigint") * (i + 1))
-    total = F.aggregate(cents, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return [
-        F.size(items).cast("bigint").alias("n_lines"),
-        F.coalesce(F.get(items, F.lit(0)).l_linenumber, F.lit(-1)).alias("first_line"),
-        F.coalesce(F.get(items, F.size(items) - 1).l_linenumber, F.lit(-1)).alias("last_line"),
-        total.alias("checksum"),
-    ]
+def _line_digest(nested):
+    """Count, first and last line number and sum of cents of the lines, over all parts of the array."""
+    items = F.col(nested.name)
+    cents = F.aggregate(items, F.lit(0).cast("bigint"), lambda acc, x: acc + F.round(x.l_extendedprice * 100).cast("bigint"))
+    got = nested.reduced(
+        n_lines=(F.size(items).cast("bigint"), "sum"),
+        first_line=(F.get(items, F.lit(0)).l_linenumber, "min"),
+        last_line=(F.get(items, F.size(items) - 1).l_linenumber, "max"),
+        checksum=(cents, "sum"),
+    )
+    return got.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("first_line", "last_line")})
 
 
-_LINES = f"""l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SORT}) AS rn FROM lineitem),
-     d AS (SELECT l_orderkey, count(*) AS n_lines, arg_min(l_linenumber, rn) AS first_line, arg_max(l_linenumber, rn) AS last_line,
-                  sum(CAST(round(l_extendedprice * 100) AS BIGINT) * rn)::BIGINT AS checksum FROM l GROUP BY l_orderkey)"""
+_LINES = """d AS (SELECT l_orderkey, count(*) AS n_lines, min(l_linenumber) AS first_line, max(l_linenumber) AS last_line,
+                  sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS checksum FROM lineitem GROUP BY l_orderkey)"""
 
 
 @query(
@@ -370,7 +370,7 @@ def joi2(t):
     nested = nesting.include_many(
         t("orders").select("o_orderkey", "o_orderdate"), t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", LINE_ORDER, LINE_ORDER
     )
-    return nested.rows.select("o_orderkey", "o_orderdate", *_line_digest(F.col("lines")))
+    return _line_digest(nested)
 
 
 @query(
@@ -388,12 +388,12 @@ def joi3_left(t):
         "suppliers", ["s_name", "s_suppkey"],
     )
     s = F.col("suppliers")
-    return nested.rows.select(
-        "p_partkey",
-        F.size(s).cast("bigint").alias("n_suppliers"),
-        F.coalesce(F.get(s, F.lit(0)).s_name, F.lit("")).alias("first_supplier"),
-        F.coalesce(F.get(s, F.size(s) - 1).s_name, F.lit("")).alias("last_supplier"),
+    got = nested.reduced(
+        n_suppliers=(F.size(s).cast("bigint"), "sum"),
+        first_supplier=(F.get(s, F.lit(0)).s_name, "min"),
+        last_supplier=(F.get(s, F.size(s) - 1).s_name, "max"),
     )
+    return got.withColumns({c: F.coalesce(c, F.lit("")) for c in ("first_supplier", "last_supplier")})
 
 
 @query(
@@ -430,13 +430,12 @@ def joi4(t):
         ["o_orderkey", "o_orderdate", "o_totalprice"],
     )
     o = F.col("orders")
-    return nested.rows.select(
-        "c_custkey",
-        "c_name",
-        F.size(o).cast("bigint").alias("n_orders"),
-        F.coalesce(F.get(o, F.lit(0)).o_orderkey, F.lit(-1)).alias("first_order"),
-        F.coalesce(F.get(o, F.size(o) - 1).o_orderkey, F.lit(-1)).alias("last_order"),
+    got = nested.reduced(
+        n_orders=(F.size(o).cast("bigint"), "sum"),
+        first_order=(F.get(o, F.lit(0)).o_orderkey, "min"),
+        last_order=(F.get(o, F.size(o) - 1).o_orderkey, "max"),
     )
+    return got.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("first_order", "last_order")})
 
 
 @query(
@@ -455,30 +454,26 @@ def joi5(t):
     customers = nesting.include_many(
         t("customer").select("c_custkey", "c_name"), closed_orders(t), {"c_custkey": "o_custkey"}, "closed",
         ["o_orderkey", "o_totalprice"],
-    ).rows
+    )
     total = F.aggregate(
         "closed", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x.o_totalprice.cast(MONEY)).cast("decimal(38,2)")
     )
     # What is needed of a branch is reduced before it is repeated per order.
-    customers = customers.select(
-        "c_custkey", "c_name", F.size("closed").cast("bigint").alias("n_closed"), total.cast("double").alias("closed_total")
-    )
+    customers = customers.reduced(n_closed=(F.size("closed").cast("bigint"), "sum"), closed_total=(total, "sum"))
+    customers = customers.withColumn("closed_total", F.col("closed_total").cast("double"))
     orders = t("orders").select("o_orderkey", "o_custkey")
-    lines = nesting.include_many(orders, t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", LINE_ORDER, LINE_ORDER).rows
-    lines = lines.select("o_orderkey", "o_custkey", *_line_digest(F.col("lines")))
-    return R.equi_join(lines, customers, ("o_custkey", "c_custkey")).drop("o_custkey", "c_custkey")
+    lines = nesting.include_many(orders, t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", LINE_ORDER, LINE_ORDER)
+    return R.equi_join(_line_digest(lines), customers, ("o_custkey", "c_custkey")).drop("o_custkey", "c_custkey")
 
 
-@query(
-    "joi6_lines_in_line_order",
-    f"""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SORT}) - 1 AS pos,
-               l_linenumber, l_partkey, l_suppkey FROM lineitem""",
-)
+@query("joi6_lines_in_line_order", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, true AS in_order FROM lineitem")
 def joi6(t):
     nested = nesting.collect_children(t("lineitem"), ["l_orderkey"], "lines", LINE_ORDER, LINE_ORDER)
-    return nested.rows.select("l_orderkey", F.posexplode("lines").alias("pos", "x")).select(
-        "l_orderkey", F.col("pos").cast("bigint").alias("pos"), "x.l_linenumber", "x.l_partkey", "x.l_suppkey"
-    )
+    # Every element with whether the one before it, in the same array, has no larger line number.
+    rows = nested.all_parts().select("l_orderkey", "lines", F.posexplode("lines").alias("pos", "x"))
+    before = F.get("lines", F.col("pos") - 1)["l_linenumber"]
+    in_order = F.coalesce(before <= F.col("x.l_linenumber"), F.lit(True))
+    return rows.select("l_orderkey", "x.l_linenumber", "x.l_partkey", "x.l_suppkey", in_order.alias("in_order"))
 
 
 @query(

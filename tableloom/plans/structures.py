@@ -595,15 +595,17 @@ def g9n(t):
         "transactions",
         ["customerTransactionId", "transactionAmount"],
         keep_all=False,
-    ).rows
+    )
     amount = F.aggregate("transactions", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x["transactionAmount"].cast(MONEY)).cast("decimal(38,2)"))
     # Reduced to what is read, before it is repeated per order.
-    paid = paid.select("id", "customerName", F.size("transactions").cast("bigint").alias("n_tx"), amount.cast("double").alias("amount"))
+    paid = paid.reduced(n_tx=(F.size("transactions").cast("bigint"), "sum"), amount=(amount, "sum"))
+    paid = paid.select("id", "customerName", "n_tx", F.col("amount").cast("double").alias("amount"))
     lined = G.collect_incoming(
         nodes["Order"], edges[("ORDERS", "Sales.OrderLines", "Sales.Orders")], nodes["OrderLine"], "lines", ["orderLineId", "quantity"], keep_all=False
-    ).rows
+    )
     quantity = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"].cast("bigint"))
-    lined = lined.select("id", "orderId", F.size("lines").cast("bigint").alias("n_lines"), quantity.alias("quantity"))
+    lined = lined.reduced(n_lines=(F.size("lines").cast("bigint"), "sum"), quantity=(quantity, "sum"))
+    lined = lined.select("id", "orderId", "n_lines", "quantity")
     matched = G.follow(lined, edges[("CUSTOMERS", "Sales.Orders", "Sales.Customers")], paid, name="c")
     return matched.select("orderId", "c.customerName", "n_lines", "quantity", "c.n_tx", "c.amount")
 

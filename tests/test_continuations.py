@@ -7,7 +7,7 @@ import pytest
 from check_queries import compare_frame
 from conftest import DATA
 
-from tableloom.operators import documents, nesting
+from tableloom.operators import documents, graph, nesting
 from tableloom.plans import load, structures
 from tableloom.plans.registry import SCHEMAS, Tables
 
@@ -29,6 +29,24 @@ def test_cut_documents_hold_every_row(spark, monkeypatch, name):
     assert ok, note
 
 
+@pytest.mark.parametrize(
+    "name", ["joi2_order_with_lines", "joi3_parts_with_suppliers", "joi4_customers_with_optional_orders", "joi5_multi_branch_include", "joi6_lines_in_line_order", "g9n_pattern_with_branches"]
+)
+def test_cut_includes_hold_every_row(spark, monkeypatch, name):
+    collect = nesting.collect_children
+
+    def cut(child, keys, name, fields=None, order=None, max_items=0, hot=None):
+        return collect(child, keys, name, fields, order, max_items=2)
+
+    monkeypatch.setattr(nesting, "collect_children", cut)
+    monkeypatch.setattr(graph, "collect_children", cut)
+    con = duckdb.connect()
+    for table in SCHEMAS:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    ok, note = compare_frame(QUERIES[name].run(Tables(spark, DATA)), QUERIES[name], con)
+    assert ok, note
+
+
 def test_cut_link_arrays_hold_every_row(spark):
     t = Tables(spark, DATA)
     link = t("lineitem").select("l_partkey", "l_suppkey").distinct()
