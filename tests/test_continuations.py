@@ -17,7 +17,7 @@ QUERIES = load()
 @pytest.mark.parametrize(
     "name",
     ["t3_embedded_array", "t4_nested_embedding", "t8_orders_collection", "t9_order_lines_collection", "t10_suppliers_collection",
-     "t11_people_collection", "t14_unnested_rows"],
+     "t11_people_collection", "t14_unnested_rows", "src4_document_round_trip", "s3_refreshed_documents"],
 )
 def test_cut_documents_hold_every_row(spark, monkeypatch, name):
     cut = partial(documents.build_collection, max_items=8, repeat_items=3)
