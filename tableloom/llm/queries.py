@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext
+from tableloom.llm import htmltext, quality
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,11 @@ def query(name: str, sql: str | None = None):
 def op9(t: Tables) -> DataFrame:
     """The main text of every page."""
     return htmltext.extract(t("pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+@query("op7_quality_rules")
+def op7(t: Tables) -> DataFrame:
+    """The statistics of every document and whether the rules keep it."""
+    docs = t("documents").select("doc_id", "text")
+    judged = quality.score(docs, quality.train(docs, t("labels")))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
