@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext, quality
+from tableloom.llm import htmltext, lines, quality
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,26 @@ def op7(t: Tables) -> DataFrame:
     docs = t("documents").select("doc_id", "text")
     judged = quality.score(docs, quality.train(docs, t("labels")))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@query(
+    "op3_line_dedup",
+    r"""
+    WITH line AS (
+        SELECT doc_id, p AS pos, s[p] AS line,
+            translate(trim(s[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+        FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS p
+              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+    gone AS (SELECT k FROM line WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+    SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_dropped,
+        sha256(coalesce(string_agg(CASE WHEN g.k IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS kept_sha256
+    FROM line l LEFT JOIN gone g ON l.k = g.k
+    GROUP BY l.doc_id
+    """,
+)
+def op3(t: Tables) -> DataFrame:
+    """What every document keeps when lines of ten or more documents go."""
+    docs = t("documents").select("doc_id", "text")
+    kept = lines.apply(docs, lines.find(docs, min_docs=10))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
