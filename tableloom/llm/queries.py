@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext, lines, quality
+from tableloom.llm import htmltext, lines, quality, simhash
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,10 @@ def op3(t: Tables) -> DataFrame:
     docs = t("documents").select("doc_id", "text")
     kept = lines.apply(docs, lines.find(docs, min_docs=10))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_simhash_near_dedup")
+def op5(t: Tables) -> DataFrame:
+    """The fingerprint and the component of every document."""
+    found = simhash.components(t("documents"), radius=4, words=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
