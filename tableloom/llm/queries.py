@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext, lines, quality, simhash
+from tableloom.llm import htmltext, lines, packing, quality, simhash
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op5(t: Tables) -> DataFrame:
     """The fingerprint and the component of every document."""
     found = simhash.components(t("documents"), radius=4, words=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_sequence_packing")
+def op10(t: Tables) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 ids."""
+    return packing.pack(t("documents"), window=1024)
