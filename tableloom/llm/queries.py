@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext, lines, packing, quality, simhash
+from tableloom.llm import htmltext, lines, packing, quality, simhash, tokenfiles
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op5(t: Tables) -> DataFrame:
 def op10(t: Tables) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 ids."""
     return packing.pack(t("documents"), window=1024)
+
+
+@query("op1_token_files")
+def op1(t: Tables) -> DataFrame:
+    """Every document as read back from token files."""
+    return tokenfiles.round_trip(t("documents"))
