@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import htmltext, lines, packing, quality, simhash, tokenfiles
+from tableloom.llm import decontaminate, htmltext, lines, packing, quality, simhash, tokenfiles
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,10 @@ def op10(t: Tables) -> DataFrame:
 def op1(t: Tables) -> DataFrame:
     """Every document as read back from token files."""
     return tokenfiles.round_trip(t("documents"))
+
+
+@query("op6_benchmark_decontamination")
+def op6(t: Tables) -> DataFrame:
+    """Every document and benchmark item that it holds a passage of."""
+    found = decontaminate.leaks(t("documents"), t("benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
