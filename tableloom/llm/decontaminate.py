@@ -31,17 +31,28 @@ def words_of(text: Column) -> Column:
 
 
 def _starts(words: Column, size: Column) -> Column:
-    """1-based starts of the shingles of ``size`` words."""
+    """Starts of the shingles of ``size`` words."""
     n = F.size(words)
-    return F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
-def hashes(words: Column, size: Column) -> Column:
-    return F.transform(_starts(words, size), lambda i: F.xxhash64(F.slice(words, i, size)))
+def _shingle(words: Column, start: Column, most: int) -> list[Column]:
+    # Reads of single words; a slice would copy the whole array each time.
+    # Behind the last word they are null, which the hash and the text leave out.
+    return [F.get(words, start + j) for j in range(most)]
 
 
-def shingles(words: Column, size: Column) -> Column:
-    return F.transform(_starts(words, size), lambda i: F.array_join(F.slice(words, i, size), " "))
+def hashes(words: Column, size: Column, most: int = WORDS) -> Column:
+    """Hashes of the shingles of ``size`` words, at most ``most``; fewer only where that is all words."""
+    return F.transform(_starts(words, size), lambda i: F.xxhash64(*_shingle(words, i, most)))
+
+
+def shingles(words: Column, size: Column, most: int = WORDS) -> Column:
+    return F.transform(_starts(words, size), lambda i: F.concat_ws(" ", *_shingle(words, i, most)))
+
+
+# Arrays are exploded with the outer form: for the other, Spark puts a filter on
+# the size of the array below, which computes words and hashes once more.
 
 
 def items_of(benchmark: DataFrame, k: int) -> DataFrame:
@@ -52,13 +63,13 @@ def items_of(benchmark: DataFrame, k: int) -> DataFrame:
     return rows.select("item", "words", n.alias("n_words"), F.least(n, F.lit(k)).alias("k"))
 
 
-def anchors_of(items: DataFrame, similarity: float) -> DataFrame:
+def anchors_of(items: DataFrame, similarity: float, k: int = WORDS) -> DataFrame:
     """``k, h, item, at, n_words, slack``: enough shingles of each item that a similar window holds one.
 
     A window of the least similarity holds ceil(similarity * n) of the item's n
     shingles, so any n - ceil(similarity * n) + 1 of them include one it holds.
     """
-    rows = items.select("item", "k", "n_words", F.posexplode(hashes(F.col("words"), F.col("k"))).alias("at", "h"))
+    rows = items.select("item", "k", "n_words", F.posexplode_outer(hashes(F.col("words"), F.col("k"), k)).alias("at", "h"))
     n = F.col("n_words") - F.col("k") + 1
     missing = n - F.ceil(n * similarity - 1e-9).cast("int")
     nth = F.row_number().over(Window.partitionBy("item").orderBy("h", "at"))
@@ -77,15 +88,15 @@ def regions(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     for k in sizes:
         own = anchors.where(F.col("k") == k).select("h", "item", "at", "n_words", "slack")
         own = F.broadcast(own) if small else own
-        carried = rows.withColumn("hashes", hashes(F.col("words"), F.lit(k)))
+        carried = rows.withColumn("hashes", hashes(F.col("words"), F.lit(k), k))
         start = F.greatest(F.col("pos") - F.col("at") - F.col("slack"), F.lit(0))
         size = F.col("n_words") + 2 * F.col("slack") + F.least(F.col("pos") - F.col("at") - F.col("slack"), F.lit(0))
         cut = F.array_join(F.slice("words", start + 1, F.greatest(size, F.lit(0))), " ").alias("region")
         if small:
             # The words stay in place until an anchor matches.
-            hits = carried.select("doc_id", "version", "words", F.posexplode("hashes").alias("pos", "h")).join(own, "h")
+            hits = carried.select("doc_id", "version", "words", F.posexplode_outer("hashes").alias("pos", "h")).join(own, "h")
         else:
-            places = carried.select("doc_id", "version", F.posexplode("hashes").alias("pos", "h")).join(own, "h")
+            places = carried.select("doc_id", "version", F.posexplode_outer("hashes").alias("pos", "h")).join(own, "h")
             places = places.select("doc_id", "version", "pos", "item", "at", "n_words", "slack").distinct()
             texts = rows.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "words")
             hits = places.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
@@ -97,7 +108,7 @@ def regions(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 def _simhash(rows: DataFrame, key: list[str]) -> DataFrame:
     """The SimHash of the array ``hashes`` of each row; a bit is set if over half the hashes have it."""
     bits = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in range(64)]
-    sums = rows.select(*key, F.explode("hashes").alias("h")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *bits)
+    sums = rows.select(*key, F.explode_outer("hashes").alias("h")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *bits)
     fp = F.lit(0).cast("bigint")
     for i in range(64):
         bit = (1 << i) - (1 << 64 if i == 63 else 0)
@@ -117,31 +128,31 @@ def _indexed(rows: DataFrame, radius: int) -> DataFrame:
     return rows.select("*", F.explode(F.array(*parts)).alias("index")).select(*rows.columns, "index.block", "index.bits")
 
 
-def similar_regions(places: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
+def similar_regions(places: DataFrame, items: DataFrame, similarity: float, radius: int, k: int = WORDS) -> DataFrame:
     """``item, region, similarity`` of the different regions that hold a similar window; the best window counts."""
-    items = items.withColumn("hashes", hashes(F.col("words"), F.col("k")))
+    items = items.withColumn("hashes", hashes(F.col("words"), F.col("k"), k))
     own = _simhash(items, ["item"]).withColumnRenamed("fp", "item_fp")
 
     split = F.split("region", " ", -1)
     content = places.select("item", "region").distinct().join(items.select("item", "n_words", "k"), "item").withColumn("words", split)
     # Item-sized windows; a region that is smaller is one window.
     last = F.greatest(F.size("words") - F.col("n_words"), F.lit(0))
-    windows = content.select("item", "region", "k", "n_words", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"))
+    windows = content.select("item", "region", "k", "n_words", "words", F.explode_outer(F.sequence(F.lit(0), last)).alias("start"))
     windows = windows.select("item", "region", "k", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
     windows = windows.where(F.size("words") >= F.col("k")).withColumn("window", F.array_join("words", " "))
     texts = windows.select("item", "window", "k", "words").dropDuplicates(["item", "window"])
 
     key = ["item", "window"]
-    prints = _simhash(texts.withColumn("hashes", hashes(F.col("words"), F.col("k"))), key)
+    prints = _simhash(texts.withColumn("hashes", hashes(F.col("words"), F.col("k"), k)), key)
     left = _indexed(prints, radius)
     right = _indexed(own.withColumnRenamed("item_fp", "fp"), radius).withColumnRenamed("fp", "item_fp")
     close = left.join(right, ["item", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     close = close.select(*key).distinct()
 
     # Weighted similarity: the sum of the smaller over the sum of the larger numbers of occurrences.
-    of_window = texts.join(close, key, "left_semi").select(*key, F.explode(shingles(F.col("words"), F.col("k"))).alias("shingle"))
+    of_window = texts.join(close, key, "left_semi").select(*key, F.explode_outer(shingles(F.col("words"), F.col("k"), k)).alias("shingle"))
     of_window = of_window.groupBy(*key, "shingle").agg(F.count(F.lit(1)).alias("n"))
-    of_item = items.select("item", F.explode(shingles(F.col("words"), F.col("k"))).alias("shingle"))
+    of_item = items.select("item", F.explode_outer(shingles(F.col("words"), F.col("k"), k)).alias("shingle"))
     of_item = of_item.groupBy("item", "shingle").agg(F.count(F.lit(1)).alias("m"))
     sizes = items.select("item", (F.col("n_words") - F.col("k") + 1).alias("total"))
     shared = of_window.join(of_item, ["item", "shingle"], "left").groupBy(*key)
@@ -160,12 +171,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     other columns are not read.
     """
     items = materialise(items_of(benchmark, k), "items")
-    anchors = materialise(anchors_of(items, similarity), "anchors")
+    anchors = materialise(anchors_of(items, similarity, k), "anchors")
     places = regions(docs, anchors)
     if places is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, version bigint, item_id bigint, similarity double")
     places = materialise(places, "regions")
-    good = similar_regions(places, items, similarity, radius)
+    good = similar_regions(places, items, similarity, radius, k)
     found = places.join(good, ["item", "region"]).groupBy("doc_id", "version", "item").agg(F.max("similarity").alias("similarity"))
     ids = benchmark.select("item_id", F.md5(F.array_join(words_of(F.col("text")), " ").cast("binary")).alias("item")).distinct()
     return found.join(ids, "item").select("doc_id", "version", "item_id", "similarity")
