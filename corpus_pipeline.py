@@ -5,12 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tableloom.llm import decontaminate, lines, packing, quality, simhash
+from tableloom.llm.columns import free_name
 from tableloom.session import configure, materialise
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+MIN_DOCS = 10  # documents that share a line before it goes
+NEAR_WORDS, NEAR_BITS = 5, 6
+WINDOW = 1024
 
-# Scores of boosted trees and fingerprints have no SQL form; the tests use brute force.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the trees keep."""
+    configure(spark)
+    trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, trees).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of ten or more documents stay in the first of them only; a document left without words goes."""
+    configure(spark)
+    kept = lines.apply(docs, lines.find(docs, min_docs=MIN_DOCS, keep_first=True))
+    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim(F.col("text"), F.lit(lines.SPACE)) != ""))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the smallest id."""
+    configure(spark)
+    found = simhash.components(docs, radius=NEAR_BITS, words=NEAR_WORDS)
+    one = _rows_of(docs, simhash.representatives(found), "left_semi")
+    # Repeated rows are equal in both columns.
+    return one.dropDuplicates(["doc_id", _version(docs)]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    configure(spark)
+    leaks = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _rows_of(docs, leaks.select("doc_id", "version").distinct(), "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    configure(spark)
+    return packing.pack(docs, window=WINDOW)
+
+
+def _version(docs: DataFrame) -> str:
+    return free_name(docs, "_version")
+
+
+def _rows_of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) their id and version in ``keys``; a null id is an id."""
+    mark, key, other = _version(docs), free_name(docs, "_key_id"), free_name(docs, "_key_version")
+    keys = keys.select(F.col("doc_id").alias(key), F.col("version").alias(other))
+    rows = docs.withColumn(mark, lines.version(F.col("text").cast("string")))
+    return rows.join(keys, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(other)), how)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("sequence_packing", pack),
+]
+
+# Boosted trees, fingerprints and packing have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
