@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import decontaminate, htmltext, lines, packing, quality, simhash, tokenfiles
+from tableloom.llm import decontaminate, htmltext, language, lines, packing, quality, simhash, tokenfiles
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,13 @@ def op6(t: Tables) -> DataFrame:
     """Every document and benchmark item that it holds a passage of."""
     found = decontaminate.leaks(t("documents"), t("benchmark"))
     return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+
+
+@query("op4_language_id")
+def op4(t: Tables) -> DataFrame:
+    """The language of every document; one third of the documents, by the checksum of the id, is held out."""
+    docs = t("documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language.train(docs.where(~held_out))
+    found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
