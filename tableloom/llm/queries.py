@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import decontaminate, htmltext, language, lines, packing, quality, simhash, tokenfiles
+from tableloom.llm import decontaminate, htmltext, language, licenses, lines, packing, quality, simhash, tokenfiles
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op4(t: Tables) -> DataFrame:
     model = language.train(docs.where(~held_out))
     found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op2_license_scan")
+def op2(t: Tables) -> DataFrame:
+    """Every license text in every document, with its coverage and span."""
+    return licenses.scan(t("documents"))
