@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import decontaminate, htmltext, language, licenses, lines, packing, quality, simhash, tokenfiles
+from tableloom.llm import decontaminate, htmltext, language, licenses, lines, packing, quality, simhash, tokenfiles, warc
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,55 @@ def op4(t: Tables) -> DataFrame:
 def op2(t: Tables) -> DataFrame:
     """Every license text in every document, with its coverage and span."""
     return licenses.scan(t("documents"))
+
+
+@query(
+    "op8_warc_revisits",
+    r"""
+    WITH parts AS (
+        SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS plain FROM pages),
+    cut AS (
+        SELECT page_id, html, regexp_extract(plain, '^([^?]*)', 1) AS place,
+            list_sort(list_filter(string_split(regexp_extract(plain, '\?(.*)$', 1), '&'),
+                lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid)(=|$)'))) AS query
+        FROM parts),
+    page AS (
+        SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(place, '^(?:[^/@]*@)?([^/]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+            || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '')
+            || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS u,
+            '"' || md5(html) || '"' AS tag, 'day ' || CAST(CAST(floor(page_id / 100) AS BIGINT) AS VARCHAR) AS day
+        FROM cut),
+    again AS (
+        SELECT page_id * 2 + 1 AS record_id, u, day,
+            CASE WHEN page_id % 17 = 0 THEN page_id - 1000000000 ELSE page_id + 5000 END AS t,
+            CASE WHEN page_id % 13 <> 0 AND page_id % 19 <> 0 THEN CASE WHEN page_id % 11 = 0 THEN '"other"' ELSE tag END END AS tag,
+            page_id % 7 = 0 AND page_id % 11 <> 0 AS weak, page_id % 19 <> 0 AS dated
+        FROM page),
+    best AS (
+        SELECT a.record_id, max(p.page_id) AS page_id FROM again a LEFT JOIN page p ON p.u = a.u AND p.page_id < a.t AND p.html IS NOT NULL
+        GROUP BY a.record_id),
+    known AS (
+        SELECT a.*, b.page_id AS found,
+            CASE WHEN b.page_id IS NULL THEN 'no_earlier_response'
+                WHEN a.tag IS NOT NULL THEN CASE WHEN a.tag = p.tag THEN 'resolved' ELSE 'etag_differs' END
+                WHEN a.dated THEN CASE WHEN a.day = p.day THEN 'resolved' ELSE 'last_modified_differs' END
+                ELSE 'resolved_without_validator' END AS outcome, p.tag AS stored_tag, p.day AS stored_day, octet_length(encode(p.html)) AS size
+        FROM again a JOIN best b ON a.record_id = b.record_id LEFT JOIN page p ON p.page_id = b.page_id)
+    SELECT record_id, u AS canonical_url, CASE WHEN outcome LIKE 'resolved%' THEN found * 2 END AS response_id, outcome,
+        CASE WHEN outcome LIKE 'resolved%' THEN
+            'cache-control: max-age=600' || chr(10) || 'content-length: ' || CAST(size AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10)
+            || 'etag: ' || CASE WHEN tag IS NULL THEN stored_tag WHEN weak THEN 'W/' || tag ELSE tag END || chr(10)
+            || 'last-modified: ' || CASE WHEN dated THEN day ELSE stored_day END
+        ELSE
+            'cache-control: max-age=600' || chr(10) || 'content-length: 0'
+            || CASE WHEN tag IS NOT NULL THEN chr(10) || 'etag: ' || CASE WHEN weak THEN 'W/' ELSE '' END || tag ELSE '' END
+            || CASE WHEN dated THEN chr(10) || 'last-modified: ' || day ELSE '' END
+        END AS headers
+    FROM known
+    """,
+)
+def op8(t: Tables) -> DataFrame:
+    """The revisits of every page with the response they confirm and the headers that hold after them."""
+    found = warc.resolve(warc.captures_of(t("pages"))).where(F.col("record_id") % 2 == 1)
+    lines_of = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines_of, "\n"))
