@@ -3,15 +3,16 @@
 A fingerprint is cut into segments of two bits, and the bit counts of the
 segments are its embedding. The Manhattan distance of two embeddings is never
 above the Hamming distance of the fingerprints, so all close pairs meet in a
-grid over the embeddings: of ``radius + 3`` groups of segments, close pairs
-agree in three at least. In a cell the Manhattan distance and then the exact
-distance decide.
+grid over the embeddings: of ``radius + agree`` groups of segments, close pairs
+agree in ``agree`` at least. In a cell the Manhattan distance and then the
+exact distance decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,6 @@ from tableloom.session import local_frame, materialise
 SEED = 42
 WORDS = 4
 RADIUS = 4
-# Groups of segments that a cell fixes.
-AGREE = 3
 # Rows of one cell that one task compares; larger cells are compared block by block.
 BLOCK = 50_000
 # Large cells that are broadcast; beyond that they are joined.
@@ -78,9 +77,24 @@ def embedding(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
-def _groups(radius: int) -> list[int]:
-    """Masks of ``radius + AGREE`` groups of whole segments."""
-    cuts = np.linspace(0, 32, radius + AGREE + 1).round().astype(int)
+def grid_for(n: int, radius: int) -> int:
+    """How many groups a cell should fix for ``n`` fingerprints; the result does not depend on it.
+
+    More fixed groups give more cells for each fingerprint and fewer others in
+    each cell: equal counts say as much as 0.7 equal bits, and comparing two
+    costs a tenth of sending one.
+    """
+
+    def cost(agree: int) -> float:
+        cells = comb(radius + agree, agree)
+        return cells * (1 + n / 2 ** (0.7 * 64 * agree / (radius + agree)) / 10)
+
+    return min(range(1, 33 - radius), key=cost)
+
+
+def _groups(radius: int, agree: int) -> list[int]:
+    """Masks of ``radius + agree`` groups of whole segments."""
+    cuts = np.linspace(0, 32, radius + agree + 1).round().astype(int)
     return [((1 << 2 * int(b)) - 1) ^ ((1 << 2 * int(a)) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -88,18 +102,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _cells(radius: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(radius + AGREE), AGREE))
+def _cells(radius: int, agree: int) -> list[tuple[int, ...]]:
+    return list(combinations(range(radius + agree), agree))
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int | None = None) -> DataFrame:
     """Edges ``a, b`` between fingerprints ``fp`` that connect all pairs within ``radius``.
 
     Not all pairs are returned: in each cell the edges form a forest with the
     same components. ``nodes`` holds each fingerprint once and is read twice.
     """
-    masks = _groups(radius)
-    options = [sum(masks[g] for g in cell) for cell in _cells(radius)]
+    agree = agree or grid_for(nodes.count(), radius)
+    masks = _groups(radius, agree)
+    options = [sum(masks[g] for g in cell) for cell in _cells(radius, agree)]
     u = embedding(F.col("fp"))
     cell = F.explode(F.array(*(F.struct(F.lit(k).alias("grid"), F.col("u").bitwiseAND(F.lit(_signed(m))).alias("cell")) for k, m in enumerate(options))))
     rows = nodes.select("fp", u.alias("u")).select("fp", "u", cell.alias("at")).select("fp", "u", "at.grid", "at.cell")
@@ -120,12 +135,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is not None and table.num_rows:
-            yield from _edges({c: table[c].to_numpy() for c in table.column_names}, radius)
+            yield from _edges({c: table[c].to_numpy() for c in table.column_names}, radius, agree)
 
     return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _edges(rows: dict[str, np.ndarray], radius: int, small: int = 24) -> Iterator[pa.RecordBatch]:
+def _edges(rows: dict[str, np.ndarray], radius: int, agree: int, small: int = 24) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((rows["fp"], rows["pair"], rows["cell"], rows["grid"]))
     grid, cell, pair = (rows[c][order] for c in ("grid", "cell", "pair"))
     fp, u = rows["fp"][order].view(np.uint64), rows["u"][order].view(np.uint64)
@@ -133,17 +148,17 @@ def _edges(rows: dict[str, np.ndarray], radius: int, small: int = 24) -> Iterato
     new[1:] = (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(fp)))
-    masks = np.array(_groups(radius), dtype=np.uint64)
-    codes = np.array([sum(1 << g for g in c) for c in _cells(radius)])
+    masks = np.array(_groups(radius, agree), dtype=np.uint64)
+    codes = np.array([sum(1 << g for g in c) for c in _cells(radius, agree)])
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether pairs of rows are within the radius and meet here first, not in a cell of other groups."""
         apart = u[a] ^ u[b]
         ok = np.bitwise_count(apart) <= radius
         ok[ok] = np.bitwise_count(fp[a[ok]] ^ fp[b[ok]]) <= radius
-        agree = (apart[ok, None] & masks) == 0
-        agree &= np.cumsum(agree, axis=1) <= AGREE
-        ok[ok] = (agree << np.arange(len(masks))).sum(axis=1) == codes[grid[a[ok]]]
+        equal = (apart[ok, None] & masks) == 0
+        equal &= np.cumsum(equal, axis=1) <= agree
+        ok[ok] = (equal.astype(np.int64) << np.arange(len(masks))).sum(axis=1) == codes[grid[a[ok]]]
         return ok
 
     group = np.repeat(np.arange(len(starts)), sizes)
