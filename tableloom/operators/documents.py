@@ -88,10 +88,21 @@ def _field_columns(fields: Sequence[Field]) -> list[Column]:
     return out
 
 
+def joined_key(head: str, key: Sequence[str]) -> Column:
+    """Key columns behind ``head`` with ``:`` between, as one text that no other key has.
+
+    The separator and the escape sign are escaped inside a part; a null has a
+    sign of its own.
+    """
+    parts = [F.col(k).cast("string") for k in key]
+    for sign in ("\\", ":"):
+        parts = [F.replace(p, F.lit(sign), F.lit("\\" + sign)) for p in parts]
+    return F.concat_ws(":", F.lit(head), *[F.coalesce(p, F.lit("\\N")) for p in parts])
+
+
 def document_id(collection: str, key: Sequence[str]) -> Column:
     """A reproducible document id from collection and key."""
-    text = F.concat_ws(":", F.lit(collection), *[F.col(k).cast("string") for k in key])
-    return F.substring(F.sha2(text, 256), 1, 24)
+    return F.substring(F.sha2(joined_key(collection, key), 256), 1, 24)
 
 
 def build_collection(
@@ -174,7 +185,9 @@ def unnest(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFra
     """
     dtype = documents.select(F.col(path).alias("x")).schema["x"].dataType
     if isinstance(dtype, T.ArrayType):
-        rows = documents.select(*keep, F.explode(path).alias("_r"))
+        # An array inside an object is repeated in every document of that object: one of each first.
+        arrays = documents.select(*keep, F.col(path).alias("_a"))
+        rows = (arrays.distinct() if "." in path else arrays).select(*keep, F.explode("_a").alias("_r"))
     else:
         rows = documents.select(*keep, F.col(path).alias("_r")).filter(F.col("_r").isNotNull())
     plain = [f.name for f in rows.schema["_r"].dataType.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]

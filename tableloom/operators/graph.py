@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tableloom.functions.names import singular
 from tableloom.functions.units import is_date_text, is_timestamp_text, text_to_date, text_to_timestamp
+from tableloom.operators.documents import joined_key
 from tableloom.operators.nesting import MAX_ITEMS, Nested, attach, collect_children
 from tableloom.operators.skew import hot_keys
 
@@ -42,12 +43,12 @@ class EdgeMapping:
 
 
 def node_id(space: str, key: Sequence[str]) -> Column:
-    """``space:key``; null if any key column is null."""
+    """``space:key`` with escaped parts; null if any key column is null."""
     known = [F.col(k).isNotNull() for k in key]
     every = known[0]
     for k in known[1:]:
         every = every & k
-    return F.when(every, F.concat_ws(":", F.lit(space), *[F.col(k).cast("string") for k in key]))
+    return F.when(every, joined_key(space, key))
 
 
 def _narrowed(df: DataFrame, column: str) -> Column:

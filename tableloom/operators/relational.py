@@ -10,17 +10,15 @@ import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tableloom.session import local_frame
-
 # Value lists up to this length stay an IN list; longer ones become a semi join.
 INLINE_VALUES = 1_000
-# Longest value list that is broadcast; beyond it Spark picks the join.
-BROADCAST_VALUES = 1_000_000
+# Largest value list that is broadcast, in bytes; beyond it Spark picks the join.
+BROADCAST_BYTES = 64 << 20
 
 
 # --- parameters -----------------------------------------------------------
@@ -116,14 +114,24 @@ def between(column: Column, low: Any, high: Any) -> Column:
     return column.between(_operand(low), _operand(high))
 
 
+def _values(df: DataFrame, column: str, values: Sequence[Any]) -> tuple[DataFrame, Column]:
+    """A list as a table of its own type, and the condition that a row's value is in it.
+
+    Spark brings both sides to one type, as it does for a short list.
+    """
+    array = pa.array([typed(v) for v in dict.fromkeys(values)])
+    wanted = df.sparkSession.createDataFrame(pa.table({"_listed": array}))
+    small = array.nbytes <= BROADCAST_BYTES
+    return F.broadcast(wanted) if small else wanted, F.col(column) == F.col("_listed")
+
+
 def in_list(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
     """Rows whose value is in the list (PRE4, PRE8)."""
-    if len(values) <= INLINE_VALUES:
-        return df.filter(F.col(column).isin([literal(v) for v in values]))
-    wanted = local_frame(df.sparkSession, [(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
-    if len(values) <= BROADCAST_VALUES:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, column, "left_semi")
+    known = [v for v in values if v is not None]
+    if len(known) <= INLINE_VALUES:
+        return df.filter(F.col(column).isin([literal(v) for v in known]))
+    wanted, listed = _values(df, column, known)
+    return df.join(wanted, listed, "left_semi")
 
 
 def not_in_list(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
@@ -132,10 +140,8 @@ def not_in_list(df: DataFrame, column: str, values: Sequence[Any]) -> DataFrame:
         return df.filter(F.lit(False))
     if len(values) <= INLINE_VALUES:
         return df.filter(~F.col(column).isin([literal(v) for v in values]))
-    wanted = local_frame(df.sparkSession, [(typed(v),) for v in set(values)], T.StructType([df.schema[column]]))
-    if len(values) <= BROADCAST_VALUES:
-        wanted = F.broadcast(wanted)
-    return df.filter(F.col(column).isNotNull()).join(wanted, column, "left_anti")
+    wanted, listed = _values(df, column, values)
+    return df.filter(F.col(column).isNotNull()).join(wanted, listed, "left_anti")
 
 
 def contains_text(column: Column, text: str, ignore_case: bool = False) -> Column:

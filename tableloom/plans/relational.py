@@ -228,7 +228,9 @@ def pre1(t):
 
 @query("pre2_decimal_equality", f"SELECT {ALL_LINE} FROM lineitem WHERE CAST(l_discount AS DECIMAL(18,2)) = 0.05")
 def pre2(t):
-    return t("lineitem").filter(R.compare(F.col("l_discount").cast(MONEY), "=", Decimal("0.05")))
+    # The doubles that round to 0.05 reach the scan as a range; the decimals then decide.
+    near = (F.col("l_discount") >= 0.045) & (F.col("l_discount") < 0.055)
+    return t("lineitem").filter(near & R.compare(F.col("l_discount").cast(MONEY), "=", Decimal("0.05")))
 
 
 @query(
@@ -244,6 +246,15 @@ def pre4(t):
     return R.in_list(t("lineitem"), "l_orderkey", [1, 10, 100, 1000, 10000])
 
 
+@query(
+    "pre4_long_value_list",
+    f"SELECT {ALL_LINE} FROM lineitem WHERE l_orderkey IN (SELECT i / 2.0 FROM range(3001) AS r(i))",
+)
+def pre4_long(t):
+    # Half of the values are no whole number, so no key may match them.
+    return R.in_list(t("lineitem"), "l_orderkey", [i / 2 for i in range(3001)] + [None])
+
+
 @query("pre5_text_search", "SELECT doc_id, lang, n_chars FROM documents WHERE contains(text, 'tion')")
 def pre5(t):
     return t("documents").filter(R.contains_text(F.col("text"), "tion")).select("doc_id", "lang", "n_chars")
@@ -295,6 +306,16 @@ def pre8(t):
     return R.not_in_list(kept, "o_orderstatus", ["P"]).select("o_orderkey")
 
 
+@query(
+    "pre8_long_not_in",
+    """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT i + 0.5 FROM range(2000) AS r(i))
+       AND o_custkey NOT IN (SELECT CAST(i AS DECIMAL(12,2)) FROM range(1200) AS r(i))""",
+)
+def pre8_long(t):
+    kept = R.not_in_list(t("orders"), "o_orderkey", [i + 0.5 for i in range(2000)])
+    return R.not_in_list(kept, "o_custkey", [Decimal(i).quantize(Decimal("0.01")) for i in range(1200)]).select("o_orderkey")
+
+
 @query(
     "pre9_conjunction",
     """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem

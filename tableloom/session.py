@@ -62,7 +62,8 @@ def _local_folder() -> str:
 
 
 def _local_base(spark: SparkSession) -> str:
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return _local_folder()
 

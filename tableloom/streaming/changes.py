@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,13 +24,16 @@ def incremental_extract(
 ) -> DataFrame:
     """Header-line pairs whose later change lies in ``(last_cutoff, new_cutoff]``.
 
-    The upper bound holds for each side on its own, so it reaches both scans.
+    Two joins share the work: lines changed in the interval with their headers,
+    and older lines with headers changed in it. Each has one side that both
+    bounds cut down in the scan, so the history is not joined with itself.
     """
     low, high = literal(last_cutoff), literal(new_cutoff)
-    h = header.filter(F.col(changed[0]) <= high)
-    x = line.filter(F.col(changed[1]) <= high)
-    joined = h.join(x, F.col(on[0]) == F.col(on[1]))
-    return joined.filter((F.col(changed[0]) > low) | (F.col(changed[1]) > low))
+    h, x = F.col(changed[0]), F.col(changed[1])
+    pair = F.col(on[0]) == F.col(on[1])
+    new_lines = header.filter(h <= high).join(line.filter((x > low) & (x <= high)), pair)
+    new_headers = header.filter((h > low) & (h <= high)).join(line.filter(x <= low), pair)
+    return new_lines.unionAll(new_headers)
 
 
 # --- change feeds ---------------------------------------------------------
@@ -50,7 +53,7 @@ def apply_changes(
     ``changes`` has the columns of ``target`` plus ``op`` and the order columns.
     """
     last = last_changes(changes, keys, order)
-    kept = target.join(last.select(*keys), list(keys), "left_anti")
+    kept = target.join(last.select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(last.filter(F.col(op) != delete).select(*target.columns))
 
 
@@ -91,19 +94,27 @@ def stream_into_table(
     op: str = "op",
     delete: str = "delete",
 ) -> StreamingQuery:
-    """Keep a whole table current: batch ``n`` reads version ``n - 1`` and writes version ``n``.
-
-    Versions are folders below ``table``; a batch that runs again writes the
-    same folder from the same input. ``empty`` gives the first version. Each
-    batch rewrites the table, so this is for tables that are small against
-    their feed; for large ones use :func:`stream_changes`, whose batches write
-    only changes, and :func:`current_rows`.
+    """Keep a whole table current: batch ``n`` writes version ``n`` from the changes so far.
+
+    The changes so far are the last change per key with its order columns,
+    deletes included, so a late change of an earlier time neither overwrites a
+    newer one nor brings a deleted row back. Batch ``n`` folds its changes into
+    those of batch ``n - 1``; versions and changes are folders below ``table``,
+    and a batch that runs again writes the same folders from the same input.
+    ``empty`` is the table before the first change. Each batch rewrites the
+    table, so this is for tables that are small against their feed; for large
+    ones use :func:`stream_changes`, whose batches write only changes, and
+    :func:`current_rows`.
     """
     spark = changes.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = empty if batch_id == 0 else spark.read.schema(empty.schema).parquet(f"{table}/version={batch_id - 1}")
-        after = apply_changes(before, batch, keys, order, op, delete)
+        so_far = batch
+        if batch_id:
+            so_far = spark.read.schema(batch.schema).parquet(f"{table}/changes={batch_id - 1}").unionByName(batch)
+        path = f"{table}/changes={batch_id}"
+        last_changes(so_far, keys, order).write.mode("overwrite").parquet(path)
+        after = apply_changes(empty, spark.read.schema(batch.schema).parquet(path), keys, order, op, delete)
         after.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
 
     return (
@@ -114,6 +125,15 @@ def stream_into_table(
     )
 
 
+def compact_changes(spark: SparkSession, path: str, compacted: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Fold all batches below ``path`` into one set of last changes below ``compacted``.
+
+    :func:`current_rows` reads the result like any batches; it keeps deletes
+    and order columns, so later batches can be added to it.
+    """
+    last_changes(spark.read.parquet(path).drop("batch"), keys, order).write.parquet(f"{compacted}/batch=0")
+
+
 # --- documents under change -----------------------------------------------
 
 

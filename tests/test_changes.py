@@ -37,12 +37,33 @@ def test_stream_over_several_batches_and_a_restart(spark, frame, target, tmp_pat
 
 def test_table_versions(spark, frame, target, tmp_path):
     folder, table, offsets = (str(tmp_path / n) for n in ("in", "table", "offsets"))
-    for part in (FIRST, SECOND[:1]):
+    for part in (FIRST, SECOND):
         frame(part, FEED).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(folder)
         S.stream_into_table(stream, table, offsets, target, ["k"], ["ts", "seq"]).awaitTermination()
     assert rows(spark.read.parquet(f"{table}/version=0")) == [(1, "a2"), (2, "b"), (8, "stays")]
-    assert rows(spark.read.parquet(f"{table}/version=1")) == [(1, "a2"), (8, "stays")]
+    # The late change of key 1 is older than what the table has.
+    assert rows(spark.read.parquet(f"{table}/version=1")) == [(1, "a2"), (3, "c"), (8, "stays")]
+
+
+def test_late_changes_do_not_bring_deleted_rows_back(spark, frame, target, tmp_path):
+    folder, table, offsets, out, small = (str(tmp_path / n) for n in ("in", "table", "offsets", "out", "small"))
+    parts = [[(1, None, "delete", 10, 1), (2, "new", "upsert", 10, 1)], [(1, "back", "upsert", 4, 1), (2, "old", "upsert", 5, 1)], [(9, None, "delete", 1, 1)]]
+    for part in parts:
+        frame(part, FEED).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(folder)
+        S.stream_into_table(stream, table, offsets, target, ["k"], ["ts", "seq"]).awaitTermination()
+        S.stream_changes(stream, out, offsets + "2", ["k"], ["ts", "seq"]).awaitTermination()
+    assert rows(spark.read.parquet(f"{table}/version=2")) == [(2, "new"), (8, "stays")]
+    S.compact_changes(spark, out, small, ["k"], ["ts", "seq"])
+    assert rows(S.current_rows(target, small, ["k"], ["ts", "seq"])) == [(2, "new"), (8, "stays")]
+    assert spark.read.parquet(small).count() == 3
+
+
+def test_columns_keep_their_order(frame):
+    target = frame([("a", 1)], "v string, k int")
+    feed = frame([("b", 2, "upsert", 1)], "v string, k int, op string, ts int")
+    assert S.apply_changes(target, feed, ["k"], ["ts"]).columns == ["v", "k"]
 
 
 def test_extract_takes_the_open_closed_interval(frame):

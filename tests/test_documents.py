@@ -130,3 +130,14 @@ def test_mapping_rows(frame):
     assert [r["target_property"] for r in first][:3] == ["name", "nameless", "orderId"]
     built = D.fields_of([r for r in first if r["pid"] == 1])
     assert [f.target for f in built if f.primary_key] == ["orderId"]
+
+
+def test_composite_keys_with_the_separator_keep_their_own_ids(frame):
+    from tableloom.operators import graph as G
+
+    keys = [("a:b", "c"), ("a", "b:c"), ("a\\", ":b"), ("a", "\\:b"), ("a", None), (None, "a"), ("a", "\\N"), ("a", "N")]
+    df = frame(keys, "x string, y string")
+    ids = [r[0] for r in df.select(D.document_id("p", ["x", "y"])).collect()]
+    assert len(set(ids)) == len(keys)
+    nodes = [r[0] for r in df.select(G.node_id("p", ["x", "y"])).collect()]
+    assert nodes.count(None) == 2 and len(set(nodes)) == len(keys) - 1

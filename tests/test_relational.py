@@ -40,6 +40,15 @@ def test_long_value_list_becomes_a_semi_join(frame):
     assert sorted(r[0] for r in rest.collect()) == list(range(10))
 
 
+def test_long_value_lists_compare_in_their_own_type_and_keep_the_columns(frame):
+    df = frame([(i, i, "v") for i in range(10)], "n int, k bigint, v string")
+    halves = [i + 0.5 for i in range(1200)]
+    assert R.in_list(df, "k", halves).count() == 0 and R.not_in_list(df, "k", halves).count() == 10
+    got = R.in_list(df, "k", [float(i) for i in range(3, 1500)])
+    assert got.columns == ["n", "k", "v"] and sorted(r["k"] for r in got.collect()) == list(range(3, 10))
+    assert R.not_in_list(df, "k", list(range(5, 1500))).columns == ["n", "k", "v"]
+
+
 def test_not_in_with_a_null_leaves_nothing(frame):
     df = frame([(1,), (2,), (None,)], "k int")
     assert R.not_in_list(df, "k", [2, None]).count() == 0
