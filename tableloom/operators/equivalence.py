@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,8 @@ from tableloom.functions.canonical import canonical_json, canonical_value, row_h
 EQUIVALENT = "Equivalent"
 DIFFERENT = "Differences Found"
 NOT_OBJECT = "Query payload is not an object."
+SOURCE_FAILED = "Source query failed: "
+TARGET_FAILED = "Target query failed: "
 NO_COMMON = "No matching query keys found between source and target."
 
 _PAYLOAD = "count bigint, firstSample string, lastSample string, error string"
@@ -23,8 +29,8 @@ _PAYLOAD = "count bigint, firstSample string, lastSample string, error string"
 
 
 def read_payloads(payloads: DataFrame) -> DataFrame:
-    """Parse ``(query_id, payload)``; ``is_object`` tells JSON objects from anything else (E2e)."""
-    is_object = F.coalesce(F.ltrim("payload").startswith("{"), F.lit(False))
+    """Parse ``(query_id, payload)``; ``is_object`` tells JSON objects from anything else, broken JSON included (E2e)."""
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
     parsed = F.from_json(F.when(is_object, F.col("payload")), _PAYLOAD)
     return payloads.select("query_id", is_object.alias("is_object"), parsed.alias("p")).select(
         "query_id",
@@ -32,6 +38,7 @@ def read_payloads(payloads: DataFrame) -> DataFrame:
         F.col("p.count").alias("count"),
         F.col("p.firstSample").alias("first_sample"),
         F.col("p.lastSample").alias("last_sample"),
+        F.col("p.error").alias("error"),
     )
 
 
@@ -57,6 +64,53 @@ def _leaves(column: Column, dtype: T.DataType, path: str) -> list[tuple[str, Col
     return [(path, value.cast("string"))]
 
 
+def _text(value: Any) -> str:
+    """A JSON value as canonical text: numbers at three decimals, keys and list elements sorted."""
+    if isinstance(value, bool) or value is None:
+        return json.dumps(value)
+    if isinstance(value, (int, Decimal)):
+        number = Decimal(value)
+        return str(number.quantize(Decimal("0.001"), ROUND_HALF_UP)) if abs(number) < Decimal(10) ** 24 else str(number)
+    if isinstance(value, list):
+        return "[" + ",".join(sorted(map(_text, value))) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_text(v)}" for k, v in sorted(value.items())) + "}"
+    return value
+
+
+def _flat(value: Any, path: str, declared: frozenset[str], out: dict[str, str]) -> dict[str, str]:
+    if path not in declared:
+        if isinstance(value, dict) and (value or not path):
+            for key, below in value.items():
+                _flat(below, f"{path}.{key}" if path else key, declared, out)
+        else:
+            out[path] = _text(value)
+    return out
+
+
+def other_leaves(sample: Column, declared: Sequence[str] = ()) -> Column:
+    """The leaves of a JSON sample that are not ``declared``, as a map from path to canonical text (E4e).
+
+    They come from the data, at any depth, so a field that only one side has is
+    seen. A list is one leaf without an order.
+    """
+    known = frozenset(declared)
+
+    def flat(samples: pd.Series) -> pd.Series:
+        found = [_flat(json.loads(x, parse_float=Decimal), "", known, {}) if x else {} for x in samples]
+        return pd.Series([list(f.items()) for f in found])
+
+    pairs = F.pandas_udf(flat, "array<struct<path string, text string>>")(sample)
+    return F.map_from_entries(pairs)
+
+
+def other_differing(old: Column, new: Column) -> Column:
+    """The entries in which two maps of leaves differ, in the form of :func:`differing`."""
+    paths = F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
+    every = F.transform(paths, lambda p: F.struct(p.alias("path"), F.element_at(old, p).alias("old"), F.element_at(new, p).alias("new")))
+    return F.filter(every, lambda d: ~d.old.eqNullSafe(d.new))
+
+
 def differing(old: list[tuple[str, Column]], new: list[tuple[str, Column]]) -> Column:
     """The leaves that differ, as ``array<struct<path, old, new>>``."""
     every = F.array(
@@ -71,28 +125,39 @@ def distance(old: list[tuple[str, Column]], new: list[tuple[str, Column]]) -> Co
 
 
 def compare_summaries(
-    source: DataFrame, target: DataFrame, sample_schema: str | T.StructType, allow_swap: bool = True
+    source: DataFrame, target: DataFrame, sample_schema: str | T.StructType = "", allow_swap: bool = True
 ) -> DataFrame:
     """Compare two tables of ``(query_id, payload)`` query by query (E1e to E6e).
 
-    Only ids on both sides are compared. First and last samples may be swapped
-    between the sides unless ``allow_swap`` is off. One row per id with
-    ``status``, ``error`` and the differences; if there is no common id, one
-    error row.
+    Only ids on both sides are compared. Fields of ``sample_schema`` compare in
+    their declared type, all others as they stand in the data. First and last
+    samples may be swapped between the sides unless ``allow_swap`` is off. One
+    row per id with ``status``, ``error`` and the differences; a payload that is
+    no object and a side that failed give an error and no status; if there is no
+    common id, one error row.
     """
     a = read_payloads(source).alias("a")
     b = read_payloads(target).alias("b")
-    both = a.join(b, "query_id").select(
-        "query_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("is_object", "count", "first_sample", "last_sample")]
-    )
-    leaves = {c: sample_leaves(F.col(c), sample_schema) for c in ("a_first_sample", "a_last_sample", "b_first_sample", "b_last_sample")}
+    parts = ("is_object", "count", "first_sample", "last_sample", "error")
+    both = a.join(b, "query_id").select("query_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in parts])
+    samples = ("a_first_sample", "a_last_sample", "b_first_sample", "b_last_sample")
+    leaves = {c: sample_leaves(F.col(c), sample_schema) if sample_schema else [] for c in samples}
+    declared = [path for path, _ in leaves[samples[0]]]
+    both = both.withColumns({f"{c}_other": other_leaves(F.col(c), declared) for c in samples})
+    none = F.array().cast("array<struct<path:string,old:string,new:string>>")
 
     def diff(x, y):
-        return differing(leaves[x], leaves[y])
+        typed = differing(leaves[x], leaves[y]) if declared else none
+        return F.concat(typed, other_differing(F.col(f"{x}_other"), F.col(f"{y}_other")))
 
+    error = (
+        F.when(~(F.col("a_is_object") & F.col("b_is_object")), F.lit(NOT_OBJECT))
+        .when(F.col("a_error").isNotNull(), F.concat(F.lit(SOURCE_FAILED), "a_error"))
+        .when(F.col("b_error").isNotNull(), F.concat(F.lit(TARGET_FAILED), "b_error"))
+    )
     rows = both.select(
         "query_id",
-        (F.col("a_is_object") & F.col("b_is_object")).alias("objects"),
+        error.alias("error"),
         F.col("a_count").alias("count_old"),
         F.col("b_count").alias("count_new"),
         diff("a_first_sample", "b_first_sample").alias("first_diffs"),
@@ -104,15 +169,15 @@ def compare_summaries(
     if allow_swap:
         same = same | ((F.size("swapped_first") == 0) & (F.size("swapped_last") == 0))
     same = same & F.col("count_old").eqNullSafe(F.col("count_new"))
-    none = F.array().cast("array<struct<path:string,old:string,new:string>>")
+    fine = F.col("error").isNull()
     result = rows.select(
         "query_id",
-        F.when(F.col("objects"), F.when(same, EQUIVALENT).otherwise(DIFFERENT)).alias("status"),
-        F.when(~F.col("objects"), NOT_OBJECT).alias("error"),
+        F.when(fine, F.when(same, EQUIVALENT).otherwise(DIFFERENT)).alias("status"),
+        "error",
         "count_old",
         "count_new",
-        F.when(F.col("objects") & ~same, F.col("first_diffs")).otherwise(none).alias("first_diffs"),
-        F.when(F.col("objects") & ~same, F.col("last_diffs")).otherwise(none).alias("last_diffs"),
+        F.when(fine & ~same, F.col("first_diffs")).otherwise(none).alias("first_diffs"),
+        F.when(fine & ~same, F.col("last_diffs")).otherwise(none).alias("last_diffs"),
     )
     # One error row when nothing is in common: an aggregate over the ids always has one row.
     empty = both.agg(F.count("query_id").alias("n")).filter(F.col("n") == 0)

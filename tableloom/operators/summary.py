@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.functions.canonical import canonical_struct, json_text
+from tableloom.session import local_frame
 
 SUMMARY_SCHEMA = "query_id string, count bigint, first_sample string, last_sample string, error string"
 
@@ -51,6 +53,23 @@ def summarise_all(results: Mapping[str, tuple[DataFrame, str]], drop: tuple[str,
     return out
 
 
+def run_all(spark: SparkSession, queries: Mapping[str, Callable[[], tuple[DataFrame, str]]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Run each query and summarise it; one that fails becomes an error row, the others go on.
+
+    A query fails when it is planned or when it runs, so each one runs on its
+    own here, and its one summary row reaches the driver.
+    """
+    rows = []
+    for query_id, build in queries.items():
+        try:
+            df, key = build()
+            rows.append(tuple(summarise(df, query_id, key, drop).first()))
+        except PySparkException as e:
+            text = (e.getCondition() or type(e).__name__) if hasattr(e, "getCondition") else type(e).__name__
+            rows.append((query_id, None, None, None, text))
+    return local_frame(spark, rows, SUMMARY_SCHEMA)
+
+
 def payloads(summaries: DataFrame) -> DataFrame:
     """Summaries as ``(query_id, payload)`` JSON objects, the exchange form between stores."""
     body = F.struct(

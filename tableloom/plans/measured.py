@@ -23,7 +23,7 @@ def iterations(t):
         F.when(F.col("user_id") % 2 == 0, F.lit("n=1")).alias(M.PARAMS),
         F.when(F.col("value") < 1, "Warmup").otherwise("Result").alias(M.STAGE),
         (F.col("user_id") % 4).cast("int").alias(M.LAUNCH),
-        F.col("event_id").cast("int").alias(M.ITERATION),
+        F.col("event_id").alias(M.ITERATION),
         F.col("value").alias(M.VALUE),
     )
 
@@ -43,7 +43,7 @@ ITER = """it AS (SELECT event_type AS method, CASE WHEN user_id % 3 > 0 THEN 'Jo
     """SELECT event_type AS "Target_Method", CASE WHEN user_id % 3 > 0 THEN 'Job-' || (user_id % 3) ELSE '' END AS "Job_Id",
               CASE WHEN user_id % 2 = 0 THEN 'n=1' ELSE '' END AS "Params",
               CASE WHEN value < 1 THEN 'Warmup' ELSE 'Result' END AS "Measurement_IterationStage",
-              CAST(user_id % 4 AS INTEGER) AS "Measurement_LaunchIndex", CAST(event_id AS INTEGER) AS "Measurement_IterationIndex",
+              CAST(user_id % 4 AS INTEGER) AS "Measurement_LaunchIndex", event_id AS "Measurement_IterationIndex",
               value AS "Measurement_Value" FROM events""",
 )
 def src6(t):

@@ -283,6 +283,23 @@ def c6(t):
     return S.summarise_all(results(t)).select("query_id", "count", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
+@query(
+    "c6_failing_query",
+    """SELECT 'all' AS query_id, count(*) AS count, '' AS error FROM orders
+       UNION ALL SELECT 'no_column', -1, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'
+       UNION ALL SELECT 'division', -1, CASE WHEN count(*) > 0 THEN 'DIVIDE_BY_ZERO' ELSE '' END FROM orders""",
+)
+def c6_failing(t):
+    divided = t("orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") / F.lit(0)).alias("x"))
+    queries = {
+        "all": lambda: results(t)["all"],
+        "no_column": lambda: (t("orders").select("o_orderkey", "nothing"), "o_orderkey"),
+        "division": lambda: (divided, "key"),
+    }
+    found = S.run_all(t.spark, queries)
+    return found.select("query_id", F.coalesce("count", F.lit(-1).cast("bigint")).alias("count"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 # --- equivalence ----------------------------------------------------------
 
 SAMPLE = "amount decimal(38,3), key bigint, name string"
@@ -327,6 +344,53 @@ def e2e(t):
     return found.select("query_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("status", F.lit("")).alias("status"))
 
 
+@query(
+    "e2e_broken_and_failed_sides",
+    """WITH p AS (SELECT o_orderkey % 4 AS k, o_orderkey AS i FROM orders)
+       SELECT CAST(i AS VARCHAR) AS query_id,
+              CASE k WHEN 0 THEN 'Query payload is not an object.' WHEN 1 THEN 'Source query failed: no table ' || i
+                     WHEN 2 THEN 'Target query failed: timeout' ELSE '' END AS error,
+              CASE WHEN k = 3 THEN 'Equivalent' ELSE '' END AS status FROM p""",
+)
+def e2e_broken(t):
+    # A payload for each order: broken JSON, a failure on both sides, on one side, and none.
+    kind = F.col("o_orderkey") % 4
+    good = F.to_json(F.struct(F.lit(1).alias("count"), F.struct(F.col("o_totalprice").alias("price")).alias("firstSample")))
+
+    def side(broken, failed_1, failed_2):
+        body = F.when(kind == 0, F.lit(broken)).when(kind == 1, failed_1).when(kind == 2, failed_2).otherwise(good)
+        return t("orders").select(F.col("o_orderkey").cast("string").alias("query_id"), body.alias("payload"))
+
+    def failure(text):
+        return F.to_json(F.struct(text.alias("error")))
+
+    missing = failure(F.concat(F.lit("no table "), F.col("o_orderkey").cast("string")))
+    source, target = side("{broken", missing, good), side("{other junk", failure(F.lit("other")), failure(F.lit("timeout")))
+    found = E.compare_summaries(source, target)
+    return found.select("query_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("status", F.lit("")).alias("status"))
+
+
+@query(
+    "e6e_undeclared_fields",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS query_id, 'buyer.id' AS path, o_custkey || '.000' AS old, (o_custkey + 1) || '.000' AS new
+       FROM orders WHERE o_orderkey % 3 = 1
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'status', o_orderstatus, NULL FROM orders WHERE o_orderkey % 3 = 2""",
+)
+def e6e_undeclared(t):
+    # Declared is the price alone; the buyer changes in a third of the orders, the status is missing in another.
+    case = F.col("o_orderkey") % 3
+
+    def side(buyer, status):
+        sample = F.struct(F.col("o_totalprice").alias("price"), F.struct(buyer.alias("id")).alias("buyer"), status.alias("status"))
+        body = F.to_json(F.struct(F.lit(1).alias("count"), sample.alias("firstSample")))
+        return t("orders").select(F.col("o_orderkey").cast("string").alias("query_id"), body.alias("payload"))
+
+    source = side(F.col("o_custkey"), F.col("o_orderstatus"))
+    target = side(F.when(case == 1, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), F.when(case != 2, F.col("o_orderstatus")))
+    found = E.compare_summaries(source, target, "price decimal(38,3)")
+    return found.select("query_id", F.explode("first_diffs").alias("d")).select("query_id", "d.path", "d.old", "d.new")
+
+
 @query(
     "e3e_count_difference",
     """SELECT 'all' AS query_id, count(*) AS count_old, count(*) FILTER (WHERE o_orderstatus <> 'P' OR o_orderkey = (SELECT max(o_orderkey) FROM orders)) AS count_new,

@@ -13,7 +13,7 @@ _CSV = {"header": "true", "quote": '"', "escape": '"', "timestampNTZFormat": "yy
 # Raw iteration files of the benchmark runner: fixed column names.
 MEASUREMENT_SCHEMA = (
     "Target_Method string, Job_Id string, Params string, Measurement_IterationStage string, "
-    "Measurement_LaunchIndex int, Measurement_IterationIndex int, Measurement_Value double"
+    "Measurement_LaunchIndex int, Measurement_IterationIndex bigint, Measurement_Value double"
 )
 
 

@@ -69,6 +69,35 @@ def test_only_common_ids_and_broken_payloads(frame):
     assert got["b"]["status"] is None and got["b"]["error"] == E.NOT_OBJECT
 
 
+def test_broken_json_and_failed_sides_are_errors(frame):
+    bad = lambda text: json.dumps({"error": text})
+    got = verdict(
+        frame,
+        {"junk": "{broken", "both": bad("x"), "one": payload(1, A), "same": bad("x")},
+        {"junk": "{other junk", "both": bad("y"), "one": bad("late"), "same": bad("x")},
+    )
+    assert got["junk"]["error"] == E.NOT_OBJECT
+    assert got["both"]["error"] == E.SOURCE_FAILED + "x" and got["same"]["error"] == E.SOURCE_FAILED + "x"
+    assert got["one"]["error"] == E.TARGET_FAILED + "late"
+    assert all(r["status"] is None for r in got.values())
+
+
+def test_fields_outside_the_schema_are_compared(frame):
+    more = {**A, "extra": {"deep": [{"x": 1}, {"x": 2.0004}], "n": None}}
+    turned = {**A, "extra": {"n": None, "deep": [{"x": 2}, {"x": 1.0}]}}
+    assert verdict(frame, {"q": payload(1, more)}, {"q": payload(1, turned)})["q"]["status"] == E.EQUIVALENT
+    got = verdict(frame, {"q": payload(1, more)}, {"q": payload(1, A)})["q"]
+    assert got["status"] == E.DIFFERENT and [(d["path"], d["new"]) for d in got["first_diffs"]] == [("extra.deep", None), ("extra.n", None)]
+
+
+def test_a_failing_query_is_an_error_row(spark, frame):
+    df = frame([(0,), (1,)], "k int")
+    queries = {"good": lambda: (df, "k"), "plan": lambda: (df.select("none"), "k"), "run": lambda: (df.selectExpr("k", "1 / k AS x"), "k")}
+    got = {r["query_id"]: r for r in S.run_all(spark, queries).collect()}
+    assert got["good"]["count"] == 2 and got["good"]["error"] is None
+    assert got["run"]["error"] == "DIVIDE_BY_ZERO" and got["plan"]["error"].startswith("UNRESOLVED_COLUMN")
+
+
 def test_no_common_id_gives_one_error_row(frame):
     got = verdict(frame, {"a": payload(1, A)}, {"b": payload(1, A)})
     assert list(got) == [None] and got[None]["error"] == E.NO_COMMON
