@@ -13,6 +13,8 @@ from tableloom.session import local_frame
 
 # Fixed start of generated dates.
 EPOCH = "2000-01-01"
+# Days from there that every date and timestamp can hold.
+DAYS = 2_900_000
 
 
 def estimated_rows(df: DataFrame) -> int:
@@ -48,22 +50,29 @@ def output_profile(df: DataFrame, grouping: bool = False, exact: bool = False) -
 
 
 def _generated(dtype: T.DataType, row: Column | None) -> Column:
-    """The default of a type; with ``row`` a value that changes from row to row."""
-    n = row if row is not None else F.lit(0)
+    """The default of a type; with ``row`` a value that changes from row to row.
+
+    A type with fewer values than there are rows starts again from its first.
+    """
+    n = row if row is not None else F.lit(0).cast("bigint")
     if isinstance(dtype, T.ByteType):
         return (1 + n % 126).cast(dtype)
     if isinstance(dtype, T.ShortType):
         return (1 + n % 254).cast(dtype)
-    if isinstance(dtype, (T.IntegerType, T.LongType)):
-        return (1 + n).cast(dtype)
-    if isinstance(dtype, (T.DecimalType, T.DoubleType, T.FloatType)):
+    if isinstance(dtype, T.IntegerType):
+        return (1 + n % ((1 << 31) - 1)).cast(dtype)
+    if isinstance(dtype, T.DecimalType):
+        whole = dtype.precision - dtype.scale
+        # Without digits before the point the value counts in the last place.
+        last = 10 ** (whole or dtype.scale) - 1
+        value = 1 + n % min(last, 1 << 62)
+        return (value if whole else value.cast(f"decimal({dtype.precision},0)") / 10**dtype.scale).cast(dtype)
+    if isinstance(dtype, (T.LongType, T.DoubleType, T.FloatType)):
         return (1 + n).cast(dtype)
     if isinstance(dtype, T.BooleanType):
         return (n % 2 == 0) if row is not None else F.lit(False)
-    if isinstance(dtype, T.DateType):
-        return F.date_add(F.lit(EPOCH).cast("date"), n.cast("int"))
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_add(F.lit(EPOCH).cast("date"), n.cast("int")).cast(dtype)
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.date_add(F.lit(EPOCH).cast("date"), (n % DAYS).cast("int")).cast(dtype)
     if isinstance(dtype, T.StringType):
         return F.concat(F.lit('"'), row.cast("string"), F.lit('"')) if row is not None else F.lit("null")
     if isinstance(dtype, T.BinaryType):

@@ -681,6 +681,18 @@ def d4d(t):
     return D.synthetic_table(t.spark, schema, t("orders").count(), distinct=True)
 
 
+@query(
+    "d4d_small_types_start_again",
+    """SELECT CAST(1 + i % 126 AS TINYINT) AS tiny, CAST(1 + i % 99 AS DECIMAL(3,1)) AS two, CAST(1 + i % 9 AS DECIMAL(3,2)) AS one,
+              CAST((1 + i % 999) / 1000.0 AS DECIMAL(3,3)) AS none
+       FROM range((SELECT count(*) FROM orders)) AS r(i)""",
+    grouping=True,
+)
+def d4d_small(t):
+    schema = T.StructType.fromDDL("tiny tinyint, two decimal(3,1), one decimal(3,2), none decimal(3,3)")
+    return D.synthetic_table(t.spark, schema, t("orders").count(), distinct=True)
+
+
 @query(
     "d5d_ordinal_column_names",
     """SELECT a.l_orderkey AS "0__key", b.o_orderkey AS "1__key", b.o_totalprice AS "2__amount" FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey""",
@@ -692,16 +704,43 @@ def d5d(t):
     return N.ordinal_columns(joined)
 
 
+def _profile_sql(column, kind, text):
+    return (
+        f"SELECT '{column}' AS column_name, '{kind}' AS data_type, count(*) FILTER (WHERE {column} IS NULL) AS nulls, "
+        f"min({text}) AS lowest, max({text}) AS highest, true AS near FROM orders"
+    )
+
+
 @query(
     "d6d_table_profile",
-    """SELECT 'o_orderkey' AS column_name, 'bigint' AS data_type, 0 AS nulls, min(o_orderkey)::VARCHAR AS lowest, max(o_orderkey)::VARCHAR AS highest FROM orders
-       UNION ALL SELECT 'o_orderstatus', 'string', 0, min(o_orderstatus), max(o_orderstatus) FROM orders
-       UNION ALL SELECT 'o_orderpriority', 'string', 0, min(o_orderpriority), max(o_orderpriority) FROM orders""",
+    " UNION ALL ".join(
+        [
+            _profile_sql("o_orderkey", "bigint", "o_orderkey").replace("AS lowest", "::VARCHAR AS lowest").replace("AS highest", "::VARCHAR AS highest"),
+            _profile_sql("o_custkey", "bigint", "o_custkey").replace("AS lowest", "::VARCHAR AS lowest").replace("AS highest", "::VARCHAR AS highest"),
+            _profile_sql("o_orderstatus", "string", "o_orderstatus"),
+            _profile_sql("o_totalprice", "double", "o_totalprice").replace("min(o_totalprice)", "printf('%.2f', min(o_totalprice))").replace(
+                "max(o_totalprice)", "printf('%.2f', max(o_totalprice))"
+            ),
+            _profile_sql("o_orderdate", "timestamp_ntz", "o_orderdate").replace("min(o_orderdate)", "strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S')").replace(
+                "max(o_orderdate)", "strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')"
+            ),
+            _profile_sql("o_orderpriority", "string", "o_orderpriority"),
+        ]
+    ),
 )
 def d6d(t):
-    # The approximate distinct count has no SQL counterpart and is checked in the tests.
-    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return D.table_profile(rows).drop("distinct_values")
+    rows = t("orders")
+    # The distinct counts are estimates; they are held against the exact ones.
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in rows.columns])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in rows.columns])).alias("x"))
+    exact = exact.select(F.col("x.name").alias("column_name"), F.col("x.n").alias("exact"))
+    found = D.table_profile(rows).join(F.broadcast(exact), "column_name")  # one row for each column
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= 1 + 0.2 * F.col("exact")
+
+    def price(c):
+        return F.when(F.col("column_name") == "o_totalprice", F.format_string("%.2f", F.when(F.col("column_name") == "o_totalprice", F.col(c)).cast("double"))).otherwise(F.col(c))
+
+    return found.select("column_name", "data_type", "nulls", price("lowest").alias("lowest"), price("highest").alias("highest"), near.alias("near"))
 
 
 @query(
