@@ -18,8 +18,8 @@ NEW_DOCUMENT = "NEW_DOCUMENT"
 EMBEDDED = "EMBEDDED_DOCUMENT"
 EMBEDDED_ARRAY = "EMBEDDED_DOCUMENT_ARRAY"
 
-# Largest array that is repeated inside every parent of an embedded object.
-REPEAT_ITEMS = 1_000
+# Stands behind the name of an array for the number of its parts.
+PARTS = "Parts"
 
 # Fixed table: document field types to Spark types. Others keep the source type.
 TARGET_TYPES = {
@@ -69,9 +69,10 @@ class TableMapping:
 class Collection:
     """``documents``: one row per root row.
 
-    ``continuations``: for each path whose array outgrew its document, rows of
-    owner key, ``part`` and the further elements. Documents and continuations
-    together hold every child row exactly as often as the mapping asks for.
+    Beside each array ``x`` stands ``xParts``. It is 1 if the array is whole.
+    Otherwise it counts the array in the document and the further parts, which
+    are rows of owner key, ``part`` and elements in ``continuations`` at the
+    path of the array. Continuations belong to owners that exist.
     """
 
     documents: DataFrame
@@ -111,16 +112,20 @@ def build_collection(
     tables: Mapping[str, DataFrame],
     generate_id: bool = True,
     max_items: int = MAX_ITEMS,
-    repeat_items: int = REPEAT_ITEMS,
+    repeat_items: int | None = None,
 ) -> Collection:
     """Fold the mapping tree bottom-up into one collection.
 
+    Arrays are whole up to ``max_items`` elements; inside an embedded object,
+    where every parent repeats them, up to ``repeat_items`` (``max_items`` if
+    not given). Longer ones go on in the continuations, and the document says so.
+
     Every child table is completed before it is embedded, and every array is
     collected on its own key before it meets its parent, so branches never
     multiply.
     """
     rest: dict[str, DataFrame] = {}
-    rows, nested = _fold(root, tables, rest, "", False, max_items, repeat_items)
+    rows, nested = _fold(root, tables, rest, "", False, max_items, max_items if repeat_items is None else repeat_items)
     columns = _field_columns(root.fields) + [F.col(n) for n in nested]
     if generate_id:
         columns = [document_id(name, root.key).alias("_id"), *columns]
@@ -153,8 +158,17 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
             rows = rows.join(got.rows, F.col(parent_column) == F.col("_k"), "left").drop("_k")
             empty = F.array().cast(got.rows.schema[child.path].dataType)
             rows = rows.withColumn(child.path, F.coalesce(child.path, empty))
-            if got.continuations is not None:
-                rest[at] = got.continuations.withColumnRenamed("_k", child_column)
+            parts = child.path + PARTS
+            if got.continuations is None:
+                rows = rows.withColumn(parts, F.lit(1))
+            else:
+                owners = rows.select(F.col(parent_column).alias("_k")).distinct()
+                tail = got.continuations.join(owners, "_k", "left_semi")
+                counts = tail.groupBy("_k").agg((F.count(F.lit(1)) + 1).cast("int").alias(parts))
+                rows = rows.join(counts, F.col(parent_column) == F.col("_k"), "left").drop("_k")
+                rows = rows.withColumn(parts, F.coalesce(parts, F.lit(1)))
+                rest[at] = tail.withColumnRenamed("_k", child_column)
+            nested.append(parts)
         nested.append(child.path)
     return rows, nested
 
@@ -163,8 +177,8 @@ def _array(children: DataFrame, name: str, order: list[str], repeated: bool, max
     """Collect one array branch.
 
     An array inside an embedded object is repeated in every parent of that
-    object, so only short ones are embedded there; a longer one is kept once,
-    in the continuations, instead of once per parent.
+    object. One that is too long for that is kept once, in the continuations,
+    instead of once per parent.
     """
     fields = [c for c in children.columns if c != "_k"]
     if not repeated or hot.empty:
@@ -190,7 +204,9 @@ def unnest(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFra
         rows = (arrays.distinct() if "." in path else arrays).select(*keep, F.explode("_a").alias("_r"))
     else:
         rows = documents.select(*keep, F.col(path).alias("_r")).filter(F.col("_r").isNotNull())
-    plain = [f.name for f in rows.schema["_r"].dataType.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
+    fields = rows.schema["_r"].dataType.fields
+    parts = {f.name + PARTS for f in fields if isinstance(f.dataType, T.ArrayType)}
+    plain = [f.name for f in fields if not isinstance(f.dataType, (T.ArrayType, T.StructType)) and f.name not in parts]
     return rows.select(*keep, *[F.col(f"_r.{c}").alias(c) for c in plain]).distinct()
 
 

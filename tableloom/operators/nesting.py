@@ -164,6 +164,8 @@ def attach(parent: DataFrame, nested: Nested, on: dict[str, str] | None = None,
     rest = nested.continuations
     if rest is not None:
         rest = rest.withColumnsRenamed({c: p for c, p in by_key.items() if c != p})
+        owned = [by_key[k] for k in nested.keys]
+        rest = rest.join(parent.select(*owned).distinct(), owned, "left_semi").select(*owned, "part", nested.name)
     return Nested(rows, rest, tuple(by_key[k] for k in nested.keys), nested.name)
 
 

@@ -260,7 +260,7 @@ def t6(t):
     parts = []
     for form, exclude in (("kept", False), ("excluded", True)):
         path = scratch_dir(t.spark, "collection")
-        files.write_collection(rows, path, exclude_nulls=exclude)
+        files.write_documents(rows, path, exclude_nulls=exclude)
         lines = t.spark.read.text(path)
         parts.append(
             lines.agg(
@@ -272,24 +272,46 @@ def t6(t):
     return parts[0].unionByName(parts[1])
 
 
-@query(
-    "src4_document_round_trip",
-    f"""SELECT o_orderkey AS "orderId", o_orderdate AS "orderDate", c_name AS "customerName", (SELECT count(*) FROM {CLOSED} x WHERE x.o_custkey = orders.o_custkey) AS n_tx
-        FROM orders JOIN customer ON c_custkey = o_custkey""",
-)
-def src4(t):
-    built = D.build_collection("orders", ORDERS, sources(t))
+ROUND_TRIP = f"""SELECT o_orderkey AS "orderId", o_orderdate AS "orderDate", c_name AS "customerName",
+            (SELECT count(*) FROM {CLOSED} x WHERE x.o_custkey = orders.o_custkey) AS n_tx
+        FROM orders JOIN customer ON c_custkey = o_custkey"""
+
+
+def _round_trip(t, **bounds):
     path = scratch_dir(t.spark, "collection")
-    files.write_collection(built.documents, path)
-    back = files.read_collection(t.spark, path, built.documents.schema)
-    rows = back.select(
+    files.write_collection(D.build_collection("orders", ORDERS, sources(t), **bounds), path)
+    # From here on only what was written is read.
+    back = files.read_collection(t.spark, path)
+    rows = back.documents.select(
         "orderId",
         "orderDate",
         F.col("customer.customerId").alias("c"),
         "customer.customerName",
         F.size("customer.customerTransactions").cast("bigint").alias("n_tx"),
     )
-    return with_kept_once(rows, built)
+    return with_kept_once(rows, back)
+
+
+@query("src4_document_round_trip", ROUND_TRIP)
+def src4(t):
+    return _round_trip(t)
+
+
+@query("src4_document_round_trip_in_parts", ROUND_TRIP)
+def src4_parts(t):
+    return _round_trip(t, max_items=4, repeat_items=2)
+
+
+@query(
+    "src4_parts_are_marked",
+    f"""SELECT o_orderkey AS "orderId", (SELECT count(*) FROM {CLOSED} x WHERE x.o_custkey = orders.o_custkey) <= 2 AS whole
+        FROM orders JOIN customer ON c_custkey = o_custkey""",
+)
+def src4_marked(t):
+    path = scratch_dir(t.spark, "collection")
+    files.write_collection(D.build_collection("orders", ORDERS, sources(t), max_items=4, repeat_items=2), path)
+    back = files.read_collection(t.spark, path)
+    return back.documents.select("orderId", (F.col("customer.customerTransactionsParts") == 1).alias("whole"))
 
 
 @query(

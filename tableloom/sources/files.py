@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.operators.documents import Collection
+from tableloom.session import local_frame
+
 _CSV = {"header": "true", "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
 # Raw iteration files of the benchmark runner: fixed column names.
@@ -60,18 +64,37 @@ def read_measurements(spark: SparkSession, path: str, schema: str = MEASUREMENT_
     return spark.read.schema(schema).option("sep", ";").option("header", "true").csv(path)
 
 
-def write_collection(df: DataFrame, path: str, fmt: str = "json", exclude_nulls: bool = False) -> None:
-    """Write one document collection; ``exclude_nulls`` leaves null fields out of JSON."""
+def write_documents(df: DataFrame, path: str, fmt: str = "json", exclude_nulls: bool = False) -> None:
+    """Write documents; ``exclude_nulls`` leaves null fields out of JSON."""
     writer = df.write.mode("overwrite")
     if fmt == "json":
         writer = writer.option("ignoreNullFields", str(exclude_nulls).lower())
     writer.format(fmt).save(path)
 
 
-def read_collection(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def write_collection(collection: Collection, path: str, fmt: str = "json", exclude_nulls: bool = False) -> None:
+    """Write a collection whole: its documents, the further parts of its arrays, and the schema of both."""
+    frames = {"documents": collection.documents}
+    frames |= {f"continuations/{at}": rows for at, rows in collection.continuations.items()}
+    for name, df in frames.items():
+        write_documents(df, f"{path}/{name}", fmt, exclude_nulls)
+    spark = collection.documents.sparkSession
+    schemas = local_frame(spark, [(name, df.schema.json()) for name, df in frames.items()], "name string, schema string")
+    schemas.coalesce(1).write.mode("overwrite").json(f"{path}/schema")
+
+
+def read_collection(spark: SparkSession, path: str, fmt: str = "json") -> Collection:
+    """Read what :func:`write_collection` wrote."""
+    schemas = spark.read.schema("name string, schema string").json(f"{path}/schema").collect()  # one row for each array
+    frames = {r["name"]: read_documents(spark, f"{path}/{r['name']}", T.StructType.fromJson(json.loads(r["schema"])), fmt) for r in schemas}
+    documents = frames.pop("documents")
+    return Collection(documents, {name.partition("/")[2]: df for name, df in frames.items()})
+
+
 def write_graph(nodes: Mapping[str, DataFrame], edges: Mapping[tuple, DataFrame], path: str) -> None:
     """One parquet folder per node label and per (type, start, end)."""
     for label, df in nodes.items():

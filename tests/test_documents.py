@@ -85,8 +85,8 @@ def test_ids_repeat_and_depend_on_the_collection(tables):
 
 def test_null_fields_in_json(spark, frame, tmp_path):
     df = frame([(1, None), (2, "x")], "k int, v string")
-    files.write_collection(df, str(tmp_path / "all"))
-    files.write_collection(df, str(tmp_path / "some"), exclude_nulls=True)
+    files.write_documents(df, str(tmp_path / "all"))
+    files.write_documents(df, str(tmp_path / "some"), exclude_nulls=True)
     lines = lambda p: sorted(r[0] for r in spark.read.text(str(tmp_path / p)).collect())
     assert lines("all") == ['{"k":1,"v":null}', '{"k":2,"v":"x"}']
     assert lines("some") == ['{"k":1}', '{"k":2,"v":"x"}']
@@ -141,3 +141,31 @@ def test_composite_keys_with_the_separator_keep_their_own_ids(frame):
     assert len(set(ids)) == len(keys)
     nodes = [r[0] for r in df.select(G.node_id("p", ["x", "y"])).collect()]
     assert nodes.count(None) == 2 and len(set(nodes)) == len(keys) - 1
+
+
+@pytest.mark.parametrize("n", [1000, 1001])
+def test_arrays_in_objects_are_whole_at_any_length(frame, n):
+    tables = {
+        "orders": frame([(1, 7), (2, 7)], "oid int, cid int"),
+        "customer": frame([(7,)], "cid int"),
+        "tx": frame([(i, 7) for i in range(n)], "tid int, cid int"),
+    }
+    tx = D.TableMapping(D.EMBEDDED_ARRAY, "tx", (D.Field("tid", "id", primary_key=True),), "transactions", ("cid", "cid"))
+    customer = D.TableMapping(D.EMBEDDED, "customer", (D.Field("cid", "id", primary_key=True),), "customer", ("cid", "cid"), (tx,))
+    root = D.TableMapping(D.NEW_DOCUMENT, "orders", (D.Field("oid", "id", primary_key=True),), children=(customer,))
+    built = D.build_collection("o", root, tables)
+    assert [(len(r["customer"]["transactions"]), r["customer"]["transactionsParts"]) for r in built.documents.collect()] == [(n, 1)] * 2
+    assert not built.continuations
+
+
+def test_a_written_collection_reads_back_with_its_parts(spark, frame, tmp_path):
+    tables = {"p": frame([(1,), (2,)], "k int"), "c": frame([(i, 1) for i in range(40)] + [(99, 2)] + [(i, 5) for i in range(100, 140)], "i int, k int")}
+    child = D.TableMapping(D.EMBEDDED_ARRAY, "c", (D.Field("i", "i", primary_key=True),), "items", ("k", "k"))
+    root = D.TableMapping(D.NEW_DOCUMENT, "p", (D.Field("k", "k", primary_key=True),), children=(child,))
+    files.write_collection(D.build_collection("p", root, tables, max_items=8), str(tmp_path / "c"))
+    back = files.read_collection(spark, str(tmp_path / "c"))
+    docs = {r["k"]: r for r in back.documents.collect()}
+    more = back.continuations["items"].collect()
+    items = [(k, x["i"]) for k, r in docs.items() for x in r["items"]] + [(r["k"], x["i"]) for r in more for x in r["items"]]
+    assert sorted(items) == [(1, i) for i in range(40)] + [(2, 99)]
+    assert docs[2]["itemsParts"] == 1 and docs[1]["itemsParts"] == 1 + len(more)

@@ -77,3 +77,10 @@ def test_link_table_from_both_sides(frame):
     assert {r["item"]: [x[0] for x in r["groups"]] for r in left.collect()} == {1: ["g1", "g2"], 2: ["g1"], 3: []}
     right = N.include_through_link(groups, link, items, {"grp": "lg"}, {"item": "li"}, "items", ["item_name"]).rows
     assert {r["grp"]: [x[0] for x in r["items"]] for r in right.collect()} == {10: ["i1", "i2"], 20: ["i1"]}
+
+
+def test_parts_of_keys_without_a_parent_are_left_out(frame):
+    parent = frame([(1,)], "k int")
+    child = frame([(1, i) for i in range(20)] + [(2, i) for i in range(40)], "k int, v int")
+    got = N.include_many(parent, child, {"k": "k"}, "items", max_items=8)
+    assert sorted((r["k"], r["v"]) for r in got.exploded().collect()) == [(1, i) for i in range(20)]
