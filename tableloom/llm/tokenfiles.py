@@ -35,7 +35,7 @@ from tableloom.session import local_frame, materialise, scratch_dir
 
 MAGIC = b"TLB1"
 HEAD = struct.Struct("<4sIQQQ")
-BLOCK = 1 << 20  # ids in a block
+BLOCK = 1 << 18  # ids in a block, about
 VOCABULARY_FILE = "vocabulary.bin"
 IDS = "<u4"
 
@@ -50,8 +50,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(r)] = code
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4)[None, :] <= code[:, None]
-    return control.astype(np.uint8).tobytes(), r.astype("<u4").view(np.uint8).reshape(-1, 4)[used].tobytes()
+    width = int(code.max()) + 1 if len(code) else 1
+    used = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
+    return control.astype(np.uint8).tobytes(), r.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -191,17 +192,19 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
     system.create_dir(path, recursive=True)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded, counts, docs_here, tokens = encoder(vocabulary), np.zeros(1, dtype=np.int64), 0, 0
+        encoded, docs_here, tokens = encoder(vocabulary), 0, 0
+        counts = np.zeros(encoded.tokenizer.get_vocab_size(), dtype=np.int64)
+
+        def counted(ids: np.ndarray) -> tuple[bytes, bytes]:
+            np.add(counts, np.bincount(ids, minlength=len(counts)), out=counts)
+            return _raw_code(ids)
+
         name = f"waiting-{TaskContext.get().partitionId():06d}"
-        writer = _Writer(f"{folder}/{name}", _raw_code)
+        writer = _Writer(f"{folder}/{name}", counted)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encoded.encode_document(text.as_py())
                 writer.add(doc_id, ids)
-                seen = np.bincount(ids)
-                if len(seen) > len(counts):
-                    counts = np.pad(counts, (0, max(len(seen), 60_000) - len(counts)))
-                counts[: len(seen)] += seen
                 docs_here, tokens = docs_here + 1, tokens + len(ids)
         writer.close()
         used = np.flatnonzero(counts)

@@ -42,8 +42,9 @@ class TextEncoder:
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.letters = _byte_letters()
-        self.mark = self.tokenizer.token_to_id(self.letters[0])  # stands between pieces
+        letters = _byte_letters()
+        self.mark = self.tokenizer.token_to_id(letters[0])  # stands between pieces
+        self.letters = letters | {0x1F: " "}  # \x1F stands between pre-tokens
         self.capacity, self.known = capacity, {}
 
     def _plain(self, text: str) -> bytes:
@@ -54,9 +55,8 @@ class TextEncoder:
         common = [p for p in pieces if _COMMON.fullmatch(p)]
         got = {}
         if common:
-            # Pre-tokens as bytes with \x1F between them, then letters with a space between them.
             cut = "\x1f".join(self.pattern.findall(" " + "\x00 ".join(common)))
-            mapped = cut.encode().decode("latin-1").translate(self.letters | {0x1F: " "})
+            mapped = cut.encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark).tolist()
             raw = ids.tobytes()
@@ -78,9 +78,11 @@ class TextEncoder:
         else:
             first, *rest = text.split(" ")
         parts = list(map(self.known.get, rest))
-        if None in parts:
-            got = self._learn(list({p for p, ids in zip(rest, parts) if ids is None}))
-            parts = [ids if ids is not None else got[p] for p, ids in zip(rest, parts)]
+        missing = [k for k, ids in enumerate(parts) if ids is None]
+        if missing:
+            got = self._learn(list({rest[k] for k in missing}))
+            for k in missing:
+                parts[k] = got[rest[k]]
         return (self._plain(first) if first else b"") + b"".join(parts)
 
     def encode_document(self, text: str | None) -> np.ndarray:
