@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from llm_cases import nothing, odd  # noqa: F401
 
 from tableloom.llm import lines
 

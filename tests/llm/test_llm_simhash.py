@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_cases import nothing, odd  # noqa: F401
 
 from tableloom.llm import components, simhash
 
