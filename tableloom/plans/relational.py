@@ -394,6 +394,71 @@ def joi2(t):
     return _line_digest(nested)
 
 
+def elements(nested, fields):
+    """Every element of every array with its place and all of its fields."""
+    rows = nested.rows.select(*nested.keys, F.posexplode(nested.name).alias("at", "x"))
+    return rows.select(*nested.keys, "at", *[F.col(f"x.{c}").alias(c) for c in fields])
+
+
+@query(
+    "joi2_lines_in_full",
+    f"""SELECT l_orderkey AS o_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_SORT}) - 1 AS INTEGER) AS at, {LINE_SORT}
+        FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""",
+)
+def joi2_full(t):
+    nested = nesting.include_many(t("orders").select("o_orderkey"), t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", LINE_ORDER, LINE_ORDER)
+    return elements(nested, LINE_ORDER)
+
+
+@query(
+    "joi3_parts_with_suppliers_in_full",
+    """SELECT l_partkey AS p_partkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY s_name, s_suppkey) - 1 AS INTEGER) AS at, s_name, s_suppkey, s_acctbal
+       FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""",
+)
+def joi3_full(t):
+    link = t("lineitem").select("l_partkey", "l_suppkey").distinct()
+    fields = ["s_name", "s_suppkey", "s_acctbal"]
+    nested = nesting.include_through_link(
+        t("part").select("p_partkey"), link, t("supplier"), {"p_partkey": "l_partkey"}, {"s_suppkey": "l_suppkey"}, "suppliers", fields
+    )
+    return elements(nested, fields)
+
+
+@query(
+    "joi4_optional_orders_in_full",
+    """SELECT c_custkey, CAST(CASE WHEN o_orderkey IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 END AS INTEGER) AS at,
+              o_orderkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
+)
+def joi4_full(t):
+    fields = ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    nested = nesting.include_many(t("customer").select("c_custkey"), t("orders"), {"c_custkey": "o_custkey"}, "orders", fields)
+    rows = nested.rows.select("c_custkey", F.posexplode_outer("orders").alias("at", "x"))
+    return rows.select("c_custkey", F.coalesce("at", F.lit(-1)).alias("at"), *[F.col(f"x.{c}").alias(c) for c in fields])
+
+
+@query(
+    "joi5_both_branches_in_full",
+    """SELECT o.o_orderkey, coalesce(c.texts, '') AS siblings, coalesce(l.texts, '') AS lines
+       FROM orders o JOIN customer ON c_custkey = o_custkey
+       LEFT JOIN (SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderpriority, ',' ORDER BY o_orderkey) AS texts FROM orders GROUP BY o_custkey) c ON c.o_custkey = o.o_custkey
+       LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_partkey, l_returnflag) AS texts
+                  FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o.o_orderkey""",
+)
+def joi5_full(t):
+    # All elements of both branches as text; the customer's orders hang off the customer.
+    owners = nesting.include_many(t("customer").select("c_custkey"), t("orders"), {"c_custkey": "o_custkey"}, "siblings", ["o_orderkey", "o_orderpriority"])
+    lines = nesting.include_many(
+        t("orders").select("o_orderkey", "o_custkey"), t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", ["l_linenumber", "l_partkey", "l_returnflag"]
+    )
+    rows = R.equi_join(lines.rows, owners.rows, ("o_custkey", "c_custkey"))
+
+    def texts(column, *names):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), ",")
+
+    return rows.select("o_orderkey", texts("siblings", "o_orderkey", "o_orderpriority").alias("siblings"), texts("lines", "l_linenumber", "l_partkey", "l_returnflag").alias("lines"))
+
+
 @query(
     "joi3_parts_with_suppliers",
     """WITH link AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem),

@@ -346,6 +346,85 @@ def t8(t):
     return rows.select("orderId", "priority", "customerName", "n_tx", "sum_tx")
 
 
+def full_sources(t):
+    """As :func:`sources`, with every order as a transaction of its customer."""
+    return sources(t) | {"closed": t("orders"), "edited_closed": t("orders").withColumn("editor", (F.col("o_custkey") % 25).cast("int"))}
+
+
+def placed(rows, key, path, names):
+    """Every element of an array in documents with its place and fields."""
+    rows = rows.select(F.col(key).alias("owner"), F.posexplode(path).alias("at", "x"))
+    return rows.select("owner", "at", *[F.col(f"x.{n}").alias(n) for n in names])
+
+
+@query(
+    "t3_transactions_in_full",
+    """SELECT o_custkey AS owner, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS at, o_orderkey AS "transactionId",
+              o_orderdate AS "transactionDate", o_totalprice AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
+)
+def t3_full(t):
+    orders = D.TableMapping(D.EMBEDDED_ARRAY, "orders", CLOSED_FIELDS, "transactions", ("c_custkey", "o_custkey"))
+    root = D.TableMapping(D.NEW_DOCUMENT, "customer", CUSTOMER_FIELDS, children=(orders,))
+    built = D.build_collection("customers", root, sources(t))
+    return placed(built.documents, "customerId", "transactions", ["transactionId", "transactionDate", "amount"])
+
+
+@query(
+    "t8_transactions_in_full",
+    """SELECT o_orderkey AS "orderId", texts FROM orders JOIN customer ON c_custkey = o_custkey
+       JOIN (SELECT o_custkey AS k, string_agg(o_orderkey || ':' || strftime(o_orderdate, '%Y-%m-%d') || ':' || printf('%.2f', o_totalprice), ',' ORDER BY o_orderkey) AS texts
+             FROM orders GROUP BY o_custkey) ON k = o_custkey""",
+)
+def t8_full(t):
+    built = D.build_collection("orders", ORDERS, full_sources(t))
+    # Each customer's elements become text once, then meet its documents.
+    text = F.transform(
+        "customer.customerTransactions",
+        lambda x: F.concat_ws(":", x["transactionId"].cast("string"), F.date_format(x["transactionDate"], "yyyy-MM-dd"), F.format_string("%.2f", x["amount"])),
+    )
+    return built.documents.select("orderId", F.array_join(text, ",").alias("texts"))
+
+
+@query(
+    "t9_groups_in_full",
+    """SELECT l_orderkey AS "orderId", l_linenumber AS "lineNumber", texts FROM lineitem JOIN part ON p_partkey = l_partkey
+       JOIN (SELECT l_partkey AS k, string_agg(l_partkey || ':' || l_suppkey, ',' ORDER BY l_suppkey) AS texts
+             FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY l_partkey) ON k = l_partkey""",
+)
+def t9_full(t):
+    built = D.build_collection("orderLines", ORDER_LINES, sources(t))
+    text = F.transform("stockItem.stockItemStockGroups", lambda x: F.concat_ws(":", x["stockItemId"].cast("string"), x["stockGroupId"].cast("string")))
+    return built.documents.select("orderId", "lineNumber", F.array_join(text, ",").alias("texts"))
+
+
+@query(
+    "t10_purchases_in_full",
+    """SELECT l_suppkey AS owner, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER), l_extendedprice) - 1 AS INTEGER) AS at,
+              l_orderkey AS "orderId", l_linenumber AS "lineNumber", l_partkey AS "stockItemId", CAST(l_quantity AS INTEGER) AS quantity, l_extendedprice AS "unitPrice"
+       FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)""",
+)
+def t10_full(t):
+    built = D.build_collection("suppliers", SUPPLIERS, sources(t))
+    return placed(built.documents, "supplierId", "purchaseOrders", ["orderId", "lineNumber", "stockItemId", "quantity", "unitPrice"])
+
+
+@query(
+    "t10_purchases_in_parts",
+    """SELECT l_suppkey AS owner, l_orderkey AS "orderId", l_linenumber AS "lineNumber", l_partkey AS "stockItemId", count(*) AS n
+       FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 1) GROUP BY ALL""",
+    grouping=True,
+)
+def t10_parts(t):
+    # A small bound cuts every array; the busy supplier 1 has lines but no document, so its parts go too.
+    tables = sources(t) | {"supplier": t("supplier").filter("s_suppkey > 1")}
+    built = D.build_collection("suppliers", SUPPLIERS, tables, max_items=16)
+    path = "purchaseOrders"
+    rows = built.documents.select(F.col("supplierId").alias("owner"), F.explode(path).alias("x"))
+    if path in built.continuations:
+        rows = rows.unionAll(built.continuations[path].select(F.col("l_suppkey").alias("owner"), F.explode(path).alias("x")))
+    return rows.groupBy("owner", "x.orderId", "x.lineNumber", "x.stockItemId").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "t9_order_lines_collection",
     """SELECT l_orderkey AS "orderId", l_linenumber AS "lineNumber", CAST(l_quantity AS INTEGER) AS quantity, p_name AS "stockItemName", n_groups
@@ -705,6 +784,59 @@ def src5(t):
     )
 
 
+def _graph_sql():
+    ids = {
+        "Order": ("orders", "'Sales.Orders:' || o_orderkey"),
+        "Customer": ("customer", "'Sales.Customers:' || c_custkey"),
+        "OrderLine": ("lineitem", f"'Sales.OrderLines:' || {_ROW_KEY}"),
+        "CustomerTransaction": (CLOSED, "'Sales.CustomerTransactions:' || o_orderkey"),
+    }
+    parts = [f"SELECT 'node' AS kind, '{label}' AS name, {id_} AS a, '' AS b FROM {table}" for label, (table, id_) in ids.items()]
+    parts += [
+        "SELECT 'edge', 'CUSTOMERS', 'Sales.Orders:' || o_orderkey, 'Sales.Customers:' || o_custkey FROM orders",
+        f"SELECT 'edge', 'ORDERS', 'Sales.OrderLines:' || {_ROW_KEY}, 'Sales.Orders:' || l_orderkey FROM lineitem",
+        f"SELECT 'edge', 'CUSTOMERS', 'Sales.CustomerTransactions:' || o_orderkey, 'Sales.Customers:' || o_custkey FROM {CLOSED}",
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("src5_graph_in_full", _graph_sql())
+def src5_full(t):
+    nodes, edges = G.build_nodes(graph_sources(t), NODES), G.build_edges(graph_sources(t), EDGES)
+    path = scratch_dir(t.spark, "graph")
+    files.write_graph(nodes, edges, path)
+    out = []
+    for label in nodes:
+        out.append(t.spark.read.parquet(f"{path}/nodes/{label}").select(F.lit("node").alias("kind"), F.col("label").alias("name"), F.col("id").alias("a"), F.lit("").alias("b")))
+    for kind, start, end in edges:
+        read = t.spark.read.parquet(f"{path}/edges/{kind}/{start}-{end}")
+        out.append(read.select(F.lit("edge").alias("kind"), F.col("type").alias("name"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionAll(part)
+    return rows
+
+
+@query("src5_graph_as_csv", _graph_sql())
+def src5_csv(t):
+    nodes, edges = G.build_nodes(graph_sources(t), NODES), G.build_edges(graph_sources(t), EDGES)
+    path = scratch_dir(t.spark, "graph")
+    files.write_graph_csv(nodes, edges, path, {"Order": "Sales.Orders"})
+    read = t.spark.read.option("header", "true").option("quote", '"').option("escape", '"').option("multiLine", "true")
+    out = []
+    for label in nodes:
+        df = read.csv(f"{path}/nodes/{label}")
+        out.append(df.select(F.lit("node").alias("kind"), F.col("`:LABEL`").alias("name"), F.col(f"`{df.columns[0]}`").alias("a"), F.lit("").alias("b")))
+    for kind, start, end in edges:
+        df = read.csv(f"{path}/edges/{kind}/{start}-{end}")
+        ends = {c.split("(")[0]: c for c in df.columns}
+        out.append(df.select(F.lit("edge").alias("kind"), F.col("`:TYPE`").alias("name"), F.col(f"`{ends[':START_ID']}`").alias("a"), F.col(f"`{ends[':END_ID']}`").alias("b")))
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionAll(part)
+    return rows
+
+
 # --- graph mapping files --------------------------------------------------
 
 
