@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.units import nanoseconds, size_bytes
+from tableloom.session import materialise
 
 METHOD, JOB, PARAMS = "Target_Method", "Job_Id", "Params"
 STAGE, LAUNCH, ITERATION, VALUE = (
@@ -90,21 +91,24 @@ def cumulative_mean(
 
 
 def five_numbers(
-    iterations: DataFrame, keys: Sequence[str] = (METHOD, JOB), value: str = VALUE, bins: int = 4096
+    iterations: DataFrame, keys: Sequence[str] = (METHOD, JOB), value: str = VALUE, bins: int | None = None
 ) -> DataFrame:
     """Minimum, quartiles and maximum per group, exact, linear between ranks (M6).
 
-    Each group is first counted in equal value bins between the overall
-    extremes. Only the bins that hold a wanted rank are looked at row by row,
-    and there only distinct values with their count are ranked.
+    Distinct values with their counts are dealt to ranges of group and value
+    (``bins`` of them, else as many as the session has shuffle partitions), so
+    a bin follows where the values are, outliers or not, and a large group
+    fills many. Counts per bin tell which bins hold a wanted rank, and only
+    those are ranked value by value.
     """
     q = (0.0, 0.25, 0.5, 0.75, 1.0)
     known = iterations.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    extremes = known.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
-    share = (F.col("_v") - F.col("_x.low")) / F.nullif(F.col("_x.high") - F.col("_x.low"), F.lit(0.0))
-    bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
-    binned = known.withColumn("_x", extremes).withColumn("_bin", bin_no).drop("_x")
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    values = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    columns = [*keys, "_v"]
+    values = values.repartitionByRange(bins, *columns) if bins else values.repartitionByRange(*columns)
+    # Read twice below, and a partition's number must be the same both times.
+    values = materialise(values.withColumn("_bin", F.spark_partition_id()), "five-numbers")
+    counts = values.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)
     ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(whole))
@@ -120,9 +124,8 @@ def five_numbers(
     wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
     wanted = wanted.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
     bins_needed = wanted.groupBy(*keys, "_bin").agg(F.first("_before").alias("_before"), F.collect_set("_rank").alias("_ranks"))
-    # At most ten bins per group are needed; their rows collapse to distinct values.
+    # At most ten bins per group are needed.
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a._bin") == F.col("b._bin")]
-    values = binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
     values = values.alias("a").join(bins_needed.alias("b"), same).select("a.*", "b._before", "b._ranks")
     inner = Window.partitionBy(*keys, "_bin").orderBy("_v")
     placed = values.withColumn("_end", F.col("_before") + F.sum("_n").over(inner))
