@@ -82,14 +82,15 @@ def grid_for(n: int, radius: int) -> int:
 
     More fixed groups give more cells for each fingerprint and fewer others in
     each cell: equal counts say as much as 0.7 equal bits, and comparing two
-    costs a tenth of sending one.
+    costs a tenth of sending one. Three groups at least, which serve up to
+    millions of fingerprints.
     """
 
     def cost(agree: int) -> float:
         cells = comb(radius + agree, agree)
         return cells * (1 + n / 2 ** (0.7 * 64 * agree / (radius + agree)) / 10)
 
-    return min(range(1, 33 - radius), key=cost)
+    return min(range(3, 33 - radius), key=cost)
 
 
 def _groups(radius: int, agree: int) -> list[int]:
