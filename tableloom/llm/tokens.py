@@ -37,7 +37,9 @@ class TextEncoder:
 
     def __init__(self, path: str, capacity: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library takes the strings of special tokens out of a text first, so a text with one is not cut.
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
         # The same model over words that are pre-tokens already.
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -52,7 +54,8 @@ class TextEncoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces, each after a space."""
-        common = [p for p in pieces if _COMMON.fullmatch(p)]
+        # White space at the end of a text is one pre-token, but not before the next piece.
+        common = [p for p in pieces if p[-1:] != "\n" and _COMMON.fullmatch(p)]
         got = {}
         if common:
             cut = "\x1f".join(self.pattern.findall(" " + "\x00 ".join(common)))
@@ -73,6 +76,8 @@ class TextEncoder:
         """The ids as little-endian unsigned 32-bit integers, without an end id; null is empty."""
         if not text:
             return b""
+        if self.special and self.special.search(text):
+            return self._plain(text)
         if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
             first, *rest = _CUT.split(text)
         else:

@@ -5,9 +5,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import nothing, odd  # noqa: F401
+from public_tokenizers import path
+from tokenizers import Tokenizer
 
 from tableloom.llm import packing, tokenfiles
-from tableloom.llm.tokens import encoder
+from tableloom.llm.tokens import VOCABULARY, TextEncoder, encoder
 
 
 def plain(text):
@@ -25,6 +27,16 @@ def test_special_strings_and_long_words():
         assert np.frombuffer(encoder().encode(text), "<u4").tolist() == plain(text)
 
 
+def test_ids_are_those_of_a_fresh_tokenizer():
+    fresh = Tokenizer.from_file(path(VOCABULARY))
+    assert [x for x in fresh.get_vocab() if "\u0100" in x] == ["\u0100"]  # no merge crosses the mark between pieces
+    texts = ["a foo\n\n", "a quux zyzzy foo bar\n\n", "b corge\n\n\n grault garply\n\n\n", "b é\n\nü ö\n\n", "a foo", "one <|endoftext|> two\n\n", "a<|endoftext|>b c"]
+    for order in (texts, texts[::-1]):
+        own = TextEncoder(path(VOCABULARY))
+        for text in order:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_ranks_round_trip(values):
