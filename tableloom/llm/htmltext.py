@@ -27,6 +27,8 @@ UNSEEN = frozenset("head script style noscript template svg math iframe object c
 FRAME = frozenset("nav aside footer form menu dialog".split())
 CONTAINERS = frozenset(("article", "main"))
 GAPS = frozenset(("br", "td", "th"))
+# What can stand in a head; any other start tag ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
@@ -56,8 +58,9 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, whether text is left out, container
+        self.open: list[tuple[str, bool, int, set[int]]] = []  # name, whether text is left out, container, containers begun in a frame
         self.containers = 0
+        self.framed: set[int] = set()  # containers in a frame that has an end
         self._reset()
 
     def _reset(self):
@@ -75,6 +78,8 @@ class _Lines(HTMLParser):
         self._reset()
 
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self._break()
             self._close_open("p", until=CONTAINERS | {"table", "button", "blockquote", "div", "section"})
@@ -87,14 +92,18 @@ class _Lines(HTMLParser):
             return
         out, container = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
         if tag in CONTAINERS and not self._marked(attrs):
-            # An article ends what was left open before it; only unseen elements and other frames hold it back.
-            out = any(name in UNSEEN | FRAME for name, _, _ in self.open)
-            if not out and not container:
+            # An article ends what was left open before it; only unseen elements hold it back, and frames with
+            # an end after it. A form may go around the whole page.
+            out = any(name in UNSEEN for name, *_ in self.open)
+            frames = [begun for name, _, _, begun in self.open if name in FRAME and name != "form"]
+            if not out and (frames or not container):
                 self.containers += 1
                 container = self.containers
+                for begun in frames:
+                    begun.add(container)
         out = out or tag in UNSEEN or tag in FRAME or (tag == "header" and not container)
         out = out or (tag not in ("html", "body") and self._marked(attrs))
-        self.open.append((tag, out, container))
+        self.open.append((tag, out, container, set()))
         self.heading = self.heading or tag in ("h1", "h2")
 
     def handle_startendtag(self, tag, attrs):
@@ -106,16 +115,32 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._break()
         self.tags += 1
-        self._close_open(tag)
+        if closed := self._close_open(tag):
+            self.framed |= closed[3]
+
+    def _end_head(self):
+        """The end tag of a head may be left out."""
+        if self.open and self.open[-1][0] == "head":
+            self.open.pop()
+
+    def parse_html_declaration(self, i):
+        """A marked section that the library gives up on, or that has no end, is a comment up to the next ``>``."""
+        try:
+            end = super().parse_html_declaration(i)
+        except AssertionError:
+            end = -1
+        return self.parse_bogus_comment(i) if end < 0 else end
 
     def _close_open(self, tag: str, until=frozenset()):
         for k in range(len(self.open) - 1, -1, -1):
             name = self.open[k][0]
             if name == tag:
+                closed = self.open[k]
                 del self.open[k:]
-                return
+                return closed
             if name in until:
-                return
+                return None
+        return None
 
     @staticmethod
     def _marked(attrs) -> bool:
@@ -128,23 +153,22 @@ class _Lines(HTMLParser):
         return False
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if self._left_out():
             return
         self.parts.append(data)
-        if any(name == "a" for name, _, _ in self.open[-4:]):
+        if any(name == "a" for name, *_ in self.open[-4:]):
             self.linked += len(data.strip())
 
 
 def lines_of(html: str) -> list[Line]:
-    """The blocks of a page in page order; markup that the parser gives up on ends the page there."""
+    """The blocks of a page in page order."""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:
-        pass
+    parser.feed(html)
+    parser.close()
     parser._break()
-    return parser.lines
+    return [x for x in parser.lines if x.container not in parser.framed]
 
 
 def content(lines: list[Line], spread: int = SPREAD) -> np.ndarray:

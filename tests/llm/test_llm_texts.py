@@ -183,6 +183,24 @@ def test_main_text(frame, nothing):
     assert htmltext.extract(rows.limit(0)).count() == 0
 
 
+def test_no_page_is_lost_on_legal_markup():
+    article = f"<article><p>{BODY}</p></article>"
+    for html, want in (
+        (f"<html><head><title>t</title><meta charset=utf-8><body><p>{BODY}</p></body>", [BODY]),
+        (f"<head><title>t</title><style>p{{}}</style>{article}", [BODY]),
+        (f"<head><title>t</title>{BODY}", [BODY]),
+        (f"<head><noscript><p>no</p></noscript></head><p>{BODY}</p>", [BODY]),
+        (f"<body><form action=x><div>{article}</div></form></body>", [BODY]),
+        (f"<body><div><nav><a href=x>menu</a>{article}</div>", [BODY]),
+        (f"<aside><article><p>other {BODY}</p></article></aside>{article}", [BODY]),
+        (f"<article><p>{BODY}</p><aside><article>other</article></aside><p>end</p></article>", [BODY, "end"]),
+        (f"<article><p>{BODY}</p><![x[ foo ]]><p>tail</p></article>", [BODY, "tail"]),
+        (f"<article><p>{BODY}</p><![ x ]><p>tail</p></article>", [BODY, "tail"]),
+        (f"<article><p>{BODY}</p><![CDATA[ foo ><p>tail</p></article>", [BODY, "tail"]),
+    ):
+        assert htmltext.main_blocks(html) == want, html
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div", " class=", "'ad'", ">", "<!--", "-->", "<![CDATA[", "]]>", "<article>", "</article>", "text ", "&am", "<script>", "</"]), max_size=30).map("".join))
 def test_any_markup_is_survived(html):
