@@ -75,8 +75,8 @@ def anchors_of(items: DataFrame, similarity: float, k: int = WORDS) -> DataFrame
     nth = F.row_number().over(Window.partitionBy("item").orderBy("h", "at"))
     first = F.min("nth").over(Window.partitionBy("item", "h"))
     rows = rows.withColumn("nth", nth).withColumn("first", first).where(F.col("first") <= missing + 1)
-    slack = F.floor(missing / F.col("k")).cast("int")  # words that may be put in or left out before an anchor
-    return rows.select("k", "h", "item", "at", "n_words", slack.alias("slack"))
+    # Words that may be put in or left out before an anchor: each is the first of a shingle that the other side has not.
+    return rows.select("k", "h", "item", "at", "n_words", missing.alias("slack"))
 
 
 def regions(docs: DataFrame, anchors: DataFrame) -> DataFrame:

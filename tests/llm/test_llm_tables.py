@@ -69,6 +69,18 @@ def test_leaks_against_brute_force(frame, monkeypatch, rows):
     assert {d for d, i in got if i == 100} == {1, 2, 3, 5, 6, None}
 
 
+def test_leaks_with_a_run_of_words_put_in(frame):
+    items, docs = [], []
+    for k in range(30):
+        words = [f"i{k}w{j}" for j in range(204)]
+        passage = words[:12] + [f"new{k}x{j}" for j in range(18)] + words[12:186]
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join(passage + [f"after{k}x{j}" for j in range(60)])))
+    found = decontaminate.leaks(frame(docs, "doc_id bigint, text string"), frame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(30)]
+    assert all(abs(r.similarity - 178 / 222) < 1e-9 for r in found)
+
+
 def test_leaks_of_empty_tables(frame, odd, nothing):
     bench = frame(ITEMS, "item_id bigint, text string")
     assert decontaminate.leaks(nothing, bench).count() == 0
