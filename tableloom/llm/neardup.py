@@ -1,0 +1,167 @@
+"""Near copies by the exact similarity of their word shingles.
+
+Two sources name pairs, and the exact similarity decides each of them: the
+SimHash grid within a small radius, and shared shingles of the prefixes. With
+all shingles in one order, texts of the least similarity share one among the
+first n - ceil(similarity * n) + 1 of each, so no pair is missed. Pairs within
+a component that is known already are not looked at again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tableloom.llm import simhash
+from tableloom.llm.components import connected
+from tableloom.llm.lines import version
+from tableloom.session import materialise
+
+WORDS = 5
+SIMILARITY = 0.8
+RADIUS = 6
+# One text in so many is looked at for common shingles, which go to the end of
+# the order; any order gives the same result.
+SAMPLED = 32
+COMMON, COMMON_TEXTS = 200_000, 4
+# Bits up to which the first pairs of shared shingles are taken; the others wait for what these connect.
+LIKELY = 16
+ROWS = 200
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The different shingles of a text as sorted hashes; texts without words are alike."""
+    found = np.unique(simhash.shingle_hashes(text, words))
+    return found if len(found) else np.zeros(1, dtype="<u8")
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many sampled texts have, and how many."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0).select(F.col("text").cast("string"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view("<i8"))], names=["h"])
+
+    counts = sample.mapInArrow(hashes, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prints(docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``version, fp, n, prefix`` of each different text: its fingerprint, its number of shingles and the first of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
+        for batch in batches:
+            fps, sizes, prefixes = [], [], []
+            for text in batch.column(1):
+                hashes = simhash.shingle_hashes(text.as_py(), words)
+                fps.append(simhash.fingerprint_from(hashes))
+                own = np.unique(hashes) if len(hashes) else np.zeros(1, dtype="<u8")
+                rank = np.zeros(len(own), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    rank = np.where(common[at] == own, often[at], 0)
+                first = np.lexsort((own, rank))[: len(own) - ceil(similarity * len(own) - 1e-9) + 1]
+                sizes.append(len(own))
+                prefixes.append(own[first].view("<i8"))
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["version", "fp", "n", "prefix"])
+
+    texts = docs.select(version(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(rows, "version bigint, fp bigint, n int, prefix array<bigint>").dropDuplicates(["version"])
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs ``a, b`` of versions whose texts have the least similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("version")).distinct()
+    texts = docs.select(version(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(wanted, "version", "left_semi").dropDuplicates(["version"])
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, words).tobytes() for x in text], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+            return both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    sets = materialise(texts.select("version", packed("text").alias("own")), "shingle-sets")
+    left = sets.select(F.col("version").alias("a"), F.col("own").alias("x"))
+    right = sets.select(F.col("version").alias("b"), F.col("own").alias("y"))
+    # Rows hold two whole sets, so few of them go to Python at a time.
+    spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    spark.conf.set(rows, ROWS)
+    try:
+        return materialise(pairs.join(left, "a").join(right, "b").where(close("x", "y")).select("a", "b"), "alike")
+    finally:
+        spark.conf.set(rows, usual)
+
+
+def _near(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def links(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """Edges ``a, b`` between versions of texts; each has the least similarity, and they connect all pairs that have it."""
+    prints = materialise(_prints(docs, similarity, words), "prints")
+    # The smallest version of each fingerprint stands for it.
+    nodes = materialise(prints.groupBy("fp").agg(F.min("version").alias("first")), "nodes")
+    grid = simhash.links(nodes.select("fp"), radius)
+    for end in ("a", "b"):
+        grid = grid.join(nodes.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    grid = grid.select(*_pair(F.col("_a"), F.col("_b")))
+    equal = prints.select("fp", "version").join(nodes, "fp").where("version != first").select(*_pair(F.col("version"), F.col("first")))
+
+    places = prints.select("version", "n", "fp", F.posexplode("prefix").alias("at", "h"))
+    several = places.groupBy("h").agg(F.min(F.struct("version", "n", "fp")).alias("first"), F.max("version").alias("last")).where("first.version != last")
+    places = materialise(places.join(several.select("h", "first"), "h"), "places")  # shingles of several texts
+    stars = places.where((F.col("version") != F.col("first.version")) & _near(F.col("n"), F.col("first.n"), similarity))
+    stars = stars.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= LIKELY)
+    stars = stars.select(*_pair(F.col("version"), F.col("first.version")))
+    found = _alike(materialise(grid.union(equal).union(stars).distinct(), "pairs"), docs, similarity, words)
+
+    # What is left: pairs between components, by the shingle that is the first they share.
+    roots = connected(found).select(F.col("node").alias("version"), "root")
+    places = places.join(roots, "version", "left").select("h", "version", "n", "at", F.coalesce("root", "version").alias("root"))
+    mixed = places.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("h")
+    places = materialise(places.join(mixed, "h", "left_semi"), "mixed")
+    one, other = places.alias("p"), places.alias("q")
+    most = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))  # shingles that both can have from here on
+    enough = most * (1 + similarity) >= similarity * (F.col("p.n") + F.col("q.n")) - 1e-9
+    near = _near(F.col("p.n"), F.col("q.n"), similarity)
+    rest = one.join(other, (F.col("p.h") == F.col("q.h")) & (F.col("p.root") < F.col("q.root")) & near & enough)
+    rest = rest.select(*_pair(F.col("p.version"), F.col("q.version"))).distinct()
+    return found.union(_alike(materialise(rest, "pairs"), docs, similarity, words))
+
+
+def components(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, version, root`` of every row of ``docs``; ``root`` is the smallest version that a text reaches.
+
+    Texts whose sets of word shingles have the least similarity are linked.
+    Null texts and texts without words are alike; repeated rows stay; other
+    columns are not read. ``docs`` is read several times.
+    """
+    roots = connected(links(docs, similarity, words, radius)).select(F.col("node").alias("version"), "root")
+    rows = docs.select("doc_id", version(F.col("text").cast("string")).alias("version"))
+    return rows.join(roots, "version", "left").select("doc_id", "version", F.coalesce("root", "version").alias("root"))

@@ -35,11 +35,11 @@ FEW_CELLS = 10_000
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The SimHash of the word shingles of a text, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of the word shingles of a text in order, repeats included; none without words."""
     parts = text.encode().lower().split() if text else []
     if not parts:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     if len(parts) <= words:
@@ -47,12 +47,22 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     else:
         starts = [0, *(ends[: len(parts) - words] + 1).tolist()]
         ends = ends[words - 1 :].tolist()
+    shingles = (joined[a:b] for a, b in zip(starts, ends, strict=True))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=len(starts))
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The SimHash of the word shingles of a text, repeats included; 0 without words."""
+    return fingerprint_from(shingle_hashes(text, words))
+
+
+def fingerprint_from(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(starts), _CHUNK):
-        shingles = [joined[a:b] for a, b in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK], strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=len(shingles))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > len(starts)).astype(np.uint8)
+    for k in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 

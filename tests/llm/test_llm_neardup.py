@@ -1,0 +1,55 @@
+import random
+
+import pytest
+from llm_cases import nothing, odd  # noqa: F401
+
+from tableloom.llm import neardup
+
+
+def shingles(text, words=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+
+
+def expected(docs, similarity=0.8):
+    low = {d: d for d, _ in docs}
+
+    def find(d):
+        while low[d] != d:
+            d = low[d]
+        return d
+
+    sets = [(d, shingles(t)) for d, t in docs]
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if len(x & y) >= similarity * len(x | y) - 1e-9:
+                a_, b_ = find(a), find(b)
+                low[max(a_, b_)] = min(a_, b_)
+    return {d: find(d) for d, _ in docs}
+
+
+@pytest.mark.parametrize("sampled", [1, 32])
+def test_components_against_brute_force_similarity(frame, monkeypatch, sampled):
+    monkeypatch.setattr(neardup, "SAMPLED", sampled)
+    rng, docs = random.Random(5), []
+    passage = [f"p{k}" for k in range(60)]
+    for base in range(12):
+        words = [f"b{base}w{k}" for k in range(rng.randrange(6, 160))]
+        words = words + passage if base % 3 == 0 else words
+        for copy in range(8):
+            own = words[:]
+            for _ in range(rng.randrange(0, max(2, len(own) // 40 + 2))):
+                own[rng.randrange(len(own))] = f"x{rng.random()}"
+            docs.append((len(docs), " ".join(own[rng.randrange(0, 1 + len(own) // 12) :])))
+    docs += [(len(docs), docs[3][1]), (len(docs) + 1, ""), (len(docs) + 2, None), (len(docs) + 3, " \n ")]
+    got = neardup.components(frame(docs, "doc_id bigint, text string")).collect()
+    first = {}
+    for r in got:
+        first[r.root] = min(first.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: first[r.root] for r in got} == expected(docs)
+
+
+def test_odd_rows(odd, nothing):
+    rows = neardup.components(odd).collect()
+    assert len(rows) == odd.count() and len({r.root for r in rows if r.doc_id in (1, 2, 3)}) == 1
+    assert neardup.components(nothing).count() == 0
