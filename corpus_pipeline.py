@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import decontaminate, lines, neardup, packing, quality, simhash
+from tableloom.llm import decontaminate, lines, packing, quality, simhash
 from tableloom.llm.columns import free_name
 from tableloom.session import configure, materialise
 
 MIN_DOCS = 10  # documents that share a line before it goes
-NEAR_WORDS, NEAR_BITS = 5, 6
-NEAR_SIMILARITY = 0.8  # decides; the bits only name the first pairs
+NEAR_WORDS, NEAR_BITS = simhash.WORDS, simhash.RADIUS
 WINDOW = 1024
 
 
@@ -35,9 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id."""
+    """One document of each group linked by fingerprints: the smallest id."""
     configure(spark)
-    found = neardup.components(docs, NEAR_SIMILARITY, NEAR_WORDS, NEAR_BITS)
+    found = simhash.components(docs, NEAR_BITS, NEAR_WORDS)
     one = _rows_of(docs, simhash.representatives(found), "left_semi")
     # Repeated rows are equal in both columns.
     return one.dropDuplicates(["doc_id", _version(docs)]).select(*docs.columns)
