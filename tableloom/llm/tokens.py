@@ -33,9 +33,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Encodes whole texts, each different word once per worker while a bounded cache has room."""
+    """Encodes whole texts; ids of words and of the pre-tokens of rarer words are kept in two bounded caches per worker."""
 
-    def __init__(self, path: str, capacity: int = 600_000):
+    def __init__(self, path: str, words: int = 300_000, parts: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         # The library takes the strings of special tokens out of a text first, so a text with one is not cut.
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -45,30 +45,53 @@ class TextEncoder:
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         letters = _byte_letters()
-        self.mark = self.tokenizer.token_to_id(letters[0])  # stands between pieces
+        self.mark = self.tokenizer.token_to_id(letters[0])  # the id of \x00, which is in no other token
+        self.marked = sum(letters[0] in t for t in self.tokenizer.get_vocab()) == 1
         self.letters = letters | {0x1F: " "}  # \x1F stands between pre-tokens
-        self.capacity, self.known = capacity, {}
+        self.room, self.known = words, {}
+        self.part_room, self.parts = parts, {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different pre-tokens, each ended by \x00."""
+        mapped = "\x1f".join(parts).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == self.mark).tolist()
+        raw = ids.tobytes()
+        return {p[:-1]: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *(c + 1 for c in cuts)], cuts, strict=False)}
+
+    def _cut(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces through those of their pre-tokens."""
+        found = self.pattern.findall(" " + "\x00 ".join(pieces) + "\x00")
+        known, new = self.parts, {}
+        missing = list({p if p[-1] == "\x00" else p + "\x00" for p in found if p != "\x00" and p.rstrip("\x00") not in known})
+        if missing:
+            new = self._part_ids(missing)
+            if len(known) < self.part_room:
+                known.update((p, ids) for p, ids in new.items() if len(p) <= _KEPT_CHARS)
+        got, held, turn = {}, [], iter(pieces)
+        for p in found:
+            if p[-1] != "\x00":
+                held.append(known.get(p) or new[p])
+                continue
+            if len(p) > 1:
+                held.append(known.get(p[:-1]) or new[p[:-1]])
+            got[next(turn)] = b"".join(held)
+            held = []
+        return got
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces, each after a space."""
         # White space at the end of a text is one pre-token, but not before the next piece.
-        common = [p for p in pieces if p[-1:] != "\n" and _COMMON.fullmatch(p)]
-        got = {}
-        if common:
-            cut = "\x1f".join(self.pattern.findall(" " + "\x00 ".join(common)))
-            mapped = cut.encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            raw = ids.tobytes()
-            got = {p: raw[4 * a : 4 * b] for p, a, b in zip(common, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)}
+        common = [p for p in pieces if p[-1:] != "\n" and _COMMON.fullmatch(p)] if self.marked else []
+        got = self._cut(common) if common else {}
         if len(common) < len(pieces):
             others = [p for p in pieces if p not in got]
             for p, e in zip(others, self.tokenizer.encode_batch_fast([" " + p for p in others], add_special_tokens=False), strict=True):
                 got[p] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.known) < self.capacity:
+        if len(self.known) < self.room:
             self.known.update((p, ids) for p, ids in got.items() if len(p) <= _KEPT_CHARS)
         return got
 
