@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import decontaminate, htmltext, language, licenses, lines, packing, quality, simhash, tokenfiles, warc
+from tableloom.llm import centroids, decontaminate, htmltext, language, licenses, lines, packing, quality, ranked, simhash, substrings, tokenfiles, warc
 from tableloom.plans.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,89 @@ def op8(t: Tables) -> DataFrame:
     found = warc.resolve(warc.captures_of(t("pages"))).where(F.col("record_id") % 2 == 1)
     lines_of = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.withColumn("headers", F.array_join(lines_of, "\n"))
+
+
+def _cluster_sql() -> str:
+    """Three rounds and the last assignment, one after the other."""
+    steps = [
+        r"""kept AS (
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (
+        SELECT row_number() OVER (ORDER BY digest, v) - 1 AS cluster, v AS c
+        FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS digest, v FROM kept ORDER BY ALL LIMIT 16))"""
+    ]
+    for k in range(4):
+        steps.append(f"""a{k} AS (
+        SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(({{'distance': distance, 'cluster': cluster}})) AS best
+        FROM (SELECT r, vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+              FROM kept, c{k}) GROUP BY r)""")
+        if k < 3:
+            steps.append(f"""m{k} AS (
+        SELECT cluster, list(m ORDER BY p) AS c
+        FROM (SELECT best.cluster AS cluster, p, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+              FROM (SELECT best, unnest(v) AS x, unnest(generate_series(1, 64)) AS p FROM a{k}) GROUP BY ALL) GROUP BY cluster),
+    c{k + 1} AS (SELECT cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))""")
+    return "WITH " + ",\n    ".join(steps) + """
+    SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.distance AS distance,
+        CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.distance) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 ON best.cluster = c3.cluster
+    """
+
+
+@query("op11_centroid_clustering", _cluster_sql())
+def op11(t: Tables) -> DataFrame:
+    """The cluster of every vector of 64 finite components, after three rounds from 16 first centroids."""
+    return centroids.cluster(t("embeddings"), k=16, rounds=3)
+
+
+@query(
+    "op12_substring_dedup",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (
+        SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM w WHERE len(w) >= 35)),
+    rep AS (SELECT doc_id, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+    word AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM w)),
+    judged AS (
+        SELECT word.doc_id, p, word, max(i) OVER (PARTITION BY word.doc_id ORDER BY p) AS last
+        FROM word LEFT JOIN rep ON word.doc_id = rep.doc_id AND p = i),
+    kept AS (
+        SELECT doc_id, count(*) FILTER (WHERE last >= p - 34) AS n_removed, string_agg(CASE WHEN last >= p - 34 THEN NULL ELSE word END, ' ' ORDER BY p) AS kept
+        FROM judged GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
+)
+def op12(t: Tables) -> DataFrame:
+    """What every document keeps when words in repeated windows of 35 words go."""
+    return substrings.remove(t("documents"))
+
+
+@query(
+    "op13_ranked_search",
+    r"""
+    WITH tok AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+        FROM documents WHERE text IS NOT NULL),
+    size AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM tok WHERE len(w) > 0),
+    q AS (
+        SELECT DISTINCT item_id,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark),
+    tf AS (
+        SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM tok)
+        WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+    weight AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term),
+    hit AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS score
+        FROM tf JOIN weight USING (term) JOIN q USING (term), size GROUP BY item_id, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+    """,
+)
+def op13(t: Tables) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return ranked.search(t("documents"), t("benchmark"), k=10)
