@@ -50,20 +50,26 @@ class Field:
 class TableMapping:
     """How one table enters a collection.
 
-    ``link`` pairs a column of the parent table with one of this table.
+    ``link`` pairs a column of the parent table with one of this table, or is a
+    tuple of such pairs where a key has several columns.
     """
 
     kind: str
     table: str
     fields: tuple[Field, ...]
     path: str | None = None
-    link: tuple[str, str] | None = None
+    link: tuple[str, str] | tuple[tuple[str, str], ...] | None = None
     children: tuple["TableMapping", ...] = field(default_factory=tuple)
 
     @property
     def key(self) -> list[str]:
         return [f.source for f in self.fields if f.primary_key]
 
+    @property
+    def pairs(self) -> tuple[tuple[str, str], ...]:
+        """``link`` as pairs of a parent column and a column of this table."""
+        return (self.link,) if isinstance(self.link[0], str) else self.link
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -79,6 +85,16 @@ class Collection:
     continuations: dict[str, DataFrame]
 
 
+def _whole_key(columns: Sequence[str]) -> Column:
+    """One value for a key of one or more columns; null if any of them is."""
+    if len(columns) == 1:
+        return F.col(columns[0])
+    known = F.col(columns[0]).isNotNull()
+    for c in columns[1:]:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.struct(*[F.col(c).alias(c) for c in columns]))
+
+
 def _field_columns(fields: Sequence[Field]) -> list[Column]:
     out = []
     for f in fields:
@@ -141,33 +157,35 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
         inside_object = repeated or child.kind == EMBEDDED
         below, below_names = _fold(child, tables, rest, at, inside_object, max_items, repeat_items)
         columns = _field_columns(child.fields) + [F.col(n) for n in below_names]
-        parent_column, child_column = child.link
+        parent_key, child_key = (_whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
         if child.kind == EMBEDDED:
-            embedded = below.select(F.col(child_column).alias("_k"), F.struct(*columns).alias(child.path))
+            embedded = below.select(child_key.alias("_k"), F.struct(*columns).alias(child.path))
             # One row per referenced key: a hot foreign key is split by the join, not collected.
-            rows = rows.join(embedded, F.col(parent_column) == F.col("_k"), "left").drop("_k")
+            rows = rows.join(embedded, parent_key == F.col("_k"), "left").drop("_k")
         else:
-            children = below.select(F.col(child_column).alias("_k"), *columns)
+            children = below.select(child_key.alias("_k"), *columns)
             order = [f.target for f in child.fields if f.included and f.primary_key]
             order += [f.target for f in child.fields if f.included and not f.primary_key]
             # Embedding keeps the rows of the child table, so the table itself is counted.
             bound = repeat_items if repeated else max_items
-            counted = tables[child.table].select(F.col(child_column).alias("_k")).filter("_k IS NOT NULL")
+            counted = tables[child.table].select(child_key.alias("_k")).filter("_k IS NOT NULL")
             hot = hot_keys(counted, ["_k"], bound)
             got = _array(children, child.path, order, repeated, max_items, hot)
-            rows = rows.join(got.rows, F.col(parent_column) == F.col("_k"), "left").drop("_k")
+            rows = rows.join(got.rows, parent_key == F.col("_k"), "left").drop("_k")
             empty = F.array().cast(got.rows.schema[child.path].dataType)
             rows = rows.withColumn(child.path, F.coalesce(child.path, empty))
             parts = child.path + PARTS
             if got.continuations is None:
                 rows = rows.withColumn(parts, F.lit(1))
             else:
-                owners = rows.select(F.col(parent_column).alias("_k")).distinct()
+                owners = rows.select(parent_key.alias("_k")).distinct()
                 tail = got.continuations.join(owners, "_k", "left_semi")
                 counts = tail.groupBy("_k").agg((F.count(F.lit(1)) + 1).cast("int").alias(parts))
-                rows = rows.join(counts, F.col(parent_column) == F.col("_k"), "left").drop("_k")
+                rows = rows.join(counts, parent_key == F.col("_k"), "left").drop("_k")
                 rows = rows.withColumn(parts, F.coalesce(parts, F.lit(1)))
-                rest[at] = tail.withColumnRenamed("_k", child_column)
+                owner = [c for _, c in child.pairs]
+                named = [F.col("_k").alias(owner[0])] if len(owner) == 1 else [F.col(f"_k.{c}").alias(c) for c in owner]
+                rest[at] = tail.select(*named, *[c for c in tail.columns if c != "_k"])
             nested.append(parts)
         nested.append(child.path)
     return rows, nested

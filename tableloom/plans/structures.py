@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from tableloom.operators import documents as D
 from tableloom.operators import graph as G
+from tableloom.operators import projects as P
 from tableloom.operators import relational as R
 from tableloom.plans.registry import query
 from tableloom.session import scratch_dir
@@ -548,6 +550,157 @@ def t12(t):
     return rows.drop("mapping_id").withColumn("embedded_path", F.coalesce("embedded_path", F.lit("")))
 
 
+# --- a mapping project for the local tables ---------------------------------
+
+DATABASE = "local.main"
+# Mapping id: collection, kind, table, path, foreign key, (source, target, type, key, excluded, null left out), children.
+LOCAL_MAPPINGS = {
+    "order": ("orders", D.NEW_DOCUMENT, "orders", None, None, ORDER_FIELDS, ["order-customer"]),
+    "order-customer": ("orders", D.EMBEDDED, "customer", "customer", "fk_orders_customer", CUSTOMER_FIELDS, ["order-customer-tx"]),
+    "order-customer-tx": ("orders", D.EMBEDDED_ARRAY, "closed", "customerTransactions", "fk_closed_customer", CLOSED_FIELDS, []),
+    "supplier": ("suppliers", D.NEW_DOCUMENT, "supplier", None, None, SUPPLIER_FIELDS, ["supplier-items", "supplier-orders"]),
+    "supplier-items": ("suppliers", D.EMBEDDED_ARRAY, "link", "stockItems", "fk_link_supplier", LINK_FIELDS, []),
+    "supplier-orders": ("suppliers", D.EMBEDDED_ARRAY, "lineitem", "purchaseOrders", "fk_lineitem_supplier", LINE_FIELDS, []),
+}
+LOCAL_KEYS = (
+    ("fk_orders_customer", "orders", "o_custkey", "customer", "c_custkey"),
+    ("fk_closed_customer", "closed", "o_custkey", "customer", "c_custkey"),
+    ("fk_link_supplier", "link", "l_suppkey", "supplier", "s_suppkey"),
+    ("fk_lineitem_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+)
+
+
+def project_text(mappings=None, keys=LOCAL_KEYS, names=("orders", "suppliers")):
+    """A mapping project over the local tables as its JSON text."""
+    mappings = mappings or LOCAL_MAPPINGS
+    database, schema = DATABASE.split(".")
+    tables = sorted({m[2] for m in mappings.values()})
+
+    def entry(f):
+        target = {"name": f.target, "included": f.included, "isNullExcluded": f.null_excluded, "type": f.type}
+        return {"target": target, "source": {"name": f.source, "databaseSpecificType": "int", "isPrimaryKey": f.primary_key}}
+
+    def mapping(collection, kind, table, path, key, fields, _):
+        settings = {"type": kind} | ({"embeddedPath": path, "foreignKeyName": key} if path else {})
+        # The names of the members give the order of the fields.
+        return {"settings": settings, "fields": {f"{k:02}": entry(f) for k, f in enumerate(fields)}, "collectionId": collection, "table": table}
+
+    columns = {}
+    for name, table, column, other, referred in keys:
+        columns.setdefault(table, {})[column] = {"foreignKey": {"name": name, "schema": schema, "table": other, "column": referred}}
+    content = {
+        "collections": {n: {"name": n} for n in names},
+        "tables": {t: {"path": {"database": database, "schema": schema, "table": t}} for t in tables},
+        "mappings": {k: mapping(*m) for k, m in mappings.items()},
+        "relationships": {"mappings": {k: {"children": m[6]} for k, m in mappings.items()}},
+    }
+    catalog = {"full": {"databases": {database: {"schemas": {schema: {"tables": {t: {"columns": c} for t, c in columns.items()}}}}}}}
+    return json.dumps({"project": {"content": content}, "schema": catalog})
+
+
+def local_project(t, text=None):
+    return P.read_projects(t.spark.sql("SELECT :text AS text", args={"text": text or project_text()}), "text")
+
+
+def project_tables(t):
+    """All orders count as transactions; tables go by their full names."""
+    return {f"{DATABASE}.{name}": df for name, df in full_sources(t).items()}
+
+
+@query(
+    "t12_project_builds_orders",
+    """SELECT o_orderkey AS "orderId", o_custkey AS "customerId", o_orderpriority AS priority, c_name AS "customerName", n_tx, sum_tx
+        FROM orders JOIN customer ON c_custkey = o_custkey
+        JOIN (SELECT o_custkey AS k, count(*) AS n_tx, sum(o_orderkey)::BIGINT AS sum_tx FROM orders GROUP BY o_custkey) x ON k = o_custkey""",
+)
+def t12_orders(t):
+    built = P.build_project(local_project(t), project_tables(t))["orders"]
+    path = "customer.customerTransactions"
+    total = F.aggregate(path, F.lit(0).cast("bigint"), lambda a, x: a + x["transactionId"])
+    rows = built.documents.select(
+        "orderId", "customerId", "priority", F.col("customer.customerName"), F.size(path).cast("bigint").alias("n_tx"), total.alias("sum_tx")
+    )
+    if path in built.continuations:
+        more = built.continuations[path].select(F.col("o_custkey").alias("c"), F.explode("customerTransactions").alias("x"))
+        more = more.groupBy("c").agg(F.count(F.lit(1)).alias("n2"), F.sum("x.transactionId").alias("s2"))
+        rows = rows.join(more, F.col("customerId") == F.col("c"), "left").withColumn("n_tx", F.col("n_tx") + F.coalesce("n2", F.lit(0)))
+        rows = rows.withColumn("sum_tx", F.col("sum_tx") + F.coalesce("s2", F.lit(0))).drop("c", "n2", "s2")
+    return rows
+
+
+@query(
+    "t12_project_builds_suppliers",
+    """SELECT s_suppkey AS "supplierId", n_items, sum_items, n_orders, sum_orders FROM supplier
+       JOIN (SELECT l_suppkey, count(*) AS n_items, sum(l_partkey)::BIGINT AS sum_items FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_suppkey) a ON a.l_suppkey = s_suppkey
+       JOIN (SELECT l_suppkey, count(*) AS n_orders, sum(l_orderkey)::BIGINT AS sum_orders FROM lineitem GROUP BY l_suppkey) b ON b.l_suppkey = s_suppkey""",
+)
+def t12_suppliers(t):
+    built = P.build_project(local_project(t), project_tables(t))["suppliers"]
+    items = sizes(built, "supplierId", "l_suppkey", "stockItems", "stockItemId", "items")
+    orders = sizes(built, "supplierId", "l_suppkey", "purchaseOrders", "orderId", "orders")
+    return items.join(orders, "supplierId")
+
+
+@query(
+    "t12_project_fields",
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"('{m}', '{f.source}', '{f.target}', '{f.type or ''}', {f.primary_key}, {f.included}, {n}::BIGINT)"
+        for m, (_, _, table, _, _, fields, _) in LOCAL_MAPPINGS.items()
+        for f in fields
+        for n in (f"(SELECT count(*) FROM {'lineitem' if table == 'link' else 'orders' if table == 'closed' else table})",)
+    ) + ") AS f(mapping_id, source_column, target_property, target_type, is_primary_key, included, n_rows)",
+)
+def t12_fields(t):
+    """The mapped columns of a project with the rows of the table that each is read from."""
+    project = local_project(t)
+    counts = None
+    for table, df in {"orders": t("orders"), "closed": t("orders"), "customer": t("customer"), "supplier": t("supplier"), "lineitem": t("lineitem"), "link": t("lineitem")}.items():
+        one = df.agg(F.lit(f"{DATABASE}.{table}").alias("source_table"), F.count(F.lit(1)).alias("n_rows"))
+        counts = one if counts is None else counts.unionByName(one)
+    rows = project.fields.join(project.mappings.select("mapping_id", "source_table"), "mapping_id").join(counts, "source_table")
+    return rows.select("mapping_id", "source_column", "target_property", F.coalesce("target_type", F.lit("")).alias("target_type"), "is_primary_key", "included", "n_rows")
+
+
+def null_flags(excluded):
+    """The customer mapping with two fields that may be null, one of them left out where it is."""
+    fields = (
+        field("c_custkey", "customerId", "LONG", key=True),
+        field("segment", "segment", "STRING"),
+        D.Field("region", "region", "STRING", null_excluded=excluded),
+    )
+    order = (field("o_orderkey", "orderId", "LONG", key=True), D.Field("late", "late", "LONG", null_excluded=excluded))
+    mappings = {
+        "customer": ("customers", D.NEW_DOCUMENT, "shown_customer", None, None, fields, ["customer-orders"]),
+        "customer-orders": ("customers", D.EMBEDDED_ARRAY, "shown_orders", "orders", "fk_orders_customer", order, []),
+    }
+    keys = (("fk_orders_customer", "shown_orders", "o_custkey", "shown_customer", "c_custkey"),)
+    return project_text(mappings, keys, ("customers",))
+
+
+@query(
+    "t6_null_flags_per_field",
+    """WITH o AS (
+           SELECT o_custkey, count(*) AS n, string_agg('{"orderId":' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"late":' || o_orderkey ELSE '' END || '}', ',' ORDER BY o_orderkey) AS items
+           FROM orders GROUP BY o_custkey)
+       SELECT c_custkey AS "customerId", '{"customerId":' || c_custkey
+           || ',"segment":' || CASE WHEN c_mktsegment <> 'BUILDING' THEN '"' || c_mktsegment || '"' ELSE 'null' END
+           || CASE WHEN c_nationkey % 2 = 0 THEN ',"region":"' || c_nationkey || '"' ELSE '' END
+           || ',"ordersParts":1,"orders":[' || coalesce(items, '') || ']}' AS document
+       FROM customer LEFT JOIN o ON o_custkey = c_custkey""",
+)
+def t6_flags(t):
+    """Documents as text: the nulls of one field stay, those of two others are left out, as the project says."""
+    tables = {
+        f"{DATABASE}.shown_customer": t("customer").select(
+            "c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("region")
+        ),
+        f"{DATABASE}.shown_orders": t("orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("late")),
+    }
+    root = P.compile_project(local_project(t, null_flags(True)))["customers"]
+    built = D.build_collection("customers", root, tables, generate_id=False)
+    return built.documents.select("customerId", P.document_text(root, generate_id=False).alias("document"))
+
+
 @query(
     "t13_document_reads",
     f"""WITH x AS (SELECT o_orderkey, o_orderdate, c_custkey, c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey

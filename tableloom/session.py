@@ -88,6 +88,8 @@ def _arrow_type(dtype: DataType) -> pa.DataType | None:
     }
     if isinstance(dtype, DecimalType):
         return pa.decimal128(dtype.precision, dtype.scale)
+    if isinstance(dtype, StructType):
+        return pa.struct([(f.name, _arrow_type(f.dataType)) for f in dtype])
     if isinstance(dtype, ArrayType):
         return pa.list_(_arrow_type(dtype.elementType))
     return simple.get(dtype.simpleString())
