@@ -175,50 +175,52 @@ def collect_incoming(
 # --- mapping files --------------------------------------------------------
 
 
-def _object_schema() -> T.StructType:
-    """The parts of a graph mapping file that are read; its member names are fixed values. Columns nest twice at most."""
-    s = T.StringType()
-
-    def column(below: T.DataType | None) -> T.StructType:
-        fields = [T.StructField("name", s), T.StructField("table", s), T.StructField("sql-data-type", s)]
-        if below is not None:
-            fields += [T.StructField("columns", T.ArrayType(below)), T.StructField("referenced-column", below)]
-        return T.StructType(fields)
-
-    entry = T.StructType(
-        [
-            T.StructField(
-                "field",
-                T.StructType([T.StructField(n, s) for n in ("type", "name", "id-space", "neo4j-data-type")]),
-            ),
-            T.StructField("column", column(column(column(None)))),
-        ]
-    )
-    return T.StructType(
-        [T.StructField("graph-object-type", s), T.StructField("schema", s), T.StructField("mappings", T.ArrayType(entry))]
-    )
-
-
 def _text(c: Column) -> Column:
     t = F.trim(c)
     return F.when(t != "", t)
 
 
-def _names(column: Column, depth: int = 2) -> Column:
-    """Column names of a mapping entry: itself, its parts, what it refers to."""
-    own = F.array(_text(column["name"]))
-    if depth == 0:
-        return own
-    parts = F.flatten(F.transform(F.coalesce(column["columns"], F.array()), lambda x: _names(x, depth - 1)))
-    return F.concat(own, parts, F.when(column["referenced-column"].isNotNull(), _names(column["referenced-column"], depth - 1)).otherwise(F.array().cast("array<string>")))
+# Position of what a column refers to: after all of its parts.
+_LAST = 2**31 - 1
+_LISTED = "array<variant>"
 
 
-def _tables(column: Column, depth: int = 2) -> Column:
-    own = F.array(_text(column["table"]))
-    if depth == 0:
-        return own
-    parts = F.flatten(F.transform(F.coalesce(column["columns"], F.array()), lambda x: _tables(x, depth - 1)))
-    return F.concat(own, parts, F.when(column["referenced-column"].isNotNull(), _tables(column["referenced-column"], depth - 1)).otherwise(F.array().cast("array<string>")))
+def _at(value: Column, *path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, "$" + "".join(f"['{p}']" for p in path), kind)
+
+
+def _below(place: Column) -> Column:
+    """The places below one: its parts in their order, then what it refers to; a place has a ``path`` and a ``node``."""
+    parts = F.transform(
+        F.coalesce(_at(place["node"], "columns", kind=_LISTED), F.array().cast(_LISTED)),
+        lambda x, k: F.struct(F.concat(place["path"], F.array(k)).alias("path"), x.alias("node")),
+    )
+    referred = _at(place["node"], "referenced-column", kind="variant")
+    last = F.struct(F.concat(place["path"], F.array(F.lit(_LAST))).alias("path"), referred.alias("node"))
+    return F.concat(parts, F.filter(F.array(last), lambda x: x["node"].isNotNull()))
+
+
+def _places(column: Column) -> Column:
+    """All columns of an entry in reading order, at any depth: ``path, name, table``.
+
+    Each step goes one level down from the places of the last; there are as
+    many steps as the text has members that can lead down.
+    """
+    kind = "array<struct<path: array<int>, node: variant>>"
+    first = F.array(F.struct(F.array().cast("array<int>").alias("path"), column.alias("node"))).cast(kind)
+    steps = F.regexp_count(F.to_json(column), F.lit('"(columns|referenced-column)":'))
+
+    def down(state: Column, _: Column) -> Column:
+        ahead = F.flatten(F.transform(state["ahead"], _below)).cast(kind)
+        return F.struct(F.concat(state["found"], ahead).alias("found"), ahead.alias("ahead"))
+
+    walked = F.aggregate(
+        F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")),
+        F.struct(first.alias("found"), first.alias("ahead")),
+        down,
+        lambda state: state["found"],
+    )
+    return F.array_sort(F.transform(walked, lambda p: F.struct(p["path"].alias("path"), _text(_at(p["node"], "name")).alias("name"), _text(_at(p["node"], "table")).alias("table"))))
 
 
 def _known(values: Column) -> Column:
@@ -226,28 +228,35 @@ def _known(values: Column) -> Column:
 
 
 def mapping_entries(files: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Graph mapping files (JSON text, one per row) as one row per entry of each graph object."""
-    objects = files.select(*keep, F.posexplode(F.from_json(text, T.ArrayType(_object_schema()))).alias("object_no", "o"))
+    """Graph mapping files (JSON text, one per row) as one row per entry of each graph object.
+
+    ``columns`` names the column of the entry, its parts and what they refer
+    to, at any depth, in reading order; ``source_table`` is the first table
+    among them. A text that is no list of objects gives no rows.
+    """
+    objects = files.select(*keep, F.posexplode(F.try_variant_get(F.try_parse_json(text), "$", _LISTED)).alias("object_no", "o"))
     entries = objects.select(
         *keep,
         "object_no",
-        F.col("o.graph-object-type").alias("object_type"),
-        _text(F.col("o.schema")).alias("source_schema"),
-        F.posexplode("o.mappings").alias("entry_no", "e"),
+        _at(F.col("o"), "graph-object-type").alias("object_type"),
+        _text(_at(F.col("o"), "schema")).alias("source_schema"),
+        F.posexplode(_at(F.col("o"), "mappings", kind=_LISTED)).alias("entry_no", "e"),
     )
+    column = _at(F.col("e"), "column", kind="variant")
+    entries = entries.withColumn("p", F.when(column.isNotNull(), _places(column)).otherwise(F.array()))
     return entries.select(
         *keep,
         "object_no",
         "object_type",
         "source_schema",
         "entry_no",
-        F.col("e.field.type").alias("field_type"),
-        _text(F.col("e.field.name")).alias("target_property"),
-        _text(F.col("e.field.id-space")).alias("id_space"),
-        _text(F.col("e.field.neo4j-data-type")).alias("target_type"),
-        _text(F.col("e.column.sql-data-type")).alias("sql_type"),
-        _known(_names(F.col("e.column"))).alias("columns"),
-        F.get(_known(_tables(F.col("e.column"))), F.lit(0)).alias("source_table"),
+        _at(F.col("e"), "field", "type").alias("field_type"),
+        _text(_at(F.col("e"), "field", "name")).alias("target_property"),
+        _text(_at(F.col("e"), "field", "id-space")).alias("id_space"),
+        _text(_at(F.col("e"), "field", "neo4j-data-type")).alias("target_type"),
+        _text(_at(F.col("e"), "column", "sql-data-type")).alias("sql_type"),
+        _known(F.col("p.name")).alias("columns"),
+        F.get(_known(F.col("p.table")), F.lit(0)).alias("source_table"),
     )
 
 
@@ -353,3 +362,41 @@ def relationship_property_rows(entries: DataFrame, keep: Sequence[str]) -> DataF
     group = [*keep, "object_no", "relationship_type", F.lower("source_column").alias("_s"), F.lower("target_property").alias("_t")]
     value = F.struct("source_column", "sql_type", "target_property", "target_type")
     return rows.groupBy(*group).agg(F.min_by(value, "entry_no").alias("r")).select(*keep, "object_no", "relationship_type", "r.*")
+
+
+def compile_graph(entries: DataFrame) -> tuple[list[NodeMapping], list[EdgeMapping]]:
+    """Node and edge mappings from the entries of one mapping file, for :func:`build_nodes` and :func:`build_edges`.
+
+    Tables go by ``schema.table``. A file is written by people, so its rows are
+    collected. An object without a table, a key or an end is left out, as in
+    the mapping tables.
+    """
+    objects: dict[int, list] = {}
+    for r in entries.orderBy("object_no", "entry_no").collect():
+        objects.setdefault(r["object_no"], []).append(r)
+    labels = {r["object_no"]: r["label"] for r in object_heads(entries, []).select("object_no", "label").collect()}
+    made_nodes, made_edges = [], []
+    for number, rows in objects.items():
+        table = next((r["source_table"] for r in rows if r["source_table"]), None)
+        schema = rows[0]["source_schema"]
+        if not table or not schema:
+            continue
+        of_type: dict[str, list] = {}
+        for r in rows:
+            of_type.setdefault(r["field_type"], []).append(r)
+        data = [r for r in of_type.get("Data", []) if r["columns"] and r["target_property"] and r["sql_type"] and r["target_type"]]
+        properties: dict[str, str] = {}
+        for r in data:
+            properties.setdefault(r["columns"][0], r["target_property"])
+        name = f"{schema}.{table}"
+        if rows[0]["object_type"] == "Node":
+            key = [c for r in of_type.get("Id", []) for c in r["columns"]]
+            space = next((r["id_space"] for r in of_type.get("Id", []) if r["id_space"]), None)
+            if key and labels[number]:
+                made_nodes.append(NodeMapping(labels[number], name, tuple(dict.fromkeys(key)), properties, space))
+        elif rows[0]["object_type"] == "Relationship":
+            ends = [next(((r["id_space"], tuple(r["columns"])) for r in of_type.get(e, []) if r["id_space"] and r["columns"]), None) for e in ("StartId", "EndId")]
+            kind = next((r["columns"][0] for r in of_type.get("RelationshipType", []) if r["columns"]), None)
+            if kind and all(ends):
+                made_edges.append(EdgeMapping(kind, name, ends[0], ends[1], properties))
+    return made_nodes, made_edges

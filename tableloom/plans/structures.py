@@ -1075,6 +1075,78 @@ def g5n_rows(t):
     return G.relationship_property_rows(G.mapping_entries(graph_files(t), "text", ["p_partkey"]), ["p_partkey"])
 
 
+def deep_files(t):
+    """One mapping file per part: the key columns stand four levels deep, below parts and references."""
+    low = F.lower("p_brand")
+    text = F.format_string(
+        """[{"graph-object-type": "Node", "schema": "%s", "mappings": [
+            {"field": {"type": "Id", "id-space": "db.%s"}, "column": {
+                "columns": [
+                    {"name": "A%d", "columns": [{"name": "B", "referenced-column": {"columns": [{"name": "C"}, {"name": "A%d"}], "table": "%s"}}, {"name": "D"}]},
+                    {"referenced-column": {"name": "E", "columns": [7, {"name": " "}, {"name": "F"}]}, "columns": [{"name": "G"}]}],
+                "referenced-column": {"name": "H", "table": "Later"}}},
+            {"field": {"type": "Data", "name": "a"}, "column": {"name": "A%d", "sql-data-type": "int"}},
+            {"field": {"type": "Data", "name": "none"}}]}]""",
+        "p_brand", low, F.col("p_size").cast("int"), F.col("p_size").cast("int"), low, F.col("p_size").cast("int"),
+    )
+    return t("part").select("p_partkey", text.alias("text"))
+
+
+@query(
+    "g2n_columns_at_any_depth",
+    """SELECT p_partkey, 'Id' AS field_type, 0 AS entry_no, 'A' || p_size || ',B,C,D,G,E,F,H' AS columns, lower(p_brand) AS source_table FROM part
+       UNION ALL SELECT p_partkey, 'Data', 1, 'A' || p_size, '' FROM part UNION ALL SELECT p_partkey, 'Data', 2, '', '' FROM part""",
+)
+def g2n_deep(t):
+    entries = G.mapping_entries(deep_files(t), "text", ["p_partkey"])
+    return entries.select("p_partkey", "field_type", "entry_no", F.array_join("columns", ",").alias("columns"), F.coalesce("source_table", F.lit("")).alias("source_table"))
+
+
+def graph_text(nodes=None, edges=None):
+    """A mapping file over the local tables as its JSON text."""
+
+    def entry(kind, columns, table=None, name=None, space=None):
+        column = {"name": columns[0], "table": table} if len(columns) == 1 else {"table": table, "columns": [{"name": c} for c in columns]}
+        typed = {"sql-data-type": "int"} if name else {}
+        return {"field": {"type": kind, "name": name, "id-space": space, "neo4j-data-type": "int" if name else None}, "column": column | typed}
+
+    out = []
+    for m in NODES if nodes is None else nodes:
+        data = [entry("Data", [c], m.table, p) for c, p in m.properties.items()]
+        out.append({"graph-object-type": "Node", "schema": "local", "mappings": [entry("Id", m.key, m.table, space=m.space), entry("Label", [f"{m.label}s"]), *data]})
+    for m in EDGES if edges is None else edges:
+        ends = [entry(kind, key, m.table, space=space) for kind, (space, key) in (("StartId", m.start), ("EndId", m.end))]
+        data = [entry("Data", [c], m.table, p) for c, p in m.properties.items()]
+        out.append({"graph-object-type": "Relationship", "schema": "local", "mappings": [*ends, entry("RelationshipType", [m.type]), *data]})
+    return json.dumps(out)
+
+
+@query(
+    "g1n_graph_from_mapping_file",
+    f"""SELECT 'Order' AS kind, 'Sales.Orders:' || o_orderkey AS a, '' AS b, CAST(o_totalprice AS DOUBLE) AS value FROM orders
+        UNION ALL SELECT 'Customer', 'Sales.Customers:' || c_custkey, '', c_acctbal FROM customer
+        UNION ALL SELECT 'OrderLine', 'Sales.OrderLines:' || {_ROW_KEY}, '', l_quantity FROM lineitem
+        UNION ALL SELECT 'CustomerTransaction', 'Sales.CustomerTransactions:' || o_orderkey, '', o_totalprice FROM orders
+        UNION ALL SELECT 'CUSTOMERS', 'Sales.Orders:' || o_orderkey, 'Sales.Customers:' || o_custkey, 0 FROM orders
+        UNION ALL SELECT 'ORDERS', 'Sales.OrderLines:' || {_ROW_KEY}, 'Sales.Orders:' || l_orderkey, l_quantity FROM lineitem
+        UNION ALL SELECT 'CUSTOMERS', 'Sales.CustomerTransactions:' || o_orderkey, 'Sales.Customers:' || o_custkey, 0 FROM orders""",
+)
+def g1n_compiled(t):
+    """Every node and edge of the local tables, as a mapping file says; all orders count as transactions."""
+    files_ = t.spark.sql("SELECT :text AS text", args={"text": graph_text()})
+    nodes, edges = G.compile_graph(G.mapping_entries(files_, "text", []))
+    tables = {f"local.{name}": df for name, df in (graph_sources(t) | {"closed": t("orders")}).items()}
+    value = {"Order": "total", "Customer": "creditLimit", "OrderLine": "quantity", "CustomerTransaction": "transactionAmount"}
+    rows = [df.select(F.lit(n).alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col(value[n]).cast("double").alias("value")) for n, df in G.build_nodes(tables, nodes).items()]
+    for df in G.build_edges(tables, edges).values():
+        number = F.col("quantity").cast("double") if "quantity" in df.columns else F.lit(0.0)
+        rows.append(df.select(F.col("type").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), number.alias("value")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionAll(r)
+    return out
+
+
 # --- change feeds ---------------------------------------------------------
 
 

@@ -96,3 +96,34 @@ def test_graph_files(spark, frame, tmp_path):
     files.write_graph_csv(nodes, edges, str(tmp_path / "csv"), {"A": "db.A"})
     text = spark.read.text(str(tmp_path / "csv/nodes/A")).collect()
     assert text[0][0] == '"id:ID(db.A)",":LABEL","p"' or text[0][0] == "id:ID(db.A),:LABEL,p"
+
+
+def nested(depth, table):
+    """Columns in a chain ``depth`` levels deep, parts and references by turns, the table at the end."""
+    column = {"name": f"c{depth}", "table": table}
+    for k in reversed(range(depth)):
+        column = {"name": f"c{k}", "columns": [column]} if k % 2 else {"name": f"c{k}", "referenced-column": column}
+    return column
+
+
+def test_columns_of_any_depth(frame):
+    objects = [{"graph-object-type": "Node", "schema": "s", "mappings": [{"field": {"type": "Id"}, "column": nested(d, f"t{d}")} for d in (0, 1, 3, 4, 17)]}]
+    got = files_frame(frame, *objects).orderBy("entry_no").collect()
+    assert [(r["columns"], r["source_table"]) for r in got] == [([f"c{k}" for k in range(d + 1)], f"t{d}") for d in (0, 1, 3, 4, 17)]
+
+
+def test_texts_that_are_no_mapping_file(frame):
+    texts = [None, "", "no json", "{}", "[]", "[1, null]", '[{"mappings": 3}]', '[{"mappings": [5, {"column": 7}, {"column": {"columns": {}}}]}]']
+    rows = G.mapping_entries(frame([(k, t) for k, t in enumerate(texts)], "fid int, text string"), "text", ["fid"]).collect()
+    assert sorted((r["fid"], r["entry_no"], r["columns"], r["source_table"]) for r in rows) == [(7, 0, [], None), (7, 1, [], None), (7, 2, [], None)]
+
+
+def test_compiled_mappings_are_those_written_by_hand(frame):
+    from tableloom.plans import structures as S
+
+    pair = G.NodeMapping("Pair", "pairs", ("x", "y"), {"x": "x"}, "db.Pairs")
+    link = G.EdgeMapping("linked", "pairs", ("db.Pairs", ("x", "y")), ("db.Pairs", ("y", "x")), {})
+    text = S.graph_text([*S.NODES, pair], [*S.EDGES, link])
+    got = G.compile_graph(G.mapping_entries(frame([(text,)], "text string"), "text", []))
+    assert got[0] == [G.NodeMapping(m.label, f"local.{m.table}", m.key, m.properties, m.id_space) for m in [*S.NODES, pair]]
+    assert got[1] == [G.EdgeMapping(m.type, f"local.{m.table}", m.start, m.end, m.properties) for m in [*S.EDGES, link]]
