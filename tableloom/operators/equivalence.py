@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from decimal import ROUND_HALF_UP, Decimal
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.functions.canonical import canonical_json, canonical_value, row_hash, row_hashes
+from tableloom.functions.leaves import leaves, member_path, parse, unpacked
 
 # Fixed status words.
 EQUIVALENT = "Equivalent"
@@ -29,21 +26,29 @@ _PAYLOAD = "count bigint, firstSample string, lastSample string, error string"
 
 
 def read_payloads(payloads: DataFrame) -> DataFrame:
-    """Parse ``(query_id, payload)``; ``is_object`` tells JSON objects from anything else, broken JSON included (E2e)."""
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
-    parsed = F.from_json(F.when(is_object, F.col("payload")), _PAYLOAD)
-    return payloads.select("query_id", is_object.alias("is_object"), parsed.alias("p")).select(
+    """Parse ``(query_id, payload)``; ``is_object`` tells JSON objects from anything else, broken JSON included (E2e).
+
+    Samples are variants: objects, lists, texts, numbers or nothing. A text
+    that holds an object or a list counts as that.
+    """
+    parsed = payloads.select("query_id", parse(F.col("payload")).alias("p"))
+
+    def member(name: str, kind: str) -> Column:
+        return F.try_variant_get("p", f"$.{name}", kind)
+
+    error = F.coalesce(member("error", "string"), F.to_json(member("error", "variant")))
+    return parsed.select(
         "query_id",
-        "is_object",
-        F.col("p.count").alias("count"),
-        F.col("p.firstSample").alias("first_sample"),
-        F.col("p.lastSample").alias("last_sample"),
-        F.col("p.error").alias("error"),
+        F.try_variant_get("p", "$", "map<string,variant>").isNotNull().alias("is_object"),
+        member("count", "bigint").alias("count"),
+        unpacked(member("firstSample", "variant")).alias("first_sample"),
+        unpacked(member("lastSample", "variant")).alias("last_sample"),
+        F.when(error != "null", error).alias("error"),
     )
 
 
 def sample_leaves(sample: Column, schema: str | T.StructType) -> list[tuple[str, Column]]:
-    """The leaves of a JSON sample as ``(path, canonical text)`` (E4e).
+    """The declared leaves of the JSON text of a sample as ``(path, canonical text)`` (E4e).
 
     A nested list is one leaf: its canonical elements sorted, copies kept, so
     that order does not count but multiplicity does.
@@ -56,7 +61,8 @@ def _leaves(column: Column, dtype: T.DataType, path: str) -> list[tuple[str, Col
     if isinstance(dtype, T.StructType):
         out = []
         for f in sorted(dtype.fields, key=lambda f: f.name):
-            out += _leaves(column[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)
+            name = member_path(f.name)
+            out += _leaves(column[f.name], f.dataType, f"{path}.{name}" if path else name)
         return out
     value = canonical_value(column, dtype, sort_arrays=True, rename=lambda n: n, texts=True)
     if isinstance(dtype, (T.ArrayType, T.MapType)):
@@ -64,44 +70,14 @@ def _leaves(column: Column, dtype: T.DataType, path: str) -> list[tuple[str, Col
     return [(path, value.cast("string"))]
 
 
-def _text(value: Any) -> str:
-    """A JSON value as canonical text: numbers at three decimals, keys and list elements sorted."""
-    if isinstance(value, bool) or value is None:
-        return json.dumps(value)
-    if isinstance(value, (int, Decimal)):
-        number = Decimal(value)
-        return str(number.quantize(Decimal("0.001"), ROUND_HALF_UP)) if abs(number) < Decimal(10) ** 24 else str(number)
-    if isinstance(value, list):
-        return "[" + ",".join(sorted(map(_text, value))) + "]"
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k)}:{_text(v)}" for k, v in sorted(value.items())) + "}"
-    return value
-
-
-def _flat(value: Any, path: str, declared: frozenset[str], out: dict[str, str]) -> dict[str, str]:
-    if path not in declared:
-        if isinstance(value, dict) and (value or not path):
-            for key, below in value.items():
-                _flat(below, f"{path}.{key}" if path else key, declared, out)
-        else:
-            out[path] = _text(value)
-    return out
-
-
 def other_leaves(sample: Column, declared: Sequence[str] = ()) -> Column:
-    """The leaves of a JSON sample that are not ``declared``, as a map from path to canonical text (E4e).
+    """The leaves of a variant sample that are not ``declared``, as a map from path to canonical text (E4e).
 
     They come from the data, at any depth, so a field that only one side has is
-    seen. A list is one leaf without an order.
+    seen. A list is one leaf without an order, and so is a sample that is no
+    object.
     """
-    known = frozenset(declared)
-
-    def flat(samples: pd.Series) -> pd.Series:
-        found = [_flat(json.loads(x, parse_float=Decimal), "", known, {}) if x else {} for x in samples]
-        return pd.Series([list(f.items()) for f in found])
-
-    pairs = F.pandas_udf(flat, "array<struct<path string, text string>>")(sample)
-    return F.map_from_entries(pairs)
+    return leaves(sample, declared)
 
 
 def other_differing(old: Column, new: Column) -> Column:
@@ -124,6 +100,20 @@ def distance(old: list[tuple[str, Column]], new: list[tuple[str, Column]]) -> Co
     return F.size(differing(old, new)) / F.lit(max(1, len(old)))
 
 
+def deep_distance(old: Column, new: Column, schema: str | T.StructType = "") -> Column:
+    """Changed leaves of two variant samples over all leaves of either; 0 means the same (E9e).
+
+    Leaves that ``schema`` declares compare in their type, all others as they
+    stand in the data.
+    """
+    typed = [sample_leaves(F.to_json(s), schema) if schema else [] for s in (old, new)]
+    declared = [path for path, _ in typed[0]]
+    maps = [other_leaves(s, declared) for s in (old, new)]
+    changed = F.size(other_differing(*maps)) + (F.size(differing(*typed)) if declared else F.lit(0))
+    every = F.size(F.array_union(*[F.map_keys(m) for m in maps])) + F.lit(len(declared))
+    return changed / F.greatest(every, F.lit(1))
+
+
 def compare_summaries(
     source: DataFrame, target: DataFrame, sample_schema: str | T.StructType = "", allow_swap: bool = True
 ) -> DataFrame:
@@ -141,14 +131,14 @@ def compare_summaries(
     parts = ("is_object", "count", "first_sample", "last_sample", "error")
     both = a.join(b, "query_id").select("query_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in parts])
     samples = ("a_first_sample", "a_last_sample", "b_first_sample", "b_last_sample")
-    leaves = {c: sample_leaves(F.col(c), sample_schema) if sample_schema else [] for c in samples}
-    declared = [path for path, _ in leaves[samples[0]]]
+    typed = {c: sample_leaves(F.to_json(F.col(c)), sample_schema) if sample_schema else [] for c in samples}
+    declared = [path for path, _ in typed[samples[0]]]
     both = both.withColumns({f"{c}_other": other_leaves(F.col(c), declared) for c in samples})
     none = F.array().cast("array<struct<path:string,old:string,new:string>>")
 
     def diff(x, y):
-        typed = differing(leaves[x], leaves[y]) if declared else none
-        return F.concat(typed, other_differing(F.col(f"{x}_other"), F.col(f"{y}_other")))
+        own = differing(typed[x], typed[y]) if declared else none
+        return F.concat(own, other_differing(F.col(f"{x}_other"), F.col(f"{y}_other")))
 
     error = (
         F.when(~(F.col("a_is_object") & F.col("b_is_object")), F.lit(NOT_OBJECT))

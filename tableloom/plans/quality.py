@@ -562,6 +562,70 @@ def e9e(t):
     return rows.select("o_orderkey", E.distance(E.sample_leaves(F.col("a"), SAMPLE), E.sample_leaves(F.col("b"), SAMPLE)).alias("distance"))
 
 
+@query(
+    "e6e_samples_of_any_form",
+    """WITH o AS (SELECT *, o_orderkey % 4 AS k, o_orderkey || '.000' AS n FROM orders WHERE o_orderstatus = 'F')
+       SELECT CAST(o_orderkey AS VARCHAR) AS query_id, 'Differences Found' AS status,
+              CASE k WHEN 2 THEN 'a\\.b|lines' ELSE '' END AS paths,
+              CASE k WHEN 0 THEN o_orderpriority WHEN 1 THEN '[' || n || ',' || n || ',x]'
+                     WHEN 2 THEN '1.000|[{"n":1.000,"t":[a,b]},{"n":' || n || ',"t":[[' || least(n, '7.000') || ',' || greatest(n, '7.000') || '],[]]}]'
+                     ELSE printf('%.3f', o_totalprice) END AS old,
+              CASE k WHEN 0 THEN o_orderpriority || '!' WHEN 1 THEN '[' || n || ',x]'
+                     WHEN 2 THEN '"1"|[{"n":1.000,"t":[a,b]},{"n":' || n || ',"t":[[' || n || ',' || n || '],[]]}]'
+                     ELSE printf('%.3f', CAST(o_totalprice AS DECIMAL(18,2)) + 1) END AS new
+       FROM o
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'Equivalent', '', '', '' FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def e6e_forms(t):
+    """Samples that are a text, a list, an object with lists in lists, or a number; they differ where the order is finished."""
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)")
+
+    def side(text, listed, nested, number):
+        kind = F.col("o_orderkey") % 4
+        sample = F.when(kind == 0, text).when(kind == 1, listed).when(kind == 2, nested).otherwise(number)
+        body = F.concat(F.lit('{"count": 1, "firstSample": '), sample, F.lit("}"))
+        return t("orders").select(F.col("o_orderkey").cast("string").alias("query_id"), body.alias("payload"))
+
+    def changed(new, old):
+        return F.when(F.col("o_orderstatus") == "F", new).otherwise(old)
+
+    priority = F.col("o_orderpriority")
+    source = side(
+        F.to_json(F.array(priority)).substr(F.lit(2), F.length(priority) + 2),
+        F.format_string('[%s, "x", %s]', key, key),
+        F.format_string('{"lines": [{"n": 1, "t": ["b", "a"]}, {"t": [[7, %s], []], "n": %s}], "a.b": 1, "a": {"b": 2}}', key, key),
+        price.cast("string"),
+    )
+    other = changed(F.concat(priority, F.lit("!")), priority)
+    target = side(
+        F.format_string('"%s"', other),
+        changed(F.format_string('["x", %s]', key), F.format_string('["x", %s, %s]', key, key)),
+        F.format_string('{"a": {"b": 2.0}, "a.b": %s, "lines": [{"n": %s.0001, "t": [[], [%s, %s]]}, {"t": ["a", "b"], "n": 1}]}', changed(F.lit('"1"'), F.lit("1.0")), key, key, changed(key, F.lit("7"))),
+        (price + changed(F.lit(1), F.lit(0)) + F.lit(0.0001).cast("decimal(5,4)")).cast("string"),
+    )
+    found = E.compare_summaries(source, target)
+    diffs = F.array_sort("first_diffs")
+    joined = {c: F.array_join(diffs[c], "|") for c in ("path", "old", "new")}
+    return found.select("query_id", "status", joined["path"].alias("paths"), joined["old"].alias("old"), joined["new"].alias("new"))
+
+
+@query(
+    "e9e_undeclared_distance",
+    """SELECT o_orderkey, ((o_orderpriority = '5-LOW')::INT + (o_orderstatus = 'F')::INT + (o_orderkey % 3 = 0)::INT) / (4.0::DOUBLE + (o_orderkey % 3 = 0)::INT) AS distance FROM orders""",
+)
+def e9e_undeclared(t):
+    """Of four leaves one is declared; the status inside an object, the elements of a list and a leaf that one side lacks count too."""
+
+    def sample(amount, name, *more):
+        return F.struct(amount.alias("amount"), F.struct(name.alias("name"), F.col("o_orderkey").alias("key")).alias("inner"), F.array("o_custkey", "o_orderkey").alias("list"), *more)
+
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    old = sample(price, status)
+    new = sample(F.when(F.col("o_orderpriority") == "5-LOW", price + 1).otherwise(price), F.when(status == "F", "f").otherwise(status), F.when(F.col("o_orderkey") % 3 == 0, F.lit("late")).alias("more"))
+    rows = t("orders").select("o_orderkey", F.parse_json(F.to_json(old)).alias("a"), F.parse_json(F.to_json(new)).alias("b"))
+    return rows.select("o_orderkey", E.deep_distance(F.col("a"), F.col("b"), "amount decimal(38,3)").alias("distance"))
+
+
 @query(
     "e10_latest_outcome",
     """WITH m AS (SELECT conv_id, turn, CASE WHEN contains(text, 'an') THEN 'passed' WHEN contains(text, 'e') THEN 'failed' END AS o FROM conversations)

@@ -166,3 +166,51 @@ def test_new_tokens(frame):
     found = E.new_tokens(E.present_tokens(F.col("s"), tokens), E.present_tokens(F.col("t"), tokens))
     got = [r[0] for r in df.select(found).collect()]
     assert got[:2] == [["sort", "asc"], ["asc"]] and got[2:] == [[], [], []]
+
+
+def leaves_of(frame, *texts):
+    from tableloom.functions.leaves import leaves, parse, unpacked
+
+    rows = frame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", leaves(unpacked(parse("t"))).alias("l")).collect()
+    return [r["l"] for r in sorted(rows, key=lambda r: r["k"])]
+
+
+def test_leaves_of_any_value(frame):
+    got = leaves_of(
+        frame, '"abc"', "3", "[2, 1, [3, null], {}]", "{}", "null", None, '{"a": {}, "b": [], "c": null}', '{"a.b": 1, "a": {"b": 2}, "x\\\\y": true}',
+        '"1.000"', '"null"', '"{\\"a\\": 1}"', '{"a": NaN, "b": [-Infinity, "NaN"]}', "1e30", "12345678901234567890123", "{broken",
+    )
+    assert got == [
+        {"": "abc"}, {"": "3.000"}, {"": "[1.000,2.000,[3.000,null],{}]"}, {}, {}, {}, {"a": "{}", "b": "[]", "c": "null"},
+        {"a\\.b": "1.000", "a.b": "2.000", "x\\\\y": "true"}, {"": '"1.000"'}, {"": '"null"'}, {"a": "1.000"}, {"a": "NaN", "b": "[-Infinity,NaN]"},
+        {"": "1000000000000000000000000000000.000"}, {"": "12345678901234567890123.000"}, {},
+    ]
+
+
+def test_lists_within_lists_have_no_order(frame):
+    one = '{"r": [{"k": 1, "v": [[1, 2], [3]]}, {"k": 2, "v": [{"z": [true, "a"]}]}]}'
+    other = '{"r": [{"v": [{"z": ["a", true]}], "k": 2}, {"v": [[3.0], [2, 1]], "k": 1.0004}]}'
+    copies = '{"r": [{"k": 1, "v": [[1, 2], [3], [3]]}, {"k": 2, "v": [{"z": [true, "a"]}]}]}'
+    a, b, c = leaves_of(frame, one, other, copies)
+    assert a == b and a != c and list(a) == ["r"]
+
+
+def test_leaves_of_a_deep_and_of_a_wide_value(frame):
+    deep = "[" * 40 + "1" + "]" * 40
+    wide = json.dumps({f"k{i}": [i, {"x": [i]}] for i in range(300)})
+    got = leaves_of(frame, deep, wide)
+    assert got[0] == {"": deep.replace("1", "1.000")}
+    assert got[1] == {f"k{i}": f'[{i}.000,{{"x":[{i}.000]}}]' for i in range(300)}
+
+
+def test_text_and_list_samples_do_not_end_the_comparison(frame):
+    got = verdict(
+        frame,
+        {"same": payload(1, "abc"), "text": payload(1, "abc"), "list": payload(1, [1, 2]), "mixed": payload(1, "abc"), "fine": payload(1, A)},
+        {"same": payload(1, "abc"), "text": payload(1, "abd"), "list": payload(1, [2, 1.0]), "mixed": payload(1, A), "fine": payload(1, A)},
+    )
+    assert {k: r["status"] for k, r in got.items()} == {
+        "same": E.EQUIVALENT, "text": E.DIFFERENT, "list": E.EQUIVALENT, "mixed": E.DIFFERENT, "fine": E.EQUIVALENT,
+    }
+    assert [tuple(d) for d in got["text"]["first_diffs"]] == [("", "abc", "abd")]
+    assert ("", "abc", None) in [tuple(d) for d in got["mixed"]["first_diffs"]]
