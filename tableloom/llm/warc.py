@@ -50,11 +50,22 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), r"^W/", "")
 
 
+def lowered(headers: Column) -> Column:
+    """Headers with names in lower case; values of names that differ in case only are joined by a comma, in the order of the names."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+
+    def whole(name: Column) -> Column:
+        values = F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
+        some = F.array_compact(values)
+        return F.struct(name.alias("key"), F.when(F.size(some) > 0, F.array_join(some, ", ")).alias("value"))
+
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"]))), whole))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
     """The stored headers, replaced by those of the revisit that may replace them; names are in lower case."""
-    stored, fresh = (F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k)) for m in (stored, fresh))
-    allowed = F.map_filter(fresh, lambda k, _: ~k.isin(NOT_MERGED))
-    kept = F.map_filter(stored, lambda k, _: ~F.map_contains_key(allowed, k))
+    allowed = F.map_filter(lowered(fresh), lambda k, _: ~k.isin(NOT_MERGED))
+    kept = F.map_filter(lowered(stored), lambda k, _: ~F.map_contains_key(allowed, k))
     return F.map_concat(kept, allowed)
 
 
@@ -62,7 +73,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     """Every revisit with the response it stands for.
 
     ``captures``: ``record_id bigint, url string, time bigint, full boolean,
-    headers map<string, string>``; header names differ in more than case.
+    headers map<string, string>``; see :func:`lowered` for names that differ in
+    case only.
     ``full`` says that the capture has a body; others are revisits (null too).
     Only responses at an earlier time count; of several at one time the largest
     id. Result: ``record_id, canonical_url, response_id, outcome, headers``.
@@ -73,8 +85,7 @@ def resolve(captures: DataFrame) -> DataFrame:
     matches nothing; repeated captures give repeated rows; an empty table gives
     none; other columns are not read.
     """
-    names = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "time", F.coalesce("full", F.lit(False)).alias("full"), names.alias("headers"))
+    rows = captures.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "time", F.coalesce("full", F.lit(False)).alias("full"), lowered(F.col("headers")).alias("headers"))
     lost = F.col("canonical_url").isNull() | F.col("time").isNull()
     # Revisits come before responses of the same time, which are not earlier.
     dealt = rows.repartitionByRange("canonical_url", "time", "full", "record_id").withColumn("range", F.spark_partition_id())

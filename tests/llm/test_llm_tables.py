@@ -127,6 +127,18 @@ def test_revisits(frame):
     assert warc.resolve(captures(frame, [])).count() == 0
 
 
+def test_header_names_that_differ_in_case(frame):
+    u = "http://a.example/"
+    rows = [
+        (1, u, 10, True, {"ETag": '"1"', "X-A": "b", "x-a": "c", "X-a": None}),
+        (2, u, 20, False, {"ETag": '"1"', "Vary": "x", "vary": "y", "VARY": "z", "none": None}),
+        (3, u, 30, False, {"ETag": '"1"', "etag": '"2"'}),
+    ]
+    got = {r.record_id: r for r in warc.resolve(captures(frame, rows)).collect()}
+    assert got[2].response_id == 1 and got[2].headers == {"etag": '"1"', "x-a": "b, c", "vary": "z, x, y", "none": None}
+    assert got[3].outcome == warc.CHANGED_TAG and got[3].headers == {"etag": '"1", "2"'}
+
+
 def test_one_address_over_many_ranges(frame, spark):
     rows = [(k, "http://hot.example/x", k, k % 50 == 0, {"etag": f"{k // 50}"}) for k in range(2000)]
     got = warc.resolve(captures(frame, rows).repartition(8)).collect()
