@@ -205,3 +205,35 @@ def test_no_page_is_lost_on_legal_markup():
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div", " class=", "'ad'", ">", "<!--", "-->", "<![CDATA[", "]]>", "<article>", "</article>", "text ", "&am", "<script>", "</"]), max_size=30).map("".join))
 def test_any_markup_is_survived(html):
     htmltext.main_blocks(html)
+
+
+SENTENCE = "Some long sentence of the article that goes on and on with many words in it."
+
+
+@pytest.mark.parametrize(
+    "html, n",
+    [
+        ('<nav><a href=x>Menu</a></nav><article class="post hentry category-social tag-search"><p>%s</p></article>', 1),
+        ('<div class="menu"><a>x</a></div><div class="layout no-sidebar"><p>%s</p><p>%s</p></div>', 2),
+        ('<form id="aspnetForm"><div id="menu"><a>x</a></div><div><p>%s</p><p>%s</p></div></form>', 2),
+        ("<article><p>%s</p><p>%s</p><article><p>Reply by a reader</p></article></article>", 2),
+        ("<article><p>%s</p><p>%s</p><section><h3>3 Comments</h3><p>Nice one</p></section></article>", 2),
+        ('<div class="comments"><p>%s</p></div>', 1),
+        ("<article><article><p>%s</p></article></article>", 1),
+        ('<form><input><p>Subscribe now</p></form><p>%s</p><div class="cookie-banner">We use cookies</div><div class="siteFooter">foot</div>', 1),
+        ("<p>%s</p><p>%s</p><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul>", 2),
+    ],
+)
+def test_pages_whose_names_or_frames_mislead(html, n):
+    assert htmltext.main_blocks("<html><body>" + html.replace("%s", SENTENCE) + "</body></html>") == [SENTENCE] * n
+
+
+@pytest.mark.parametrize("token, want", [("no-sidebar", False), ("category-social", False), ("tag-search", False), ("has_ads", False), ("sidebar", True), ("site-footer", True), ("newsletterBox", True), ("comment-list", True), ("hentry", False), ("", False), ("shared-memory", False)])
+def test_marks_of_class_names(token, want):
+    assert htmltext.marks(token) is want
+
+
+def test_very_long_page():
+    html = "<html><body><nav>x</nav><article>" + "".join(f"<p>{SENTENCE} {k}</p>" for k in range(20_000)) + "</article></body></html>"
+    assert htmltext.main_blocks(html) == [f"{SENTENCE} {k}" for k in range(20_000)]
+    assert htmltext.main_blocks("<div>" * 3000 + SENTENCE) == [SENTENCE]
