@@ -85,7 +85,7 @@ class Collection:
     continuations: dict[str, DataFrame]
 
 
-def _whole_key(columns: Sequence[str]) -> Column:
+def whole_key(columns: Sequence[str]) -> Column:
     """One value for a key of one or more columns; null if any of them is."""
     if len(columns) == 1:
         return F.col(columns[0])
@@ -157,7 +157,7 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
         inside_object = repeated or child.kind == EMBEDDED
         below, below_names = _fold(child, tables, rest, at, inside_object, max_items, repeat_items)
         columns = _field_columns(child.fields) + [F.col(n) for n in below_names]
-        parent_key, child_key = (_whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
+        parent_key, child_key = (whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
         if child.kind == EMBEDDED:
             embedded = below.select(child_key.alias("_k"), F.struct(*columns).alias(child.path))
             # One row per referenced key: a hot foreign key is split by the join, not collected.

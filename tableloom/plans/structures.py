@@ -14,6 +14,7 @@ from tableloom.operators import relational as R
 from tableloom.plans.registry import query
 from tableloom.session import scratch_dir
 from tableloom.sources import files
+from tableloom.streaming import buckets as B
 from tableloom.streaming import changes as S
 
 MONEY = "decimal(18,2)"
@@ -1195,8 +1196,10 @@ def s2(t):
 
 
 def _event_stream(t):
-    schema = t("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    """The events in four files of mixed times, one micro-batch each."""
+    path = scratch_dir(t.spark, "event-files")
+    t("events").repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    return t.spark.readStream.schema(t("events").schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("s2_stream_changes", _FED)
@@ -1242,3 +1245,46 @@ def s3(t):
         F.size("customer.customerTransactions").cast("bigint").alias("n_tx"),
     )
     return with_kept_once(rows, fresh)
+
+
+@query("s2_stream_into_buckets", _FED)
+def s2_buckets(t):
+    """A table in hash buckets, kept current by several micro-batches whose times overlap."""
+    start, first = base(t), dt.datetime(1900, 1, 1)
+    table = B.BucketTable(t.spark, scratch_dir(t.spark, "buckets"), start.schema, ("user_id",), ("ts", "event_id"), ("timestamp_ntz", "bigint"), 16)
+    oldest = start.withColumns({"op": F.lit(B.UPSERT), "ts": F.lit(first).cast("timestamp_ntz"), "event_id": F.lit(-1).cast("bigint")})
+    changes = feed(_event_stream(t)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    B.stream_into_buckets(changes.unionByName(_once(t, oldest)), table, scratch_dir(t.spark, "offsets")).awaitTermination()
+    return table.read()
+
+
+def _once(t, rows):
+    """Rows as a stream of one file."""
+    path = scratch_dir(t.spark, "start")
+    rows.coalesce(1).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(
+    "s3_bucketed_documents",
+    """SELECT o_orderkey AS "orderId", CAST(o_totalprice AS DOUBLE) AS total, c_name || CASE WHEN c_mktsegment = 'BUILDING' THEN ' *' ELSE '' END AS "customerName", n_tx
+        FROM orders JOIN customer ON c_custkey = o_custkey
+        JOIN (SELECT o_custkey AS k, count(*) AS n_tx FROM orders GROUP BY o_custkey) x ON k = o_custkey
+        WHERE o_orderkey % 7 <> 0 OR c_mktsegment <> 'BUILDING'""",
+)
+def s3_buckets(t):
+    """Documents of all orders; customers are renamed in one batch, and in the next some of their orders go."""
+    before = full_sources(t)
+    built = D.build_collection("orders", ORDERS, before)
+    table = B.document_table(t.spark, scratch_dir(t.spark, "documents"), built.documents, 16)
+    B.store_documents(table, built)
+    building = F.col("c_mktsegment") == "BUILDING"
+    after = {**before, "customer": t("customer").withColumn("c_name", F.when(building, F.concat("c_name", F.lit(" *"))).otherwise(F.col("c_name")))}
+    renamed = t("customer").filter(building).select("c_custkey")
+    B.refresh_documents(table, "orders", ORDERS, after, S.touched_roots(ORDERS, after, {"customer": renamed}), 1)
+    gone = t("orders").join(renamed, F.col("o_custkey") == F.col("c_custkey"), "left_semi").filter("o_orderkey % 7 = 0").select("o_orderkey")
+    left = {**after, "orders": t("orders").join(gone, "o_orderkey", "left_anti")}
+    B.refresh_documents(table, "orders", ORDERS, left, gone, 2)
+    rows = table.read()
+    # The transactions of these documents are whole.
+    return rows.select("orderId", "total", F.col("customer.customerName"), F.size("customer.customerTransactions").cast("bigint").alias("n_tx"))

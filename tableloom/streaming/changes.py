@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tableloom.operators.documents import Collection, TableMapping, build_collection, document_id
+from tableloom.operators.documents import Collection, TableMapping, build_collection, document_id, whole_key
 from tableloom.operators.relational import literal
 
 
@@ -156,12 +156,12 @@ def _touched(mapping: TableMapping, versions: Sequence[Mapping[str, DataFrame]],
     parts = [own.select(*mapping.key)] if own is not None else []
     for child in mapping.children:
         below = _touched(child, versions, changed)
-        parent_column, child_column = child.link
+        parent_key, child_key = (whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
         for tables in versions:
             # Changed child rows, then the link values they carry, then the parents with those values.
-            links = tables[child.table].join(below, child.key, "left_semi").select(F.col(child_column).alias("_k")).distinct()
+            links = tables[child.table].join(below, child.key, "left_semi").select(child_key.alias("_k")).distinct()
             rows = tables[mapping.table]
-            parts.append(rows.join(links, F.col(parent_column) == F.col("_k"), "left_semi").select(*mapping.key))
+            parts.append(rows.join(links, parent_key == F.col("_k"), "left_semi").select(*mapping.key))
     if not parts:
         any_version = versions[0][mapping.table]
         return any_version.select(*mapping.key).filter(F.lit(False))
@@ -187,7 +187,7 @@ def refresh_collection(
         old, new = collection.continuations.get(path), rebuilt.continuations.get(path)
         if old is not None:
             # The rebuilt owners bring all of their elements along.
-            old = old.join(_owners(narrowed, path.split("."), affected), _owner_column(mapping, path.split(".")), "left_anti")
+            old = old.join(_owners(narrowed, path.split("."), affected), _owner_columns(mapping, path.split(".")), "left_anti")
         continuations[path] = old.unionByName(new) if old is not None and new is not None else (old if new is None else new)
     return Collection(documents, continuations)
 
@@ -201,8 +201,9 @@ def _narrow(mapping: TableMapping, tables: Mapping[str, DataFrame], rows: DataFr
     out[at] = rows
     children = []
     for child in mapping.children:
-        links = rows.select(F.col(child.link[0]).alias("_k")).distinct()
-        below = tables[child.table].join(links, F.col(child.link[1]) == F.col("_k"), "left_semi")
+        parent_key, child_key = (whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
+        links = rows.select(parent_key.alias("_k")).distinct()
+        below = tables[child.table].join(links, child_key == F.col("_k"), "left_semi")
         children.append(_narrow(child, tables, below, f"{at}{child.path}/", out))
     return replace(mapping, table=at, children=tuple(children))
 
@@ -211,10 +212,10 @@ def _child(mapping: TableMapping, step: str) -> TableMapping:
     return next(c for c in mapping.children if c.path == step)
 
 
-def _owner_column(mapping: TableMapping, path: Sequence[str]) -> str:
+def _owner_columns(mapping: TableMapping, path: Sequence[str]) -> list[str]:
     for step in path:
         mapping = _child(mapping, step)
-    return mapping.link[1]
+    return [c for _, c in mapping.pairs]
 
 
 def _owners(mapping: TableMapping, path: Sequence[str], tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -222,4 +223,4 @@ def _owners(mapping: TableMapping, path: Sequence[str], tables: Mapping[str, Dat
     for step in path[:-1]:
         mapping = _child(mapping, step)
     last = _child(mapping, path[-1])
-    return tables[mapping.table].select(F.col(last.link[0]).alias(last.link[1])).distinct()
+    return tables[mapping.table].select(*[F.col(p).alias(c) for p, c in last.pairs]).distinct()
