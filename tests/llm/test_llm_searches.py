@@ -170,17 +170,42 @@ def searched(docs, items, **options):
 ITEMS = [(1, "Alpha beta; GAMMA alpha"), (2, "Größe née beta"), (3, None), (4, "..."), (5, "common"), (None, "beta delta w7"), (1, "Alpha beta; GAMMA alpha"), (6, " ".join(f"w{k}" for k in range(80)))]
 
 
-@pytest.mark.parametrize("blocks, few, sent", [(ranked.BLOCKS, 200_000, 200_000), ((0.2, 0.5), 0, 0), ((), 200_000, 3)])
-def test_ranking_against_all_scores(frame, monkeypatch, blocks, few, sent):
-    monkeypatch.setattr(ranked, "BROADCAST_ROWS", few)
+@pytest.mark.parametrize("rounds, shard, sent, at_a_time", [(ranked.ROUNDS, 20_000, 200_000, 500_000), ((0.2, 0.5), 40, 0, 20), ((), 1, 3, 500_000)])
+def test_ranking_against_all_scores(frame, monkeypatch, rounds, shard, sent, at_a_time):
     monkeypatch.setattr(ranked, "SENT_TERMS", sent)
+    monkeypatch.setattr(ranked, "SENT_ROWS", at_a_time)
     rng = random.Random(3)
     names = ["alpha", "beta", "gamma", "delta", "Größe", "née", "COMMON"] + [f"w{k}" for k in range(90)]
     docs = [(k, " ".join(["common", *rng.choices(names, k=rng.randrange(1, 60)), "filler" * (k % 3)])) for k in range(250)]
     docs += [(1000 + k, "alpha beta same tie") for k in range(15)] + [docs[4], (None, docs[7][1]), (7, "gamma-beta_alpha\x0bW3"), (2000, None), (2001, "!?"), (2002, "common " * 3000)]
     df = frame([(d, t, 1, 2, "s") for d, t in docs], "doc_id bigint, text string, row bigint, score int, item string")
     items = frame([(i, t, 1, "x") for i, t in ITEMS], "item_id bigint, text string, row int, term string")
-    assert searched(df.repartition(3), items, k=10, blocks=blocks) == plain_ranking(docs, ITEMS, 10)
+    assert searched(df.repartition(3), items, k=10, rounds=rounds, shard=shard) == plain_ranking(docs, ITEMS, 10)
+
+
+def test_reading_stops_early_and_stays_exact():
+    rng = np.random.default_rng(2)
+    n, read = 5000, []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, slice):
+                read.append(len(range(*key.indices(len(self)))))
+            return super().__getitem__(key)
+
+    lists = []
+    for t in range(6):
+        rows = rng.permutation(n)[: 800 * (t + 1)]
+        impacts = np.sort(rng.integers(1, 1000, len(rows)))[::-1] * (7 - t)
+        impacts[:12] = 10_000 * (7 - t)
+        rows = np.concatenate([np.arange(12), rows[rows >= 12]])[: len(impacts)]
+        lists.append((rows, impacts[: len(rows)].view(Counted)))
+    found, score = ranked.best_rows(lists, n, 10)
+    every = np.zeros(n, dtype=np.int64)
+    for rows, impacts in lists:
+        every[rows] += np.asarray(impacts)
+    assert set(found) == set(np.flatnonzero(every >= np.sort(every)[-10])) and (score == every[found]).all()
+    assert sum(read) < sum(len(r) for r, _ in lists) / 2
 
 
 def test_ranking_of_odd_and_no_rows(frame, odd, nothing):
