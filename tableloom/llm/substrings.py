@@ -40,7 +40,7 @@ assert 2 * PAIRS[-1] <= ZONE
 LONGEST = 1 << 10  # words in a pair of high symbols; longer ones are left to the windows
 
 # Words that are looked at together; a longer text is looked at alone.
-WORDS = 400_000
+WORDS = 200_000
 # How an occurrence is known: alone among the texts looked at together, repeated among them, or standing for those.
 ALONE, REPEATED, WITNESS = 0, 1, 2
 
@@ -145,7 +145,10 @@ def _grouped(key: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _found(texts: _Texts, start: np.ndarray, length: np.ndarray, key: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``row, at, key, key2`` of stretches, those repeated among these texts marked, with one more row that stands for them."""
+    """``row, start, meta, key, key2`` of stretches, those repeated among these texts marked, with one more row that stands for them.
+
+    ``meta`` is four times the length and the kind.
+    """
     order, first, several = _grouped(key, key2)
     owner = texts.owner(start)
     place = start - (texts.ends - texts.sizes)[owner]
@@ -153,7 +156,7 @@ def _found(texts: _Texts, start: np.ndarray, length: np.ndarray, key: np.ndarray
     stands = first[several[first]]
     pick = np.concatenate([order, order[stands]])
     kind = np.concatenate([kind, np.full(len(stands), WITNESS)])
-    return texts.rows[owner[pick]], place[pick] << 12 | length[pick] << 2 | kind, key[pick], key2[pick]
+    return texts.rows[owner[pick]], place[pick], length[pick] << 2 | kind, key[pick], key2[pick]
 
 
 def _occurrences(texts: _Texts) -> Iterator[tuple[np.ndarray, ...]]:
@@ -219,18 +222,29 @@ def _binary(column: pa.Array) -> Iterator[bytes | None]:
         yield x.as_buffer().to_pybytes() if x.is_valid else None
 
 
-_FOUND = "doc_id {}, version bigint, at bigint, key bigint, key2 bigint"
+_FOUND = "bucket int, doc_id array<{}>, version array<bigint>, start array<int>, meta array<smallint>, key array<bigint>, key2 array<int>"
+_NAMES = ["bucket", "doc_id", "version", "start", "meta", "key", "key2"]
 
 
-def _rows(batch: pa.RecordBatch, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    row, at, key, key2 = found
-    own = batch.select(["doc_id", "version"]).take(pa.array(row))
-    columns = [*own.columns, pa.array(at, pa.int64()), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "at", "key", "key2"])
+def _packed(batch: pa.RecordBatch, found: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
+    """One row for each bucket of keys, with the stretches in arrays side by side: a fraction of the size of single rows."""
+    row, start, meta, key, key2 = found
+    spread = _mix(start.astype(np.uint64) * np.uint64(_BASES[0]) + row.astype(np.uint64))
+    bucket = (np.where(meta & 3 == REPEATED, spread, key) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, row, bucket))
+    there, first = np.unique(bucket[order], return_index=True)
+    ends = pa.array(np.append(first, len(order)), pa.int32())
+    rows = pa.array(row[order])
+    values = [
+        batch.column("doc_id").take(rows), batch.column("version").take(rows), pa.array(start[order], pa.int32()), pa.array(meta[order], pa.int16()),
+        pa.array(key[order].view(np.int64)), pa.array(key2[order].astype(np.uint32).view(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.ListArray.from_arrays(ends, v) for v in values)], names=_NAMES)
 
 
 def _looked_at(docs: DataFrame, look: Callable[[list, list, pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]]) -> DataFrame:
     """What ``look`` finds in the texts of at least one window, some of them at a time."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,11 +257,11 @@ def _looked_at(docs: DataFrame, look: Callable[[list, list, pa.RecordBatch], Ite
                     held += len(words)
                 if held >= WORDS:
                     for found in look(rows, names, batch):
-                        yield _rows(batch, found)
+                        yield _packed(batch, found, buckets)
                     rows, names, held = [], [], 0
             if rows:
                 for found in look(rows, names, batch):
-                    yield _rows(batch, found)
+                    yield _packed(batch, found, buckets)
 
     return docs.mapInArrow(run, _FOUND.format(docs.schema["doc_id"].dataType.simpleString()))
 
@@ -255,21 +269,21 @@ def _looked_at(docs: DataFrame, look: Callable[[list, list, pa.RecordBatch], Ite
 def _shared(found: DataFrame) -> DataFrame:
     """``doc_id, version, at`` of the stretches that occur elsewhere.
 
-    Those repeated within one task are known already and are not dealt by their
-    key; for all of them one row goes to the key. So a stretch of a third of
-    all texts sends a few rows of each task to its key. Of each key one row is
-    kept as ``WITNESS``: its text shows the stretch to others.
+    Those repeated among texts looked at together are known already and are
+    spread over the buckets; for all of them one goes to the bucket of the key.
+    So a stretch of a third of all texts sends a few rows of each task there. Of
+    each key one row is kept as ``WITNESS``: its text shows the stretch to others.
     """
-    kind = F.col("at").bitwiseAND(F.lit(3))
-    spread = F.when(kind == REPEATED, F.xxhash64("doc_id", "version", "at")).otherwise(F.lit(0))
-    group = Window.partitionBy("key", "key2", "spread")
-    place = F.struct("doc_id", "version", "at")
-    rows = found.withColumns({"kind": kind, "spread": spread})
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(group), "most": F.max("kind").over(group), "low": F.min(place).over(group)})
-    both = (F.col("kind") != REPEATED) & ((F.col("n") > 1) | (F.col("most") == WITNESS))
+    dealt = found.repartition("bucket")
+    rows = dealt.select("bucket", F.inline(F.arrays_zip(*_NAMES[1:])))
+    kind = F.col("meta").bitwiseAND(F.lit(3).cast("smallint"))
+    group = Window.partitionBy("bucket", "key", "key2")
+    place = F.struct("doc_id", "version", "start", "meta")
+    rows = rows.select("doc_id", "version", "start", "meta", F.count(F.lit(1)).over(group).alias("n"), F.max(kind).over(group).alias("most"), F.min(F.when(kind != REPEATED, place)).over(group).alias("low"))
+    both = (kind != REPEATED) & ((F.col("n") > 1) | (F.col("most") == WITNESS))
     stands = both & place.eqNullSafe(F.col("low"))
-    shared = (F.col("kind") == REPEATED) | stands | (both & (F.col("kind") == ALONE))
-    plain = F.shiftleft(F.shiftright("at", 2), 2)
+    shared = (kind == REPEATED) | stands | (both & (kind == ALONE))
+    plain = F.shiftleft(F.col("start").cast("bigint"), 12) + F.col("meta") - kind
     return rows.where(shared).select("doc_id", "version", F.when(stands, plain + WITNESS).otherwise(plain).alias("at"))
 
 
