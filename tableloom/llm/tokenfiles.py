@@ -90,14 +90,17 @@ class _Writer:
     def _flush(self) -> None:
         if not self.documents:
             return
-        ids = np.concatenate(self.ids)
+        self.block([np.array(c, dtype=k) for c, k in zip(zip(*self.documents), ("<i8", "i1", "<i8", "i1"), strict=True)], np.concatenate(self.ids))
+        self.documents, self.ids, self.held = [], [], 0
+
+    def block(self, documents: list[np.ndarray], ids: np.ndarray) -> None:
+        """Write one whole block: the columns of its documents and all their ids."""
         control, data = self.code(ids)
-        self.out.write(HEAD.pack(MAGIC, len(self.documents), len(ids), len(control), len(data)))
-        for column, kind in zip(zip(*self.documents), ("<i8", "i1", "<i8", "i1"), strict=True):
-            self.out.write(np.array(column, dtype=kind).tobytes())
+        self.out.write(HEAD.pack(MAGIC, len(documents[0]), len(ids), len(control), len(data)))
+        for column in documents:
+            self.out.write(column.tobytes())
         self.out.write(control)
         self.out.write(data)
-        self.documents, self.ids, self.held = [], [], 0
 
     def close(self) -> None:
         self._flush()
@@ -234,8 +237,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
         # A task that runs again after its work was whole finds the file.
         if not _exists(target):
             writer = _Writer(target, lambda ids: encode_ranks(rank[ids]))
-            for doc_id, ids in _documents(f"{folder}/{name}", _raw_decode):
-                writer.add(doc_id, ids)
+            # Blocks stay as they are, only their ids are replaced.
+            for *documents, n, control, data in _blocks(f"{folder}/{name}"):
+                writer.block(documents, _raw_decode(control, data, n))
             writer.close()
         _remove(f"{folder}/{name}")
         yield (target,)
