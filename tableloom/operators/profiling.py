@@ -24,7 +24,7 @@ def estimated_rows(df: DataFrame) -> int:
         rows = float(str(stats.rowCount().get()))
     else:
         width = sum(_width(f.dataType) for f in df.schema.fields) + 8
-        rows = float(stats.sizeInBytes().toString()) / width
+        rows = float(str(stats.sizeInBytes())) / width
     return max(1, math.ceil(rows))
 
 

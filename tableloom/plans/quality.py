@@ -10,11 +10,14 @@ from tableloom.functions import jsontext as J
 from tableloom.functions import names as N
 from tableloom.functions import units as U
 from tableloom.operators import conformance as C
+from tableloom.operators import digests
 from tableloom.operators import equivalence as E
 from tableloom.operators import profiling as D
 from tableloom.operators import relational as R
+from tableloom.operators import sketches
 from tableloom.operators import summary as S
 from tableloom.plans.registry import query
+from tableloom.session import scratch_dir
 
 # --- JSON in text columns -------------------------------------------------
 
@@ -532,6 +535,22 @@ def e8e(t):
     return found.select("o_orderkey", "kind", *blank)
 
 
+@query(
+    "e8e_difference_by_digests",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'removed' ELSE 'changed' END AS kind,
+              CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'o_totalprice' END AS "column",
+              CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('%.3f', o_totalprice) END AS old,
+              CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('%.3f', o_totalprice + 1) END AS new
+       FROM orders WHERE o_orderkey % 97 = 0""",
+)
+def e8e_digests(t):
+    """Few keys differ; only rows of buckets whose digests differ are shuffled."""
+    left, case = t("orders"), F.col("o_orderkey") % 97 == 0
+    right = left.filter(~(case & (F.col("o_orderkey") % 5 == 0))).withColumn("o_totalprice", F.when(case, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    found = digests.difference(left, right, ["o_orderkey"])
+    return found.select("o_orderkey", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("column", "old", "new")])
+
+
 @query(
     "e8e_difference_counts",
     """SELECT 'removed' AS kind, '' AS "column", count(*) AS cells FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
@@ -757,6 +776,95 @@ def d4d_small(t):
     return D.synthetic_table(t.spark, schema, t("orders").count(), distinct=True)
 
 
+def _order_profile(t):
+    """The profile of all orders, merged from one stored profile for each year."""
+    path = scratch_dir(t.spark, "profiles")
+    sketches.profile_parts(t("orders"), F.year("o_orderdate")).write.parquet(path)
+    return sketches.merge_parts(t.spark.read.parquet(path))
+
+
+def _near(estimate, exact, share):
+    return F.abs(estimate - exact) <= F.greatest(exact * share, F.lit(1))
+
+
+@query(
+    "d6d_merged_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, true AS distinct_near, true AS quartiles_near FROM orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    ),
+)
+def d6d_merged(t):
+    """Distinct counts within 5 %, and quartiles whose share of smaller values is off by 2 % at most."""
+    rows = t("orders")
+    found = sketches.estimates(_order_profile(t))
+    quartiles = {r["column_name"]: r["quantiles"] for r in found.collect()}
+    exact = [F.count_distinct(c).alias(f"{c}_n") for c in rows.columns]
+    for c in rows.columns:
+        value = F.unix_micros(F.col(c).cast("timestamp")) if c == "o_orderdate" else F.col(c)
+        steps = quartiles[c] or []
+        inside = [(F.count_if(value < q) / F.count(c) <= r + 0.02) & (F.count_if(value <= q) / F.count(c) >= r - 0.02) for q, r in zip(steps, (0.25, 0.5, 0.75))]
+        every = F.lit(True)
+        for x in inside:
+            every = every & x
+        exact.append(every.alias(f"{c}_q"))
+    one = rows.agg(*exact)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_q").alias("quartiles_near")) for c in rows.columns])
+    held = one.select(F.explode(cells).alias("x")).select("x.*")
+    both = found.join(held, "column_name")
+    return both.select("column_name", "rows", "nulls", _near(F.col("distinct_values"), F.col("n"), 0.05).alias("distinct_near"), "quartiles_near")
+
+
+@query(
+    "d1d_estimated_rows",
+    """SELECT 'groups' AS plan, true AS near, count(DISTINCT o_orderpriority) AS exact FROM orders
+       UNION ALL SELECT 'range', true, count(*) FILTER (WHERE o_totalprice > 100000 AND o_totalprice <= 300000) FROM orders
+       UNION ALL SELECT 'plan', true, count(*) FROM orders""",
+    grouping=True,
+)
+def d1d_estimated(t):
+    """Row estimates that run no query on the table: a grouping and a range from stored sketches, a scan from the plan."""
+    profile = _order_profile(t)
+    rows = t("orders")
+    cases = [
+        ("groups", sketches.estimated_groups(profile, "o_orderpriority"), rows.agg(F.count_distinct("o_orderpriority").alias("exact")), 0.05),
+        ("range", sketches.estimated_range(profile, "o_totalprice", 100_000, 300_000), rows.filter((F.col("o_totalprice") > 100_000) & (F.col("o_totalprice") <= 300_000)).agg(F.count(F.lit(1)).alias("exact")), 0.05),
+        # The optimizer only knows the size of the files; held to a factor of ten.
+        ("plan", rows.limit(1).agg(F.lit(D.estimated_rows(rows)).cast("bigint").alias("row_count")), rows.agg(F.count(F.lit(1)).alias("exact")), 9.0),
+    ]
+    out = None
+    for name, estimate, exact, share in cases:
+        one = estimate.withColumn("plan", F.lit(name)).join(exact.withColumn("plan", F.lit(name)), "plan")
+        one = one.select("plan", _near(F.col("row_count"), F.col("exact"), share).alias("near"), "exact")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "d4d_like_a_profile",
+    """SELECT 'amount' AS "column", count(*) AS rows, true AS quartiles_near, true AS has_time FROM events
+       UNION ALL SELECT 'at', count(*), true, true FROM events""",
+    grouping=True,
+)
+def d4d_profile(t):
+    """As many made rows as events, whose values and times of day follow the merged profile of the days."""
+    events = t("events").select(F.col("ts").alias("at"), F.col("value").alias("amount"))
+    profile = sketches.merge_parts(sketches.profile_parts(events, F.to_date("at")))
+    made = sketches.synthetic_like(t.spark, profile, events.count())
+    names = {"amount": "amount", "at": F.unix_micros(F.col("at").cast("timestamp")).cast("double")}
+    out = None
+    for name, value in names.items():
+        value = F.col(value) if isinstance(value, str) else value
+        quartiles = events.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).withColumn("column", F.lit(name))
+        shares = made.select(value.alias("x")).join(F.broadcast(quartiles), F.lit(name) == F.col("column"))
+        near = [F.abs(F.count_if(F.col("x") <= F.col("q")[k]) / F.count("x") - r) <= 0.03 for k, r in enumerate((0.25, 0.5, 0.75))]
+        timed = made.agg((F.count_distinct(F.date_format("at", "HH:mm:ss")) > 1).alias("has_time")).withColumn("column", F.lit(name))
+        one = shares.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), (near[0] & near[1] & near[2]).alias("quartiles_near"))
+        one = one.join(timed, "column")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "d5d_ordinal_column_names",
     """SELECT a.l_orderkey AS "0__key", b.o_orderkey AS "1__key", b.o_totalprice AS "2__amount" FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey""",

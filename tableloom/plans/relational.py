@@ -8,11 +8,11 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tableloom.functions import names as N
-from tableloom.operators import nesting
+from tableloom.operators import nesting, paging
 from tableloom.operators import relational as R
 from tableloom.plans.registry import SCHEMAS, query
 from tableloom.session import scratch_dir
-from tableloom.sources import files, tables
+from tableloom.sources import files, tables, textindex
 from tableloom.streaming.changes import incremental_extract
 
 LINE_COLUMNS = [c.split()[0] for c in SCHEMAS["lineitem"].split(", ")]
@@ -260,6 +260,20 @@ def pre5(t):
     return t("documents").filter(R.contains_text(F.col("text"), "tion")).select("doc_id", "lang", "n_chars")
 
 
+def _text_files(t):
+    """The documents in files of neighbouring ids, and an index of their trigrams."""
+    path, folder = scratch_dir(t.spark, "texts"), scratch_dir(t.spark, "trigrams")
+    t("documents").repartitionByRange(16, "doc_id").write.parquet(path)
+    return textindex.write_index(textindex.index_text(t.spark, path, "text"), folder)
+
+
+@query("pre5_pruned_text_search", "SELECT doc_id, lang, n_chars FROM documents WHERE contains(text, (SELECT text[20:60] FROM documents WHERE length(text) > 100 ORDER BY doc_id LIMIT 1))")
+def pre5_pruned(t):
+    """A rare text, searched for in the files whose trigrams can make it up."""
+    needle = t("documents").filter("char_length(text) > 100").orderBy("doc_id").limit(1).select(F.substring("text", 20, 41)).first()[0]
+    return _text_files(t).search(needle).select("doc_id", "lang", "n_chars")
+
+
 @query(
     "pre5_text_search_ignoring_case",
     "SELECT doc_id, lang, n_chars FROM documents WHERE contains(lower(text), 'the')",
@@ -695,6 +709,18 @@ def srt3(t):
     return R.numbered(R.page(t("orders"), 1000, 50, "o_orderkey"), "o_orderkey")
 
 
+@query(
+    "srt3_deep_page",
+    """SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position
+       FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET (SELECT count(*) // 2 FROM orders))""",
+)
+def srt3_deep(t):
+    """The page in the middle of the table, read from the range of rows that holds it."""
+    order = [("o_totalprice", "desc"), "o_orderkey"]
+    pages = paging.paged(t("orders"), *order)
+    return R.numbered(pages.page(len(pages) // 2, 50), *order)
+
+
 @query(
     "srt4_keyset_page",
     """SELECT *, row_number() OVER (ORDER BY o_orderkey) AS position

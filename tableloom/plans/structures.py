@@ -16,6 +16,7 @@ from tableloom.session import scratch_dir
 from tableloom.sources import files
 from tableloom.streaming import buckets as B
 from tableloom.streaming import changes as S
+from tableloom.streaming import pairs as SP
 
 MONEY = "decimal(18,2)"
 
@@ -1166,6 +1167,32 @@ def s1(t):
     return changed.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", total.cast("double").alias("total_including_tax"))
 
 
+def _files_as_stream(t, name, column, n=3):
+    """A table in ``n`` files by time, one micro-batch each."""
+    path = scratch_dir(t.spark, f"{name}-files")
+    t(name).repartitionByRange(n, column).write.parquet(path)
+    return t.spark.readStream.schema(t(name).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(
+    "s1_streamed_extract",
+    """SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
+       FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+       WHERE greatest(o_orderdate, l_shipdate) > TIMESTAMP '1998-01-01' AND greatest(o_orderdate, l_shipdate) <= TIMESTAMP '1999-01-01'""",
+)
+def s1_stream(t):
+    """The extract from two streams of several files; a pair may lie as far apart as the tables reach."""
+    century = dt.timedelta(days=36_500)
+    pairs = SP.stream_pairs(
+        _files_as_stream(t, "orders", "o_orderdate"), _files_as_stream(t, "lineitem", "l_shipdate"),
+        ("o_orderkey", "l_orderkey"), ("o_orderdate", "l_shipdate"), century, century, dt.datetime(1998, 1, 1), dt.datetime(1999, 1, 1),
+    )
+    pairs = pairs.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    path = scratch_dir(t.spark, "pairs")
+    SP.write_pairs(pairs, path, scratch_dir(t.spark, "offsets")).awaitTermination()
+    return t.spark.read.schema(pairs.schema).parquet(path)
+
+
 def feed(events):
     """Events as changes of a user table: errors delete, everything else writes."""
     return events.select(
