@@ -13,12 +13,14 @@ from tableloom.session import local_frame
 BITS = 1 << 18
 
 
-def _places(text: Column, bits: int) -> Column:
-    """The bits of the trigrams of a text, in lower case, each once."""
-    low = F.lower(text)
-    some = F.char_length(low) >= 3
-    starts = F.when(some, F.sequence(F.lit(1), F.char_length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda k: F.pmod(F.xxhash64(F.substring(low, k, F.lit(3))), F.lit(bits))))
+def _places(rows: DataFrame, text: Column, bits: int) -> DataFrame:
+    """``rows`` with ``place``: the bits of the trigrams of a text, in lower case, each once."""
+    # The characters are a column of their own: inside a function over elements they would be made for each of them.
+    chars = rows.withColumn("_chars", F.filter(F.split(F.lower(text), ""), lambda c: c != ""))
+    c = F.col("_chars")
+    starts = F.when(F.size(c) >= 3, F.sequence(F.lit(0), F.size(c) - 3)).otherwise(F.array().cast("array<int>"))
+    every = F.transform(starts, lambda k: F.pmod(F.xxhash64(F.get(c, k), F.get(c, k + 1), F.get(c, k + 2)), F.lit(bits)))
+    return chars.withColumn("place", F.explode(F.array_distinct(every))).drop("_chars")
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,7 @@ class TextIndex:
         """The files that can hold ``needle``, in any case; ``None`` if it is too short to tell."""
         spark = self.filters.sparkSession
         one = local_frame(spark, [(needle,)], "needle string")
-        place = F.explode(_places(F.col("needle"), self.bits)).alias("place")
-        wanted = one.select(place).select(
+        wanted = _places(one, F.col("needle"), self.bits).select(
             F.call_function("bitmap_bucket_number", F.col("place")).alias("bucket"), F.call_function("bitmap_bit_position", F.col("place")).alias("at")
         )
         n = wanted.count()
@@ -68,8 +69,8 @@ def index_text(spark, path: str, column: str, bits: int = BITS) -> TextIndex:
     ``bits`` records for each of its files.
     """
     rows = spark.read.parquet(path)
-    places = rows.select(F.col("_metadata.file_path").alias("file"), F.explode(_places(F.col(column).cast("string"), bits)).alias("place"))
-    each = places.groupBy("file", "place").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.select(F.col("_metadata.file_path").alias("file"), F.col(column).cast("string").alias("text"))
+    each = _places(texts, F.col("text"), bits).groupBy("file", "place").agg(F.count(F.lit(1)).alias("n"))
     marked = each.groupBy("file", F.call_function("bitmap_bucket_number", F.col("place")).alias("bucket"))
     filters = marked.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("place"))).alias("bits"))
     return TextIndex(path, rows.schema, column, filters, bits)
