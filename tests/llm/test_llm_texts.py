@@ -16,12 +16,15 @@ EN = "the quick brown fox jumps over the lazy dog and the cat sat on the mat wit
 DE = "der schnelle braune fuchs springt über den faulen hund und die katze saß auf der matte als sie dort war"
 
 
-def test_probabilities_sum_to_one():
-    counts = []
-    for name, text in (("en", EN), ("de", DE)):
-        for g, n in Counter(language.grams(language.symbols(text)).tolist()).items():
-            counts.append((name, int(np.uint64(g).astype(np.int64)), n))
-    model = language.build(pd.DataFrame(counts, columns=["language", "gram", "n"]))
+def gram_counts(frame, texts):
+    counts = Counter()
+    for name, text in texts:
+        counts.update((name, g) for g in language.grams(language.symbols(text)).astype(np.int64).tolist())
+    return frame([(name, g, n) for (name, g), n in counts.items()], "language string, gram bigint, n bigint")
+
+
+def test_probabilities_sum_to_one(frame, tmp_path):
+    model = language.build(gram_counts(frame, [("en", EN), ("de", DE)]), str(tmp_path))
     letters = sorted(set(language.symbols(EN + " " + DE).tolist()))
     shift = np.uint64(language.BITS)
     for context in ([1, 1, ord("t")], [ord("t"), ord("h"), ord("e")], [5, 6, 7]):
@@ -32,6 +35,68 @@ def test_probabilities_sum_to_one():
         assert np.all(total <= 1.001) and np.all(total > 0.9)
 
 
+def kneser_ney(text, order=4):
+    """A plain model of one language: a function from a tuple of characters to its log probability, given the number of letters."""
+    s = language.symbols(text).tolist()
+    padded = [language.GAP] * (order - 2) + s
+    tables = {order: Counter(tuple(padded[k : k + order]) for k in range(len(padded) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+
+    def p(gram, letters):
+        if not gram:
+            return 1 / letters
+        table = tables[len(gram)]
+        once, twice = (sum(n == x for n in table.values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        behind = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        if not behind:
+            return p(gram[1:], letters)
+        total = sum(behind.values())
+        return max(behind.get(gram, 0) - d, 0) / total + d * len(behind) / total * p(gram[1:], letters)
+
+    return p
+
+
+@pytest.fixture
+def small_parts(spark):
+    """Exchanges keep all their partitions, so a model has several files."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_entropies_against_a_plain_model(frame, tmp_path, monkeypatch, small_parts):
+    monkeypatch.setattr(language, "TOGETHER", 1)
+    texts = {"en": EN * 2 + " some more of it", "de": DE, "el": "η γρήγορη αλεπού πηδάει"}
+    model = language.build(gram_counts(frame, texts.items()), str(tmp_path))
+    assert model.languages == sorted(texts) and sum(len(p) > 1 for p in model.grams) >= 2
+    letters = len({c for t in texts.values() for c in language.symbols(t).tolist()}) + 1
+    plain = [kneser_ney(texts[name]) for name in model.languages]
+    tests = ["the fox and die katze", "αλεπού 漢字", None, "1 2", EN + DE]
+    for text, got in zip(tests, model.entropies(tests), strict=True):
+        s = language.symbols(text or "").tolist()
+        if not s:
+            assert got is None
+            continue
+        padded = [language.GAP] * 2 + s
+        grams = [tuple(padded[k : k + 4]) for k in range(len(padded) - 3)]
+        want = [-sum(np.log(p(g, letters)) for g in grams) / len(grams) for p in plain]
+        assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_rare_language_keeps_all_its_grams(frame, small_parts):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000)]
+    docs = [(k, " ".join(rng.choice(words, 12)), "xx") for k in range(2000)] + [(5000 + k, t, "pl") for k, t in enumerate(["szybki brązowy lis przeskakuje", "nad leniwym psem i kotem"])]
+    model = language.train(frame(docs, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["pl", "xx"] and sum(map(len, model.grams)) > 8
+    got = language.predict(frame([(1, "szybki lis i kotem"), (2, words[0])], "doc_id bigint, text string"), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["pl", "xx"]
+
+
 def test_languages_are_told_apart(frame, odd, nothing):
     docs = frame([(k, t, n, "s") for k, (t, n) in enumerate([(EN, "en"), (DE, "de")] * 5 + [("x", None), (None, "en")])], "doc_id bigint, text string, lang string, score string")
     model = language.train(docs)
