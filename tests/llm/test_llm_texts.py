@@ -302,3 +302,55 @@ def test_very_long_page():
     html = "<html><body><nav>x</nav><article>" + "".join(f"<p>{SENTENCE} {k}</p>" for k in range(20_000)) + "</article></body></html>"
     assert htmltext.main_blocks(html) == [f"{SENTENCE} {k}" for k in range(20_000)]
     assert htmltext.main_blocks("<div>" * 3000 + SENTENCE) == [SENTENCE]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_whole_license_texts(name):
+    text = "Copyright (c) 2020 Some One\n\n" + licenses.TEMPLATES[name].replace(". ", ".\n\n * ") + "\n\nint main() {}"
+    found = licenses.matches(text, INDEX)
+    assert [(n, c) for n, c, *_ in found] == [(name, 1.0)]
+    n, _, words, a, b = found[0]
+    assert words == len(INDEX.templates[name]) and licenses.words_of(text[a:b])[0] == licenses.words_of(licenses.TEMPLATES[name])[0]
+    assert licenses.words_of(text[a:b])[-1] == licenses.words_of(licenses.TEMPLATES[name])[-1]
+
+
+def test_opening_words_are_no_license():
+    opening = " ".join(licenses.TEMPLATES["BSD-2-Clause"].split()[:20])
+    assert licenses.matches(opening, INDEX) == [] and licenses.matches(" ".join(licenses.TEMPLATES["MIT-text"].split()[:60]), INDEX) == []
+
+
+def whole_alignment(template, words):
+    """Matched words of the best alignment without a band: plain cells."""
+    last, best = [(0, 0)] * (len(words) + 1), (0, 0)
+    for w in template.tolist():
+        row = [(0, 0)]
+        for k, x in enumerate(words, 1):
+            points, matched = last[k - 1]
+            diagonal = (points + licenses.MATCH, matched + 1) if x == w else (points + licenses.OTHER, matched)
+            row.append(max(diagonal, (last[k][0] + licenses.GAP, last[k][1]), (row[k - 1][0] + licenses.GAP, row[k - 1][1]), (0, 0)))
+        best = max(best, max(row))
+        last = row
+    return best[1]
+
+
+def test_candidates_against_alignment_with_every_template():
+    rng = np.random.default_rng(11)
+    names = ["ISC", "MPL-2.0", "GPL-3.0-notice", "Zlib", "CC-BY-4.0", "0BSD"]
+    for k in range(12):
+        words = [w.decode() for w in licenses.words_of(licenses.TEMPLATES[names[k % 6]])]
+        for at in rng.choice(len(words), len(words) // 9, replace=False):
+            words[at] = ["other", "", "two words"][rng.integers(3)]
+        text = "some words before " + " ".join(words) + " and after"
+        numbers = [INDEX.numbers.get(w, 0) for w in licenses.words_of(text)]
+        want = {n for n in names if whole_alignment(INDEX.templates[n], numbers) >= licenses.COVERAGE * len(INDEX.templates[n])}
+        got = {m[0]: m for m in licenses.matches(text, INDEX)}
+        assert names[k % 6] in want and set(got) <= want
+        # What is left out lies under a match that covers the same words better.
+        for n in want - set(got):
+            share = whole_alignment(INDEX.templates[n], numbers) / len(INDEX.templates[n])
+            assert any(m[1] >= share - licenses.NEARLY for m in got.values())
+
+
+def test_very_long_text_with_a_license():
+    text = "word " * 200_000 + licenses.TEMPLATES["ISC"] + " word" * 200_000
+    assert [(n, c, a) for n, c, _, a, _ in licenses.matches(text, INDEX)] == [("ISC", 1.0, 1_000_000)]
