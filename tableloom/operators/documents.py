@@ -209,17 +209,23 @@ def _array(children: DataFrame, name: str, order: list[str], repeated: bool, max
     return Nested(short.rows, tail, ("_k",), name)
 
 
-def unnest(documents: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
+def unnest(documents: DataFrame, path: str, keep: Sequence[str] = (), owner: str | None = None) -> DataFrame:
     """The rows embedded at ``path``, each once: the inverse of embedding.
 
     ``path`` may lead through objects; ``keep`` names document fields to carry
-    along.
+    along. ``owner`` is a field that identifies the object around an array, so
+    that one document of each is opened; without it arrays are told apart by
+    their whole content.
     """
     dtype = documents.select(F.col(path).alias("x")).schema["x"].dataType
     if isinstance(dtype, T.ArrayType):
         # An array inside an object is repeated in every document of that object: one of each first.
-        arrays = documents.select(*keep, F.col(path).alias("_a"))
-        rows = (arrays.distinct() if "." in path else arrays).select(*keep, F.explode("_a").alias("_r"))
+        arrays = documents.select(*keep, *([F.col(owner).alias("_o")] if owner else []), F.col(path).alias("_a"))
+        if owner:
+            arrays = arrays.dropDuplicates([*keep, "_o"])
+        elif "." in path:
+            arrays = arrays.distinct()
+        rows = arrays.select(*keep, F.explode("_a").alias("_r"))
     else:
         rows = documents.select(*keep, F.col(path).alias("_r")).filter(F.col("_r").isNotNull())
     fields = rows.schema["_r"].dataType.fields

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tableloom.functions.units import nanoseconds, size_bytes
-from tableloom.session import materialise
 
 METHOD, JOB, PARAMS = "Target_Method", "Job_Id", "Params"
 STAGE, LAUNCH, ITERATION, VALUE = (
@@ -91,23 +90,24 @@ def cumulative_mean(
 
 
 def five_numbers(
-    iterations: DataFrame, keys: Sequence[str] = (METHOD, JOB), value: str = VALUE, bins: int | None = None
+    iterations: DataFrame, keys: Sequence[str] = (METHOD, JOB), value: str = VALUE, bins: int = 32
 ) -> DataFrame:
     """Minimum, quartiles and maximum per group, exact, linear between ranks (M6).
 
-    Distinct values with their counts are dealt to ranges of group and value
-    (``bins`` of them, else as many as the session has shuffle partitions), so
-    a bin follows where the values are, outliers or not, and a large group
-    fills many. Counts per bin tell which bins hold a wanted rank, and only
-    those are ranked value by value.
+    Approximate quantiles of each group, kept on the map side in a sketch, are
+    the edges of its bins (``bins`` of them), so a bin follows where the values
+    are, outliers or not. Distinct values with their counts meet the edges of
+    their group; counts per bin tell which bins hold a wanted rank, and only
+    those are ranked value by value. Nothing is written and nothing runs while
+    the plan is built.
     """
     q = (0.0, 0.25, 0.5, 0.75, 1.0)
     known = iterations.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    edges = known.groupBy(*keys).agg(F.percentile_approx("_v", [k / bins for k in range(1, bins)], 10 * bins).alias("_edges"))
     values = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    columns = [*keys, "_v"]
-    values = values.repartitionByRange(bins, *columns) if bins else values.repartitionByRange(*columns)
-    # Read twice below, and a partition's number must be the same both times.
-    values = materialise(values.withColumn("_bin", F.spark_partition_id()), "five-numbers")
+    # Hot groups are split by the join; a bin is the number of edges below the value.
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    values = values.alias("a").join(edges.alias("b"), same).select("a.*", F.size(F.filter("b._edges", lambda e: e < F.col("a._v"))).alias("_bin"))
     counts = values.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)

@@ -348,6 +348,21 @@ def a6a_bounded(t):
     )
 
 
+@query(
+    "a7a_memory_grid",
+    _BRUTE.rsplit(",\n       r AS", 1)[0]
+    + f""", g AS (SELECT CAST(unnest([{MAX_MEMORY} // 2, {MAX_MEMORY}, {MAX_MEMORY} * 2]) AS BIGINT) AS max_memory),
+       r AS (SELECT workload, max_memory, min(total) AS total FROM e, g WHERE memory <= max_memory AND size <= {MAX_FRAMEWORKS} GROUP BY workload, max_memory)
+       SELECT w.workload, max_memory, CASE WHEN total IS NULL THEN -1 ELSE 0 END AS status, CAST(coalesce(total, -1) AS DOUBLE) AS objective
+       FROM (SELECT * FROM w, g) w LEFT JOIN r USING (workload, max_memory)""",
+    grouping=True,
+)
+def a7a_grid(t):
+    """The best objective of every workload under three memory bounds."""
+    found = A.memory_trade_off(matrix(t), FRAMEWORKS, MAX_FRAMEWORKS, [MAX_MEMORY // 2, MAX_MEMORY, MAX_MEMORY * 2])
+    return found.select("workload", F.col("max_memory").cast("bigint").alias("max_memory"), "status", F.coalesce(F.col("objective").cast("double"), F.lit(-1.0)).alias("objective"))
+
+
 @query(
     "a7a_trade_off",
     f"""WITH {MATRIX}, {SUBSETS}

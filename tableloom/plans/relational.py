@@ -541,9 +541,9 @@ def joi4(t):
 @query(
     "joi5_multi_branch_include",
     f"""WITH {_LINES},
-        c AS (SELECT o_custkey, count(*) AS n_closed, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS closed_total
-              FROM {CLOSED} GROUP BY o_custkey)
-        SELECT o_orderkey, c_name, coalesce(n_closed, 0) AS n_closed, CAST(coalesce(closed_total, 0) AS DOUBLE) AS closed_total,
+        c AS (SELECT o_custkey, count(*) AS n_orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS orders_total
+              FROM orders GROUP BY o_custkey)
+        SELECT o_orderkey, c_name, coalesce(n_orders, 0) AS n_orders, CAST(coalesce(orders_total, 0) AS DOUBLE) AS orders_total,
                coalesce(n_lines, 0) AS n_lines, coalesce(first_line, -1) AS first_line,
                coalesce(last_line, -1) AS last_line, coalesce(checksum, 0) AS checksum
         FROM orders o JOIN customer ON c_custkey = o.o_custkey LEFT JOIN c ON c.o_custkey = o.o_custkey
@@ -552,15 +552,15 @@ def joi4(t):
 def joi5(t):
     # Branch 1 hangs off the customer, branch 2 off the order; each is collected on its own key.
     customers = nesting.include_many(
-        t("customer").select("c_custkey", "c_name"), closed_orders(t), {"c_custkey": "o_custkey"}, "closed",
+        t("customer").select("c_custkey", "c_name"), t("orders"), {"c_custkey": "o_custkey"}, "orders",
         ["o_orderkey", "o_totalprice"],
     )
     total = F.aggregate(
-        "closed", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x.o_totalprice.cast(MONEY)).cast("decimal(38,2)")
+        "orders", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x.o_totalprice.cast(MONEY)).cast("decimal(38,2)")
     )
     # What is needed of a branch is reduced before it is repeated per order.
-    customers = customers.reduced(n_closed=(F.size("closed").cast("bigint"), "sum"), closed_total=(total, "sum"))
-    customers = customers.withColumn("closed_total", F.col("closed_total").cast("double"))
+    customers = customers.reduced(n_orders=(F.size("orders").cast("bigint"), "sum"), orders_total=(total, "sum"))
+    customers = customers.withColumn("orders_total", F.col("orders_total").cast("double"))
     orders = t("orders").select("o_orderkey", "o_custkey")
     lines = nesting.include_many(orders, t("lineitem"), {"o_orderkey": "l_orderkey"}, "lines", LINE_ORDER, LINE_ORDER)
     return R.equi_join(_line_digest(lines), customers, ("o_custkey", "c_custkey")).drop("o_custkey", "c_custkey")

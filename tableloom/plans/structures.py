@@ -36,7 +36,7 @@ ORDER_FIELDS = (
     field("o_totalprice", "total", "DOUBLE"),
     field("o_orderstatus", "status", "STRING", included=False),
 )
-CLOSED_FIELDS = (
+TRANSACTION_FIELDS = (
     field("o_orderkey", "transactionId", "LONG", key=True),
     field("o_orderdate", "transactionDate", "DATE"),
     field("o_totalprice", "amount"),
@@ -72,7 +72,7 @@ ORDERS = D.TableMapping(
             "customer",
             ("o_custkey", "c_custkey"),
             children=(
-                D.TableMapping(D.EMBEDDED_ARRAY, "closed", CLOSED_FIELDS, "customerTransactions", ("c_custkey", "o_custkey")),
+                D.TableMapping(D.EMBEDDED_ARRAY, "closed", TRANSACTION_FIELDS, "customerTransactions", ("c_custkey", "o_custkey")),
             ),
         ),
     ),
@@ -113,21 +113,14 @@ PEOPLE = D.TableMapping(
             ("edited_orders", ORDER_FIELDS, "purchaseOrders"),
             ("edited_customer", CUSTOMER_FIELDS, "customers"),
             ("edited_events", EVENT_FIELDS, "stockItemStockGroups"),
-            ("edited_closed", CLOSED_FIELDS, "customerTransactions"),
+            ("edited_closed", TRANSACTION_FIELDS, "customerTransactions"),
         )
     ),
 )
 
 
-def closed(t):
-    return t("orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz")))
-
-
-CLOSED = "(SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1999-01-01')"
-
-
 def sources(t):
-    """The tables the mappings name; the last editor of a row is derived from its key."""
+    """The tables the mappings name; every order is a transaction, and the last editor of a row is derived from its key."""
 
     def edited(df, key):
         return df.withColumn("editor", (F.col(key) % 25).cast("int"))
@@ -135,7 +128,7 @@ def sources(t):
     return {
         "orders": t("orders"),
         "customer": t("customer"),
-        "closed": closed(t),
+        "closed": t("orders"),
         "lineitem": t("lineitem"),
         "part": t("part"),
         "supplier": t("supplier"),
@@ -146,7 +139,7 @@ def sources(t):
         "edited_orders": edited(t("orders"), "o_custkey"),
         "edited_customer": edited(t("customer"), "c_custkey"),
         "edited_events": edited(t("events"), "user_id"),
-        "edited_closed": edited(closed(t), "o_custkey"),
+        "edited_closed": edited(t("orders"), "o_custkey"),
     }
 
 
@@ -202,7 +195,7 @@ def t2(t):
        FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""",
 )
 def t3(t):
-    orders = D.TableMapping(D.EMBEDDED_ARRAY, "orders", CLOSED_FIELDS, "transactions", ("c_custkey", "o_custkey"))
+    orders = D.TableMapping(D.EMBEDDED_ARRAY, "orders", TRANSACTION_FIELDS, "transactions", ("c_custkey", "o_custkey"))
     root = D.TableMapping(D.NEW_DOCUMENT, "customer", CUSTOMER_FIELDS, children=(orders,))
     built = D.build_collection("customers", root, sources(t))
     return sizes(built, "customerId", "o_custkey", "transactions", "transactionId", "tx")
@@ -211,12 +204,12 @@ def t3(t):
 @query(
     "t4_nested_embedding",
     f"""SELECT c_custkey AS "customerId", n_nationkey AS "nationId", n_tx, sum_tx FROM nation JOIN customer ON c_nationkey = n_nationkey
-        LEFT JOIN (SELECT o_custkey, count(*) AS n_tx, sum(o_orderkey)::BIGINT AS sum_tx FROM {CLOSED} GROUP BY o_custkey) x ON o_custkey = c_custkey
+        LEFT JOIN (SELECT o_custkey, count(*) AS n_tx, sum(o_orderkey)::BIGINT AS sum_tx FROM orders GROUP BY o_custkey) x ON o_custkey = c_custkey
         WHERE n_tx > 0""",
 )
 def t4(t):
     # An array inside the elements of an array, taken apart again to its owners.
-    transactions = D.TableMapping(D.EMBEDDED_ARRAY, "closed", CLOSED_FIELDS, "transactions", ("c_custkey", "o_custkey"))
+    transactions = D.TableMapping(D.EMBEDDED_ARRAY, "closed", TRANSACTION_FIELDS, "transactions", ("c_custkey", "o_custkey"))
     customers = D.TableMapping(
         D.EMBEDDED_ARRAY, "customer", CUSTOMER_FIELDS, "customers", ("n_nationkey", "c_nationkey"), children=(transactions,)
     )
@@ -277,7 +270,7 @@ def t6(t):
 
 
 ROUND_TRIP = f"""SELECT o_orderkey AS "orderId", o_orderdate AS "orderDate", c_name AS "customerName",
-            (SELECT count(*) FROM {CLOSED} x WHERE x.o_custkey = orders.o_custkey) AS n_tx
+            (SELECT count(*) FROM orders x WHERE x.o_custkey = orders.o_custkey) AS n_tx
         FROM orders JOIN customer ON c_custkey = o_custkey"""
 
 
@@ -308,7 +301,7 @@ def src4_parts(t):
 
 @query(
     "src4_parts_are_marked",
-    f"""SELECT o_orderkey AS "orderId", (SELECT count(*) FROM {CLOSED} x WHERE x.o_custkey = orders.o_custkey) <= 2 AS whole
+    f"""SELECT o_orderkey AS "orderId", (SELECT count(*) FROM orders x WHERE x.o_custkey = orders.o_custkey) <= 2 AS whole
         FROM orders JOIN customer ON c_custkey = o_custkey""",
 )
 def src4_marked(t):
@@ -332,7 +325,7 @@ def t7(t):
     f"""SELECT o_orderkey AS "orderId", o_orderpriority AS priority, c_name AS "customerName",
                coalesce(n_tx, 0) AS n_tx, coalesce(sum_tx, 0) AS sum_tx
         FROM orders JOIN customer ON c_custkey = o_custkey
-        LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_tx, sum(o_orderkey)::BIGINT AS sum_tx FROM {CLOSED} GROUP BY o_custkey) x ON k = o_custkey""",
+        LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_tx, sum(o_orderkey)::BIGINT AS sum_tx FROM orders GROUP BY o_custkey) x ON k = o_custkey""",
 )
 def t8(t):
     built = D.build_collection("orders", ORDERS, sources(t))
@@ -350,11 +343,6 @@ def t8(t):
     return rows.select("orderId", "priority", "customerName", "n_tx", "sum_tx")
 
 
-def full_sources(t):
-    """As :func:`sources`, with every order as a transaction of its customer."""
-    return sources(t) | {"closed": t("orders"), "edited_closed": t("orders").withColumn("editor", (F.col("o_custkey") % 25).cast("int"))}
-
-
 def placed(rows, key, path, names):
     """Every element of an array in documents with its place and fields."""
     rows = rows.select(F.col(key).alias("owner"), F.posexplode(path).alias("at", "x"))
@@ -367,7 +355,7 @@ def placed(rows, key, path, names):
               o_orderdate AS "transactionDate", o_totalprice AS amount FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
 )
 def t3_full(t):
-    orders = D.TableMapping(D.EMBEDDED_ARRAY, "orders", CLOSED_FIELDS, "transactions", ("c_custkey", "o_custkey"))
+    orders = D.TableMapping(D.EMBEDDED_ARRAY, "orders", TRANSACTION_FIELDS, "transactions", ("c_custkey", "o_custkey"))
     root = D.TableMapping(D.NEW_DOCUMENT, "customer", CUSTOMER_FIELDS, children=(orders,))
     built = D.build_collection("customers", root, sources(t))
     return placed(built.documents, "customerId", "transactions", ["transactionId", "transactionDate", "amount"])
@@ -380,7 +368,7 @@ def t3_full(t):
              FROM orders GROUP BY o_custkey) ON k = o_custkey""",
 )
 def t8_full(t):
-    built = D.build_collection("orders", ORDERS, full_sources(t))
+    built = D.build_collection("orders", ORDERS, sources(t))
     # Each customer's elements become text once, then meet its documents.
     text = F.transform(
         "customer.customerTransactions",
@@ -466,7 +454,7 @@ _EDITED = (
     ("purchaseOrders", "orderId", "o_orderkey", "orders", "o_custkey"),
     ("customers", "customerId", "c_custkey", "customer", "c_custkey"),
     ("stockItemStockGroups", "eventId", "event_id", "events", "user_id"),
-    ("customerTransactions", "transactionId", "o_orderkey", CLOSED, "o_custkey"),
+    ("customerTransactions", "transactionId", "o_orderkey", "orders", "o_custkey"),
 )
 
 
@@ -559,7 +547,7 @@ DATABASE = "local.main"
 LOCAL_MAPPINGS = {
     "order": ("orders", D.NEW_DOCUMENT, "orders", None, None, ORDER_FIELDS, ["order-customer"]),
     "order-customer": ("orders", D.EMBEDDED, "customer", "customer", "fk_orders_customer", CUSTOMER_FIELDS, ["order-customer-tx"]),
-    "order-customer-tx": ("orders", D.EMBEDDED_ARRAY, "closed", "customerTransactions", "fk_closed_customer", CLOSED_FIELDS, []),
+    "order-customer-tx": ("orders", D.EMBEDDED_ARRAY, "closed", "customerTransactions", "fk_closed_customer", TRANSACTION_FIELDS, []),
     "supplier": ("suppliers", D.NEW_DOCUMENT, "supplier", None, None, SUPPLIER_FIELDS, ["supplier-items", "supplier-orders"]),
     "supplier-items": ("suppliers", D.EMBEDDED_ARRAY, "link", "stockItems", "fk_link_supplier", LINK_FIELDS, []),
     "supplier-orders": ("suppliers", D.EMBEDDED_ARRAY, "lineitem", "purchaseOrders", "fk_lineitem_supplier", LINE_FIELDS, []),
@@ -605,8 +593,8 @@ def local_project(t, text=None):
 
 
 def project_tables(t):
-    """All orders count as transactions; tables go by their full names."""
-    return {f"{DATABASE}.{name}": df for name, df in full_sources(t).items()}
+    """The tables by their full names."""
+    return {f"{DATABASE}.{name}": df for name, df in sources(t).items()}
 
 
 @query(
@@ -723,13 +711,14 @@ def t13(t):
 
 @query(
     "t14_unnested_rows",
-    f"""SELECT DISTINCT o_orderkey AS "transactionId", o_orderdate AS "transactionDate", o_totalprice AS amount FROM {CLOSED}
+    f"""SELECT DISTINCT o_orderkey AS "transactionId", o_orderdate AS "transactionDate", o_totalprice AS amount FROM orders
         WHERE o_custkey IN (SELECT o_custkey FROM orders)""",
 )
 def t14(t):
     built = D.build_collection("orders", ORDERS, sources(t))
     path = "customer.customerTransactions"
-    rows = D.unnest(built.documents, path)
+    # One document of each customer has all there is; the customer's number tells them apart.
+    rows = D.unnest(built.documents, path, owner="customer.customerId")
     if path in built.continuations:
         rows = rows.unionByName(D.unnest(built.continuations[path], "customerTransactions")).distinct()
     return rows
@@ -756,7 +745,7 @@ def graph_sources(t):
         "row_key",
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string")),
     )
-    return {"orders": t("orders"), "customer": t("customer"), "closed": closed(t), "numbered": lines}
+    return {"orders": t("orders"), "customer": t("customer"), "closed": t("orders"), "numbered": lines}
 
 
 @query(
@@ -837,8 +826,7 @@ def g7n_report(t):
     "g8n_edge_direction",
     """SELECT 'CUSTOMERS' AS type, 'Order' AS child, count(*) AS edges, count(DISTINCT o_custkey) AS parents FROM orders
        UNION ALL SELECT 'ORDERS', 'OrderLine', count(*), count(DISTINCT l_orderkey) FROM lineitem
-       UNION ALL SELECT 'CUSTOMERS', 'CustomerTransaction', count(*), count(DISTINCT o_custkey) FROM """
-    + CLOSED,
+       UNION ALL SELECT 'CUSTOMERS', 'CustomerTransaction', count(*), count(DISTINCT o_custkey) FROM orders""",
     grouping=True,
 )
 def g8n(t):
@@ -856,7 +844,7 @@ def g8n(t):
 @query(
     "g9n_pattern_with_branches",
     f"""WITH l AS (SELECT l_orderkey, count(*) AS n_lines, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM lineitem GROUP BY l_orderkey),
-             x AS (SELECT o_custkey AS k, count(*) AS n_tx, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount FROM {CLOSED} GROUP BY o_custkey)
+             x AS (SELECT o_custkey AS k, count(*) AS n_tx, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount FROM orders GROUP BY o_custkey)
         SELECT o_orderkey AS "orderId", c_name AS "customerName", n_lines, quantity, n_tx, CAST(amount AS DOUBLE) AS amount
         FROM orders JOIN customer ON c_custkey = o_custkey JOIN l ON l_orderkey = o_orderkey JOIN x ON k = o_custkey""",
 )
@@ -944,13 +932,13 @@ def _graph_sql():
         "Order": ("orders", "'Sales.Orders:' || o_orderkey"),
         "Customer": ("customer", "'Sales.Customers:' || c_custkey"),
         "OrderLine": ("lineitem", f"'Sales.OrderLines:' || {_ROW_KEY}"),
-        "CustomerTransaction": (CLOSED, "'Sales.CustomerTransactions:' || o_orderkey"),
+        "CustomerTransaction": ("orders", "'Sales.CustomerTransactions:' || o_orderkey"),
     }
     parts = [f"SELECT 'node' AS kind, '{label}' AS name, {id_} AS a, '' AS b FROM {table}" for label, (table, id_) in ids.items()]
     parts += [
         "SELECT 'edge', 'CUSTOMERS', 'Sales.Orders:' || o_orderkey, 'Sales.Customers:' || o_custkey FROM orders",
         f"SELECT 'edge', 'ORDERS', 'Sales.OrderLines:' || {_ROW_KEY}, 'Sales.Orders:' || l_orderkey FROM lineitem",
-        f"SELECT 'edge', 'CUSTOMERS', 'Sales.CustomerTransactions:' || o_orderkey, 'Sales.Customers:' || o_custkey FROM {CLOSED}",
+        f"SELECT 'edge', 'CUSTOMERS', 'Sales.CustomerTransactions:' || o_orderkey, 'Sales.Customers:' || o_custkey FROM orders",
     ]
     return " UNION ALL ".join(parts)
 
@@ -1134,10 +1122,10 @@ def graph_text(nodes=None, edges=None):
         UNION ALL SELECT 'CUSTOMERS', 'Sales.CustomerTransactions:' || o_orderkey, 'Sales.Customers:' || o_custkey, 0 FROM orders""",
 )
 def g1n_compiled(t):
-    """Every node and edge of the local tables, as a mapping file says; all orders count as transactions."""
+    """Every node and edge of the local tables, as a mapping file says."""
     files_ = t.spark.sql("SELECT :text AS text", args={"text": graph_text()})
     nodes, edges = G.compile_graph(G.mapping_entries(files_, "text", []))
-    tables = {f"local.{name}": df for name, df in (graph_sources(t) | {"closed": t("orders")}).items()}
+    tables = {f"local.{name}": df for name, df in graph_sources(t).items()}
     value = {"Order": "total", "Customer": "creditLimit", "OrderLine": "quantity", "CustomerTransaction": "transactionAmount"}
     rows = [df.select(F.lit(n).alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col(value[n]).cast("double").alias("value")) for n, df in G.build_nodes(tables, nodes).items()]
     for df in G.build_edges(tables, edges).values():
@@ -1253,7 +1241,7 @@ def s2_table(t):
     "s3_refreshed_documents",
     f"""SELECT o_orderkey AS "orderId", o_totalprice AS total, c_name || CASE WHEN c_mktsegment = 'BUILDING' THEN ' *' ELSE '' END AS "customerName", coalesce(n_tx, 0) AS n_tx
         FROM orders JOIN customer ON c_custkey = o_custkey
-        LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_tx FROM {CLOSED} GROUP BY o_custkey) x ON k = o_custkey""",
+        LEFT JOIN (SELECT o_custkey AS k, count(*) AS n_tx FROM orders GROUP BY o_custkey) x ON k = o_custkey""",
 )
 def s3(t):
     before = sources(t)
@@ -1301,7 +1289,7 @@ def _once(t, rows):
 )
 def s3_buckets(t):
     """Documents of all orders; customers are renamed in one batch, and in the next some of their orders go."""
-    before = full_sources(t)
+    before = sources(t)
     built = D.build_collection("orders", ORDERS, before)
     table = B.document_table(t.spark, scratch_dir(t.spark, "documents"), built.documents, 16)
     B.store_documents(table, built)
