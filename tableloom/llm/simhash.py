@@ -141,16 +141,34 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, agree: int
         to = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own")))
         rows = rows.join(large, ["grid", "cell"], "left").withColumn("blocks", blocks).withColumn("own", own)
         pair = F.explode(to).alias("pair")
-    rows = rows.select("grid", "cell", "fp", "u", pair).repartition("grid", "cell", "pair")
+    rows = rows.select("grid", "cell", "fp", "u", pair).repartition("grid", "cell", "pair").sortWithinPartitions("grid", "cell", "pair", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is not None and table.num_rows:
+        for table in _whole_cells(batches):
             yield from _edges({c: table[c].to_numpy() for c in table.column_names}, radius, agree)
 
     return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a cell does; memory holds some rows or one cell."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = [table[c].to_numpy() for c in ("grid", "cell", "pair")]
+        last = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _edges(rows: dict[str, np.ndarray], radius: int, agree: int, small: int = 24) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((rows["fp"], rows["pair"], rows["cell"], rows["grid"]))
     grid, cell, pair = (rows[c][order] for c in ("grid", "cell", "pair"))

@@ -106,3 +106,21 @@ def test_odd_rows_pass(odd, nothing):
     assert {r.component_id for r in rows if r.doc_id is None} == {None}
     assert simhash.components(nothing).count() == 0
     assert len(simhash.representatives(simhash.components(odd)).collect()) == len({r.root for r in rows})
+
+
+def test_cells_stay_whole_in_a_stream_of_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from tableloom.llm import simhash
+
+    rng = np.random.default_rng(2)
+    cell = np.sort(rng.integers(0, 60, 3000))
+    table = pa.table({"grid": np.zeros(3000, np.int32), "cell": cell, "pair": np.zeros(3000, np.int32), "fp": np.arange(3000)})
+    parts = list(simhash._whole_cells(iter(table.to_batches(max_chunksize=70)), least=200))
+    assert len(parts) > 5 and pa.concat_tables(parts).equals(table)
+    seen = [set(p["cell"].to_pylist()) for p in parts]
+    assert all(not a & b for k, a in enumerate(seen) for b in seen[:k])
+    one = pa.table({"grid": [0] * 500, "cell": [7] * 500, "pair": [0] * 500, "fp": list(range(500))})
+    assert [p.num_rows for p in simhash._whole_cells(iter(one.to_batches(max_chunksize=50)), least=100)] == [500]
+    assert list(simhash._whole_cells(iter([]))) == []
