@@ -212,7 +212,9 @@ def include_through_link(
     return include_many(left, reached, left_on, name, fields, order, max_items=max_items, hot=hot)
 
 
-def include_branches(parent: DataFrame, branches: Sequence[tuple[DataFrame, dict[str, str], str, Sequence[str] | None, Sequence[str] | None]]) -> list[Nested]:
+def include_branches(
+    parent: DataFrame, branches: Sequence[tuple[DataFrame, dict[str, str], str, Sequence[str] | None, Sequence[str] | None]], max_items: int = MAX_ITEMS
+) -> list[Nested]:
     """Several 1:N branches of one parent (JOI5).
 
     Each branch is collected on its own key before it meets the parent, so two
@@ -222,7 +224,7 @@ def include_branches(parent: DataFrame, branches: Sequence[tuple[DataFrame, dict
     done: list[Nested] = []
     rows = parent
     for child, on, name, fields, order in branches:
-        step = include_many(rows, child, on, name, fields, order)
+        step = include_many(rows, child, on, name, fields, order, max_items=max_items)
         rows = step.rows
         done.append(step)
     return [Nested(rows, s.continuations, s.keys, s.name) for s in done]
