@@ -170,7 +170,8 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, wi
     Repeated rows are packed as often as they occur; an empty table gives no
     rows; other columns are not read.
     """
-    cut = materialise(pieces(docs, window, vocabulary, with_ids), "pieces")
+    # A dealt number spreads copies of one piece; it is written, so that it stays the same.
+    cut = materialise(pieces(docs, window, vocabulary, with_ids).withColumn("deal", F.monotonically_increasing_id() % 1024), "pieces")
     counts = cut.groupBy("length").count().collect()  # one row for each length: ``window`` at most
     histogram = np.zeros(window + 1, dtype=np.int64)
     for length, n in counts:
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, wi
 
     # Numbers within a length: by block first, as one length may hold most pieces.
     blocks = max(64, int(histogram.sum()) // BLOCK)
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "deal"), F.lit(blocks)))
     sizes = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -191,4 +192,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, wi
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     found = F.pandas_udf(place, "struct<sequence_id bigint, offset bigint>")(F.col("length"), F.col("before") + F.col("nth"))
-    return numbered.withColumn("at", found).select(*cut.columns, "at.sequence_id", "at.offset")
+    return numbered.withColumn("at", found).select(*cut.drop("deal").columns, "at.sequence_id", "at.offset")
