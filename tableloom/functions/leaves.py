@@ -20,6 +20,16 @@ def parse(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_replace(text, _BARE, '"$1"')))
 
 
+def once(value: Column) -> Column:
+    """``value``, worked out once for each row.
+
+    The condition always holds, but not for the optimizer, which would
+    otherwise copy a long expression into every place that reads its column,
+    functions over elements included.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, _ROOT, kind)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableloom.functions.canonical import canonical_json, canonical_value, row_hash, row_hashes
-from tableloom.functions.leaves import leaves, member_path, parse, unpacked
+from tableloom.functions.leaves import leaves, member_path, once, parse, unpacked
 
 # Fixed status words.
 EQUIVALENT = "Equivalent"
@@ -100,18 +100,20 @@ def distance(old: list[tuple[str, Column]], new: list[tuple[str, Column]]) -> Co
     return F.size(differing(old, new)) / F.lit(max(1, len(old)))
 
 
-def deep_distance(old: Column, new: Column, schema: str | T.StructType = "") -> Column:
-    """Changed leaves of two variant samples over all leaves of either; 0 means the same (E9e).
+def with_distance(df: DataFrame, old: str, new: str, schema: str | T.StructType = "", name: str = "distance") -> DataFrame:
+    """``df`` with the changed leaves of two variant samples over all leaves of either; 0 means the same (E9e).
 
     Leaves that ``schema`` declares compare in their type, all others as they
     stand in the data.
     """
-    typed = [sample_leaves(F.to_json(s), schema) if schema else [] for s in (old, new)]
+    typed = [sample_leaves(F.to_json(F.col(s)), schema) if schema else [] for s in (old, new)]
     declared = [path for path, _ in typed[0]]
-    maps = [other_leaves(s, declared) for s in (old, new)]
+    held = [f"_leaves_of_{s}" for s in (old, new)]
+    rows = df.withColumns({h: once(other_leaves(F.col(s), declared)) for h, s in zip(held, (old, new))})
+    maps = [F.col(h) for h in held]
     changed = F.size(other_differing(*maps)) + (F.size(differing(*typed)) if declared else F.lit(0))
     every = F.size(F.array_union(*[F.map_keys(m) for m in maps])) + F.lit(len(declared))
-    return changed / F.greatest(every, F.lit(1))
+    return rows.withColumn(name, changed / F.greatest(every, F.lit(1))).drop(*held)
 
 
 def compare_summaries(
@@ -133,7 +135,7 @@ def compare_summaries(
     samples = ("a_first_sample", "a_last_sample", "b_first_sample", "b_last_sample")
     typed = {c: sample_leaves(F.to_json(F.col(c)), sample_schema) if sample_schema else [] for c in samples}
     declared = [path for path, _ in typed[samples[0]]]
-    both = both.withColumns({f"{c}_other": other_leaves(F.col(c), declared) for c in samples})
+    both = both.withColumns({f"{c}_other": once(other_leaves(F.col(c), declared)) for c in samples})
     none = F.array().cast("array<struct<path:string,old:string,new:string>>")
 
     def diff(x, y):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tableloom.functions.leaves import once
 from tableloom.functions.names import singular
 from tableloom.functions.units import is_date_text, is_timestamp_text, text_to_date, text_to_timestamp
 from tableloom.operators.documents import joined_key
@@ -243,7 +244,7 @@ def mapping_entries(files: DataFrame, text: str, keep: Sequence[str]) -> DataFra
         F.posexplode(_at(F.col("o"), "mappings", kind=_LISTED)).alias("entry_no", "e"),
     )
     column = _at(F.col("e"), "column", kind="variant")
-    entries = entries.withColumn("p", F.when(column.isNotNull(), _places(column)).otherwise(F.array()))
+    entries = entries.withColumn("p", once(F.when(column.isNotNull(), _places(column)).otherwise(F.array())))
     return entries.select(
         *keep,
         "object_no",
