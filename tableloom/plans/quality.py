@@ -834,8 +834,8 @@ def d1d_estimated(t):
     ]
     out = None
     for name, estimate, exact, share in cases:
-        one = estimate.withColumn("plan", F.lit(name)).join(exact.withColumn("plan", F.lit(name)), "plan")
-        one = one.select("plan", _near(F.col("row_count"), F.col("exact"), share).alias("near"), "exact")
+        rows_found = F.lit(exact.first()[0])
+        one = estimate.select(F.lit(name).alias("plan"), _near(F.col("row_count"), rows_found, share).alias("near"), rows_found.cast("bigint").alias("exact"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -855,12 +855,10 @@ def d4d_profile(t):
     out = None
     for name, value in names.items():
         value = F.col(value) if isinstance(value, str) else value
-        quartiles = events.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).withColumn("column", F.lit(name))
-        shares = made.select(value.alias("x")).join(F.broadcast(quartiles), F.lit(name) == F.col("column"))
-        near = [F.abs(F.count_if(F.col("x") <= F.col("q")[k]) / F.count("x") - r) <= 0.03 for k, r in enumerate((0.25, 0.5, 0.75))]
-        timed = made.agg((F.count_distinct(F.date_format("at", "HH:mm:ss")) > 1).alias("has_time")).withColumn("column", F.lit(name))
-        one = shares.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), (near[0] & near[1] & near[2]).alias("quartiles_near"))
-        one = one.join(timed, "column")
+        quartiles = events.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+        near = [F.abs(F.count_if(value <= q) / F.count(value) - r) <= 0.03 for q, r in zip(quartiles, (0.25, 0.5, 0.75))]
+        timed = F.count_distinct(F.date_format("at", "HH:mm:ss")) > 1
+        one = made.agg(F.lit(name).alias("column"), F.count(F.lit(1)).alias("rows"), (near[0] & near[1] & near[2]).alias("quartiles_near"), timed.alias("has_time"))
         out = one if out is None else out.unionByName(one)
     return out
 
