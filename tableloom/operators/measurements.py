@@ -186,9 +186,13 @@ def parse_report(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def compare_frameworks(means: DataFrame, method: str, framework: str, value: str, frameworks: Sequence[str]) -> DataFrame:
-    """One row per method with a column per framework and its ratio to the best one."""
+    """One row per method with a column per framework and its ratio to the best one.
+
+    Beside a best value of zero the ratio is infinite, that of zero to itself NaN.
+    """
     wide = means.groupBy(method).agg(
         *[F.min(F.when(F.col(framework) == f, F.col(value))).alias(f) for f in frameworks]
     )
     best = F.array_min(F.array(*[F.col(f) for f in frameworks]))
-    return wide.select(method, *frameworks, *[(F.col(f) / best).alias(f"{f}_ratio") for f in frameworks])
+    ratios = [F.when(best == 0, F.col(f) * F.lit(float("inf"))).otherwise(F.col(f) / best).alias(f"{f}_ratio") for f in frameworks]
+    return wide.select(method, *frameworks, *ratios)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -112,3 +113,11 @@ def test_measurement_file(spark, tmp_path):
     )
     rows = M.measured(files.read_measurements(spark, str(tmp_path / "m.csv"))).collect()
     assert [tuple(r) for r in rows] == [("A1", "Dry", "n=1", "Result", 1, 2, 200.25)]
+
+
+def test_ratio_to_a_best_value_of_zero(frame):
+    df = frame([("m", "A", 0.0), ("m", "B", 5.0), ("k", "A", 2.0), ("k", "B", 5.0), ("one", "A", 0.0)], "m string, f string, v double")
+    rows = {r["m"]: r for r in M.compare_frameworks(df, "m", "f", "v", ["A", "B"]).collect()}
+    assert math.isnan(rows["m"]["A_ratio"]) and rows["m"]["B_ratio"] == math.inf
+    assert (rows["k"]["A_ratio"], rows["k"]["B_ratio"]) == (1.0, 2.5)
+    assert math.isnan(rows["one"]["A_ratio"]) and rows["one"]["B_ratio"] is None
