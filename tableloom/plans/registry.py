@@ -42,6 +42,14 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return scan(self.spark, f"{self.folder}/{name}.parquet", SCHEMAS[name])
 
+    def dealt(self, name: str, *keys: str) -> DataFrame:
+        """A table dealt to the shuffle partitions by its keys, for queries whose work for a row is large.
+
+        A table of few bytes is read by few tasks, however much is made of its
+        rows. The number of partitions is given, so small ones are not merged.
+        """
+        return self(name).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
 
 @dataclass(frozen=True)
 class Query:

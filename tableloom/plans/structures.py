@@ -1023,7 +1023,7 @@ def graph_files(t):
         entry("Data", "Since", "since", type_="date", sql="date"),
     )
     broken = obj("Relationship", entry("StartId", "ItemID", space=space, table_="Links"), entry("RelationshipType", "x"))
-    return t("part").select("p_partkey", F.to_json(F.array(known, again, linked, broken)).alias("text"))
+    return t.dealt("part", "p_partkey").select("p_partkey", F.to_json(F.array(known, again, linked, broken)).alias("text"))
 
 
 _GRAPH = """g AS (SELECT *, upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS noun FROM part),
@@ -1079,7 +1079,7 @@ def deep_files(t):
             {"field": {"type": "Data", "name": "none"}}]}]""",
         "p_brand", low, F.col("p_size").cast("int"), F.col("p_size").cast("int"), low, F.col("p_size").cast("int"),
     )
-    return t("part").select("p_partkey", text.alias("text"))
+    return t.dealt("part", "p_partkey").select("p_partkey", text.alias("text"))
 
 
 @query(

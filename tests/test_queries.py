@@ -43,3 +43,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     plan = QUERIES["s1_incremental_extract"].run(t)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(o_orderdate" in plan and "LessThanOrEqual(l_shipdate" in plan
+
+
+@pytest.mark.parametrize("name", ["g2n_columns_at_any_depth", "g2n_node_labels"])
+def test_mapping_files_are_dealt_to_all_partitions(spark, name):
+    df = QUERIES[name].run(Tables(spark, DATA))
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
