@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tableloom.functions.leaves import once
 from tableloom.functions.names import singular
@@ -261,8 +262,8 @@ def mapping_entries(files: DataFrame, text: str, keep: Sequence[str]) -> DataFra
     )
 
 
-def object_heads(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per graph object: table, label, id space and key columns (G2n)."""
+def _heads(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """:func:`object_heads` with the data entries of each object as ``data``: no more than the text of one file holds."""
 
     def first(value: Column, of_type: str | None = None) -> Column:
         wanted = value.isNotNull() if of_type is None else value.isNotNull() & (F.col("field_type") == of_type)
@@ -272,6 +273,14 @@ def object_heads(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
     # An endpoint entry counts only if it names both a column and an id space.
     end_column = F.when(F.col("id_space").isNotNull(), column)
     end_space = F.when(column.isNotNull(), F.col("id_space"))
+    is_data = (
+        (F.col("field_type") == "Data")
+        & column.isNotNull()
+        & F.col("target_property").isNotNull()
+        & F.col("sql_type").isNotNull()
+        & F.col("target_type").isNotNull()
+    )
+    data = F.struct("entry_no", column.alias("source_column"), "sql_type", "target_property", "target_type")
     heads = entries.groupBy(*keep, "object_no", "object_type", "source_schema").agg(
         first(F.col("source_table")).alias("source_table"),
         first(column, "Label").alias("label_column"),
@@ -282,37 +291,37 @@ def object_heads(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
         first(end_column, "EndId").alias("end_column"),
         first(end_space, "EndId").alias("end_space"),
         F.flatten(F.collect_list(F.when(F.col("field_type") == "Id", F.transform("columns", lambda x: F.lower(x))))).alias("key_columns"),
+        F.collect_list(F.when(is_data, data)).alias("data"),
     )
     return heads.withColumn("label", singular(F.coalesce("label_column", "source_table")))
 
 
+def object_heads(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row per graph object: table, label, id space and key columns (G2n)."""
+    return _heads(entries, keep).drop("data")
+
+
+_IS_NODE = "object_type = 'Node' AND source_schema IS NOT NULL AND source_table IS NOT NULL AND label IS NOT NULL"
+
+
+def _identified(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Without the rows that no file is known for."""
+    return df.dropna(subset=list(keep)) if keep else df
+
+
 def node_mapping_rows(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Property mappings per node label; of mappings repeated under one label the last wins (G1n to G3n)."""
-    heads = object_heads(entries, keep).filter(
-        "object_type = 'Node' AND source_schema IS NOT NULL AND source_table IS NOT NULL AND label IS NOT NULL"
-    )
-    columns = [*keep, "object_no", "label", "source_schema", "source_table", "key_columns"]
-    data = _data_rows(entries, keep)
-    rows = data.join(heads.select(*columns), [*keep, "object_no"])
+    heads = _identified(_heads(entries, keep).filter(_IS_NODE), keep)
+    # Schema and table of a label are those of its first object.
+    label = Window.partitionBy(*keep, "label")
+    heads = heads.withColumn("s", F.min_by(F.struct("source_schema", "source_table"), "object_no").over(label))
+    rows = heads.select(*keep, "object_no", "label", "s", "key_columns", F.explode("data").alias("d")).select("*", "d.*")
     rows = rows.withColumn("is_primary_key", F.array_contains("key_columns", F.lower("source_column")))
     value = F.struct("source_column", "sql_type", "is_primary_key", "target_property", "target_type")
     # Within one object the first entry counts, across objects of a label the last object.
     group = [*keep, "label", F.lower("source_column").alias("_s"), F.lower("target_property").alias("_t")]
-    last = rows.groupBy(*group).agg(F.max_by(value, F.struct("object_no", -F.col("entry_no"))).alias("r"))
-    # Schema and table of a label are those of its first object.
-    source = heads.groupBy(*keep, "label").agg(F.min_by(F.struct("source_schema", "source_table"), "object_no").alias("s"))
-    return last.join(source, [*keep, "label"]).select(*keep, "label", "s.*", "r.*")
-
-
-def _data_rows(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
-    source = F.get("columns", F.lit(0))
-    return entries.filter(
-        (F.col("field_type") == "Data")
-        & source.isNotNull()
-        & F.col("target_property").isNotNull()
-        & F.col("sql_type").isNotNull()
-        & F.col("target_type").isNotNull()
-    ).select(*keep, "object_no", "entry_no", source.alias("source_column"), "sql_type", "target_property", "target_type")
+    last = rows.groupBy(*group).agg(F.max_by(value, F.struct("object_no", -F.col("entry_no"))).alias("r"), F.first("s").alias("s"))
+    return last.select(*keep, "label", "s.*", "r.*")
 
 
 def relationship_mapping_rows(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -321,26 +330,7 @@ def relationship_mapping_rows(entries: DataFrame, keep: Sequence[str]) -> DataFr
     An endpoint label is that of the node with the same id space; an unknown
     id space gives its last name segment in singular form.
     """
-    heads = object_heads(entries, keep)
-    nodes_ = heads.filter("object_type = 'Node' AND source_schema IS NOT NULL AND source_table IS NOT NULL AND label IS NOT NULL")
-    spaces = nodes_.filter("id_space IS NOT NULL").groupBy(*keep, F.lower("id_space").alias("_space")).agg(
-        F.max_by("label", "object_no").alias("_label")
-    )
-    rels = heads.filter("object_type = 'Relationship'")
-
-    def endpoint(df: DataFrame, side: str) -> DataFrame:
-        space = F.col(f"{side}_space")
-        fallback = singular(_text(F.element_at(F.split(space, "[.]"), -1)))
-        known = spaces.withColumnsRenamed({"_space": "_k", "_label": "_found"})
-        joined = df.join(
-            known.withColumnsRenamed({k: f"_r_{k}" for k in keep}),
-            [F.col(k) == F.col(f"_r_{k}") for k in keep] + [F.lower(space) == F.col("_k")],
-            "left",
-        )
-        return joined.withColumn(f"{side}_entity", F.coalesce("_found", fallback)).drop("_k", "_found", *[f"_r_{k}" for k in keep])
-
-    done = endpoint(endpoint(rels, "start"), "end")
-    return done.select(
+    return _relationships(entries, keep).select(
         *keep,
         "object_no",
         "relationship_type",
@@ -350,7 +340,28 @@ def relationship_mapping_rows(entries: DataFrame, keep: Sequence[str]) -> DataFr
         "start_entity",
         "end_column",
         "end_entity",
-    ).filter(
+    )
+
+
+def _relationships(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
+    known = F.when(F.expr(_IS_NODE), F.struct(F.lower("id_space").alias("space"), "object_no", "label"))
+    # The nodes of a file, as many as its text holds.
+    spaces = F.collect_list(F.when(F.col("id_space").isNotNull(), known)).over(Window.partitionBy(*keep))
+    rels = _heads(entries, keep).withColumn("_spaces", spaces).filter("object_type = 'Relationship'")
+    told = F.lit(True)
+    for k in keep:
+        told = told & F.col(k).isNotNull()
+
+    def entity(side: str) -> Column:
+        space = F.col(f"{side}_space")
+        fallback = singular(_text(F.element_at(F.split(space, "[.]"), -1)))
+        same = F.filter("_spaces", lambda x: x["space"] == F.lower(space))
+        # Of several nodes the last.
+        last = F.array_max(F.transform(same, lambda x: F.struct(x["object_no"], x["label"])))
+        return F.coalesce(F.when(told, last["label"]), fallback)
+
+    done = rels.withColumns({f"{side}_entity": entity(side) for side in ("start", "end")})
+    return done.filter(
         "relationship_type IS NOT NULL AND source_schema IS NOT NULL AND source_table IS NOT NULL "
         "AND start_column IS NOT NULL AND start_entity IS NOT NULL AND end_column IS NOT NULL AND end_entity IS NOT NULL"
     )
@@ -358,8 +369,8 @@ def relationship_mapping_rows(entries: DataFrame, keep: Sequence[str]) -> DataFr
 
 def relationship_property_rows(entries: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Property mappings of relationships; of repeated ones the first counts (G5n)."""
-    rels = relationship_mapping_rows(entries, keep).select(*keep, "object_no", "relationship_type")
-    rows = _data_rows(entries, keep).join(rels, [*keep, "object_no"])
+    rels = _identified(_relationships(entries, keep), keep)
+    rows = rels.select(*keep, "object_no", "relationship_type", F.explode("data").alias("d")).select("*", "d.*")
     group = [*keep, "object_no", "relationship_type", F.lower("source_column").alias("_s"), F.lower("target_property").alias("_t")]
     value = F.struct("source_column", "sql_type", "target_property", "target_type")
     return rows.groupBy(*group).agg(F.min_by(value, "entry_no").alias("r")).select(*keep, "object_no", "relationship_type", "r.*")

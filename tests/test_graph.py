@@ -127,3 +127,10 @@ def test_compiled_mappings_are_those_written_by_hand(frame):
     got = G.compile_graph(G.mapping_entries(frame([(text,)], "text string"), "text", []))
     assert got[0] == [G.NodeMapping(m.label, f"local.{m.table}", m.key, m.properties, m.id_space) for m in [*S.NODES, pair]]
     assert got[1] == [G.EdgeMapping(m.type, f"local.{m.table}", m.start, m.end, m.properties) for m in [*S.EDGES, link]]
+
+
+def test_mapping_rows_are_made_without_joins(frame):
+    entries = files_frame(frame, STOCK)
+    for rows in (G.node_mapping_rows, G.relationship_mapping_rows, G.relationship_property_rows):
+        plan = rows(entries, ["fid"])._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
