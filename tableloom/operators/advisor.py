@@ -143,8 +143,16 @@ def trade_off(matrix: DataFrame, frameworks: Sequence[str], most: int) -> DataFr
 
 def memory_trade_off(matrix: DataFrame, frameworks: Sequence[str], most: int, bounds: Sequence[int]) -> DataFrame:
     """The best objective for every memory bound of a short grid."""
+    options = materialise(_options(matrix), "options")
+    best = materialise(_best_subsets(options, frameworks, most), "subsets")
+    # The sums at every price are the same for all bounds.
+    tight = min((b for b in bounds if b > 0), default=None)
+    sums = None
+    if tight is not None:
+        heavy = options.join(best.filter(F.col("memory") > tight).select("workload"), "workload", "left_semi")
+        sums = materialise(_priced_sums(materialise(heavy, "heavy"), frameworks, most), "sums")
     parts = [
-        advise(matrix, frameworks, most, b).select("workload", F.lit(b).alias("max_memory"), "status", "objective") for b in bounds
+        _advise(options, best, frameworks, most, b, sums).select("workload", F.lit(b).alias("max_memory"), "status", "objective") for b in bounds
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -169,6 +177,12 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     """
     options = materialise(_options(matrix), "options")
     best = materialise(_best_subsets(options, frameworks, most), "subsets")
+    return materialise(_advise(options, best, frameworks, most, max_memory), "advice")
+
+
+def _advise(
+    options: DataFrame, best: DataFrame, frameworks: Sequence[str], most: int, max_memory: int, sums: DataFrame | None = None
+) -> DataFrame:
     plain = best.select(
         "workload",
         "members",
@@ -182,8 +196,8 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     if max_memory > 0:
         over = best.filter(F.col("memory") > max_memory).select("workload")
         heavy = materialise(options.join(over, "workload", "left_semi"), "heavy")
-        solved = plain.filter(F.col("memory") <= max_memory).unionByName(_bounded(heavy, frameworks, most, max_memory))
-    advice = (
+        solved = plain.filter(F.col("memory") <= max_memory).unionByName(_bounded(heavy, frameworks, most, max_memory, sums))
+    return (
         options.select("workload")
         .distinct()
         .join(solved, "workload", "left")
@@ -199,7 +213,6 @@ def advise(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
             "picks",
         )
     )
-    return materialise(advice, "advice")
 
 
 def assignments(matrix: DataFrame, advice: DataFrame, buckets: int = 1024) -> DataFrame:
@@ -242,15 +255,14 @@ def bounded(matrix: DataFrame, frameworks: Sequence[str], most: int, max_memory:
     fits, an upper bound. Options whose extra priced cost passes the gap
     between the two cannot be part of an optimum and are dropped, which
     decides nearly all queries. What is left of a workload, its core, is
-    solved exactly in one task; queries with the same options enter it as one
+    solved exactly in one row; queries with the same options enter it as one
     row with a count.
     """
     return _bounded(materialise(_options(matrix), "options"), frameworks, most, max_memory)
 
 
-def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memory: int) -> DataFrame:
-    rows = _with_subsets(options, frameworks, most).filter(F.size("options") > 0)
-
+def _priced_sums(options: DataFrame, frameworks: Sequence[str], most: int) -> DataFrame:
+    """Priced cost ``p``, cost ``c`` and memory ``m`` of every workload, subset and price, each query deciding alone; subsets that miss a query are left out."""
     # The prices of a workload: zero, and powers of two down from its steepest exchange of cost for memory.
     spread = (F.col("weight") * (F.array_max("options")["cost"] - F.array_min("options")["cost"])).cast("double")
     factors = [0.0] + [2.0**-k for k in range(PRICES)]
@@ -259,16 +271,24 @@ def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memor
         .agg(F.greatest(F.max(spread), F.lit(1e-6)).alias("top"), F.count(F.lit(1)).alias("queries"))
         .select("workload", "queries", F.transform(F.array(*[F.lit(f) for f in factors]), lambda f: f * F.col("top")).alias("prices"))
     )
+    rows = _with_subsets(options, frameworks, most).filter(F.size("options") > 0)
     choice = F.array_min(_ranked("options", F.col("price")))
     sums = (
-        rows.join(prices.select("workload", "prices"), "workload")
-        .select("workload", "subset", "weight", "options", F.explode("prices").alias("price"))
-        .select("workload", "subset", "price", choice.alias("b"))
-        .groupBy("workload", "subset", "price")
+        rows.join(prices, "workload")
+        .select("workload", "subset", "weight", "options", "queries", F.explode("prices").alias("price"))
+        .select("workload", "subset", "queries", "price", choice.alias("b"))
+        .groupBy("workload", "subset", "queries", "price")
         .agg(F.sum("b.p").alias("p"), F.sum("b.c").cast(COST).alias("c"), F.sum("b.m").alias("m"), F.count(F.lit(1)).alias("n"))
-        .withColumn("bound", F.col("p") - F.col("price") * max_memory)
     )
-    sums = sums.join(prices.select("workload", "queries"), "workload").filter(F.col("n") == F.col("queries"))
+    return sums.filter(F.col("n") == F.col("queries")).drop("queries", "n")
+
+
+def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memory: int, sums: DataFrame | None = None) -> DataFrame:
+    """``sums`` may be given, and may hold more workloads than ``options``."""
+    rows = _with_subsets(options, frameworks, most).filter(F.size("options") > 0)
+    if sums is None:
+        sums = _priced_sums(options, frameworks, most)
+    sums = sums.withColumn("bound", F.col("p") - F.col("price") * max_memory)
     per_subset = sums.groupBy("workload", "subset").agg(
         F.max_by(F.struct("price", "bound"), F.struct("bound", "price")).alias("best"),
         F.min(F.when(F.col("m") <= max_memory, F.col("c"))).alias("upper"),
@@ -290,32 +310,24 @@ def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memor
         .withColumn("ranked", _ranked("options", F.col("price")))
         .withColumn("kept", _kept(F.col("gap")))
     )
-    classes = materialise(kept.groupBy(*keys, "kept").agg(F.count(F.lit(1)).alias("copies")), "classes")
+    classes = kept.groupBy(*keys, "kept").agg(F.count(F.lit(1)).alias("copies"))
     decided = F.size("kept") == 1
     only = F.get("kept", F.lit(0))
-    base = classes.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(decided, (only["c"] * F.col("copies")).cast(COST))), F.lit(0)).cast(COST).cast("string").alias("base_cost"),
-        F.coalesce(F.sum(F.when(decided, only["m"] * F.col("copies"))), F.lit(0)).alias("base_memory"),
-    )
-    core = classes.filter(~decided).select(
-        "workload",
-        "subset",
-        "copies",
+    core = F.struct(
         _class_key("kept").alias("class_key"),
+        "copies",
         F.transform("kept", lambda x: x.c.cast("string")).alias("costs"),
         F.transform("kept", lambda x: x.m).alias("memories"),
         F.transform("kept", lambda x: x.f).alias("names"),
     )
-    workload_type = options.schema["workload"].dataType.simpleString()
-    schema = (
-        f"workload {workload_type}, subset int, objective decimal(38,6), memory bigint, "
-        f"price double, gap double, picks {_PICKS}"
-    )
-    solved = (
-        base.join(core, ["workload", "subset"], "left")
-        .groupBy("workload", "subset")
-        .applyInPandas(_core_solver(max_memory), schema)
+    cores = classes.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(decided, (only["c"] * F.col("copies")).cast(COST))), F.lit(0)).cast(COST).cast("string").alias("base_cost"),
+        F.coalesce(F.sum(F.when(decided, only["m"] * F.col("copies"))), F.lit(0)).alias("base_memory"),
+        F.sort_array(F.collect_list(F.when(~decided, core))).alias("core"),
     )
+    # A batch of rows holds many cores: a call of its own for each would cost more than most of them.
+    solve = F.pandas_udf(_core_solver(max_memory), f"objective decimal(38,6), memory bigint, picks {_PICKS}")
+    solved = cores.select(*keys, solve("base_cost", "base_memory", "core").alias("s")).select(*keys, "s.*")
     row = F.struct(_members(frameworks, most).alias("members"), "objective", "memory", "price", "gap", "picks")
     picked = solved.filter(F.col("objective").isNotNull()).groupBy("workload").agg(
         F.min_by(row, F.struct("objective", "subset")).alias("r")
@@ -326,16 +338,13 @@ def _bounded(options: DataFrame, frameworks: Sequence[str], most: int, max_memor
 def _core_solver(max_memory: int):
     """Solve one core: states are (memory, cost, choices), pruned to the undominated ones within the bound."""
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        head = group.iloc[0]
-        front = _frontier([(int(head["base_memory"]), _micro(head["base_cost"]), ())], max_memory)
+    def one(base_cost: str, base_memory: int, core) -> tuple:
+        front = _frontier([(int(base_memory), _micro(base_cost), ())], max_memory)
         classes = []
-        for r in group.sort_values("class_key").itertuples():
-            if not isinstance(r.class_key, str):
-                continue
-            options = [(int(m), _micro(c)) for m, c in zip(r.memories, r.costs)]
-            classes.append((r.class_key, list(r.names)))
-            repeated = _repeat(options, int(r.copies), max_memory)
+        for r in core:
+            options = [(int(m), _micro(c)) for m, c in zip(r["memories"], r["costs"])]
+            classes.append((r["class_key"], list(r["names"])))
+            repeated = _repeat(options, int(r["copies"]), max_memory)
             # Choices are linked backwards: (earlier choices, counts per option of this class).
             front = _combine(front, repeated, max_memory, lambda earlier, counts: (earlier, counts))
         best = min(front, key=lambda s: (s[1], s[0])) if front else None
@@ -350,16 +359,13 @@ def _core_solver(max_memory: int):
                 for name, n in zip(names, counts):
                     upto += n
                     picks.append({"class_key": key, "framework": name, "upto": upto})
+        return (Decimal(best[1]).scaleb(-6), best[0], picks) if best else (None, None, picks)
+
+    def solve(base_cost: pd.Series, base_memory: pd.Series, core: pd.Series) -> pd.DataFrame:
+        found = [one(*row) for row in zip(base_cost, base_memory, core)]
+        objective, memory, picks = zip(*found) if found else ((), (), ())
         return pd.DataFrame(
-            {
-                "workload": [head["workload"]],
-                "subset": [head["subset"]],
-                "objective": [Decimal(best[1]).scaleb(-6) if best else None],
-                "memory": pd.array([best[0] if best else None], dtype="Int64"),
-                "price": [head["price"]],
-                "gap": [head["gap"]],
-                "picks": [picks],
-            }
+            {"objective": pd.Series(objective, dtype="object"), "memory": pd.array(memory, dtype="Int64"), "picks": pd.Series(picks, dtype="object")}
         )
 
     return solve

@@ -111,3 +111,16 @@ def test_weights_and_candidates(spark, frame):
     got = [r[0] for r in df.select(A.candidates(F.col("r"), ["a", "c"], ["a", "b", "c"])).collect()]
     assert got == [["b", "a"], ["a", "c"]]
     assert frame([(0,), (-1,), (7,)], "m int").select(A.memory_bound(F.col("m"))).collect() == [(None,), (None,), (7,)]
+
+
+def test_a_grid_of_bounds_reads_its_options_once(frame, monkeypatch):
+    rows = [(w, q, f, c, m, 1) for w in (1, 2) for q in (1, 2) for f, c, m in (("a", 1, 4), ("b", 2, 1))]
+    df = frame(rows, "workload int, query int, framework string, cost int, memory int, weight int")
+    written = []
+    monkeypatch.setattr(A, "materialise", lambda d, purpose: written.append(purpose) or d)
+    grid = A.memory_trade_off(df, ["a", "b"], 2, [1, 2, 5, 8])
+    assert written.count("options") == 1 and written.count("sums") == 1
+    assert "FlatMapGroupsInPandas" not in grid._jdf.queryExecution().executedPlan().toString()
+    got = {(r["workload"], r["max_memory"]): (r["status"], r["objective"]) for r in grid.collect()}
+    want = {1: (-1, None), 2: (0, 4), 5: (0, 3), 8: (0, 2)}
+    assert got == {(w, b): x for w in (1, 2) for b, x in want.items()}
