@@ -641,7 +641,7 @@ def e9e_undeclared(t):
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
     old = sample(price, status)
     new = sample(F.when(F.col("o_orderpriority") == "5-LOW", price + 1).otherwise(price), F.when(status == "F", "f").otherwise(status), F.when(F.col("o_orderkey") % 3 == 0, F.lit("late")).alias("more"))
-    rows = t("orders").select("o_orderkey", F.parse_json(F.to_json(old)).alias("a"), F.parse_json(F.to_json(new)).alias("b"))
+    rows = t.dealt("orders", "o_orderkey").select("o_orderkey", F.parse_json(F.to_json(old)).alias("a"), F.parse_json(F.to_json(new)).alias("b"))
     return E.with_distance(rows, "a", "b", "amount decimal(38,3)").select("o_orderkey", "distance")
 
 
