@@ -522,7 +522,7 @@ def projects(t):
             ).alias("m1")
         ).alias("mappings"),
     )
-    return t("part").select("p_partkey", F.to_json(s(s(content.alias("content")).alias("project"))).alias("text"))
+    return t.dealt("part", "p_partkey").select("p_partkey", F.to_json(s(s(content.alias("content")).alias("project"))).alias("text"))
 
 
 @query(

@@ -45,7 +45,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "LessThanOrEqual(o_orderdate" in plan and "LessThanOrEqual(l_shipdate" in plan
 
 
-@pytest.mark.parametrize("name", ["g2n_columns_at_any_depth", "g2n_node_labels"])
-def test_mapping_files_are_dealt_to_all_partitions(spark, name):
+@pytest.mark.parametrize("name", ["g2n_columns_at_any_depth", "g2n_node_labels", "t12_mapping_table", "e9e_undeclared_distance"])
+def test_rows_of_much_work_are_dealt_to_all_partitions(spark, name):
     df = QUERIES[name].run(Tables(spark, DATA))
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
