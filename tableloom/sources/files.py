@@ -48,8 +48,11 @@ def read_relational(
 
 
 def export_delimited(df: DataFrame, path: str, max_records: int = 5_000_000) -> None:
-    """Write quoted CSV; values may hold quotes and line breaks."""
-    df.write.mode("overwrite").options(**_CSV).option("quoteAll", "true").option(
+    """Write quoted CSV as gzip; values may hold quotes and line breaks.
+
+    Values with line breaks keep a reader from splitting a file anyway.
+    """
+    df.write.mode("overwrite").options(**_CSV).option("compression", "gzip").option("quoteAll", "true").option(
         "maxRecordsPerFile", max_records
     ).csv(path)
 
