@@ -67,11 +67,15 @@ def read_measurements(spark: SparkSession, path: str, schema: str = MEASUREMENT_
     return spark.read.schema(schema).option("sep", ";").option("header", "true").csv(path)
 
 
-def write_documents(df: DataFrame, path: str, fmt: str = "json", exclude_nulls: bool = False) -> None:
-    """Write documents; ``exclude_nulls`` leaves null fields out of JSON."""
-    writer = df.write.mode("overwrite")
+def write_documents(df: DataFrame, path: str, fmt: str = "json", exclude_nulls: bool = False, max_records: int = 200_000) -> None:
+    """Write documents; ``exclude_nulls`` leaves null fields out of JSON.
+
+    JSON is written as gzip, which no reader splits, so a file holds at most
+    ``max_records`` documents.
+    """
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", max_records)
     if fmt == "json":
-        writer = writer.option("ignoreNullFields", str(exclude_nulls).lower())
+        writer = writer.option("ignoreNullFields", str(exclude_nulls).lower()).option("compression", "gzip")
     writer.format(fmt).save(path)
 
 

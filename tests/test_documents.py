@@ -169,3 +169,10 @@ def test_a_written_collection_reads_back_with_its_parts(spark, frame, tmp_path):
     items = [(k, x["i"]) for k, r in docs.items() for x in r["items"]] + [(r["k"], x["i"]) for r in more for x in r["items"]]
     assert sorted(items) == [(1, i) for i in range(40)] + [(2, 99)]
     assert docs[2]["itemsParts"] == 1 and docs[1]["itemsParts"] == 1 + len(more)
+
+
+def test_documents_are_small_files_of_gzip(spark, frame, tmp_path):
+    df = frame([(k, "x" * 50) for k in range(10)], "k int, v string").coalesce(1)
+    files.write_documents(df, str(tmp_path / "d"), max_records=4)
+    assert len(list((tmp_path / "d").glob("*.json.gz"))) == 3
+    assert sorted(r["k"] for r in files.read_documents(spark, str(tmp_path / "d"), df.schema).collect()) == list(range(10))

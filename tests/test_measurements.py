@@ -121,3 +121,8 @@ def test_ratio_to_a_best_value_of_zero(frame):
     assert math.isnan(rows["m"]["A_ratio"]) and rows["m"]["B_ratio"] == math.inf
     assert (rows["k"]["A_ratio"], rows["k"]["B_ratio"]) == (1.0, 2.5)
     assert math.isnan(rows["one"]["A_ratio"]) and rows["one"]["B_ratio"] is None
+
+
+def test_delimited_files_are_gzip(frame, tmp_path):
+    files.export_delimited(frame([(1, "a")], "k int, v string"), str(tmp_path / "x"))
+    assert list((tmp_path / "x").glob("*.csv.gz")) and not list((tmp_path / "x").glob("*.csv"))
