@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 
 from pyspark.sql import functions as F
 
@@ -1155,11 +1156,12 @@ def s1(t):
     return changed.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", total.cast("double").alias("total_including_tax"))
 
 
-def _files_as_stream(t, name, column, n=3):
-    """A table in ``n`` files by time, one micro-batch each."""
+def _files_as_stream(t, name, column, n=3, rows=500_000):
+    """A table in files of about ``rows`` rows by time, in ``n`` micro-batches; a file is written by one task."""
     path = scratch_dir(t.spark, f"{name}-files")
-    t(name).repartitionByRange(n, column).write.parquet(path)
-    return t.spark.readStream.schema(t(name).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    per_batch = max(1, math.ceil(t(name).count() / (n * rows)))
+    t(name).repartitionByRange(n * per_batch, column).write.parquet(path)
+    return t.spark.readStream.schema(t(name).schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 @query(
@@ -1210,11 +1212,12 @@ def s2(t):
     return S.apply_changes(base(t), feed(t("events")), ["user_id"], ["ts", "event_id"])
 
 
-def _event_stream(t):
-    """The events in four files of mixed times, one micro-batch each."""
+def _event_stream(t, n=4, rows=500_000):
+    """The events in files of mixed times, of about ``rows`` rows, in ``n`` micro-batches; a file is written by one task."""
     path = scratch_dir(t.spark, "event-files")
-    t("events").repartition(4, F.xxhash64("event_id")).write.parquet(path)
-    return t.spark.readStream.schema(t("events").schema).option("maxFilesPerTrigger", 1).parquet(path)
+    per_batch = max(1, math.ceil(t("events").count() / (n * rows)))
+    t("events").repartition(n * per_batch, F.xxhash64("event_id")).write.parquet(path)
+    return t.spark.readStream.schema(t("events").schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 @query("s2_stream_changes", _FED)
@@ -1274,9 +1277,9 @@ def s2_buckets(t):
 
 
 def _once(t, rows):
-    """Rows as a stream of one file."""
+    """Rows as a stream of one micro-batch."""
     path = scratch_dir(t.spark, "start")
-    rows.coalesce(1).write.parquet(path)
+    rows.write.parquet(path)
     return t.spark.readStream.schema(rows.schema).parquet(path)
 
 

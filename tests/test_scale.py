@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableloom.functions.canonical import row_hash
 from tableloom.operators import digests, paging, sketches
 from tableloom.operators.equivalence import keyed_difference
+from tableloom.plans import structures
 from tableloom.sources import textindex
 from tableloom.streaming import pairs as SP
 
@@ -164,3 +165,26 @@ def test_text_search_opens_the_files_that_can_match(spark, frame, tmp_path):
     assert ids(index.search("nowhere at all")) == [] and index.files("nowhere at all") == []
     assert ids(index.search("mixed")) == [] and ids(index.search("mixed", ignore_case=True)) == [403]
     assert ids(index.search("Größe É 🙂")) == [403]
+
+
+class Made:
+    """Tables made in the test, by name."""
+
+    def __init__(self, spark, **frames):
+        self.spark, self.frames = spark, frames
+
+    def __call__(self, name):
+        return self.frames[name]
+
+
+def test_stream_files_are_written_by_tasks_of_bounded_size(spark, frame):
+    t = Made(spark, events=frame([(k,) for k in range(2000)], "event_id bigint"))
+    for stream, batches in ((structures._event_stream(t, rows=50), 4), (structures._files_as_stream(t, "events", "event_id", rows=50), 3)):
+        seen = []
+
+        def keep(batch, n, seen=seen):
+            sizes = batch.groupBy("file").count().collect()
+            seen.append((len(sizes), max(r["count"] for r in sizes), sum(r["count"] for r in sizes)))
+
+        stream.withColumn("file", F.col("_metadata.file_path")).writeStream.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) <= batches and sum(n for _, _, n in seen) == 2000 and max(n for _, n, _ in seen) < 250
