@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.operators.skew import HotKeys, hot_keys
+from tableloom.session import materialise
 
 MAX_ITEMS = 100_000
 
@@ -139,7 +140,8 @@ def collect_children(
     )
     # Expand the copies inside the part and sort there.
     expanded = F.flatten(F.transform("_items", lambda x: F.array_repeat(_item(fields, order, x), x["_times"])))
-    heavy = grouped.select(*keys, "part", _sorted(expanded, fields, order).alias(name))
+    # Made once, as the leading part, the first parts and the rest all read it.
+    heavy = materialise(grouped.select(*keys, "part", _sorted(expanded, fields, order).alias(name)), "parts")
     # Hash dealing may leave part 0 empty: the lowest part present leads.
     lead = heavy.groupBy(*keys).agg(F.min("part").alias("_lead"))
     lead = F.broadcast(lead) if hot.small else lead

@@ -84,3 +84,11 @@ def test_parts_of_keys_without_a_parent_are_left_out(frame):
     child = frame([(1, i) for i in range(20)] + [(2, i) for i in range(40)], "k int, v int")
     got = N.include_many(parent, child, {"k": "k"}, "items", max_items=8)
     assert sorted((r["k"], r["v"]) for r in got.exploded().collect()) == [(1, i) for i in range(20)]
+
+
+def test_heavy_arrays_are_made_once(frame):
+    child = frame([(k, i) for i in range(120) for k in range(3)], "k int, v int")
+    got = N.collect_children(child, ["k"], "items", max_items=16, hot=skew.hot_keys(child, ["k"], 16, limit=1))
+    # The leading part, the first parts and the rest read what was written.
+    assert "collect_list" not in got.continuations._jdf.queryExecution().optimizedPlan().toString()
+    assert whole(got) == {(k,): Counter((i,) for i in range(120)) for k in range(3)}
