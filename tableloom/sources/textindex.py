@@ -1,10 +1,13 @@
-"""Text search with a pruned scan (PRE5): Bloom filters of trigrams tell which files can hold a text."""
+"""Text search with a pruned scan (PRE5): Bloom filters of trigrams of bytes tell which files can hold a text."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.session import local_frame
@@ -13,14 +16,62 @@ from tableloom.session import local_frame
 BITS = 1 << 18
 
 
-def _places(rows: DataFrame, text: Column, bits: int) -> DataFrame:
-    """``rows`` with ``place``: the bits of the trigrams of a text, in lower case, each once."""
-    # The characters are a column of their own: inside a function over elements they would be made for each of them.
-    chars = rows.withColumn("_chars", F.filter(F.split(F.lower(text), ""), lambda c: c != ""))
-    c = F.col("_chars")
-    starts = F.when(F.size(c) >= 3, F.sequence(F.lit(0), F.size(c) - 3)).otherwise(F.array().cast("array<int>"))
-    every = F.transform(starts, lambda k: F.pmod(F.xxhash64(F.get(c, k), F.get(c, k + 1), F.get(c, k + 2)), F.lit(bits)))
-    return chars.withColumn("place", F.explode(F.array_distinct(every))).drop("_chars")
+# Bits of one bitmap.
+_BLOCK = 32_768
+_TRIGRAMS = 1 << 24
+# Bytes of text that are looked at together.
+_TOGETHER = 1 << 20
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    """The number of the trigram of bytes at each place but the last two."""
+    wide = data.astype(np.uint32)
+    return wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+
+
+def _places(trigrams: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of trigrams, each once."""
+    return np.unique((trigrams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(bits)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """``file, bucket, bits`` of runs of ``file, text``; a run is a file as a task reads it."""
+    file, seen = None, None
+
+    def rows() -> pa.RecordBatch:
+        marked = np.zeros(-(-bits // _BLOCK) * _BLOCK, dtype=np.uint8)
+        marked[_places(np.flatnonzero(seen), bits)] = 1
+        blocks = [np.packbits(block, bitorder="little").tobytes() for block in marked.reshape(-1, _BLOCK)]
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(blocks)), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())], names=["file", "bucket", "bits"])
+
+    for batch in batches:
+        files = batch.column(0).dictionary_encode()
+        codes = files.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            name = files.dictionary[int(codes[low])].as_py()
+            if name != file:
+                if seen is not None:
+                    yield rows()
+                file, seen = name, np.zeros(_TRIGRAMS, dtype=bool)
+            texts = batch.column(1).slice(low, high - low).cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1, offset=8 * texts.offset)
+            if ends[-1] - ends[0] < 3:
+                continue
+            data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
+            # No trigram reaches from one text into the next.
+            across = np.concatenate([ends[1:] - 1, ends[1:] - 2]) - ends[0]
+            across.sort()
+            for start in range(0, len(data) - 2, _TOGETHER):
+                numbers = _numbers(data[start : start + _TOGETHER + 2])
+                left = across[np.searchsorted(across, start) : np.searchsorted(across, start + len(numbers))] - start
+                inside = np.ones(len(numbers), dtype=bool)
+                inside[left] = False
+                seen[numbers[inside]] = True
+    if seen is not None:
+        yield rows()
 
 
 @dataclass(frozen=True)
@@ -36,13 +87,12 @@ class TextIndex:
     def files(self, needle: str) -> list[str] | None:
         """The files that can hold ``needle``, in any case; ``None`` if it is too short to tell."""
         spark = self.filters.sparkSession
-        one = local_frame(spark, [(needle,)], "needle string")
-        wanted = _places(one, F.col("needle"), self.bits).select(
-            F.call_function("bitmap_bucket_number", F.col("place")).alias("bucket"), F.call_function("bitmap_bit_position", F.col("place")).alias("at")
-        )
-        n = wanted.count()
+        lowered = local_frame(spark, [(needle,)], "needle string").select(F.lower("needle").cast("binary")).first()[0]
+        places = _places(_numbers(np.frombuffer(lowered, dtype=np.uint8)), self.bits).tolist() if len(lowered) >= 3 else []
+        n = len(places)
         if not n:
             return None
+        wanted = local_frame(spark, [(p // _BLOCK, p % _BLOCK) for p in places], "bucket bigint, at int")
         byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hits = self.filters.join(F.broadcast(wanted), "bucket").filter(F.call_function("getbit", byte, (F.col("at") % 8).cast("int")) == 1)
         found = hits.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n)
@@ -65,14 +115,13 @@ class TextIndex:
 def index_text(spark, path: str, column: str, bits: int = BITS) -> TextIndex:
     """Build the filters of a parquet table in one scan of the text column.
 
-    Trigrams become bits before they are grouped, so a task sends at most
-    ``bits`` records for each of its files.
+    A task marks the trigrams it sees in one table for each of its files, and
+    sends the bits of that table once.
     """
     rows = spark.read.parquet(path)
-    texts = rows.select(F.col("_metadata.file_path").alias("file"), F.col(column).cast("string").alias("text"))
-    each = _places(texts, F.col("text"), bits).groupBy("file", "place").agg(F.count(F.lit(1)).alias("n"))
-    marked = each.groupBy("file", F.call_function("bitmap_bucket_number", F.col("place")).alias("bucket"))
-    filters = marked.agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("place"))).alias("bits"))
+    texts = rows.select(F.col("_metadata.file_path").alias("file"), F.lower(F.col(column).cast("string")).cast("binary").alias("text"))
+    marked = texts.mapInArrow(lambda batches: _marks(batches, bits), "file string, bucket bigint, bits binary")
+    filters = marked.groupBy("file", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
     return TextIndex(path, rows.schema, column, filters, bits)
 
 

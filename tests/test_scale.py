@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +190,18 @@ def test_stream_files_are_written_by_tasks_of_bounded_size(spark, frame):
 
         stream.withColumn("file", F.col("_metadata.file_path")).writeStream.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
         assert len(seen) <= batches and sum(n for _, _, n in seen) == 2000 and max(n for _, n, _ in seen) < 250
+
+
+def test_trigrams_are_marked_without_a_row_for_each(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "_TOGETHER", 5)
+    texts = ["abcdef", None, "", "gh", "iÄj", "xyzxyz"]
+    path = str(tmp_path / "texts")
+    frame(list(enumerate(texts)), "id int, text string").coalesce(1).write.parquet(path)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 6), pa.array([t and t.lower().encode() for t in texts], pa.binary())], names=["file", "text"])
+    marked = list(textindex._marks([batch.slice(0, 2), batch.slice(2)], 1 << 18))
+    want = {t.lower().encode()[k : k + 3] for t in texts if t for k in range(len(t.lower().encode()) - 2)}
+    bits = np.unpackbits(np.frombuffer(b"".join(b for m in marked for b in m.column(2).to_pylist()), np.uint8), bitorder="little")
+    assert bits.sum() == len({p for w in want for p in textindex._places(textindex._numbers(np.frombuffer(w, np.uint8)), 1 << 18).tolist()})
+    index = textindex.index_text(spark, path, "text")
+    assert "Generate" not in index.filters._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in index.search("IÄ", ignore_case=True).collect()] == [4] and index.files("efg") == []
