@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ def once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; in a function over elements a column is written out wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _as(value: Column, kind: str) -> Column:
     return F.try_variant_get(value, _ROOT, kind)
 
@@ -53,51 +58,63 @@ def member_path(*names: str) -> str:
 
 def _scalar(value: Column) -> Column:
     """Numbers at three decimals, half up; a text that reads as JSON itself is quoted, so that it is no number."""
-    number = F.coalesce(_as(value, "decimal(38,3)").cast("string"), _as(value, "double").cast("string"))
-    text = _as(value, "string")
-    quoted = F.to_json(value)
-    is_text = F.startswith(quoted, F.lit('"'))
-    plain = F.when(F.try_parse_json(text).isNotNull(), quoted).otherwise(text)
-    return F.when(F.is_variant_null(value), "null").when(is_text, plain).when(quoted.isin("true", "false"), quoted).otherwise(F.coalesce(number, quoted))
+
+    def written(quoted: Column) -> Column:
+        number = F.coalesce(_as(value, "decimal(38,3)").cast("string"), _as(value, "double").cast("string"), quoted)
+        plain = _let(_as(value, "string"), lambda text: F.when(F.try_parse_json(text).isNotNull(), quoted).otherwise(text))
+        return F.when(F.startswith(quoted, F.lit('"')), plain).when(quoted.isin("true", "false"), quoted).otherwise(number)
+
+    return F.when(F.is_variant_null(value), "null").otherwise(_let(F.to_json(value), written))
 
 
-def _below(declared: Sequence[str]):
-    def below(node: Column) -> Column:
+def _opened(declared: Sequence[str]):
+    """A value as its node and the values directly below it."""
+
+    def opened(node: Column) -> Column:
         def member(e: Column) -> Column:
-            name = _escaped(e["key"])
-            path = F.when(node["path"].isNull(), name).otherwise(F.concat_ws(".", node["path"], name))
-            return F.struct(e["key"].alias("key"), path.alias("path"), node["listed"].alias("listed"), e["value"].alias("value"))
+            def at(name: Column) -> Column:
+                path = F.when(node["path"].isNull(), name).otherwise(F.concat_ws(".", node["path"], name))
+                return F.struct(e["key"].alias("key"), path.alias("path"), node["listed"].alias("listed"), e["value"].alias("value"))
 
-        members = F.transform(F.map_entries(_as(node["value"], "map<string,variant>")), member)
-        if declared:
-            members = F.filter(members, lambda m: m["listed"] | ~m["path"].isin(list(declared)))
-        items = F.transform(
-            _as(node["value"], "array<variant>"),
-            lambda x: F.struct(F.lit(None).cast("string").alias("key"), node["path"].alias("path"), F.lit(True).alias("listed"), x.alias("value")),
-        )
-        return F.coalesce(members.cast(f"array<{_AHEAD}>"), items.cast(f"array<{_AHEAD}>"), F.array().cast(f"array<{_AHEAD}>"))
+            return _let(_escaped(e["key"]), at)
 
-    return below
+        def item(x: Column) -> Column:
+            return F.struct(F.lit(None).cast("string").alias("key"), node["path"].alias("path"), F.lit(True).alias("listed"), x.alias("value"))
 
+        def made(kind: int, below: Column, text: Column) -> Column:
+            n = F.struct(node["key"].alias("key"), node["path"].alias("path"), node["listed"].alias("listed"), F.size(below).alias("size"), F.lit(kind).alias("kind"), text.alias("text"))
+            return F.struct(n.cast(_NODE).alias("node"), below.alias("below"))
 
-def _nodes(value: Column, declared: Sequence[str]) -> Column:
-    """Every value inside one, level by level, each with the number of values directly below it."""
-    below = _below(declared)
+        def of_object(members: Column) -> Column:
+            below = F.transform(F.map_entries(members), member)
+            if declared:
+                below = F.filter(below, lambda m: m["listed"] | ~m["path"].isin(list(declared)))
+            return _let(below.cast(f"array<{_AHEAD}>"), lambda x: made(_OBJECT, x, F.lit(None).cast("string")))
+
+        def of_list(items: Column) -> Column:
+            return _let(F.transform(items, item).cast(f"array<{_AHEAD}>"), lambda x: made(_LIST, x, F.lit(None).cast("string")))
 
-    def node(n: Column) -> Column:
-        kind = F.when(_as(n["value"], "map<string,variant>").isNotNull(), _OBJECT).when(_as(n["value"], "array<variant>").isNotNull(), _LIST).otherwise(_SCALAR)
-        text = F.when(kind == _SCALAR, _scalar(n["value"]))
-        return F.struct(n["key"].alias("key"), n["path"].alias("path"), n["listed"].alias("listed"), F.size(below(n)).alias("size"), kind.alias("kind"), text.alias("text"))
+        scalar = made(_SCALAR, F.array().cast(f"array<{_AHEAD}>"), _scalar(node["value"]))
+        listed = _let(_as(node["value"], "array<variant>"), lambda items: F.when(items.isNotNull(), of_list(items)).otherwise(scalar))
+        return _let(_as(node["value"], "map<string,variant>"), lambda members: F.when(members.isNotNull(), of_object(members)).otherwise(listed))
 
+    return opened
+
+
+def _nodes(value: Column, declared: Sequence[str]) -> Column:
+    """Every value inside one, level by level, each with the number of values directly below it."""
+    opened = _opened(declared)
     root = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("path"), F.lit(False).alias("listed"), value.alias("value"))
     first = F.array(root).cast(f"array<{_AHEAD}>")
     # Every level but the last opens an object or a list.
     levels = F.regexp_count(F.to_json(value), F.lit(r"[\[{]")) + 1
 
     def down(state: Column, _: Column) -> Column:
-        found = F.concat(state["found"], F.transform(state["ahead"], node).cast(f"array<{_NODE}>"))
-        ahead = F.flatten(F.transform(state["ahead"], below))
-        return F.when(F.size(state["ahead"]) == 0, state).otherwise(F.struct(found.alias("found"), ahead.alias("ahead")))
+        def gone(level: Column) -> Column:
+            found = F.concat(state["found"], F.transform(level, lambda o: o["node"]))
+            return F.struct(found.alias("found"), F.flatten(F.transform(level, lambda o: o["below"])).alias("ahead"))
+
+        return F.when(F.size(state["ahead"]) == 0, state).otherwise(_let(F.transform(state["ahead"], opened), gone))
 
     start = F.struct(F.array().cast(f"array<{_NODE}>").alias("found"), first.alias("ahead"))
     return F.aggregate(F.sequence(F.lit(1), levels), start, down, lambda s: s["found"])
@@ -113,12 +130,18 @@ def _folded(nodes: Column) -> Column:
         below = F.slice(row, F.lit(1), n["size"])
         listed = F.concat(F.lit("["), F.array_join(F.sort_array(F.transform(below, lambda b: b["text"])), ","), F.lit("]"))
         members = F.transform(F.sort_array(below), lambda b: F.concat(F.to_json(b["key"].cast("variant")), F.lit(":"), b["text"]))
-        text = F.when(n["kind"] == _SCALAR, n["text"]).when(n["kind"] == _LIST, listed).otherwise(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+        whole = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+        # The text of an object is read inside a list, and where the object is empty.
+        text = F.when(n["kind"] == _SCALAR, n["text"]).when(n["kind"] == _LIST, listed).when(n["listed"] | (n["size"] == 0), whole)
         rest = F.slice(row, n["size"] + 1, F.greatest(F.size(row) - n["size"], F.lit(0)))
-        own = F.array(F.struct(n["key"].alias("key"), text.alias("text"))).cast(done)
         stands = ~n["listed"] & ((n["kind"] != _OBJECT) | ((n["size"] == 0) & n["path"].isNotNull()))
-        found = F.when(stands, F.array(F.struct(F.coalesce(n["path"], F.lit("")).alias("path"), text.alias("text")))).otherwise(F.array())
-        return F.struct(F.concat(rest, own).alias("done"), F.concat(state["leaves"], found.cast(leaf)).alias("leaves"))
+
+        def taken(text: Column) -> Column:
+            own = F.array(F.struct(n["key"].alias("key"), text.alias("text"))).cast(done)
+            found = F.array(F.struct(F.coalesce(n["path"], F.lit("")).alias("path"), text.alias("text"))).cast(leaf)
+            return F.struct(F.concat(rest, own).alias("done"), F.when(stands, F.concat(state["leaves"], found)).otherwise(state["leaves"]).alias("leaves"))
+
+        return _let(text, taken)
 
     start = F.struct(F.array().cast(done).alias("done"), F.array().cast(leaf).alias("leaves"))
     return F.aggregate(F.reverse(nodes), start, up, lambda s: s["leaves"])

@@ -128,14 +128,20 @@ def compare_summaries(
     no object and a side that failed give an error and no status; if there is no
     common id, one error row.
     """
-    a = read_payloads(source).alias("a")
-    b = read_payloads(target).alias("b")
-    parts = ("is_object", "count", "first_sample", "last_sample", "error")
-    both = a.join(b, "query_id").select("query_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in parts])
+    # Few bytes, but much work for each row: the number of partitions is given, so small ones are not merged.
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (read_payloads(side.repartition(parts, "query_id")).alias(name) for side, name in ((source, "a"), (target, "b")))
+    held = ("is_object", "count", "first_sample", "last_sample", "error")
+    both = a.join(b, "query_id").select("query_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in held])
     samples = ("a_first_sample", "a_last_sample", "b_first_sample", "b_last_sample")
     typed = {c: sample_leaves(F.to_json(F.col(c)), sample_schema) if sample_schema else [] for c in samples}
     declared = [path for path, _ in typed[samples[0]]]
-    both = both.withColumns({f"{c}_other": once(other_leaves(F.col(c), declared)) for c in samples})
+    # Each sample is compared twice, so its leaves are columns of their own.
+    both = both.withColumns(
+        {f"{c}_other": once(other_leaves(F.col(c), declared)) for c in samples}
+        | {f"{c}_{k}": once(value) for c in samples for k, (_, value) in enumerate(typed[c])}
+    )
+    typed = {c: [(path, F.col(f"{c}_{k}")) for k, (path, _) in enumerate(typed[c])] for c in samples}
     none = F.array().cast("array<struct<path:string,old:string,new:string>>")
 
     def diff(x, y):

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tableloom.operators import equivalence as E
 from tableloom.operators import summary as S
@@ -214,3 +215,12 @@ def test_text_and_list_samples_do_not_end_the_comparison(frame):
     }
     assert [tuple(d) for d in got["text"]["first_diffs"]] == [("", "abc", "abd")]
     assert ("", "abc", None) in [tuple(d) for d in got["mixed"]["first_diffs"]]
+
+
+def test_summaries_are_compared_in_as_many_tasks_as_shuffles_have(spark, frame):
+    rows = frame([(str(k), '{"count": 1, "firstSample": {"a": {"b": [%d, 2]}, "x": 1}}' % k) for k in range(40)], "query_id string, payload string")
+    other = rows.withColumn("payload", F.replace("payload", F.lit('"x": 1'), F.lit('"x": 2')))
+    found = E.compare_summaries(rows, other, "x decimal(38,3)")
+    counted = found.filter("status IS NOT NULL").select(F.spark_partition_id().alias("p"), "first_diffs").collect()
+    assert len({r["p"] for r in counted}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [[tuple(d) for d in r["first_diffs"]] for r in counted] == [[("x", "1.000", "2.000")]] * 40

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tableloom.functions import canonical as K
 from tableloom.functions import jsontext as J
+from tableloom.functions import leaves
 from tableloom.functions import names as N
 from tableloom.functions import units as U
 from tableloom.operators import conformance as C
@@ -144,3 +145,10 @@ def test_conformance_counts(frame):
     got = {(r["rule"], r["column"]): r["violations"] for r in C.conformance({"child": child, "parent": parent}, [rule]).collect()}
     # 99.95 and 12.25 lose digits, 1234 does not fit.
     assert got == {("type", "d"): 3, ("required", "s"): 1, ("length", "s"): 1, ("unique", "k"): 1, ("foreign key", "f"): 1}
+
+
+def test_each_value_of_a_sample_is_opened_once(frame):
+    # A column that is named twice in a function over elements is worked out twice, and doubles again at each level.
+    df = frame([('{"a": {"b": [1, "x"]}}',)], "j string").select(leaves.leaves(leaves.parse(F.col("j"))).alias("l"))
+    assert df._jdf.queryExecution().analyzed().toString().count("variant_get") <= 6
+    assert df.first()["l"] == {"a.b": "[1.000,x]"}
