@@ -36,8 +36,8 @@ HELD = 400_000
 TOGETHER = 1 << 22
 # Files of a model that a worker has open.
 OPEN = 64
-# Labelled texts that the calibration looks at, taken by the hash of their id.
-SAMPLE = 2_000
+# What the entropies may be multiplied with for the score.
+HEATS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 # The share of labelled texts that the calibrated limit may reject.
 REJECTED = 0.001
 
@@ -331,41 +331,59 @@ def _shares(e: np.ndarray, heat: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, language: str = "lang", order: int = ORDER, sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, language: str = "lang", order: int = ORDER) -> Model | None:
     """A model of every language of ``docs``; ``None`` without a labelled text that has letters.
 
-    All labelled texts and all their grams count. The files lie in the shared
-    folder of the cluster.
+    All labelled texts and all their grams count, in the models and in the
+    calibration. The files lie in the shared folder of the cluster.
     """
     counts = materialise(count(docs, language, order), "gram-counts")
     model = build(counts, scratch_dir(docs.sparkSession, "language-model"), order)
     if model is not None:
-        calibrate(model, docs, language, sample)
+        calibrate(model, docs, language)
     return model
 
 
-def calibrate(model: Model, docs: DataFrame, language: str = "lang", sample: int = SAMPLE) -> None:
-    """Set the limit of rejection and the heat of the score from at most ``sample`` labelled texts.
+def calibrate(model: Model, docs: DataFrame, language: str = "lang") -> None:
+    """Set the limit of rejection and the heat of the score from all labelled texts.
 
-    The limit lies over the entropies that nearly all of those texts have, and
-    not far below that of guessing letters.
+    The limit lies over the entropies that nearly all texts have, and not far
+    below that of guessing letters. A text leaves one lowest entropy and one
+    loss for each heat; the two entropies around the rank of the limit and the
+    sums of the losses reach the driver.
     """
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(language).cast("string").alias("language"))
-    known = known.where(F.col("text").isNotNull() & F.col("language").isin(model.languages))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    one = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("language", "text")).alias("x"))  # ``sample`` ids
+    known = docs.select(F.col("text").cast("string").alias("text"), F.col(language).cast("string").alias("language"))
+    known = known.where(F.col("text").isNotNull() & F.col("language").isNotNull())
+    place = {x: k for k, x in enumerate(model.languages)}
 
-    def entropies(text: pd.Series) -> pd.Series:
-        return pd.Series([None if e is None else e.tolist() for e in model.entropies(text.tolist())])
-
-    rows = one.select("x.language", F.pandas_udf(entropies, "array<double>")("x.text").alias("e")).toPandas().dropna()
-    if not len(rows):
+    def judged(text: pd.Series, language: pd.Series) -> pd.DataFrame:
+        rows = []
+        for e, of in zip(model.entropies(text.tolist()), language, strict=True):
+            if e is None or of not in place:
+                rows.append((None, *[None] * len(HEATS)))
+            else:
+                rows.append((float(e.min()), *[-float(np.log(np.clip(_shares(e[None, :], h)[0, place[of]], 1e-9, 1))) for h in HEATS]))
+        return pd.DataFrame(rows, columns=["e", *[f"h{k}" for k in range(len(HEATS))]], dtype=float)
+
+    kinds = "struct<e double, " + ", ".join(f"h{k} double" for k in range(len(HEATS))) + ">"
+    found = known.select(F.pandas_udf(judged, kinds)("text", "language").alias("j")).select("j.*").where("e IS NOT NULL")
+    found = materialise(found, "entropies")
+    # Sums that decide are decimals, so that they do not depend on the order of rows.
+    sums = found.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"h{k}").cast("decimal(24,12)")).alias(f"h{k}") for k in range(len(HEATS))]).first()
+    if not sums["n"]:
         return
-    e = np.stack(rows["e"].to_numpy())
-    y = rows["language"].map({x: k for k, x in enumerate(model.languages)}).to_numpy()
-    model.limit = max(float(np.quantile(e.min(axis=1), 1 - REJECTED)) * 1.25, -0.9 * model.floor)
-    losses = {h: -np.log(np.clip(_shares(e, h)[np.arange(len(y)), y], 1e-9, 1)).mean() for h in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)}
-    model.heat = min(losses, key=losses.get)
+    model.limit = max(_quantile(found, sums["n"], 1 - REJECTED) * 1.25, -0.9 * model.floor)
+    model.heat = HEATS[min(range(len(HEATS)), key=lambda k: sums[f"h{k}"])]
+
+
+def _quantile(found: DataFrame, n: int, share: float) -> float:
+    """The quantile of ``e`` over all ``n`` rows, exact and linear between ranks."""
+    rank = (n - 1) * share
+    # Approximate quantiles on both sides leave about a thousandth of the rows to be sorted.
+    low, high = found.agg(F.percentile_approx("e", [max(share - 0.0005 - 2 / n, 0.0), min(share + 0.0005, 1.0)], 10_000).alias("x")).first()["x"]
+    before = found.where(F.col("e") < low).count()
+    near = found.where(F.col("e").between(low, high)).orderBy("e").offset(int(rank) - before).limit(2).collect()
+    return near[0]["e"] + (near[-1]["e"] - near[0]["e"]) * (rank - int(rank))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

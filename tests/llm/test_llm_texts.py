@@ -354,3 +354,16 @@ def test_candidates_against_alignment_with_every_template():
 def test_very_long_text_with_a_license():
     text = "word " * 200_000 + licenses.TEMPLATES["ISC"] + " word" * 200_000
     assert [(n, c, a) for n, c, _, a, _ in licenses.matches(text, INDEX)] == [("ISC", 1.0, 1_000_000)]
+
+
+def test_calibration_looks_at_every_labelled_text(frame):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(rng.choice(["und", "der", "das", "ein"] if k % 2 else ["the", "and", "of", "a"], 6)), "de" if k % 2 else "en") for k in range(2500)]
+    # Hard texts that a bounded choice by the hash of the id may pass over: here all but 2,000 are.
+    docs = frame(rows + [(9000 + k, "xq zv" + "jk" * k, "en") for k in range(6)], "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    e = np.array([x.min() for x in model.entropies([r["text"] for r in docs.collect()])])
+    assert model.limit == pytest.approx(max(np.quantile(e, 1 - language.REJECTED) * 1.25, -0.9 * model.floor))
+    for n in (1, 2, 3, 10, 1999, 2506):
+        part = frame([(float(x),) for x in e[:n]], "e double").repartition(3)
+        assert language._quantile(part, n, 0.999) == pytest.approx(np.quantile(e[:n], 0.999), abs=1e-12)
