@@ -78,13 +78,16 @@ def edges(df: DataFrame, mapping: EdgeMapping) -> DataFrame:
     """Edge table ``src, dst, type`` and the properties; a row with a null key has no edge (G4n, G5n)."""
     (start_space, start_key), (end_space, end_key) = mapping.start, mapping.end
     props = [_narrowed(df, c).alias(p) for c, p in mapping.properties.items()]
-    made = df.select(
+    # Keys are looked at as they are, so that ids are made only where they are read, and once.
+    known = df
+    for key in dict.fromkeys((*start_key, *end_key)):
+        known = known.filter(F.col(key).isNotNull())
+    return known.select(
         node_id(start_space, start_key).alias("src"),
         node_id(end_space, end_key).alias("dst"),
         F.lit(mapping.type.upper()).alias("type"),
         *props,
     )
-    return made.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def build_edges(tables: Mapping[str, DataFrame], mappings: Sequence[EdgeMapping]) -> dict[tuple, DataFrame]:

@@ -134,3 +134,11 @@ def test_mapping_rows_are_made_without_joins(frame):
     for rows in (G.node_mapping_rows, G.relationship_mapping_rows, G.relationship_property_rows):
         plan = rows(entries, ["fid"])._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan
+
+
+def test_edges_of_known_keys_make_an_id_only_where_it_is_read(frame):
+    df = frame([(1, "a", 5), (None, "a", 6), (2, None, 7), (3, "b", None)], "k int, part string, owner int")
+    made = G.edges(df, G.EdgeMapping("has", "t", ("Note", ("k", "part")), ("Owner", ("owner",))))
+    assert [tuple(r) for r in made.collect()] == [("Note:1:a", "Owner:5", "HAS")]
+    # Counting the owners makes no id of a note.
+    assert "Note" not in made.groupBy("dst").count()._jdf.queryExecution().optimizedPlan().toString()
