@@ -18,11 +18,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tableloom.operators.documents import Collection, TableMapping, build_collection, document_id
-from tableloom.session import local_frame
+from tableloom.operators.marks import key_hash, mark
+from tableloom.session import local_frame, materialise
 from tableloom.streaming.changes import _narrow, last_changes
 
 UPSERT, DELETE = "upsert", "delete"
 _BUCKET = "bucket"
+# A bucket of more files than this, smaller than so many bytes, is put together again.
+FILES, LEAST_FILE = 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -81,25 +84,47 @@ class BucketTable:
         """Fold one batch of changes in and return the buckets written.
 
         ``changes`` has the columns of the rows, ``op`` and the order columns.
-        A batch without changes still gets a manifest.
+        A batch without changes still gets a manifest. A row whose key comes
+        once among the changes and the touched buckets is written where it is;
+        only rows of the other keys are shuffled. A bucket of many small files
+        is shuffled into few.
         """
         earlier = [v for v in self.versions() if v < batch]
         held = self.manifest(earlier[-1]) if earlier else {}
         place = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        stored = self._stored.names
-        last = last_changes(changes.select(*stored), self.keys, self.order).withColumn(_BUCKET, place)
+        changes = changes.select(*self._stored.names)
         folder = f"{self.path}/data/batch={batch}"
-        touched = sorted(r[0] for r in changes.select(place.alias(_BUCKET)).distinct().collect())
+        keyed = materialise(changes.select(key_hash(self.keys).alias("h"), place.alias(_BUCKET)), "changed-keys")
+        touched = sorted(r[0] for r in keyed.select(_BUCKET).distinct().collect())
         if touched:
+            rewritten = {b: held[b] for b in touched if b in held}
+            old = self._rows(rewritten)
+            hashes = keyed.select("h").unionByName(old.select(key_hash(self.keys).alias("h")))
+            marks = mark(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
             # The bucket is computed again, so that folders without it and with it read alike.
-            old = self._rows({b: held[b] for b in touched if b in held}).withColumn(_BUCKET, place)
-            rows = last_changes(old.unionByName(last), [*self.keys], self.order)
-            rows.repartition(len(touched), _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
+            kept = marks.others(old, self.keys).withColumn(_BUCKET, place)
+            rows = (kept.repartition(len(touched), _BUCKET) if self._in_small_files(rewritten) else kept).unionByName(
+                marks.others(changes, self.keys).withColumn(_BUCKET, place)
+            )
+            if not marks.empty:
+                met = marks.met(old, self.keys).unionByName(marks.met(changes, self.keys))
+                rows = rows.unionByName(last_changes(met, self.keys, self.order).withColumn(_BUCKET, place))
+            rows.write.mode("overwrite").option("compression", "zstd").partitionBy(_BUCKET).parquet(folder)
         after = held | dict.fromkeys(touched, batch)
         listed = local_frame(self.spark, sorted(after.items()), f"{_BUCKET} int, batch bigint")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch}")
         return touched
 
+    def _in_small_files(self, held: dict[int, int]) -> bool:
+        """Whether the buckets have more than ``FILES`` files each, of under ``LEAST_FILE`` bytes."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = size = 0
+        for b, n in held.items():
+            folder = hadoop.Path(f"{self.path}/data/batch={n}/{_BUCKET}={b}")
+            found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+            files, size = files + found.getFileCount(), size + found.getLength()
+        return files > FILES * len(held) and size < LEAST_FILE * files
+
     def drop_old(self, keep: int = 2) -> list[int]:
         """Remove manifests before the last ``keep`` versions, and data that no version left names; returns the batches removed."""
         found = self.versions()
@@ -147,6 +172,7 @@ def store_documents(table: BucketTable, collection: Collection, batch: int = 0)
 def refresh_documents(table: BucketTable, name: str, mapping: TableMapping, tables, touched: DataFrame, batch: int) -> list[int]:
     """Rebuild the touched documents only and write only their buckets; a touched root that is gone loses its document (S3)."""
     affected: dict[str, DataFrame] = {}
+    touched = materialise(touched, "touched-roots")
     narrowed = _narrow(mapping, tables, tables[mapping.table].join(touched, mapping.key, "left_semi"), "/", affected)
     rebuilt = build_collection(name, narrowed, affected).documents.select(*table.schema.names)
     gone = touched.join(tables[mapping.table].select(*mapping.key), mapping.key, "left_anti")

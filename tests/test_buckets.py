@@ -84,3 +84,22 @@ def test_documents_in_buckets(spark, frame, tmp_path):
     assert 1 <= len(written) <= 2
     got = {r["id"]: [x["id"] for x in r["children"]] for r in table.read().collect()}
     assert got == {k: [3, 9, 203] if k == 3 else [k, k + 200] for k in range(200) if k != 9}
+
+
+def test_only_rows_whose_keys_come_again_are_shuffled(table, frame, monkeypatch):
+    travelled = []
+    monkeypatch.setattr(B, "last_changes", lambda rows, *a: travelled.append(rows.count()) or S.last_changes(rows, *a))
+    table.apply(frame([(k, "a", "upsert", 1) for k in range(2000)], FEED), 0)
+    assert travelled == []
+    table.apply(frame([(k, "b", "upsert", 2) for k in range(0, 2000, 20)] + [(5000, "new", "upsert", 2), (None, "n", "upsert", 2)], FEED), 1)
+    assert 200 <= travelled.pop() < 300 and travelled == []
+    assert rows(table.read()) == {k: "b" if k % 20 == 0 else "a" for k in range(2000)} | {5000: "new", None: "n"}
+
+
+def test_many_small_files_are_put_together(table, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FILES", 2)
+    table.apply(frame([(k, "a", "upsert", 0) for k in range(100)], FEED), 0)
+    for n in range(1, 6):
+        table.apply(frame([(k, f"v{n}", "upsert", n) for k in range(0, 100, 2)], FEED), n)
+    assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "t/data/batch=5").iterdir()) <= 10
+    assert rows(table.read()) == {k: "v5" if k % 2 == 0 else "a" for k in range(100)}
