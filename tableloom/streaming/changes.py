@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tableloom.operators.documents import Collection, TableMapping, build_collection, document_id, whole_key
+from tableloom.operators.marks import key_hash, mark
 from tableloom.operators.relational import literal
+from tableloom.session import materialise
 
 
 def incremental_extract(
@@ -177,10 +179,15 @@ def refresh_collection(
     """A collection with only the touched documents rebuilt; touched roots that are gone lose theirs (S3)."""
     key = mapping.key
     affected: dict[str, DataFrame] = {}
+    touched = materialise(touched, "touched-roots")
     narrowed = _narrow(mapping, tables, tables[mapping.table].join(touched, key, "left_semi"), "/", affected)
     rebuilt = build_collection(name, narrowed, affected)
     stale = touched.select(document_id(name, key).alias("_id"))
-    documents = collection.documents.join(stale, "_id", "left_anti").unionByName(rebuilt.documents)
+    # Only documents that may be stale travel to the ids.
+    marks = mark(stale.select(key_hash(["_id"])))
+    documents = marks.others(collection.documents, ["_id"]).unionByName(rebuilt.documents)
+    if not marks.empty:
+        documents = documents.unionByName(marks.met(collection.documents, ["_id"]).join(stale, "_id", "left_anti"))
 
     continuations = {}
     for path in {**collection.continuations, **rebuilt.continuations}:

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from tableloom.operators import documents as D
+from tableloom.operators.marks import Marks
 from tableloom.streaming import changes as S
 
 FEED = "k int, v string, op string, ts int, seq int"
@@ -120,3 +121,16 @@ def test_continuations_are_replaced_with_their_owner(frame, monkeypatch):
     items = [(r["id"], x["id"], x["v"]) for r in got.documents.collect() for x in r["children"]]
     items += [(r["owner"], x["id"], x["v"]) for r in got.continuations["children"].collect() for x in r["children"]]
     assert sorted(items) == sorted((o, i, "b" if o == 1 else v) for i, o, v in many)
+
+
+def test_documents_that_stay_are_not_shuffled(frame, monkeypatch):
+    travelled = []
+    met = Marks.met
+    monkeypatch.setattr(Marks, "met", lambda self, rows, keys: travelled.append(met(self, rows, keys)) or travelled[-1])
+    parents = frame([(k,) for k in range(1000)], "pid int")
+    before = {"parent": parents, "child": frame([(k, k % 1000, "a") for k in range(2000)], "cid int, owner int, v string")}
+    built = D.build_collection("p", ROOT, before)
+    after = before | {"child": frame([(k, k % 1000, "b" if k == 7 else "a") for k in range(2000)], "cid int, owner int, v string")}
+    fresh = S.refresh_collection("p", ROOT, built, after, S.touched_roots(ROOT, after, {"child": frame([(7,)], "cid int")}))
+    assert fresh.documents.count() == 1000
+    assert [rows.count() < 50 for rows in travelled] == [True]
