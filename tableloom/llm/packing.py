@@ -35,20 +35,24 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_document
+        encode = encoder(vocabulary).encode_documents
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
         for batch in batches:
-            columns = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py())
-                for start in range(0, len(ids), window):
-                    raw = ids[start : start + window].tobytes()
-                    row = (doc_id, start, len(raw) // 4, zlib.crc32(raw), len(ids), raw)
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-            types = [pa.int64()] * 5 + [pa.binary()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
+            counts, crcs, raws = [], [], []
+            for ids in encode(text.as_py() for text in batch.column(1)):
+                counts.append(len(ids))
+                raw = memoryview(ids).cast("B")
+                found = [raw[at : at + 4 * window] for at in range(0, len(raw), 4 * window)]
+                crcs += map(zlib.crc32, found)
+                if with_ids:
+                    raws += map(bytes, found)
+            tokens = np.array(counts, dtype=np.int64)
+            many = -(-tokens // window)
+            row = np.repeat(np.arange(len(tokens)), many)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * window
+            length = np.minimum(window, tokens[row] - start)
+            arrays = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(tokens[row])]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(raws, pa.binary())] * with_ids], names=names)
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(cut, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,8 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 # Pieces of these characters are cut into pre-tokens here; others by the library.
 _COMMON = re.compile(r"[\n\x21-\x7E\xA1-ſ]+")
 _KEPT_CHARS = 48
+# Characters of the texts whose unknown words are encoded together, about.
+_TOGETHER = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,32 +58,25 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of different pre-tokens, each ended by \x00."""
-        mapped = "\x1f".join(parts).encode().decode("latin-1").translate(self.letters)
+        """Ids of different pre-tokens."""
+        mapped = ("\x00\x1f".join(parts) + "\x00").encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(ids == self.mark).tolist()
         raw = ids.tobytes()
-        return {p[:-1]: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *(c + 1 for c in cuts)], cuts, strict=False)}
+        return {p: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *(c + 1 for c in cuts)], cuts, strict=False)}
 
     def _cut(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces through those of their pre-tokens."""
-        found = self.pattern.findall(" " + "\x00 ".join(pieces) + "\x00")
-        known, new = self.parts, {}
-        missing = list({p if p[-1] == "\x00" else p + "\x00" for p in found if p != "\x00" and p.rstrip("\x00") not in known})
-        if missing:
-            new = self._part_ids(missing)
-            if len(known) < self.part_room:
-                known.update((p, ids) for p, ids in new.items() if len(p) <= _KEPT_CHARS)
-        got, held, turn = {}, [], iter(pieces)
-        for p in found:
-            if p[-1] != "\x00":
-                held.append(known.get(p) or new[p])
-                continue
-            if len(p) > 1:
-                held.append(known.get(p[:-1]) or new[p[:-1]])
-            got[next(turn)] = b"".join(held)
-            held = []
-        return got
+        # A piece has no space, so the pre-tokens that start with one are the first of each piece.
+        found = self.pattern.findall(" " + " ".join(pieces))
+        known = self.parts
+        missing = list(set(found).difference(known))
+        new = self._part_ids(missing) if missing else {}
+        ids = [known.get(p) or new[p] for p in found] if new else list(map(known.__getitem__, found))
+        if new and len(known) < self.part_room:
+            known.update((p, raw) for p, raw in new.items() if len(p) <= _KEPT_CHARS)
+        starts = [k for k, p in enumerate(found) if p[0] == " "]
+        return {p: ids[a] if b - a == 1 else b"".join(ids[a:b]) for p, a, b in zip(pieces, starts, [*starts[1:], len(found)], strict=True)}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces, each after a space."""
@@ -97,25 +93,51 @@ class TextEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without an end id; null is empty."""
-        if not text:
-            return b""
-        if self.special and self.special.search(text):
-            return self._plain(text)
-        if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-            first, *rest = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-        parts = list(map(self.known.get, rest))
-        missing = [k for k, ids in enumerate(parts) if ids is None]
-        if missing:
-            got = self._learn(list({rest[k] for k in missing}))
-            for k in missing:
-                parts[k] = got[rest[k]]
-        return (self._plain(first) if first else b"") + b"".join(parts)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``encode`` of each text; words that are not known yet are encoded for about a million characters at once."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(text)
+            chars += len(text or "")
+            if chars >= _TOGETHER:
+                yield from self._together(held)
+                held, chars = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
+        split, missing = [], set()
+        for text in texts:
+            if not text:
+                split.append((b"", [], []))
+            elif self.special and self.special.search(text):
+                split.append((self._plain(text), [], []))
+            else:
+                if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+                    first, *rest = _CUT.split(text)
+                else:
+                    first, *rest = text.split(" ")
+                parts = list(map(self.known.get, rest))
+                split.append((self._plain(first) if first else b"", rest, parts))
+                if None in parts:
+                    missing.update(w for w, ids in zip(rest, parts, strict=True) if ids is None)
+        got = self._learn(list(missing)) if missing else {}
+        out = []
+        for first, rest, parts in split:
+            if None in parts:
+                parts = [got[w] if ids is None else ids for w, ids in zip(rest, parts, strict=True)]
+            out.append(first + b"".join(parts))
+        return out
 
     def encode_document(self, text: str | None) -> np.ndarray:
         """Ids of a text with the end id."""
-        return np.frombuffer(self.encode(text) + END, dtype="<u4")
+        return next(self.encode_documents([text]))
+
+    def encode_documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """``encode_document`` of each text."""
+        for raw in self.encode_all(texts):
+            yield np.frombuffer(raw + END, dtype="<u4")
 
 
 @functools.cache

@@ -127,3 +127,18 @@ def test_little_padding():
     patterns = packing.plan(histogram)
     filled = sum(n * sum(p) for p, n in patterns)
     assert filled == (histogram * np.arange(1025)).sum() and filled > 0.995 * 1024 * sum(n for _, n in patterns)
+
+
+def test_texts_learned_together_have_the_ids_of_each(monkeypatch):
+    from tableloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "_TOGETHER", 300)
+    own = tokens.TextEncoder(tokens.public_tokenizers.path(tokens.VOCABULARY), words=40, parts=20)
+    texts = [f"word{k} it's, don't-{k % 7}! naïveté{k}\nline{k % 5} the,the a\nb 12{k}.5 \x00x{k} é{'x' * k}" for k in range(60)]
+    texts += [None, "", " ", "a", "a  b", "a \n b", "end\n", "\n\nstart it", "tab\there you're", "日本 語 text{}", "<|endoftext|> x <|endoftext|>", "\x1f a \x1f"]
+    learned = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: learned.append(pieces) or learn(pieces))
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain(t) for t in texts]
+    assert len(learned) < 2 * len(texts) / 2  # not once for each text
