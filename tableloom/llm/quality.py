@@ -109,10 +109,20 @@ def _statistics(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*COUNTS, *DIRECTIONS]).astype({c: "int64" for c in COUNTS} | {c: "float64" for c in DIRECTIONS})
 
 
-def statistics(text: Column) -> Column:
-    """A struct of the counts of the base rule and the statistics that the trees see; a null text has none of all."""
-    schema = ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in DIRECTIONS)])
-    return F.pandas_udf(_statistics, f"struct<{schema}>")(text.cast("string"))
+def statistics(text: Column, trees: Trees | None = None) -> Column:
+    """A struct of the counts of the base rule and the statistics that the trees see; a null text has none of all.
+
+    With trees also their ``score``, made beside the statistics, so that one worker of a task does both.
+    """
+    schema = ", ".join([*(f"{c} bigint" for c in COUNTS), *(f"{c} double" for c in DIRECTIONS), *["score double"] * (trees is not None)])
+
+    def made(texts: pd.Series) -> pd.DataFrame:
+        found = _statistics(texts)
+        if trees is not None:
+            found["score"] = trees.score(found[list(DIRECTIONS)].to_numpy(np.float64))
+        return found
+
+    return F.pandas_udf(made, f"struct<{schema}>")(text.cast("string"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -242,11 +252,8 @@ def score(docs: DataFrame, trees: Trees | None) -> DataFrame:
     made = [*COUNTS, "base_failed", "score", "kept"]
     passed = [F.col(f"`{c}`") for c in docs.columns if c not in made]
 
-    def scored(*columns: pd.Series) -> pd.Series:
-        return pd.Series(trees.score(np.stack([c.to_numpy(np.float64) for c in columns], axis=1)))
-
-    good = F.lit(None).cast("double") if trees is None else F.pandas_udf(scored, "double")(*(F.col(f"{s}.{c}") for c in DIRECTIONS))
-    rows = docs.withColumn(s, statistics(F.col("text")))
+    good = F.lit(None).cast("double") if trees is None else F.col(f"{s}.score")
+    rows = docs.withColumn(s, statistics(F.col("text"), trees))
     failed = base_failed(F.col(f"{s}.n_words"), F.col(f"{s}.n_repeat_words"))
     rows = rows.select(*passed, *(F.col(f"{s}.{c}").alias(c) for c in COUNTS), failed.alias("base_failed"), good.alias("score"))
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= 0.5, F.lit(True)))

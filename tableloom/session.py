@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot foreign key is split even where the split costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Whole texts go to Python workers in batches of about this size, whatever their length.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 

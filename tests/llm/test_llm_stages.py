@@ -66,3 +66,22 @@ def test_packing_places_every_row(spark, odd):
     assert got[got.start == 0].shape[0] == len(ODD)
     assert got.groupby("sequence_id").length.sum().max() <= corpus_pipeline.WINDOW
     assert sorted(got[got.doc_id.isin([1, 2])].doc_tokens) == [1, 1]
+
+
+def test_one_worker_of_a_task_makes_statistics_and_score(spark, frame):
+    from tableloom.llm import quality
+
+    trees = quality.Trees(0.0, quality.np.zeros((1, 1), int), quality.np.zeros((1, 1)), quality.np.array([[-1.0, 1.0]]))
+    rows = quality.score(frame([(1, "a b c " * 9), (2, None)], "doc_id bigint, text string"), trees)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r.n_words for r in rows.orderBy("doc_id").collect()] == [27, 0]
+
+
+def test_whole_texts_go_to_workers_in_bounded_batches(spark, frame):
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.nbytes]})
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 8000) AS text")
+    assert max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect()) < 8 << 20
