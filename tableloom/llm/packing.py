@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
         for batch in batches:
             counts, crcs, raws = [], [], []
-            for ids in encode(text.as_py() for text in batch.column(1)):
+            for ids in encode(batch.column(1)):
                 counts.append(len(ids))
                 raw = memoryview(ids).cast("B")
                 found = [raw[at : at + 4 * window] for at in range(0, len(raw), 4 * window)]

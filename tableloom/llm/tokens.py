@@ -9,84 +9,65 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
-import regex
-from tokenizers import Tokenizer, pre_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
 
 # Ends every document in ids.
 END = np.zeros(1, dtype="<u4").tobytes()
 
-# A space between two characters that are not white space always starts a new
+# A space before a character that is not white space always starts a new
 # pre-token, so a text may be cut before it without changing its ids.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-# Pieces of these characters are cut into pre-tokens here; others by the library.
-_COMMON = re.compile(r"[\n\x21-\x7E\xA1-ſ]+")
+_CUT = re.compile(r" (?=\S)")
+# Texts that hold this are not cut at every space. Arrow's patterns know no other white space than ASCII.
+_SPACES = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _KEPT_CHARS = 48
-# Characters of the texts whose unknown words are encoded together, about.
-_TOGETHER = 1_000_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+# Bytes of the texts whose words are looked up together, about.
+_TOGETHER = 1 << 23
+# Unknown words that the library gets as one text; it is slower with much longer ones.
+_JOINED = 300
 
 
 class TextEncoder:
-    """Encodes whole texts; ids of words and of the pre-tokens of rarer words are kept in two bounded caches per worker."""
+    """Encodes whole texts; ids of words, and in the library those of pre-tokens, are kept in two bounded caches per worker."""
 
-    def __init__(self, path: str, words: int = 300_000, parts: int = 300_000):
+    def __init__(self, path: str, words: int = 300_000, parts: int = 10_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(parts)
         # The library takes the strings of special tokens out of a text first, so a text with one is not cut.
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        # The same model over words that are pre-tokens already.
-        self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        letters = _byte_letters()
-        self.mark = self.tokenizer.token_to_id(letters[0])  # the id of \x00, which is in no other token
-        self.marked = sum(letters[0] in t for t in self.tokenizer.get_vocab()) == 1
-        self.letters = letters | {0x1F: " "}  # \x1F stands between pre-tokens
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(map(re.escape, special))) if special else None
+        self.hard = "|".join([_SPACES, *map(re.escape, special)])
+        vocabulary = self.tokenizer.get_vocab()
+        # Ids that start with a space, which byte-level vocabularies write as this letter.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[k for t, k in vocabulary.items() if t[0] == "\u0120"]] = True
         self.room, self.known = words, {}
-        self.part_room, self.parts = parts, {}
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of different pre-tokens."""
-        mapped = ("\x00\x1f".join(parts) + "\x00").encode().decode("latin-1").translate(self.letters)
-        ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == self.mark).tolist()
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that have no space in them, each after one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+        if len(at) != len(pieces):  # no byte-level vocabulary
+            return self._plain([" " + p for p in pieces])
         raw = ids.tobytes()
-        return {p: raw[4 * a : 4 * b] for p, a, b in zip(parts, [0, *(c + 1 for c in cuts)], cuts, strict=False)}
-
-    def _cut(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of different pieces through those of their pre-tokens."""
-        # A piece has no space, so the pre-tokens that start with one are the first of each piece.
-        found = self.pattern.findall(" " + " ".join(pieces))
-        known = self.parts
-        missing = list(set(found).difference(known))
-        new = self._part_ids(missing) if missing else {}
-        ids = [known.get(p) or new[p] for p in found] if new else list(map(known.__getitem__, found))
-        if new and len(known) < self.part_room:
-            known.update((p, raw) for p, raw in new.items() if len(p) <= _KEPT_CHARS)
-        starts = [k for k, p in enumerate(found) if p[0] == " "]
-        return {p: ids[a] if b - a == 1 else b"".join(ids[a:b]) for p, a, b in zip(pieces, starts, [*starts[1:], len(found)], strict=True)}
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of different pieces, each after a space."""
-        # White space at the end of a text is one pre-token, but not before the next piece.
-        common = [p for p in pieces if p[-1:] != "\n" and _COMMON.fullmatch(p)] if self.marked else []
-        got = self._cut(common) if common else {}
-        if len(common) < len(pieces):
-            others = [p for p in pieces if p not in got]
-            for p, e in zip(others, self.tokenizer.encode_batch_fast([" " + p for p in others], add_special_tokens=False), strict=True):
-                got[p] = np.array(e.ids, dtype="<u4").tobytes()
+        got, common, others = {}, [], []
+        for p in pieces:
+            (others if not p or " " in p or p[0].isspace() else common).append(p)
+        for k in range(0, len(common), _JOINED):
+            some = common[k : k + _JOINED]
+            got.update(zip(some, self._joined(some), strict=True))
+        got.update(zip(others, self._plain([" " + p for p in others]), strict=True))
         if len(self.known) < self.room:
             self.known.update((p, ids) for p, ids in got.items() if len(p) <= _KEPT_CHARS)
         return got
@@ -95,46 +76,59 @@ class TextEncoder:
         """The ids as little-endian unsigned 32-bit integers, without an end id; null is empty."""
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """``encode`` of each text; words that are not known yet are encoded for about a million characters at once."""
-        held, chars = [], 0
-        for text in texts:
-            held.append(text)
-            chars += len(text or "")
-            if chars >= _TOGETHER:
-                yield from self._together(held)
-                held, chars = [], 0
-        yield from self._together(held)
-
-    def _together(self, texts: list[str | None]) -> list[bytes]:
-        split, missing = [], set()
-        for text in texts:
-            if not text:
-                split.append((b"", [], []))
-            elif self.special and self.special.search(text):
-                split.append((self._plain(text), [], []))
-            else:
-                if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-                    first, *rest = _CUT.split(text)
-                else:
-                    first, *rest = text.split(" ")
-                parts = list(map(self.known.get, rest))
-                split.append((self._plain(first) if first else b"", rest, parts))
-                if None in parts:
-                    missing.update(w for w, ids in zip(rest, parts, strict=True) if ids is None)
-        got = self._learn(list(missing)) if missing else {}
-        out = []
-        for first, rest, parts in split:
-            if None in parts:
-                parts = [got[w] if ids is None else ids for w, ids in zip(rest, parts, strict=True)]
-            out.append(first + b"".join(parts))
-        return out
+    def encode_all(self, texts: Iterable[str | None] | pa.Array) -> Iterator[bytes]:
+        """``encode`` of each text; each different word of about eight megabytes is looked up once, unknown ones are encoded together."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = int(np.searchsorted(ends, before + _TOGETHER)) + 1
+            yield from self._together(texts[begin:end])
+            begin = end
+        pa.default_memory_pool().release_unused()  # a worker that waits keeps its cache alone
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of each text, and where each text lies among them."""
+        hard = pc.match_substring_regex(texts, self.hard)
+        if not pc.any(hard).as_py():
+            return pc.split_pattern(texts, " "), np.arange(len(texts))
+        cut = [[t] if self.whole and self.whole.search(t) else _CUT.split(t) for t in texts.filter(hard).to_pylist()]
+        easy = pc.split_pattern(texts.filter(pc.invert(hard)), " ")
+        hard = hard.to_numpy(zero_copy_only=False)
+        row = np.empty(len(texts), dtype=np.int64)
+        row[~hard], row[hard] = np.arange(len(easy)), np.arange(len(easy), len(texts))
+        return pa.concat_arrays([easy, pa.array(cut, easy.type)]), row
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        split, row = self._pieces(texts)
+        words, cuts = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        # The first piece of a text has no space before it.
+        later = np.ones(len(words), dtype=bool)
+        later[cuts[:-1]] = False
+        firsts = words.take(pa.array(cuts[:-1])).dictionary_encode()
+        rest = words.filter(pa.array(later)).dictionary_encode()
+        pieces = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, pieces))
+        if missing := [p for p, raw in zip(pieces, ids, strict=True) if raw is None]:
+            got = self._learn(missing)
+            ids = [got[p] if raw is None else raw for p, raw in zip(pieces, ids, strict=True)]
+        number = np.empty(len(words), dtype=np.int64)
+        number[later] = rest.indices.to_numpy()
+        number[~later] = firsts.indices.to_numpy() + len(ids)
+        found = pa.array(ids + self._plain(firsts.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pa.array(number))
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[cuts].tolist()
+        raw = memoryview(data or b"")
+        for k in row.tolist():
+            yield bytes(raw[ends[k] : ends[k + 1]])
 
     def encode_document(self, text: str | None) -> np.ndarray:
         """Ids of a text with the end id."""
         return next(self.encode_documents([text]))
 
-    def encode_documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def encode_documents(self, texts: Iterable[str | None] | pa.Array) -> Iterator[np.ndarray]:
         """``encode_document`` of each text."""
         for raw in self.encode_all(texts):
             yield np.frombuffer(raw + END, dtype="<u4")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,27 @@ def test_texts_learned_together_have_the_ids_of_each(monkeypatch):
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain(t) for t in texts]
     assert len(learned) < 2 * len(texts) / 2  # not once for each text
+
+
+def test_each_different_word_is_looked_up_once():
+    class Known(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    own = TextEncoder(path(VOCABULARY))
+    own.known = Known()
+    texts = ["the cat and the dog and the cat\nand " * 50, None, "", "a the  cat <|endoftext|>", "the  dog \n the\t dog"] * 20
+    held = pa.array(["left out", *texts], pa.string()).slice(1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(held)] == [plain(t) for t in texts]
+    assert own.known.asked < 20  # not once for each of the 9000 words
+
+
+@pytest.mark.parametrize("space", [*filter(str.isspace, map(chr, range(0x10000))), "\u180e", "\u200b", "\ufeff"])
+def test_white_space_of_any_kind(space):
+    own = TextEncoder(path(VOCABULARY), words=5)
+    ends = [f"{space}", f"{space} ", f" {space}", f" {space} ", f"{space}{space} ", f" {space}{space}"]
+    texts = [t for e in ends for t in (f"ab{e}cd", f"ab{e}cd ef{e}", f"{e}ab", f"ab é{e}1 's{e}x", e)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain(t) for t in texts]
