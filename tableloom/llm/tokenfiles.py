@@ -205,8 +205,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
         name = f"waiting-{TaskContext.get().partitionId():06d}"
         writer = _Writer(f"{folder}/{name}", counted)
         for batch in batches:
-            texts = (text.as_py() for text in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded.encode_documents(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded.encode_documents(batch.column(1)), strict=True):
                 writer.add(doc_id, ids)
                 docs_here, tokens = docs_here + 1, tokens + len(ids)
         writer.close()
