@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableloom.llm.tokens import VOCABULARY, encoder
+from tableloom.llm.tokens import VOCABULARY, encoder, joined
 from tableloom.session import materialise
 
 WINDOW = 1024
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_documents
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids]
-        for batch in batches:
+        for batch in joined(batches):
             counts, crcs, raws = [], [], []
             for ids in encode(batch.column(1)):
                 counts.append(len(ids))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tableloom.llm.tokens import VOCABULARY, encoder
+from tableloom.llm.tokens import VOCABULARY, encoder, joined
 from tableloom.session import local_frame, materialise, scratch_dir
 
 MAGIC = b"TLB1"
@@ -204,7 +204,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
 
         name = f"waiting-{TaskContext.get().partitionId():06d}"
         writer = _Writer(f"{folder}/{name}", counted)
-        for batch in batches:
+        for batch in joined(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded.encode_documents(batch.column(1)), strict=True):
                 writer.add(doc_id, ids)
                 docs_here, tokens = docs_here + 1, tokens + len(ids)

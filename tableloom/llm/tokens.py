@@ -25,7 +25,7 @@ _CUT = re.compile(r" (?=\S)")
 _SPACES = r" [\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _KEPT_CHARS = 48
 # Bytes of the texts whose words are looked up together, about.
-_TOGETHER = 1 << 23
+_TOGETHER = 10_000_000
 # Unknown words that the library gets as one text; it is slower with much longer ones.
 _JOINED = 300
 
@@ -77,7 +77,7 @@ class TextEncoder:
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: Iterable[str | None] | pa.Array) -> Iterator[bytes]:
-        """``encode`` of each text; each different word of about eight megabytes is looked up once, unknown ones are encoded together."""
+        """``encode`` of each text; each different word of about ten megabytes is looked up once, unknown ones are encoded together."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -111,9 +111,10 @@ class TextEncoder:
         rest = words.filter(pa.array(later)).dictionary_encode()
         pieces = rest.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, pieces))
-        if missing := [p for p, raw in zip(pieces, ids, strict=True) if raw is None]:
-            got = self._learn(missing)
-            ids = [got[p] if raw is None else raw for p, raw in zip(pieces, ids, strict=True)]
+        if missing := [k for k, raw in enumerate(ids) if raw is None]:
+            got = self._learn([pieces[k] for k in missing])
+            for k in missing:
+                ids[k] = got[pieces[k]]
         number = np.empty(len(words), dtype=np.int64)
         number[later] = rest.indices.to_numpy()
         number[~later] = firsts.indices.to_numpy() + len(ids)
@@ -134,6 +135,22 @@ class TextEncoder:
             yield np.frombuffer(raw + END, dtype="<u4")
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of over half the bytes that the encoder takes together, as far as there are so many."""
+    held, size = [], 0
+    for batch in batches:
+        if held and batch.nbytes > _TOGETHER:  # a large one stays alone, as Arrow bounds the text in a batch
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+        if size > _TOGETHER // 2:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @functools.cache
 def encoder(name: str = VOCABULARY) -> TextEncoder:
     """One encoder per Python worker. ``name`` is a file of ``public_tokenizers`` or a path."""

@@ -167,3 +167,15 @@ def test_white_space_of_any_kind(space):
     ends = [f"{space}", f"{space} ", f" {space}", f" {space} ", f"{space}{space} ", f" {space}{space}"]
     texts = [t for e in ends for t in (f"ab{e}cd", f"ab{e}cd ef{e}", f"{e}ab", f"ab é{e}1 's{e}x", e)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain(t) for t in texts]
+
+
+def test_small_batches_are_joined_and_large_ones_stay_alone(monkeypatch):
+    from tableloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "_TOGETHER", 1000)
+    sizes = [100, 0, 100, 500, 5000, 20, 600, 30]
+    batches = [pa.record_batch({"doc_id": [k], "text": ["x" * n]}) for k, n in enumerate(sizes)]
+    got = list(tokens.joined(iter(batches)))
+    assert [len(b) for b in got] == [4, 1, 2, 1]
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(batches).to_pydict()
+    assert list(tokens.joined(iter([]))) == []
