@@ -47,11 +47,12 @@ class TextEncoder:
         self.room, self.known = words, {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        # One at a time, as the library needs much more memory than the text it encodes.
+        found = (self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids for t in texts)
+        return [np.array(ids, dtype="<u4").tobytes() for ids in found]
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that have no space in them, each after one."""
+        """Ids of short pieces that have no space in them, each after one."""
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = (4 * np.flatnonzero(self.opens[ids])).tolist()
         if len(at) != len(pieces):  # no byte-level vocabulary
@@ -63,7 +64,7 @@ class TextEncoder:
         """Ids of different pieces, each after a space."""
         got, common, others = {}, [], []
         for p in pieces:
-            (others if not p or " " in p or p[0].isspace() else common).append(p)
+            (others if not p or len(p) > _KEPT_CHARS or " " in p or p[0].isspace() else common).append(p)
         for k in range(0, len(common), _JOINED):
             some = common[k : k + _JOINED]
             got.update(zip(some, self._joined(some), strict=True))

@@ -179,3 +179,13 @@ def test_small_batches_are_joined_and_large_ones_stay_alone(monkeypatch):
     assert [len(b) for b in got] == [4, 1, 2, 1]
     assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(batches).to_pydict()
     assert list(tokens.joined(iter([]))) == []
+
+
+def test_long_pieces_are_encoded_alone(monkeypatch):
+    own = TextEncoder(path(VOCABULARY))
+    together = []
+    joined = own._joined
+    monkeypatch.setattr(own, "_joined", lambda pieces: together.append(sum(map(len, pieces))) or joined(pieces))
+    texts = [f"漢字{k}" * 400 + f" x{k} " + f"語{k}" * 300 + "  end" for k in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain(t) for t in texts]
+    assert together == [sum(len(f"x{k}") for k in range(50)) + len("end")]
