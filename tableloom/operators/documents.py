@@ -78,11 +78,14 @@ class Collection:
     Beside each array ``x`` stands ``xParts``. It is 1 if the array is whole.
     Otherwise it counts the array in the document and the further parts, which
     are rows of owner key, ``part`` and elements in ``continuations`` at the
-    path of the array. Continuations belong to owners that exist.
+    path of the array. Continuations belong to owners that exist. ``owners``
+    has the keys of the rows that own the arrays at a path, in parts or not,
+    where the collection was built from tables.
     """
 
     documents: DataFrame
     continuations: dict[str, DataFrame]
+    owners: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def whole_key(columns: Sequence[str]) -> Column:
@@ -141,21 +144,22 @@ def build_collection(
     multiply.
     """
     rest: dict[str, DataFrame] = {}
-    rows, nested = _fold(root, tables, rest, "", False, max_items, max_items if repeat_items is None else repeat_items)
+    owners: dict[str, DataFrame] = {}
+    rows, nested = _fold(root, tables, rest, owners, "", False, max_items, max_items if repeat_items is None else repeat_items)
     columns = _field_columns(root.fields) + [F.col(n) for n in nested]
     if generate_id:
         columns = [document_id(name, root.key).alias("_id"), *columns]
-    return Collection(rows.select(*columns), rest)
+    return Collection(rows.select(*columns), rest, owners)
 
 
-def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
+def _fold(mapping, tables, rest, owners, path, repeated, max_items, repeat_items):
     """Raw columns of the table plus one column per embedded child."""
     rows = tables[mapping.table]
     nested: list[str] = []
     for child in mapping.children:
         at = f"{path}.{child.path}" if path else child.path
         inside_object = repeated or child.kind == EMBEDDED
-        below, below_names = _fold(child, tables, rest, at, inside_object, max_items, repeat_items)
+        below, below_names = _fold(child, tables, rest, owners, at, inside_object, max_items, repeat_items)
         columns = _field_columns(child.fields) + [F.col(n) for n in below_names]
         parent_key, child_key = (whole_key([pair[side] for pair in child.pairs]) for side in (0, 1))
         if child.kind == EMBEDDED:
@@ -163,6 +167,7 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
             # One row per referenced key: a hot foreign key is split by the join, not collected.
             rows = rows.join(embedded, parent_key == F.col("_k"), "left").drop("_k")
         else:
+            owners[at] = tables[mapping.table].select(*[F.col(p).alias(c) for p, c in child.pairs])
             children = below.select(child_key.alias("_k"), *columns)
             order = [f.target for f in child.fields if f.included and f.primary_key]
             order += [f.target for f in child.fields if f.included and not f.primary_key]
@@ -178,8 +183,8 @@ def _fold(mapping, tables, rest, path, repeated, max_items, repeat_items):
             if got.continuations is None:
                 rows = rows.withColumn(parts, F.lit(1))
             else:
-                owners = rows.select(parent_key.alias("_k")).distinct()
-                tail = got.continuations.join(owners, "_k", "left_semi")
+                present = rows.select(parent_key.alias("_k")).distinct()
+                tail = got.continuations.join(present, "_k", "left_semi")
                 counts = tail.groupBy("_k").agg((F.count(F.lit(1)) + 1).cast("int").alias(parts))
                 rows = rows.join(counts, parent_key == F.col("_k"), "left").drop("_k")
                 rows = rows.withColumn(parts, F.coalesce(parts, F.lit(1)))

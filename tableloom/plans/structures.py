@@ -1303,6 +1303,12 @@ def s3_buckets(t):
     gone = t("orders").join(renamed, F.col("o_custkey") == F.col("c_custkey"), "left_semi").filter("o_orderkey % 7 = 0").select("o_orderkey")
     left = {**after, "orders": t("orders").join(gone, "o_orderkey", "left_anti")}
     B.refresh_documents(table, "orders", ORDERS, left, gone, 2)
-    rows = table.read()
-    # The transactions of these documents are whole.
-    return rows.select("orderId", "total", F.col("customer.customerName"), F.size("customer.customerTransactions").cast("bigint").alias("n_tx"))
+    whole = table.collection()
+    rows = whole.documents.select(
+        "orderId",
+        "total",
+        F.col("customer.customerId").alias("c"),
+        "customer.customerName",
+        F.size("customer.customerTransactions").cast("bigint").alias("n_tx"),
+    )
+    return with_kept_once(rows, whole)

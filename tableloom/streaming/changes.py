@@ -196,7 +196,7 @@ def refresh_collection(
             # The rebuilt owners bring all of their elements along.
             old = old.join(_owners(narrowed, path.split("."), affected), _owner_columns(mapping, path.split(".")), "left_anti")
         continuations[path] = old.unionByName(new) if old is not None and new is not None else (old if new is None else new)
-    return Collection(documents, continuations)
+    return Collection(documents, continuations, {path: _owners(mapping, path.split("."), tables) for path in rebuilt.owners})
 
 
 def _narrow(mapping: TableMapping, tables: Mapping[str, DataFrame], rows: DataFrame, at: str, out: dict[str, DataFrame]) -> TableMapping:

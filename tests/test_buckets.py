@@ -103,3 +103,69 @@ def test_many_small_files_are_put_together(table, frame, tmp_path, monkeypatch):
         table.apply(frame([(k, f"v{n}", "upsert", n) for k in range(0, 100, 2)], FEED), n)
     assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "t/data/batch=5").iterdir()) <= 10
     assert rows(table.read()) == {k: "v5" if k % 2 == 0 else "a" for k in range(100)}
+
+
+BOUNDS = {"max_items": 16}
+
+
+def parents_of(frame, keys, rows):
+    """Tables of the parents with these keys and of the children in ``rows``."""
+    return {"parent": frame([(k,) for k in keys], "pid int"), "child": frame(rows, "cid int, owner int, v string")}
+
+
+def items(collection):
+    """Parent, child and value of every part, and the number of parts that each document says it has."""
+    documents = collection.documents.collect()
+    out = [(r["id"], x["id"], x["v"]) for r in documents for x in r["children"]]
+    found = {r["id"]: 1 for r in documents}
+    for r in collection.continuations["children"].collect() if collection.continuations else ():
+        out += [(r["owner"], x["id"], x["v"]) for x in r["children"]]
+        found[r["owner"]] = found.get(r["owner"], 0) + 1
+    assert found == {r["id"]: r["childrenParts"] for r in documents}
+    return sorted(out)
+
+
+def test_long_arrays_are_stored_and_refreshed_whole(spark, frame, tmp_path):
+    first = [(100 * o + i, o, "a") for o in range(6) for i in range(90 if o < 4 else 3)]
+    before = parents_of(frame, range(6), first)
+    built = D.build_collection("p", ROOT, before, **BOUNDS)
+    table = B.document_table(spark, str(tmp_path / "d"), built.documents, 4)
+    B.store_documents(table, built)
+    want = [sorted((o, c, v) for c, o, v in first)]
+    assert items(table.collection()) == want[0]
+    # Parent 0 changes, 1 keeps two children, 2 goes, 4 grows; 3 and 5 stay as they are.
+    second = [(c, o, "b" if o == 0 else v) for c, o, v in first if o not in (1, 2) or c in (100, 101)]
+    second += [(400 + i, 4, "new") for i in range(3, 80)]
+    after = parents_of(frame, [0, 1, 3, 4, 5], second)
+    touched = frame([(0,), (1,), (2,), (4,)], "pid int")
+    B.refresh_documents(table, "p", ROOT, after, touched, 1, **BOUNDS)
+    want.append(sorted((o, c, v) for c, o, v in second))
+    # A batch that runs again ends the same; the version before is still whole.
+    B.refresh_documents(table, "p", ROOT, after, touched, 1, **BOUNDS)
+    assert [items(table.collection(v)) for v in (0, 1)] == want
+    # All arrays get short: stored again, they have no parts any more.
+    third = [(c, o, v) for c, o, v in second if c % 100 < 5]
+    B.store_documents(table, D.build_collection("p", ROOT, parents_of(frame, [0, 1, 3, 4, 5], third), **BOUNDS), 2)
+    want.append(sorted((o, c, v) for c, o, v in third))
+    assert [items(table.collection(v)) for v in (0, 1, 2)] == want
+    assert table.drop_old(keep=2) == [0] and [items(table.collection(v)) for v in (1, None)] == want[1:]
+
+
+def test_parts_of_a_batch_without_documents_are_not_seen(spark, frame, tmp_path):
+    rows = [(i, 0, "a") for i in range(3)]
+    built = D.build_collection("p", ROOT, parents_of(frame, range(2), rows), **BOUNDS)
+    table = B.document_table(spark, str(tmp_path / "d"), built.documents, 4)
+    B.store_documents(table, built)
+    long = [(i, 0, "b") for i in range(90)]
+    grown = D.build_collection("p", ROOT, parents_of(frame, range(2), long), **BOUNDS)
+    table.apply_parts(grown, 1)
+    assert items(table.collection()) == sorted((o, c, v) for c, o, v in rows)
+    B.store_documents(table, grown, 1)
+    assert items(table.collection()) == sorted((o, c, v) for c, o, v in long)
+    assert items(table.collection(0)) == sorted((o, c, v) for c, o, v in rows)
+    # What is left of batch 2 does not push out what the last version needs, and batch 3 does not build on it.
+    table.apply_parts(built, 2)
+    assert table.drop_old(keep=1) == [0]
+    assert items(table.collection()) == sorted((o, c, v) for c, o, v in long)
+    B.refresh_documents(table, "p", ROOT, parents_of(frame, range(2), [*long, (200, 1, "c")]), frame([(1,)], "pid int"), 3, **BOUNDS)
+    assert items(table.collection()) == sorted([*((o, c, v) for c, o, v in long), (1, 200, "c")])

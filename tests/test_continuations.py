@@ -29,6 +29,18 @@ def test_cut_documents_hold_every_row(spark, monkeypatch, name):
     assert ok, note
 
 
+def test_cut_bucketed_documents_hold_every_row(spark, monkeypatch):
+    cut = partial(documents.build_collection, max_items=8, repeat_items=3)
+    monkeypatch.setattr(structures.D, "build_collection", cut)
+    monkeypatch.setattr(structures.B, "build_collection", cut)
+    con = duckdb.connect()
+    for table in SCHEMAS:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    query = QUERIES["s3_bucketed_documents"]
+    ok, note = compare_frame(query.run(Tables(spark, DATA)), query, con)
+    assert ok, note
+
+
 @pytest.mark.parametrize(
     "name", ["joi2_order_with_lines", "joi3_parts_with_suppliers", "joi4_customers_with_optional_orders", "joi5_multi_branch_include", "joi6_lines_in_line_order", "g9n_pattern_with_branches"]
 )
